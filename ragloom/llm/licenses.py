@@ -65,7 +65,11 @@ def all_shingles(tokens: Column) -> Column:
 
 def _bands(pieces: Column) -> Column:
     """Per band the least hash of the shingles, hashed with the band."""
-    return F.array(*[F.array_min(F.transform(pieces, lambda s, k=k: F.xxhash64(s, F.lit(k)))) for k in range(BANDS)])
+
+    def least(band: int) -> Column:
+        return F.array_min(F.transform(pieces, lambda s: F.xxhash64(s, F.lit(band))))
+
+    return F.array(*[least(k) for k in range(BANDS)])
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:

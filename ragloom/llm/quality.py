@@ -50,7 +50,7 @@ def measures(text: str | None) -> tuple[list[float], list[str]]:
 
 def votes(m: list[float]) -> list[int]:
     """One vote a labeller: 0 junk, 1 good, -1 none."""
-    if m[7] < 3:
+    if not m[7]:
         return [-1] * 7 + [0]
     symbols, upper, exclaims, pipes, again, variety, plain, count = m
     pick = lambda junk, good=False: 0 if junk else 1 if good else -1
@@ -61,7 +61,7 @@ def votes(m: list[float]) -> list[int]:
         pick(pipes > 0.02),
         pick(again > 0.2, again == 0 and count > 20),
         pick(variety < 0.12 and count > 60, variety > 0.3),
-        pick(plain < 0.93, plain > 0.97),
+        pick(plain < 0.85, plain > 0.97),
         -1,
     ]
 
