@@ -1,4 +1,492 @@
-"""Named queries over the shared tables, and the SQL that checks them."""
+"""Named queries over the shared tables, and the SQL that checks them.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``documents`` stand for indexed files, ``pages`` for crawled pages,
+``embeddings`` for a vector collection (label: source), ``events`` for the run
+log (user: source).  Scores are rounded to six places on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import html as H
+from .functions import text as T
+from .functions import url as U
+from .functions import vec as V
+from .operators import chunk as C
+from .operators import images, merge, status
+from .plans import search as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("label-"), "label").alias("source_id"), F.col("label").alias("doc_uri"))
+
+
+def _first_vector(spark, sf_dir) -> list[float]:
+    return _table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+
+
+_COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1))"
+
+
+# -- vectors ---------------------------------------------------------------
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def vector_topk(spark, sf_dir):
+    return S.top_k(_points(spark, sf_dir), _first_vector(spark, sf_dir), 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id AS id, label AS doc_uri, round({_COS}, 6) AS score FROM embeddings WHERE label IN (1, 3) ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def vector_topk_filtered(spark, sf_dir):
+    points = S.filtered(_points(spark, sf_dir), S.QueryOptions(source_ids=("label-1", "label-3")))
+    return S.top_k(points, _first_vector(spark, sf_dir), 20).select("id", "doc_uri", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT * FROM (SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 20) WHERE score >= 0.2")
+def vector_topk_min_score(spark, sf_dir):
+    return S.min_score(S.top_k(_points(spark, sf_dir), _first_vector(spark, sf_dir), 20).withColumn("score", F.round("score", 6)), 0.2).select("id", "score")
+
+
+@query(f"SELECT id, doc_uri, score FROM (SELECT vec_id AS id, label AS doc_uri, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY {_COS} DESC, vec_id) AS n FROM embeddings) WHERE n = 1")
+def vector_dedupe_by_group(spark, sf_dir):
+    q = F.array(*[F.lit(float(x)) for x in _first_vector(spark, sf_dir)])
+    scored = _points(spark, sf_dir).withColumn("score", V.cosine(F.col("vector"), q))
+    return S.best_per_document(scored).select("id", "doc_uri", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
+def normalize_vectors(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform(V.normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("""
+    WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+    f AS (SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda p: (p[1] + p[2]) / 2.0::DOUBLE) AS v FROM u a JOIN u b ON b.vec_id = a.vec_id + 1)
+    SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS fused FROM f""")
+def fuse_vectors(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(b, "vec_id").select("vec_id", F.transform(V.fuse(F.col("embedding"), F.col("other")), lambda x: F.round(x, 6)).alias("fused"))
+
+
+_HEX_WORD = "('0x' || d[i * 8 + 7:i * 8 + 8] || d[i * 8 + 5:i * 8 + 6] || d[i * 8 + 3:i * 8 + 4] || d[i * 8 + 1:i * 8 + 2])::BIGINT"
+
+
+@query(f"""
+    WITH h AS (SELECT item_id, string_agg(sha256(encode(text) || unhex(printf('%02x000000', c))), '' ORDER BY c) AS d FROM benchmark, range(8) r(c) GROUP BY item_id)
+    SELECT item_id, list_transform(range(64), lambda i: round({_HEX_WORD} / 4294967296.0::DOUBLE * 2 - 1, 6)) AS vector FROM h""")
+def hash_embedder(spark, sf_dir):
+    b = _table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.transform(V.hash_embed(F.col("text")), lambda x: F.round(x, 6)).alias("vector"))
+
+
+# -- ranking ---------------------------------------------------------------
+
+TERMS = ["the", "tion", "license"]
+_BM25 = " + ".join(
+    f"(CASE WHEN contains(lower(text), '{t}') THEN ((length(lower(text)) - length(replace(lower(text), '{t}', ''))) / {len(t)}.0::DOUBLE) * 2.2::DOUBLE"
+    f" / ((length(lower(text)) - length(replace(lower(text), '{t}', ''))) / {len(t)}.0::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * strlen(text) / (SELECT avg(strlen(text)) FROM documents))) ELSE 0 END)"
+    for t in TERMS
+)
+
+
+def _bm25(docs: DataFrame):
+    mean = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    return T.bm25(TERMS, F.col("text"), F.lit(mean))
+
+
+@query(f"SELECT doc_id, round({_BM25}, 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 200")
+def bm25_rank(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(_bm25(d), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
+
+
+@query(f"SELECT doc_id, round(0.7::DOUBLE * (n_chars % 100) / 100.0::DOUBLE + 0.3::DOUBLE * ({_BM25}), 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 100")
+def hybrid_rank(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    mean = d.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    hits = d.select("doc_id", F.col("text").alias("chunk_text"), ((F.col("n_chars") % 100) / 100.0).alias("vector_score"))
+    return S.hybrid(hits, TERMS, mean, 0.3).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(100)
+
+
+@query(f"""
+    WITH hits AS (SELECT doc_id, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50)
+    SELECT doc_id AS id, round({_BM25}, 6) AS score FROM hits ORDER BY score DESC, id LIMIT 10""")
+def rerank_bm25(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    mean = d.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    hits = d.orderBy(F.desc("n_chars"), "doc_id").limit(50).select(F.col("doc_id").alias("id"), "text", F.col("n_chars").cast("double").alias("score"))
+    scores = hits.select("id", F.round(T.bm25(TERMS, F.col("text"), F.lit(mean)), 6).alias("rerank_score"))
+    return S.rerank(hits, scores, 10).select("id", "score")
+
+
+@query()
+def rag_search(spark, sf_dir):
+    """The flagship: documents are normalised, chunked and embedded, and the best chunk of each document answers a query text."""
+    d = _table(spark, sf_dir, "documents")
+    chunks = C.chunk_documents(d.withColumn("text", T.normalize_whitespace(F.col("text"))))
+    query_text = _table(spark, sf_dir, "benchmark").orderBy("item_id").select(V.hash_embed(F.col("text")).alias("v"), "text").first()
+    points = chunks.select(F.concat_ws(":", "doc_id", "chunk_index").alias("id"), F.concat(F.lit("doc://"), "doc_id").alias("doc_uri"), "chunk_text", V.hash_embed(F.col("chunk_text")).alias("vector"))
+    hits = S.search(points.drop("chunk_text"), points.select("id", "chunk_text"), query_text.text, query_text.v, S.QueryOptions(dedupe=True))
+    return hits.select("id", "doc_uri", F.round("score", 6).alias("score"), F.left("chunk_text", F.lit(200)).alias("preview"))
+
+
+# -- text ------------------------------------------------------------------
+
+_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s*\n\s*\n\s*', E'\n\n', 'g'), '[^\S\n]*\n[^\S\n]*', E'\n', 'g'), '[^\S\n]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(r"SELECT item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda t: strlen(t) >= 3) AS terms FROM benchmark")
+def query_tokenize(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", T.query_terms(F.col("text")).alias("terms"))
+
+
+@query(f"SELECT doc_id, sha256({_NORM}) AS h, strlen({_NORM})::INTEGER AS n_bytes FROM documents")
+def normalize_whitespace(spark, sf_dir):
+    t = T.normalize_whitespace(F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("h"), F.octet_length(t).alias("n_bytes"))
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS h FROM documents")
+def clean_for_embedding(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.flatten_whitespace(F.coalesce("text", F.lit(""))), 256).alias("h"))
+
+
+@query(rf"SELECT doc_id, CASE WHEN l <> '' AND strlen(l) < 100 THEN l END AS title FROM (SELECT doc_id, trim(string_split({_NORM}, E'\n')[1]) AS l FROM documents)")
+def plain_text_title(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.plain_title(F.coalesce("text", F.lit(""))).alias("title"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return C.chunk_documents(_table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "char_start", "char_end", "chunk_hash", "point_id")
+
+
+@query()
+def chunk_stats_by_source(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    n = C.chunk_documents(d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return d.join(n, "doc_id", "left").groupBy("source").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+
+
+_UUID = "substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', 1 + (('0x' || substr(s, 17, 1))::INTEGER % 4), 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12)"
+
+
+@query(f"SELECT doc_id, h AS content_hash, {_UUID} AS point_id FROM (SELECT doc_id, sha256(text) AS h, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || sha256(text)::BLOB) AS s FROM documents)")
+def content_hash_ids(spark, sf_dir):
+    h = T.content_hash(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", h.alias("content_hash"), T.point_id(h).alias("point_id"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").groupBy(T.content_hash(F.col("text")).alias("content_hash"))
+    return d.agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+# -- pages -----------------------------------------------------------------
+
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace({h}, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g')"
+_BODY = "(CASE WHEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) = '' THEN html ELSE regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) END)"
+_BODY_TEXT = _VISIBLE.replace("{h}", _BODY)
+for _n, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _BODY_TEXT = f"replace({_BODY_TEXT}, '{_n}', '{_c}')"
+_BODY_NORM = _NORM.replace("coalesce(text, '')", _BODY_TEXT)
+_RATIO = r"(strlen(trim(regexp_replace(" + _VISIBLE.replace("{h}", "html") + r", '\s+', ' ', 'g'))) / strlen(html))"
+
+
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
+def html_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"))
+
+
+_LEVELS = " UNION ALL ".join(f"SELECT page_id, {n} AS level, unnest(regexp_extract_all(html, '(?is)<h{n}(?:\\s[^>]*)?>(.*?)</h{n}>', 1)) AS raw FROM pages" for n in range(1, 7))
+
+
+@query(f"""
+    WITH t AS (SELECT page_id, {_BODY_NORM} AS body FROM pages), h AS (SELECT page_id, level, trim(regexp_replace(raw, '<[^>]+>', '', 'g')) AS text FROM ({_LEVELS}))
+    SELECT page_id, level, text, greatest(0, strpos(body, text) - 1)::INTEGER AS position FROM h JOIN t USING (page_id) WHERE text <> ''""")
+def html_headings(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    return p.select("page_id", F.explode(H.headings(F.col("html"))).alias("h")).select("page_id", "h.level", "h.text", "h.position")
+
+
+_TAGS = r"""regexp_extract_all(html, '(?is)(<a\s[^>]*href\s*=\s*["''][^"'']*["''][^>]*>.*?</a>)', 1)"""
+_PAGE_HOST = "lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_SCHEME_HOST = "regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_PATH = "regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_LINKS = rf"""
+    WITH a AS (SELECT page_id, url AS base, unnest({_TAGS}) AS tag FROM pages),
+    b AS (SELECT page_id, base, regexp_extract(tag, '(?is)href\s*=\s*["'']([^"'']*)["'']', 1) AS href, nullif(trim(regexp_replace(tag, '<[^>]+>', '', 'g')), '') AS text FROM a),
+    l AS (SELECT page_id, base, text, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href
+        WHEN starts_with(href, '//') THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href
+        WHEN starts_with(href, '/') THEN {_SCHEME_HOST} || href WHEN starts_with(href, '#') THEN string_split(base, '#')[1] || href
+        ELSE {_SCHEME_HOST} || regexp_replace(CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END, '[^/]*$', '') || href END AS link FROM b)"""
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    p = _table(spark, sf_dir, "pages")
+    return p.select("page_id", F.col("url").alias("base"), F.explode(H.links(F.col("html"), F.col("url"))).alias("l")).select("page_id", "base", F.col("l.url").alias("link"), "l.text", "l.internal")
+
+
+@query(f"{_LINKS} SELECT page_id, link, text, {_PAGE_HOST.format(u='link')} = {_PAGE_HOST.format(u='base')} AS internal FROM l")
+def html_links(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "link", "text", "internal")
+
+
+@query(f"SELECT page_id, sha256({_BODY_NORM}) AS h FROM pages")
+def html_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(H.body_text(F.col("html")), 256).alias("h"))
+
+
+_ENDING = r"regexp_extract(string_split(url, '/')[-1], '[^.].*\.([^.]*)$', 1)"
+
+
+@query(f"SELECT page_id, CASE WHEN {_ENDING} IN ('html', 'htm') THEN 'html' WHEN {_ENDING} IN ('md', 'markdown', 'mdx') THEN 'markdown' WHEN {_ENDING} IN ('txt', 'text', 'rst') THEN 'plaintext' ELSE 'unknown' END AS by_ending, 'html' AS detected, lower({_ENDING}) IN ({', '.join(repr(x) for x in T.SKIPPED)}) AS skipped FROM pages")
+def content_type_detect(spark, sf_dir):
+    u = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", T.type_by_ending(u).alias("by_ending"), T.content_type(u, F.lit("text/html; charset=utf-8")).alias("detected"), T.should_skip(u).alias("skipped"))
+
+
+_NORM_URL = f"CASE WHEN {_SCHEME_HOST} = '' THEN base ELSE {_SCHEME_HOST} || coalesce(nullif(regexp_replace({_PATH}, '/+$', ''), ''), '/') || regexp_extract(base, '^[^?#]*(\\?[^#]*)', 1) END"
+
+
+@query(f"{_LINKS}, u AS (SELECT DISTINCT link AS base FROM l) SELECT base AS link, {_NORM_URL} AS normal FROM u")
+def url_normalize(spark, sf_dir):
+    return _links(spark, sf_dir).select("link").distinct().select("link", U.normalize(F.col("link")).alias("normal"))
+
+
+_DENY = " OR ".join(f"contains(lower(link), '{d}')" for d in U.DENIED)
+
+
+@query(rf"{_LINKS}, u AS (SELECT DISTINCT link FROM l) SELECT link, NOT ({_DENY} OR regexp_matches(lower(link), '^[^#]*#[^/]') OR regexp_matches(lower(link), '/\d{{4}}/\d{{2}}/\d{{2}}/')) AS crawlable FROM u")
+def url_crawlable(spark, sf_dir):
+    return _links(spark, sf_dir).select("link").distinct().select("link", U.crawlable(F.col("link")).alias("crawlable"))
+
+
+@query(f"SELECT page_id, round({_RATIO}, 6) AS ratio FROM pages")
+def page_content_ratio(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.round(H.content_ratio(F.col("html")), 6).alias("ratio"))
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_has = lambda parts, c="lower(html)": "(" + " OR ".join(f"contains({c}, {_lit(p)})" for p in parts) + ")" if parts else "false"
+_FRAME = "CASE " + " ".join(f"WHEN {_has(low)} OR {_has(raw, 'html')} THEN '{n}'" for n, low, raw in H.FRAMEWORKS) + " END"
+_ROUTE_SQL = "list_sort(list_distinct(list_filter(" + " || ".join(f"regexp_extract_all(html, {_lit(r)}, 1)" for r in H.ROUTES) + ", lambda r: r <> '/' AND r <> '')))"
+_count = lambda parts: " + ".join(f"({p})::INTEGER" for p in parts)
+_AUTH = _count([f"regexp_matches(lower(html), {_lit('(?i)' + p)})" for p in H.AUTH_PATTERNS] + [f"contains(lower(html), {_lit(t)})" for t in H.AUTH_TEXTS])
+_BOT = _count([f"contains(lower(html), {_lit(b)})" for b in H.BOTS])
+_SHELL = " OR ".join(f"regexp_matches(html, {_lit('(?i)' + p)})" for _, p in H.SHELLS)
+_SCRIPTS = r"""len(regexp_extract_all(html, '<script[^>]*(?:src\s*=\s*["''][^"'']+["''])?[^>]*>')) > 5 OR list_sum(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>(.+?)</script>', 1), lambda x: strlen(x))) / 1024.0 > 50"""
+
+
+@query(f"""
+    WITH f AS (SELECT page_id, {_RATIO} AS ratio, coalesce(({_SHELL}), false) AS shell, {_FRAME} AS framework, coalesce(({_SCRIPTS}), false) AS heavy, {_has(H.HYDRATION)} AS hydrated,
+        {_ROUTE_SQL} AS routes, ({_AUTH}) >= 2 AS auth, ({_BOT}) >= 2 AS bot FROM pages),
+    s AS (SELECT *, (CASE WHEN ratio < 0.05 THEN 40 WHEN ratio < 0.15 THEN 20 ELSE 0 END) + 30 * shell::INTEGER + 20 * (framework IS NOT NULL)::INTEGER + 15 * heavy::INTEGER + 10 * hydrated::INTEGER + 30 * (len(routes) > 0)::INTEGER AS points FROM f)
+    SELECT page_id, CASE WHEN auth THEN 'auth_wall' WHEN bot THEN 'bot_protection' WHEN points >= 50 THEN 'spa' ELSE 'static' END AS technology,
+        CASE WHEN NOT auth AND NOT bot AND points >= 50 THEN coalesce(framework, 'unknown') END AS framework,
+        (CASE WHEN auth THEN 0.8 WHEN bot THEN 0.9 WHEN points >= 50 THEN least(points / 100.0, 1.0) ELSE 1.0 END)::DOUBLE AS confidence,
+        CASE WHEN auth THEN false WHEN bot THEN true ELSE points >= 50 END AS needs_js, round(ratio, 6) AS content_ratio FROM s""")
+def page_technology(spark, sf_dir):
+    a = _table(spark, sf_dir, "pages").select("page_id", H.analyze(F.col("html")).alias("a"))
+    return a.select("page_id", "a.technology", "a.framework", "a.confidence", "a.needs_js", F.round("a.content_ratio", 6).alias("content_ratio"))
+
+
+@query(f"""
+    WITH RECURSIVE e AS ({_LINKS} SELECT DISTINCT base AS src, link AS dst FROM l WHERE {_PAGE_HOST.format(u='link')} = {_PAGE_HOST.format(u='base')}),
+    w(url, depth) AS (SELECT min(url), 0 FROM pages UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 3)
+    SELECT url, min(depth)::INTEGER AS depth FROM w GROUP BY url""")
+def crawl_bfs_static(spark, sf_dir):
+    """Breadth-first over the stored link graph, three levels from the first page; one join a level."""
+    pages = _table(spark, sf_dir, "pages").select("url")
+    edges = _links(spark, sf_dir).where("internal").select("base", "link").distinct()
+    front = pages.agg(F.min("url").alias("url")).withColumn("depth", F.lit(0))
+    seen = front
+    for depth in range(1, 4):
+        front = front.join(edges, front.url == edges.base).select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
+        seen = seen.unionByName(front)
+    return seen
+
+
+# -- maintenance -----------------------------------------------------------
+
+_V1 = "SELECT doc_id, source, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0"
+_V2 = "SELECT doc_id, source, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0"
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two states of the index: each lacks some documents, and in the second some texts have changed."""
+    d = _table(spark, sf_dir, "documents")
+    old = d.where("doc_id % 3 <> 0").select("doc_id", F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("uri"), T.content_hash(F.col("text")).alias("content_hash"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = d.where("doc_id % 7 <> 0").select("doc_id", F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("uri"), T.content_hash(text).alias("content_hash"))
+    return old, new
+
+
+@query(f"""
+    WITH a AS ({_V1}), b AS ({_V2})
+    SELECT coalesce(b.source, a.source) AS source_id, coalesce(a.doc_id, b.doc_id)::VARCHAR AS uri, CASE WHEN a.doc_id IS NULL THEN 'new-' ELSE 'old-' END || coalesce(a.doc_id, b.doc_id) AS id, coalesce(b.h, a.h) AS content_hash
+    FROM a FULL JOIN b USING (doc_id)""")
+def upsert_documents(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    at = lambda df, name, day: df.select("source_id", "uri", F.concat(F.lit(name), "doc_id").alias("id"), "content_hash", F.lit(day).cast("timestamp").alias("created_at"), F.lit(day).cast("timestamp").alias("updated_at"))
+    return merge.upsert(at(old, "old-", "2024-01-01"), at(new, "new-", "2024-02-01"), ["source_id", "uri"]).select("source_id", "uri", "id", "content_hash")
+
+
+@query("SELECT doc_id, source AS source_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0")
+def stale_documents(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return merge.stale(old, new).select("doc_id", "source_id")
+
+
+@query(f"WITH a AS ({_V1}), b AS ({_V2}) SELECT b.doc_id, b.h AS content_hash FROM b LEFT JOIN a ON a.doc_id = b.doc_id AND a.h = b.h WHERE a.doc_id IS NULL")
+def changed_documents(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return merge.changed(new, old, ["source_id", "uri"]).select("doc_id", "content_hash")
+
+
+_LINES = "SELECT doc_id, unnest(string_split({t}, E'\\n')) AS line FROM documents WHERE {w}"
+
+
+@query(f"""
+    WITH a AS (SELECT DISTINCT doc_id, sha256(line) AS chunk_hash FROM ({_LINES.format(t='text', w='doc_id % 3 <> 0')})),
+    b AS (SELECT doc_id, sha256(line) AS chunk_hash FROM ({_LINES.format(t="CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END", w='doc_id % 7 <> 0')}))
+    SELECT b.doc_id, b.chunk_hash FROM b ANTI JOIN a ON a.doc_id = b.doc_id AND a.chunk_hash = b.chunk_hash""")
+def new_chunks(spark, sf_dir):
+    """Lines stand for chunks here."""
+    d = _table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    lines = lambda df, t: df.select("doc_id", F.explode(F.split(t, "\n")).alias("line")).select("doc_id", F.sha2("line", 256).alias("chunk_hash"))
+    return merge.new_chunks(lines(d.where("doc_id % 7 <> 0"), text), lines(d.where("doc_id % 3 <> 0"), F.col("text"))).select("doc_id", "chunk_hash")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def orphan_points(spark, sf_dir):
+    chunks = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("point_id"))
+    return merge.orphans(_points(spark, sf_dir), chunks)
+
+
+@query("SELECT 'documents' AS part, count(*) AS n FROM documents WHERE source <> 'src1' UNION ALL SELECT 'chunks', sum(len(string_split(text, E'\\n')))::BIGINT FROM documents WHERE source <> 'src1' UNION ALL SELECT 'sources', count(DISTINCT source) - 1 FROM documents")
+def remove_source(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    docs = d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"))
+    chunks = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.split("text", "\n")).alias("line")).withColumn("point_id", F.col("doc_id"))
+    tables = {"documents": docs, "chunks": chunks, "points": docs.select("id"), "runs": docs.select("source_id"), "sources": d.select(F.col("source").alias("id")).distinct()}
+    out = merge.cascade(tables, "src1")
+    parts = [out[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n") for n in ("documents", "chunks", "sources")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0")
+def prune_missing(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return old.join(new.select("uri"), "uri", "left_anti").select("doc_id")
+
+
+@query("SELECT count(DISTINCT source) AS sources, count(*) AS documents, sum(len(string_split(text, E'\\n')))::BIGINT AS chunks FROM documents")
+def global_stats(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return status.global_stats(d.select("source").distinct(), d, d.select(F.explode(F.split("text", "\n"))))
+
+
+@query("SELECT source AS source_id, count(*) AS documents, sum(len(string_split(text, E'\\n')))::BIGINT AS chunks FROM documents GROUP BY 1")
+def source_stats(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    chunks = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return status.source_stats(d.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id")), chunks)
+
+
+_STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'completed' END"
+_OPERATION = "CASE WHEN event_id % 2 = 0 THEN 'update' ELSE 'ingest' END"
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), F.col("ts").alias("started_at"), F.expr(_STATUS).alias("status"), F.expr(_OPERATION).alias("operation"))
+
+
+@query(f"SELECT user_id AS source_id, event_id AS id, {_STATUS} AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_run(spark, sf_dir):
+    return status.latest_run(_runs(spark, sf_dir)).select("source_id", "id", "status")
+
+
+@query(f"""
+    WITH r AS (SELECT user_id AS source_id, {_STATUS} AS status, {_OPERATION} AS operation, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+    SELECT source_id, CASE WHEN status = 'running' AND operation = 'update' THEN 'updating' WHEN status = 'running' THEN 'indexing' WHEN status = 'failed' THEN 'error' ELSE 'ready' END AS state FROM r WHERE n = 1""")
+def source_state(spark, sf_dir):
+    return status.latest_run(_runs(spark, sf_dir)).select("source_id", status.state(F.col("status"), F.col("operation")).alias("state"))
+
+
+@query(f"WITH s AS (SELECT DISTINCT regexp_replace(url, '[^/]*$', '') AS url FROM pages) SELECT a.url AS one, b.url AS other FROM s a JOIN s b ON {_PAGE_HOST.format(u='a.url')} = {_PAGE_HOST.format(u='b.url')} AND a.url <> b.url AND starts_with(b.url, a.url)")
+def source_overlap(spark, sf_dir):
+    """Folders whose address another's begins with: an equi-join on the host, then the prefix."""
+    p = _table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[^/]*$", "").alias("url")).distinct().select("url", U.host(F.col("url")).alias("host"))
+    a, b = p.select(F.col("url").alias("one"), "host"), p.select(F.col("url").alias("other"), "host")
+    return a.join(b, "host").where("one <> other and startswith(other, one)").select("one", "other")
+
+
+@query("SELECT d.doc_id, d.source, len(string_split(d.text, E'\\n'))::INTEGER AS lines FROM documents d JOIN labels l USING (doc_id)")
+def chunk_point_join(spark, sf_dir):
+    d, points = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id")
+    return points.join(d, "doc_id").select("doc_id", "source", F.size(F.split("text", "\n")).alias("lines"))
+
+
+@query(r"SELECT conv_id, turn, CASE WHEN l <> '' AND strlen(l) < 100 THEN l END AS title FROM (SELECT conv_id, turn, trim(string_split(%s, E'\n')[1]) AS l FROM conversations)" % _NORM)
+def conversation_titles(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.plain_title(F.coalesce("text", F.lit(""))).alias("title"))
+
+
+_MEDIA = [
+    ("p1", "https://x.org/architecture-diagram.png", "Overview of setup", "Overview", ["Overview", "Setup"], False),
+    ("p1", "https://x.org/architecture-diagram.png", "Diagram", "Overview", ["Overview", "Setup"], False),
+    ("p1", "https://x.org/logo.png", "Overview", "Overview", ["Overview"], False),
+    ("p1", "https://x.org/chart.svg", "Setup", "Overview", ["Setup"], False),
+    ("p2", "https://x.org/flow.jpg", "The setup flow", "Guide", ["Setup"], False),
+    ("p2", "https://x.org/flow-bg.jpg", "The setup flow", "Guide", ["Setup"], True),
+    ("p2", "https://x.org/plot.gif?x=1", "The setup plot", "Guide", ["Setup"], False),
+]
+_VALUES = ", ".join(f"('{p}', '{u}', '{a}', '{t}', [{', '.join(repr(x) for x in h)}], {str(c).lower()})" for p, u, a, t, h, c in _MEDIA)
+
+
+@query(rf"""
+    WITH m(page, url, alt, title, headings, css) AS (VALUES {_VALUES}),
+    s AS (SELECT *, least(0.35 * (trim(alt) <> '')::INTEGER + 0.2 * (len(list_filter(headings, lambda h: contains(lower(trim(alt)), lower(h)))) > 0)::INTEGER + 0.1 * contains(lower(trim(alt)), lower(title))::INTEGER
+        + 0.2 * regexp_matches(lower(url), '{"|".join(images.GOOD)}')::INTEGER - 0.3 * regexp_matches(lower(url), '{"|".join(images.BAD)}')::INTEGER - 0.1 * css::INTEGER, 1.0)::DOUBLE AS r FROM m
+        WHERE NOT css AND NOT regexp_matches(lower(url), '\.svgz?($|[?#])') AND regexp_matches(lower(url), '^https?://.*\.(png|jpg|jpeg|gif|webp|bmp|tiff)$'))
+    SELECT page, url, alt, round(r, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY page, url ORDER BY r DESC, alt) AS n FROM s WHERE round(r, 6) >= 0.6) WHERE n = 1""")
+def image_candidates(spark, sf_dir):
+    media = spark.createDataFrame(_MEDIA, "page string, url string, alt string, title string, headings array<string>, css_background boolean")
+    return images.candidates(media).select("page", "url", "alt", F.round("relevance", 6).alias("relevance"))
+
+
+@query("SELECT a.event_id AS id, bit_count(xor(a.event_id * 2654435761, (a.event_id + 1) * 2654435761))::INTEGER AS distance, bit_count(xor(a.event_id * 2654435761, (a.event_id + 1) * 2654435761)) <= 5 AS alike FROM events a")
+def phash_near_dup(spark, sf_dir):
+    k = F.lit(2654435761)
+    d = images.hamming(F.col("event_id") * k, (F.col("event_id") + 1) * k)
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), d.alias("distance"), (d <= images.HAMMING).alias("alike"))
