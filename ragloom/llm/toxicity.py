@@ -112,9 +112,10 @@ def fit(features: list[np.ndarray], named: list[list[str]], labels: np.ndarray,
     if not len(labels):
         return {}, -40.0
     n, labels = len(labels), np.asarray(labels, float)
-    every = Rows(features)
-    seen = np.bincount(every.col, minlength=DIMENSION)
-    toxic = np.bincount(every.col, labels[every.at], DIMENSION)
+    seen, toxic = np.zeros(DIMENSION), np.zeros(DIMENSION)
+    for r, y in zip(features, labels, strict=True):  # row by row: the whole matrix would fill the driver
+        seen[r] += 1
+        toxic[r] += y
     share = min(max(labels.mean(), 1e-6), 1 - 1e-6)
     z = (toxic - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     kept = (seen >= 3) & (np.abs(z) >= 2)
