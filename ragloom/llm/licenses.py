@@ -6,9 +6,10 @@ fourth word; four shingles each) retrieve templates by MinHash bands, and the
 exact share of a template's shingles that the document holds decides.
 
 Why nothing is lost before the bands: a match holds 0.8 of a template's
-shingles or more.  Every template has a word of ``ANCHORS`` in more than a
-fifth of its shingles (``anchored`` checks this), so a match holds one in a
-matched shingle, and only windows with such a word are made.
+shingles or more.  A template with a word of ``ANCHORS`` in more than a fifth
+of its shingles (``anchored``) is matched only through a shingle with one, so
+where all templates are such, only windows with an anchor are made.  With any
+other template among them, all windows of all texts are.
 
 Band settings: 32 bands of one row.  A matched shingle lies whole in a window
 of four shingles; templates are indexed by all their windows of up to four
@@ -85,7 +86,8 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: s
     """(doc_id, license, share, first_word): one row per document and template that it holds; first_word counts from 0."""
     spark = docs.sparkSession
     held = template_table(spark, templates)
-    anchor = "|".join(ANCHORS)
+    parts = [r.parts for r in held.collect()]  # as many rows as there are templates
+    anchor = "|".join(ANCHORS) if all(anchored(p) for p in parts if p) else ""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(f"(?i){anchor}"))
     tokens = rows.select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE).withColumn("row", F.monotonically_increasing_id())
     docs_words = common.durable(tokens, "licenses")  # row numbers are fixed here; few documents name a license

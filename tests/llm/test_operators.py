@@ -278,3 +278,10 @@ def test_pipeline_keeps_clean_documents(spark):
     assert 0.6 * docs.count() < out.select("doc_id").distinct().count() <= docs.count()
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("toxic = 1")
     assert out.join(labels, "doc_id").select("doc_id").distinct().count() <= 0.2 * labels.count()
+
+
+def test_license_template_without_anchor(spark):
+    own = {"permit": "Anyone may copy and share this text for any purpose without fee.", "short": "too short", **licenses.TEMPLATES}
+    rows = [(1, "Intro words. Anyone may copy and share this text for any purpose without fee. More."), (2, "Nothing of the kind here at all."), (3, None), (4, "Released under the MIT License.")]
+    found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string"), own).collect()
+    assert sorted((r.doc_id, r.license, r.share, r.first_word) for r in found) == [(1, "permit", 1.0, 2), (4, "mit", 1.0, 0)]
