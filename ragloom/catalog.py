@@ -17,7 +17,7 @@ from .functions import text as T
 from .functions import url as U
 from .functions import vec as V
 from .operators import chunk as C
-from .operators import images, merge, status
+from .operators import images, merge, parse, status
 from .plans import search as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +257,19 @@ def html_links(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", "link", "text", "internal")
 
 
+@query(f"""
+    WITH n AS (SELECT page_id, count(*) AS n FROM ({_LEVELS}) WHERE trim(regexp_replace(raw, '<[^>]+>', '', 'g')) <> '' GROUP BY 1)
+    SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, coalesce(n, 0)::INTEGER AS n_headings,
+           len({_TAGS})::INTEGER AS n_links, len(regexp_extract_all(html, '(?i)<img\\s'))::INTEGER AS n_images
+    FROM pages LEFT JOIN n USING (page_id)""")
+def parse_pages(spark, sf_dir):
+    """The tree parser over whole pages, held against counts of the tags."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html", F.lit("html").alias("kind"))
+    p = parse.parse_documents(pages, "html", "kind", "url")
+    count = lambda c: F.size(f"parsed.{c}").alias({"media": "n_images"}.get(c, f"n_{c}"))
+    return p.select("page_id", "parsed.title", count("headings"), count("links"), count("media"))
+
+
 @query(f"SELECT page_id, sha256({_BODY_NORM}) AS h FROM pages")
 def html_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.sha2(H.body_text(F.col("html")), 256).alias("h"))
