@@ -259,7 +259,7 @@ def html_links(spark, sf_dir):
 
 @query(f"""
     WITH n AS (SELECT page_id, count(*) AS n FROM ({_LEVELS}) WHERE trim(regexp_replace(raw, '<[^>]+>', '', 'g')) <> '' GROUP BY 1)
-    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS title, coalesce(n, 0)::INTEGER AS n_headings,
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS title, coalesce(n, 0)::INTEGER AS n_headings,
            len({_TAGS})::INTEGER AS n_links, len(regexp_extract_all(html, '(?i)<img\\s'))::INTEGER AS n_images
     FROM pages LEFT JOIN n USING (page_id)""")
 def parse_pages(spark, sf_dir):

@@ -22,6 +22,7 @@ from ..schemas import KEYS, TABLES
 class Store:
     def __init__(self, spark: SparkSession, root: str, dim: int | None = None):
         self.spark, self.root, self.dim = spark, root.rstrip("/"), dim
+        self.staged: dict[str, str] = {}
         jvm = spark._jvm
         self.path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -64,17 +65,30 @@ class Store:
             m["tables"][name] = at
         self._write_manifest(m | {"dim": self.dim})
 
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """Write the next state of a table and read it back; readers see it once ``publish`` is called."""
+        at = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{at}")
+        self.staged[name] = at
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}")
+
+    def publish(self) -> None:
+        m = self.manifest()
+        m["tables"] |= self.staged
+        self._write_manifest(m | {"dim": self.dim})
+        self.staged = {}
+
     def upsert(self, **rows: DataFrame) -> None:
         out = {}
         for name, new in rows.items():
             keep = tuple(c for c in ("id", "created_at") if c in new.columns and c not in KEYS[name])
             version = {"runs": "started_at"}.get(name, "updated_at")
             if name == "points":
-                new = self._checked(new)
+                new = self.checked(new)
             out[name] = merge.upsert(self.table(name), new, KEYS[name], keep if name not in ("runs", "points") else (), version)
         self.commit(**out)
 
-    def _checked(self, points: DataFrame) -> DataFrame:
+    def checked(self, points: DataFrame) -> DataFrame:
         if self.dim is None:
             first = points.select(F.size("vector").alias("n")).first()
             self.dim = first.n if first else None
@@ -83,5 +97,15 @@ class Store:
             raise DimensionMismatch(self.dim, bad.n)
         return points.withColumn("norm", V.norm(F.col("vector")))
 
+    def vacuum(self) -> int:
+        """Delete snapshot folders that the manifest does not name; only while nobody reads or writes older states."""
+        live, gone = set(self.manifest()["tables"].values()), 0
+        for folder in self.fs.listStatus(self.path(self.root)):
+            if folder.isDirectory():
+                for old in self.fs.listStatus(folder.getPath()):
+                    if f"{folder.getPath().getName()}/{old.getPath().getName()}" not in live:
+                        gone += bool(self.fs.delete(old.getPath(), True))
+        return gone
+
     def reset(self) -> None:
         self._write_manifest({"dim": self.dim, "tables": {}})
