@@ -1 +1,3 @@
 """A retrieval and indexing engine on Spark DataFrames."""
+
+__version__ = "0.1.0"
