@@ -150,7 +150,7 @@ def rag_search(spark, sf_dir):
     chunks = C.chunk_documents(d.withColumn("text", T.normalize_whitespace(F.col("text"))))
     query_text = _table(spark, sf_dir, "benchmark").orderBy("item_id").select(V.hash_embed(F.col("text")).alias("v"), "text").first()
     points = chunks.select(F.concat_ws(":", "doc_id", "chunk_index").alias("id"), F.concat(F.lit("doc://"), "doc_id").alias("doc_uri"), "chunk_text", V.hash_embed(F.col("chunk_text")).alias("vector"))
-    hits = S.search(points.drop("chunk_text"), points.select("id", "chunk_text"), query_text.text, query_text.v, S.QueryOptions(dedupe=True))
+    hits = S.search(points, None, query_text.text, query_text.v, S.QueryOptions(dedupe=True))
     return hits.select("id", "doc_uri", F.round("score", 6).alias("score"), F.left("chunk_text", F.lit(200)).alias("preview"))
 
 

@@ -18,14 +18,14 @@ def strip(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    """Paragraph breaks become two line feeds, line breaks one, other runs one space."""
+    """Paragraph breaks become two line feeds, line breaks one, other runs one space; a single space is not written anew."""
     c = F.regexp_replace(c, r"(?U)\s*\n\s*\n\s*", "\n\n")
     c = F.regexp_replace(c, r"(?U)[^\S\n]*\n[^\S\n]*", "\n")
-    return strip(F.regexp_replace(c, r"(?U)[^\S\n]+", " "))
+    return strip(F.regexp_replace(c, r"(?U)[^\S\n]{2,}|[^\S\n ]", " "))
 
 
 def flatten_whitespace(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def plain_title(c: Column) -> Column:

@@ -64,14 +64,18 @@ def rerank(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return hits.join(scores, "id").withColumn("score", F.col("rerank_score")).drop("rerank_score").orderBy(F.desc("score"), "id").limit(k)
 
 
-def search(points: DataFrame, chunks: DataFrame, query_text: str, query: list[float], o: QueryOptions = QueryOptions()) -> DataFrame:
-    """points: id, vector, source_id, source_type, doc_uri ...; chunks: id, chunk_text."""
+def search(points: DataFrame, chunks: DataFrame | None, query_text: str, query: list[float], o: QueryOptions = QueryOptions()) -> DataFrame:
+    """points: id, vector, source_id, source_type, doc_uri ...; chunks: id, chunk_text, joined to the hits only.
+
+    Without ``chunks``, points carry ``chunk_text`` themselves.
+    """
     k = min(o.k, o.max_results)
     hits = top_k(filtered(points, o), query, 2 * k).withColumnRenamed("score", "vector_score").withColumn("score", F.col("vector_score"))
-    hits = hits.drop("vector").join(chunks.select("id", "chunk_text"), "id", "left").withColumn("bm25_score", F.lit(None).cast("double"))
+    hits = hits.drop("vector") if chunks is None else hits.drop("vector").join(chunks.select("id", "chunk_text"), "id", "left")
+    hits = hits.withColumn("bm25_score", F.lit(None).cast("double"))
     terms = [t for t in query_text.lower().split() if len(t.encode()) >= 3]
     if o.hybrid or o.rerank:
-        mean = chunks.agg(F.avg(F.octet_length("chunk_text"))).first()[0] or 1.0
+        mean = (points if chunks is None else chunks).agg(F.avg(F.octet_length("chunk_text"))).first()[0] or 1.0
     if o.hybrid:
         hits = hybrid(hits, terms, mean, o.bm25_weight)
     hits = min_score(hits, o.min_score)

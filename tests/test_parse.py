@@ -1,3 +1,5 @@
+import random
+
 from ragloom.functions import text as T
 from ragloom.operators import parse as P
 from pyspark.sql import functions as F
@@ -60,3 +62,11 @@ def test_parse_documents(spark):
     assert got == {1: ("A", "A\ntext"), 2: (None, ""), 3: (None, "x y"), 4: ("Title", "Title\n\nb c"), 5: ("q", "q")}
     plain = spark.createDataFrame([(" a\t b \n c\n\n\nd\n",)], "t string").select(T.normalize_whitespace(F.col("t")).alias("n")).first().n
     assert plain == P.normalize_whitespace(" a\t b \n c\n\n\nd\n")
+
+
+def test_white_space_against_a_plain_loop(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n\t\r\x0b\u00a0\u2003 ") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_whitespace(F.col("t")).alias("n"), T.flatten_whitespace(F.col("t")).alias("f"))
+    for r in rows.collect():
+        assert r.n == P.normalize_whitespace(r.t) and r.f == " ".join(r.t.split())
