@@ -111,8 +111,12 @@ class Index:
         if not entries:
             return Stats(errors=[f"{failed} sitemaps could not be read"] if failed else [])
         pace = pace or web.HostPace(self.config.crawl.rate_limit_per_host)
+        rules = web.HostRules(fetch, self.config.crawl.user_agent) if self.config.crawl.respect_robots_txt else None
         pages, errors = [], []
         for e in entries[: self.config.crawl.max_pages]:
+            if rules and not rules.allows(e["loc"]):
+                errors.append(f"{e['loc']}: ruled out by robots.txt")
+                continue
             pace.wait(urlsplit(e["loc"]).netloc)
             try:
                 code, kind, body, final = fetch(e["loc"])

@@ -93,6 +93,23 @@ class HostPace:
         self.next[host] = due + self.gap
 
 
+class HostRules:
+    """The robots rules of each host, fetched when first asked for; a host without any allows all."""
+
+    def __init__(self, fetch: Fetcher, agent: str):
+        self.fetch, self.agent, self.known = fetch, agent, {}
+
+    def allows(self, address: str) -> bool:
+        p = urlsplit(address)
+        if p.netloc not in self.known:
+            try:
+                status, _, body, _ = self.fetch(f"{p.scheme}://{p.netloc}/robots.txt")
+            except FetchError:
+                status, body = 0, ""
+            self.known[p.netloc] = Robots(body if 200 <= status < 300 else "")
+        return self.known[p.netloc].is_allowed(p.path, self.agent)
+
+
 class _Links(HTMLParser):
     def __init__(self):
         super().__init__()
@@ -126,23 +143,16 @@ def crawl(seed: str, fetch: Fetcher, limits: CrawlLimits = CrawlLimits(), pace:
     hosts = {h.lower() for h in limits.allowed_hosts} or {urlsplit(seed).hostname}
     prefix = limits.path_prefix if limits.path_prefix is not None else urlsplit(seed).path.rpartition("/")[0] + "/"
     pace = pace or HostPace(limits.rate)
-    rules: dict[str, Robots] = {}
+    rules = HostRules(fetch, limits.agent)
     todo, seen, pages, errors, tries, began = deque([(seed, 0)]), {seed}, [], [], 0, time.monotonic()
     while todo and len(pages) < limits.max_pages and tries < limits.attempts:
         if limits.seconds and time.monotonic() - began > limits.seconds:
             break
         at, depth = todo.popleft()
         parts = urlsplit(at)
-        if limits.respect_robots:
-            if parts.netloc not in rules:
-                try:
-                    status, _, body, _ = fetch(f"{parts.scheme}://{parts.netloc}/robots.txt")
-                    rules[parts.netloc] = Robots(body if 200 <= status < 300 else "")
-                except FetchError:
-                    rules[parts.netloc] = Robots()
-            if not rules[parts.netloc].is_allowed(parts.path, limits.agent):
-                errors.append(f"{at}: ruled out by robots.txt")
-                continue
+        if limits.respect_robots and not rules.allows(at):
+            errors.append(f"{at}: ruled out by robots.txt")
+            continue
         tries += 1
         pace.wait(parts.netloc)
         try:
