@@ -103,7 +103,8 @@ class Index:
 
     def ingest_url(self, url: str, fetch: web.Fetcher, name: str | None = None, **limits) -> Stats:
         pages, errors = web.crawl(url, fetch, self.config.crawling(**limits))
-        return self.ingest("url", web.normalize_url(url), self._pages(pages), name, errors=errors)
+        # a crawl that reached nothing tells nothing about what is gone
+        return self.ingest("url", web.normalize_url(url), self._pages(pages), name, whole=bool(pages), errors=errors)
 
     def ingest_sitemap(self, url: str, fetch: web.Fetcher, name: str | None = None, pace: web.HostPace | None = None) -> Stats:
         """Up to ``crawl.max_pages`` pages that a sitemap names; one that names none makes no source."""
@@ -113,7 +114,8 @@ class Index:
         pace = pace or web.HostPace(self.config.crawl.rate_limit_per_host)
         rules = web.HostRules(fetch, self.config.crawl.user_agent) if self.config.crawl.respect_robots_txt else None
         pages, errors = [], []
-        for e in entries[: self.config.crawl.max_pages]:
+        entries = entries[: self.config.crawl.max_pages]
+        for e in entries:
             if rules and not rules.allows(e["loc"]):
                 errors.append(f"{e['loc']}: ruled out by robots.txt")
                 continue
@@ -125,18 +127,19 @@ class Index:
                 pages.append({"url": final, "html": body, "content_type": kind})
             except FetchError as err:
                 errors.append(f"{e['loc']}: {err}")
-        return self.ingest("sitemap", url, self._pages(pages), name, errors=errors)
+        return self.ingest("sitemap", url, self._pages(pages), name, errors=errors, listed=[e["loc"] for e in entries])
 
     def _pages(self, pages: list[dict]) -> DataFrame:
         rows = self.spark.createDataFrame([(p["url"], p["html"], p["content_type"]) for p in pages], "uri string, text string, mime string")  # at most max_pages
         rows = rows.dropDuplicates(["uri"])
         return rows.select("uri", "text", T.content_hash(F.col("text")).alias("content_hash"), T.content_type(F.col("uri"), F.col("mime")).alias("content_type"))
 
-    def ingest(self, source_type: str, uri: str, seen: DataFrame, name: str | None = None, operation: str = "ingest", whole: bool = True, errors: list[str] = ()) -> Stats:
+    def ingest(self, source_type: str, uri: str, seen: DataFrame, name: str | None = None, operation: str = "ingest", whole: bool = True, errors: list[str] = (), listed: list[str] = ()) -> Stats:
         """Bring a source to the state of ``seen`` (``SEEN``; title optional), one row an address.
 
         Only documents whose hash changed are parsed, chunked and embedded.
-        With ``whole``, stored documents that ``seen`` lacks go.
+        With ``whole``, stored documents that neither ``seen`` nor ``listed``
+        (addresses that exist, but could not be read) has go.
         """
         store, now = self.store, datetime.now(timezone.utc)
         old = {n: store.table(n) for n in ("sources", "documents", "chunks", "points")}
@@ -149,7 +152,7 @@ class Index:
             store.upsert(sources=row)
         self._run(run)
         try:
-            self._apply(out, source_type, uri, seen, old, now, whole)
+            self._apply(out, source_type, uri, seen, old, now, whole, listed)
         except Exception as e:
             store.staged = {}
             self._run(run | {"status": "failed", "completed_at": datetime.now(timezone.utc), "errors": [*out.errors, str(e)[:500]]})
@@ -162,7 +165,7 @@ class Index:
         row = self.spark.createDataFrame([tuple(values.get(c) for c in empty.columns)], RUNS)
         self.store.commit(runs=self.store.table("runs").where(F.col("id") != values["id"]).unionByName(row))
 
-    def _apply(self, out: Stats, source_type: str, uri: str, seen: DataFrame, old: dict[str, DataFrame], now: datetime, whole: bool) -> None:
+    def _apply(self, out: Stats, source_type: str, uri: str, seen: DataFrame, old: dict[str, DataFrame], now: datetime, whole: bool, listed: list[str]) -> None:
         store, sid = self.store, F.lit(out.source_id)
         seen = seen.withColumn("source_id", sid)
         mine = old["documents"].where(F.col("source_id") == sid)
@@ -173,7 +176,8 @@ class Index:
         fresh = store.stage("parsed", parsed.select("id", "source_id", "uri", "content_hash", "content_type", title.alias("title"), F.col("parsed.text").alias("text"), F.col("parsed.headings").alias("headings")))
         store.staged.pop("parsed")
         new_docs = _like(fresh.drop("headings", "text").withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), DOCUMENTS)
-        gone = merge.stale(mine, seen).select("id") if whole else mine.where("false").select("id")
+        exists = seen.select("uri").unionByName(self.spark.createDataFrame([(u,) for u in listed], "uri string"))
+        gone = merge.stale(mine, exists).select("id") if whole else mine.where("false").select("id")
         documents = merge.delete(merge.upsert(old["documents"], new_docs, KEYS["documents"]), gone, ["id"])
 
         found = C.chunk_documents(fresh, "id", "text", "headings", self.config.chunking())

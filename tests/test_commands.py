@@ -67,6 +67,9 @@ def test_web_sources(spark, tmp_path):
     site["http://x.org/robots.txt"] = "User-agent: *\nDisallow: /d/2"
     closed = index.ingest_sitemap("http://x.org/map.xml", fetch)
     assert closed.docs_seen == 0 and closed.errors == ["http://x.org/d/2: ruled out by robots.txt"]
+    assert closed.docs_deleted == 0  # listed, if not read
+    site.clear()
+    assert index.ingest_url("http://x.org/d/1", fetch).docs_deleted == 0 and index.store.table("documents").count() == 3
 
 
 def test_failed_run_leaves_the_index(spark, tmp_path):
