@@ -5,34 +5,43 @@ punctuation, in shingles of five.  Overlapping windows of eight words (every
 fourth word; four shingles each) retrieve templates by MinHash bands, and the
 exact share of a template's shingles that the document holds decides.
 
+A template under five words is one whole-sequence shingle: it is looked for as
+that run of words, and its share is 1.
+
 Why nothing is lost before the bands: a match holds 0.8 of a template's
-shingles or more.  A template with a word of ``ANCHORS`` in more than a fifth
-of its shingles (``anchored``) is matched only through a shingle with one, so
-where all templates are such, only windows with an anchor are made.  With any
-other template among them, all windows of all texts are.
+shingles or more.  A template with an anchor in more than a fifth of its
+shingles (``anchored``) is matched only through a shingle with one, so only
+windows with an anchor are made.  The anchors follow from the templates:
+``ANCHORS``, and words of each template that these do not suffice for.
 
 Band settings: 32 bands of one row.  A matched shingle lies whole in a window
 of four shingles; templates are indexed by all their windows of up to four
 shingles, so the two share one of seven shingles at the least (Jaccard >= 1/7),
 and 1 - (6/7) ** 32 = 0.993 is the least chance that a pair collides; an
 unchanged stretch of eight words, or a template of two or more shingles, is at
-1 - (4/6) ** 32 > 0.999997.  A match of a longer template has many windows.
+1 - (4/6) ** 32 > 0.999997.  A match of a longer template has many windows;
+from ``LONG`` shingles on only every fourth window is indexed, which still
+holds every shingle once, so the 0.993 is per window.
 
-Defined results: null and empty texts and texts under five words match
-nothing; repeated rows each give their rows; equal shares are all returned;
+Defined results: null and empty texts match nothing, texts under five words
+only the templates under five words; repeated rows each give their rows; equal shares are all returned;
 clashing input columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SHINGLE, WINDOW, STEP, BANDS, SHARE = 5, 8, 4, 32, 0.8
+LONG = 64
 
-# The wording of public licence notices.
+# The wording of public licence notices, those that the SQL of op8_licenses knows.
 TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-licensed": "Licensed under the MIT License.",
@@ -45,7 +54,47 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "lgpl-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
 }
-ANCHORS = ("licens", "licenc")
+# Notices that the SQL leaves out: under five words, or without 'licens' and 'licenc'.
+NOTICES = {
+    "all-rights-reserved": "All rights reserved.",
+    "some-rights-reserved": "Some rights reserved.",
+    "public-domain": "This work is in the public domain.",
+    "public-domain-release": "This is free and unencumbered software released into the public domain.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+}
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution. """
+#: Whole licences, from the line behind the copyright line on; longer ones lie in ``license_texts``.
+TEXTS = {
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
+copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-2-clause-text": _BSD + _AS_IS,
+    "bsd-3-clause-text": _BSD + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. """ + _AS_IS,
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    **{f"{f.stem.lower()}-text": f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))},
+}
+ALL = {**TEMPLATES, **NOTICES, **TEXTS}
+ANCHORS = ("licens", "licenc", "reserved", "domain", "copyright", "software", "warrant", "redistribut", "rights", "affirmer", "program", "library")
 
 
 def words(text: Column) -> Column:
@@ -73,34 +122,65 @@ def _bands(pieces: Column) -> Column:
     return F.array(*[least(k) for k in range(BANDS)])
 
 
-def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(license, parts): a template and its shingles; as many rows as there are templates."""
-    return spark.createDataFrame(sorted(templates.items()), "license string, notice string").select("license", shingles(words(F.col("notice"))).alias("parts"))
+def template_table(spark: SparkSession, templates: dict[str, str] = ALL) -> DataFrame:
+    """(license, parts): a template and its shingles, under five words its whole sequence; as many rows as there are templates."""
+    tokens = spark.createDataFrame(sorted(templates.items()), "license string, notice string").select("license", words(F.col("notice")).alias("words"))
+    # shingles are made here: Spark would split a whole licence anew for each of its words
+    rows = [(r.license, list(dict.fromkeys(" ".join(r.words[i : i + SHINGLE]) for i in range(max(1, len(r.words) - SHINGLE + 1)) if r.words))) for r in tokens.collect()]
+    return spark.createDataFrame(rows, "license string, parts array<string>")
 
 
 def anchored(notice_shingles: list[str], anchors: tuple[str, ...] = ANCHORS) -> bool:
     return sum(any(a in s for a in anchors) for s in notice_shingles) > (1 - SHARE) * len(notice_shingles)
 
 
-def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def anchors_for(templates: list[list[str]]) -> tuple[str, ...]:
+    """``ANCHORS``, and for each template (its shingles) that has too few of them its own words, those in most shingles first."""
+    found = list(ANCHORS)
+    for parts in templates:
+        count = Counter(w for s in parts for w in set(s.split(" ")))
+        for w in sorted(count, key=lambda w: (len(w) < 6, -count[w], w)):  # short words are common ones
+            if anchored(parts, tuple(found)):
+                break
+            found.append(w)
+    return tuple(found)
+
+
+def _short(docs_words: DataFrame, notices: list[tuple[str, str]]) -> DataFrame:
+    """The rows that hold a notice of under five words, as a run of whole words."""
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    rows = docs_words.select("doc_id", line.alias("line"))
+    at = [F.struct(F.lit(name).alias("license"), F.instr("line", f" {notice} ").alias("at")) for name, notice in notices]
+    found = rows.select("doc_id", "line", F.explode(F.filter(F.array(*at), lambda x: x["at"] > 0)).alias("hit"))
+    before = F.expr("substring(line, 1, hit.at)")  # a space before each word and before the notice
+    first = F.length(before) - F.length(F.replace(before, F.lit(" "))) - 1
+    return found.select("doc_id", "hit.license", F.lit(1.0).alias("share"), first.cast("int").alias("first_word"))
+
+
+def find_licenses(docs: DataFrame, templates: dict[str, str] = ALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, share, first_word): one row per document and template that it holds; first_word counts from 0."""
     spark = docs.sparkSession
-    held = template_table(spark, templates)
-    parts = [r.parts for r in held.collect()]  # as many rows as there are templates
-    anchor = "|".join(ANCHORS) if all(anchored(p) for p in parts if p) else ""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(f"(?i){anchor}"))
-    tokens = rows.select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE).withColumn("row", F.monotonically_increasing_id())
+    every = template_table(spark, templates)
+    known = [r for r in every.collect() if r.parts]  # as many rows as there are templates
+    short = [(r.license, r.parts[0]) for r in known if r.parts[0].count(" ") < SHINGLE - 1]
+    anchor = "|".join(anchors_for([r.parts for r in known]))
+    known = [r for r in known if (r.license, r.parts[0]) not in short]
+    held = spark.createDataFrame(known, every.schema)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.lower("text").rlike(anchor))
+    tokens = rows.select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("row", F.monotonically_increasing_id())
     docs_words = common.durable(tokens, "licenses")  # row numbers are fixed here; few documents name a license
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - SHINGLE), F.lit(STEP))
-    windows = docs_words.select("row", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i + 1, WINDOW))).alias("window"))
+    windows = docs_words.where(F.size("words") >= SHINGLE).select("row", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i + 1, WINDOW))).alias("window"))
     windows = windows.where(F.array_join("window", " ").rlike(anchor)).select("row", _bands(shingles(F.col("window"))).alias("hashes"))
     probes = windows.select("row", F.posexplode("hashes").alias("band", "hash"))
-    template_windows = held.select("license", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("parts") - (WINDOW - SHINGLE))), lambda i: F.slice(F.col("parts"), i, WINDOW - SHINGLE + 1))).alias("parts"))
+    size = WINDOW - SHINGLE + 1
+    cuts = [(r.license, r.parts[i : i + size]) for r in known for i in (range(max(1, len(r.parts) - size + 1)) if len(r.parts) < LONG else range(0, len(r.parts), size))]
+    template_windows = spark.createDataFrame(cuts, "license string, parts array<string>")
     index = template_windows.select("license", F.posexplode(_bands(F.col("parts"))).alias("band", "hash")).distinct()
     # the index has at most BANDS rows for each word of the templates, whatever the corpus
     pairs = probes.join(F.broadcast(index), ["band", "hash"]).select("row", "license").distinct()
     checked = pairs.join(docs_words, "row").join(F.broadcast(held), "license").withColumn("own", all_shingles(F.col("words")))
     common_parts = F.array_intersect("parts", "own")
     first = F.array_min(F.transform(common_parts, lambda s: F.array_position("own", s)))
-    return checked.withColumn("share", F.size(common_parts) / F.size("parts")).where(F.col("share") >= SHARE).select("doc_id", "license", F.round("share", 6).alias("share"), (first - 1).cast("int").alias("first_word"))
-
+    found = checked.withColumn("share", F.size(common_parts) / F.size("parts")).where(F.col("share") >= SHARE).select("doc_id", "license", F.round("share", 6).alias("share"), (first - 1).cast("int").alias("first_word"))
+    return found.unionByName(_short(docs_words, short)) if short else found

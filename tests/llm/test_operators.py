@@ -285,3 +285,31 @@ def test_license_template_without_anchor(spark):
     rows = [(1, "Intro words. Anyone may copy and share this text for any purpose without fee. More."), (2, "Nothing of the kind here at all."), (3, None), (4, "Released under the MIT License.")]
     found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string"), own).collect()
     assert sorted((r.doc_id, r.license, r.share, r.first_word) for r in found) == [(1, "permit", 1.0, 2), (4, "mit", 1.0, 0)]
+
+
+def test_licenses_without_anchor_words(spark):
+    """Notices without 'licens' or 'licenc', under five words, and whole licences."""
+    mit = licenses.TEXTS["mit-text"]
+    cut = mit.split("THE SOFTWARE IS")[0]  # under 0.8 of it
+    gpl = licenses.TEXTS["gpl-3-text"]
+    rows = [
+        (1, "Some prose.\nAll rights\n reserved.\nMore."),
+        (2, "All rights reserved."),
+        (3, "Almost all rights reservedly kept, overall rights reserved by nobody"),
+        (4, "Copyright (c) 2020 Somebody\n\n" + mit.upper()),
+        (5, cut),
+        (6, gpl),
+        (7, "This work is in the public domain."),
+        (8, None),
+        (9, ""),
+        (10, "Small print: Rechte vorbehalten. ÉCRIT"),
+        (None, "x all rights reserved all rights reserved"),
+    ]
+    found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.license, r.share, r.first_word) for r in found) == Counter(
+        [(1, "all-rights-reserved", 1.0, 2), (2, "all-rights-reserved", 1.0, 0), (4, "mit-text", 1.0, 4), (6, "gpl-3-text", 1.0, 0), (7, "public-domain", 1.0, 0), (None, "all-rights-reserved", 1.0, 1)]
+    )
+    own = {"short": "droits réservés", "plain": "Anyone may copy and share this text for any purpose."}
+    rows = [(1, "Tous DROITS RÉSERVÉS ici"), (2, "anyone may copy and share this text for any purpose"), (3, "droits non réservés")]
+    found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string"), own).collect()
+    assert sorted((r.doc_id, r.license, r.share, r.first_word) for r in found) == [(1, "short", 1.0, 1), (2, "plain", 1.0, 0)]
