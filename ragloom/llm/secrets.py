@@ -3,7 +3,9 @@
 ``find_secrets`` returns, for every row, the spans found in its text;
 ``redact_secrets`` replaces them.  The automaton is compiled once on the driver
 (its size depends on the rules only) and sent to the executors; texts are
-scanned where they are read, without a shuffle.
+scanned where they are read, without a shuffle.  A private key is found by its
+BEGIN line; its span then goes on to its END line, or over the body that
+follows where no END line comes before the next key.
 
 Defined results: a null or empty text has no span; a row with null in other
 columns is scanned like any other; repeated rows give repeated results; an
@@ -13,7 +15,9 @@ ones are replaced.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +39,11 @@ ADDED = (
     Rule("private_key", r"-----BEGIN\x20([A-Z0-9]+\x20)?PRIVATE\x20KEY-----(?C)"),
 )
 RULES = BASE + ADDED
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----")
+_END = re.compile(r"-----END ([A-Z0-9]+ )?PRIVATE KEY-----")
+#: A key's body without its END line: header fields, whole base64 lines and a last one that is padded; line feeds may be escaped.
+_GAP = r"(?:\s|\\[nr])*+"
+_BODY = re.compile(rf"(?:{_GAP}(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/]{{16,}}=*))*+(?:{_GAP}[A-Za-z0-9+/]+=+)?")
 LANES, BUFFER = 2048, 4 << 20
 
 
@@ -54,7 +63,22 @@ def scan_texts(automaton: Automaton, texts: list[str | None]) -> list[list[tuple
             text, s, e = data[first + i], s - begins[i], e - begins[i]
             before = len(text[:s].decode("utf-8", "surrogatepass"))
             out[first + i].append((before, rule, before + e - s))  # rules match ASCII only
-    return [sorted(x) for x in out]
+    key = next((k for k, r in enumerate(automaton.rules) if r.name == "private_key"), None)
+    return [sorted(_whole_keys(t, x, key) if any(k == key for _, k, _ in x) else x) for t, x in zip(texts, out, strict=True)]
+
+
+def _whole_keys(text: str, spans: list[tuple[int, int, int]], key: int) -> list[tuple[int, int, int]]:
+    """The spans, those of rule ``key`` drawn out from the BEGIN line over the whole key."""
+    begins = [m.start() for m in _BEGIN.finditer(text)]
+    ends = [(m.start(), m.end()) for m in _END.finditer(text)]
+
+    def end(e: int) -> int:
+        i, j = bisect.bisect_left(ends, (e, e)), bisect.bisect_left(begins, e)
+        if i < len(ends) and (j == len(begins) or ends[i][0] < begins[j]):
+            return ends[i][1]
+        return _BODY.match(text, e).end()
+
+    return [(s, k, end(e) if k == key else e) for s, k, e in spans]
 
 
 def _joined(rules, spans) -> str:
