@@ -62,16 +62,17 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a long."""
+def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", rid: str | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint's 64 bits as a long; with ``rid``, the name of a long column, that one too."""
     common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kept = ["doc_id", "rid"] if rid else ["doc_id"]
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(rid).alias("rid")] if rid else []))
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(b.column("text").to_pylist()).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fingerprints(b.column("text").to_pylist()).view(np.int64))], [*kept, "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 class BkTree:
@@ -188,19 +189,38 @@ def near_links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> D
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def _rooted(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(fp, first, root) for ``values`` (fp, first) of distinct fingerprints."""
+    values = common.durable(values, "simhash")
+    roots = common.durable(connected_components(near_links(values, radius, shard)), "simhash")
+    return values.join(roots, values.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (its least doc_id)."""
     rows = common.durable(with_fingerprint(docs, key, text), "simhash")
-    values = common.durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash")
-    roots = common.durable(connected_components(near_links(values, radius, shard)), "simhash")
-    rooted = values.join(roots, values.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), radius, shard)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = common.durable(rooted.join(named, "root").select("fp", "component_id"), "simhash")
     return rows.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep the row with the least ``key`` of each component; rows without a key that stand alone stay."""
-    groups = simhash_groups(docs, key, text)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stay, docs[key].cast("long").eqNullSafe(stay.kept_id), "left_semi")
+    """Keep one row of each component: the one with the least ``key``, null keys last, and of equal keys any one row.
+
+    A key that one row has alone stands for its row.  Rows whose key is null or
+    repeated are written once with a row id, which stands for them.
+    """
+    number = docs[key].cast("long")
+    counts = docs.select(number.alias("again")).where("again is not null").groupBy("again").count()
+    again = common.durable(counts.where("count > 1").select("again"), "simhash")
+    shared = docs.join(again, number == again.again, "left_semi").unionByName(docs.where(number.isNull()))
+    shared = common.durable(shared.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "simhash")
+    alone = docs.where(number.isNotNull()).join(again, number == again.again, "left_anti")
+    numbered = shared.select(F.col("row")[key].alias("key"), F.col("row")[text].alias("text"), "rid")
+    rows = with_fingerprint(alone, key, text).select("doc_id", F.lit(None).cast("long").alias("rid"), "fp").unionByName(with_fingerprint(numbered, "key", "text", "rid"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("first")
+    stay = common.durable(_rooted(rows.groupBy("fp").agg(first)).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.rid"), "simhash")
+    by_key = stay.where("rid is null").select(F.col("doc_id").alias("kept_id"))
+    by_row = stay.where("rid is not null").select("rid")
+    return docs.join(by_key, number == by_key.kept_id, "left_semi").unionByName(shared.join(by_row, "rid", "left_semi").select("row.*"))

@@ -329,3 +329,16 @@ def test_private_keys_go_whole(spark):
     assert {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()} == {7: None, **{i: clean for i, _, clean in rows}}
     spans = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
     assert spans[1] == f"private_key:9:{9 + len(head) + len(line) * 2 + len(tail) + 10}"
+
+
+def test_simhash_drops_rows_without_a_key(spark):
+    rng = random.Random(11)
+    one, two, three, four = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)) for _ in range(4))
+    rows = [(None, one, 0), (None, one, 1), (None, two, 2), (1, two, 3), (5, three, 4), (5, four, 5), (5, four, 6), (2, four, 7), (5, three, 8), (None, three, 9), (9, two, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid int").repartition(3)
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(None, one), (1, two), (5, three), (2, four)])
+    alone = spark.createDataFrame([(None, one, 0), (None, two, 1)], docs.schema)
+    assert simhash.drop_near_duplicates(alone).count() == 2
+    assert simhash.drop_near_duplicates(alone.limit(0)).count() == 0
