@@ -132,8 +132,13 @@ def train(chunked: DataFrame) -> Model:
     for r in use.where("r is not null").groupBy("r", "symbol").count().collect():
         seen[r.r, r.symbol] = r["count"]
     before = F.lag("r").over(Window.partitionBy("chunk").orderBy("pos"))  # a chunk is at most CHUNK rows
-    for r in use.select("r", before.alias("b"), "pos").where("r is not null").groupBy("b", "r", (F.col("pos") == 0).alias("first")).count().collect():
-        if r.first:
+    inside = use.select("r", before.alias("b"), "pos").where("pos > 0").select("b", "r", F.lit(False).alias("opens"))
+    # one row a chunk: its first role follows the last one of its conversation's chunk before
+    ends = use.groupBy("conv_id", "chunk").agg(F.min_by("r", "pos").alias("r"), F.max_by("r", "pos").alias("last"))
+    order = Window.partitionBy("conv_id").orderBy("chunk")
+    borders = ends.select(F.lag("last").over(order).alias("b"), "r", (F.row_number().over(order) == 1).alias("opens"))
+    for r in inside.unionByName(borders).where("r is not null").groupBy("b", "r", "opens").count().collect():
+        if r.opens:
             starts[r.r] += r["count"]
         elif r.b is not None:
             steps[r.b, r.r] += r["count"]

@@ -342,3 +342,15 @@ def test_simhash_drops_rows_without_a_key(spark):
     alone = spark.createDataFrame([(None, one, 0), (None, two, 1)], docs.schema)
     assert simhash.drop_near_duplicates(alone).count() == 2
     assert simhash.drop_near_duplicates(alone.limit(0)).count() == 0
+
+
+def test_chat_training_counts_across_chunks(spark):
+    rows = [(c, t, ("system", "user", "assistant")[0 if t == 0 else 1 + t % 2], f"text {t}") for c in [*range(20), None] for t in range(23)] + [(0, 23, None, "unknown"), (0, 24, "user", "after")]  # a row without a role gives no pair
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, cut = (chat.train(chat._chunked(turns, n)) for n in (4096, 3))
+    use = [c for c in [*range(20), None] if c is None or zlib.crc32(str(c).encode()) % 5]
+    steps = np.zeros((3, 3))
+    steps[0, 2], steps[1, 2], steps[2, 1] = len(use), 10 * len(use), 11 * len(use)
+    want = chat.Model(np.zeros((3, 8 * chat.LENGTHS)), steps, np.array([len(use), 0, 0.0]))
+    for m in (whole, cut):
+        assert np.allclose(m.start, want.start) and np.allclose(m.step, want.step)
