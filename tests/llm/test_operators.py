@@ -206,12 +206,48 @@ def test_bpe(docs):
     assert Counter(tuple(r) for r in bpe.encode_documents(docs, path, digests=True).collect()) == want
 
 
+TRICKY = ["'s", "'t", "'ll", "'", "'re", "'d", " ", "a", "l", "s", "é", "中", "1", "23", "!!", "?", "\n", "İ", "Σ", "ς", "ing", "the", "<|startoftext|>", "<|end"]
+
+
 def test_tree_concatenation():
-    coder, rng = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), random.Random(6)
-    for _ in range(20):
-        symbols = [rng.choice("abcdeth") for _ in range(rng.randint(2, 300))]
-        symbols[-1] += "</w>"
-        assert coder.merges.tree(symbols, rng.choice([1, 3, 16])) == coder.merges.encode(symbols)
+    """Any leaf size gives what the library gives, for texts and for long unsplit words."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(6)
+    t = Tokenizer.from_file(path)
+    texts = ["".join(rng.choice(TRICKY) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += ["".join(rng.choice("abcdethéñ中") for _ in range(rng.randint(1, 900))) for _ in range(10)]
+    for leaf, word in itertools.product((1, 2, 3, 7, 16, 64), (4, 256)):
+        code = bpe.WordBpe(path, leaf, word)
+        for s in texts:
+            ids, decoded = code(s)
+            want = t.encode(s, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and decoded == t.decode(want, skip_special_tokens=False)
+        assert code.joins > len(texts)
+
+
+def test_tree_concatenation_over_tasks(spark):
+    """Real texts enter the tree; very long ones are dealt in parts and joined."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(7)
+    t, code = Tokenizer.from_file(path), bpe.WordBpe(path)
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for s in real:
+        assert np.frombuffer(code(s)[0], "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+    assert code.joins > len(real)
+    one_word = "".join(rng.choice("etaoinshrdlu") for _ in range(5_000_000))
+    mixed = "".join(rng.choice(TRICKY) for _ in range(3000))
+    rows = [(1, one_word), (None, mixed), (None, mixed), (3, ""), (4, None), (5, "<|startoftext|><|endoftext|>" * 40), (6, "x" * 300 + " " * 500 + "y" * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for part, some in ((bpe.PART, frame), (64, frame.where("doc_id is null or doc_id <> 1"))):
+        got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.encode_documents(some, path, part=part).collect())
+        want = Counter()
+        for i, s in rows:
+            if i != 1 or part > 64:
+                ids = t.encode(s or "", add_special_tokens=False).ids
+                want[i, tuple(ids), t.decode(ids, skip_special_tokens=False)] += 1
+        assert got == want
 
 
 def test_toxicity_learns_and_is_fair(spark):
