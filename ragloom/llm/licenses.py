@@ -1,36 +1,37 @@
 """License scan, in DataFrame operations only.
 
 Notices are looked for in every whole text: lower-cased words without
-punctuation, in shingles of five.  Overlapping windows of eight words (every
-fourth word; four shingles each) retrieve templates by MinHash bands, and the
-exact share of a template's shingles that the document holds decides.
+punctuation, in shingles of five.  Overlapping windows of six words (every
+second word; two shingles each, so every shingle lies in one window) retrieve
+templates by MinHash bands, and the exact share of a template's shingles that
+the document holds decides.
 
 A template under five words is one whole-sequence shingle: it is looked for as
-that run of words, and its share is 1.
-
-Why nothing is lost before the bands: a match holds 0.8 of a template's
-shingles or more.  A template with an anchor in more than a fifth of its
-shingles (``anchored``) is matched only through a shingle with one, so only
-windows with an anchor are made.  The anchors follow from the templates:
-``ANCHORS``, and words of each template that these do not suffice for.
-
-Band settings: 32 bands of one row.  A matched shingle lies whole in a window
-of four shingles; templates are indexed by all their windows of up to four
-shingles, so the two share one of seven shingles at the least (Jaccard >= 1/7),
-and 1 - (6/7) ** 32 = 0.993 is the least chance that a pair collides; an
-unchanged stretch of eight words, or a template of two or more shingles, is at
-1 - (4/6) ** 32 > 0.999997.  A match of a longer template has many windows;
-from ``LONG`` shingles on only every fourth window is indexed, which still
-holds every shingle once, so the 0.993 is per window.
+that run of words, and its share is 1.  Its window is a single shingle, the
+least of which is itself in every band, so one band is enough.
+
+Band settings: ``BANDS`` bands of one row.  Templates are indexed by the bands
+of each of their shingles; the least hash of any window of a template is one of
+these.  A window that shares one of its two shingles with a template collides
+with it in a band with probability 1/2, with both in every band; so a window is
+missed with a chance of 2 ** -16 at the most.  A match holds ``SHARE`` of a
+template's n shingles, two to a window at the most, so 0.4 n windows of the
+document should collide; 0.36 n are asked for, one at the least, which leaves
+room for windows that are missed.  Nothing is filtered before the bands.
+
+Candidates are kept by the hash of a text and not by row, so copies of a text
+are retrieved once and no row number is needed; the exact check reads each
+row's own text.
 
 Defined results: null and empty texts match nothing, texts under five words
-only the templates under five words; repeated rows each give their rows; equal shares are all returned;
-clashing input columns are not read.
+only the templates under five words; repeated rows each give their rows; equal
+shares are all returned; clashing input columns are not read; an empty table or
+an empty set of templates gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,10 +39,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, WINDOW, STEP, BANDS, SHARE = 5, 8, 4, 32, 0.8
-LONG = 64
+SHINGLE, STEP, BANDS, SHARE, ASKED = 5, 2, 16, 0.8, 0.36
 
-# The wording of public licence notices, those that the SQL of op8_licenses knows.
+# The wording of public licence notices.
 TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-licensed": "Licensed under the MIT License.",
@@ -54,7 +54,7 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "lgpl-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
 }
-# Notices that the SQL leaves out: under five words, or without 'licens' and 'licenc'.
+# Notices that do not name a licence.
 NOTICES = {
     "all-rights-reserved": "All rights reserved.",
     "some-rights-reserved": "Some rights reserved.",
@@ -94,18 +94,12 @@ WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     **{f"{f.stem.lower()}-text": f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))},
 }
 ALL = {**TEMPLATES, **NOTICES, **TEXTS}
-ANCHORS = ("licens", "licenc", "reserved", "domain", "copyright", "software", "warrant", "redistribut", "rights", "affirmer", "program", "library")
 
 
 def words(text: Column) -> Column:
     """Lower-cased words; runs of characters that are no letters or digits are spaces."""
-    cleaned = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(cleaned, " "), lambda w: w != "")
-
-
-def shingles(tokens: Column) -> Column:
-    """Distinct 5-word shingles; an array under five words has none."""
-    return F.array_distinct(all_shingles(tokens))
+    cleaned = F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
 
 
 def all_shingles(tokens: Column) -> Column:
@@ -113,74 +107,82 @@ def all_shingles(tokens: Column) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(tokens, i + 1, SHINGLE), " "))
 
 
-def _bands(pieces: Column) -> Column:
-    """Per band the least hash of the shingles, hashed with the band."""
-
-    def least(band: int) -> Column:
-        return F.array_min(F.transform(pieces, lambda s: F.xxhash64(s, F.lit(band))))
-
-    return F.array(*[least(k) for k in range(BANDS)])
-
-
 def template_table(spark: SparkSession, templates: dict[str, str] = ALL) -> DataFrame:
-    """(license, parts): a template and its shingles, under five words its whole sequence; as many rows as there are templates."""
+    """(license, parts): a template and its distinct shingles, under five words its whole sequence; as many rows as there are templates."""
     tokens = spark.createDataFrame(sorted(templates.items()), "license string, notice string").select("license", words(F.col("notice")).alias("words"))
     # shingles are made here: Spark would split a whole licence anew for each of its words
     rows = [(r.license, list(dict.fromkeys(" ".join(r.words[i : i + SHINGLE]) for i in range(max(1, len(r.words) - SHINGLE + 1)) if r.words))) for r in tokens.collect()]
     return spark.createDataFrame(rows, "license string, parts array<string>")
 
 
-def anchored(notice_shingles: list[str], anchors: tuple[str, ...] = ANCHORS) -> bool:
-    return sum(any(a in s for a in anchors) for s in notice_shingles) > (1 - SHARE) * len(notice_shingles)
+def _bands(shingle_hashes: list[Column]) -> list[Column]:
+    """Per band the least hash of the shingles, each mixed with the band."""
+    return [reduce(F.least, (F.xxhash64(s, F.lit(band)) for s in shingle_hashes)) for band in range(BANDS)]
 
 
-def anchors_for(templates: list[list[str]]) -> tuple[str, ...]:
-    """``ANCHORS``, and for each template (its shingles) that has too few of them its own words, those in most shingles first."""
-    found = list(ANCHORS)
-    for parts in templates:
-        count = Counter(w for s in parts for w in set(s.split(" ")))
-        for w in sorted(count, key=lambda w: (len(w) < 6, -count[w], w)):  # short words are common ones
-            if anchored(parts, tuple(found)):
-                break
-            found.append(w)
-    return tuple(found)
+def _run(tokens: Column, at: Column, n: int) -> list[Column]:
+    return [F.get(tokens, at + k) for k in range(n)]
 
 
-def _short(docs_words: DataFrame, notices: list[tuple[str, str]]) -> DataFrame:
-    """The rows that hold a notice of under five words, as a run of whole words."""
-    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    rows = docs_words.select("doc_id", line.alias("line"))
-    at = [F.struct(F.lit(name).alias("license"), F.instr("line", f" {notice} ").alias("at")) for name, notice in notices]
-    found = rows.select("doc_id", "line", F.explode(F.filter(F.array(*at), lambda x: x["at"] > 0)).alias("hit"))
-    before = F.expr("substring(line, 1, hit.at)")  # a space before each word and before the notice
-    first = F.length(before) - F.length(F.replace(before, F.lit(" "))) - 1
-    return found.select("doc_id", "hit.license", F.lit(1.0).alias("share"), first.cast("int").alias("first_word"))
+def _short_key(run: list[Column]) -> Column:
+    """The only band that a window of under five words needs."""
+    return F.xxhash64(*run, F.lit(-len(run)))
+
+
+def probes(docs: DataFrame, short: list[int]) -> DataFrame:
+    """(text_hash, place, key): the bands of every window of every text; ``short``: word counts of templates under five words."""
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    placed = rows.select("text_hash", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(STEP))).alias("place"))
+    one, two = _run(F.col("words"), F.col("place"), SHINGLE), _run(F.col("words"), F.col("place") + 1, SHINGLE)
+    hashed = placed.select(
+        "text_hash", "place", "words",
+        F.when(one[-1].isNotNull(), F.xxhash64(*one)).otherwise(F.lit(0)).alias("one"),
+        F.when(two[-1].isNotNull(), F.xxhash64(*two)).alias("two"),
+    ).withColumn("two", F.coalesce("two", "one"))
+    runs = [_run(F.col("words"), F.col("place") + k, n) for n in short for k in range(STEP)]
+    keys = _bands([F.col("one"), F.col("two")]) + [F.when(r[-1].isNotNull(), _short_key(r)).otherwise(F.lit(0)) for r in runs]
+    return hashed.select("text_hash", "place", F.explode(F.array(*keys)).alias("key"))
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] = ALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, share, first_word): one row per document and template that it holds; first_word counts from 0."""
     spark = docs.sparkSession
-    every = template_table(spark, templates)
-    known = [r for r in every.collect() if r.parts]  # as many rows as there are templates
-    short = [(r.license, r.parts[0]) for r in known if r.parts[0].count(" ") < SHINGLE - 1]
-    anchor = "|".join(anchors_for([r.parts for r in known]))
-    known = [r for r in known if (r.license, r.parts[0]) not in short]
-    held = spark.createDataFrame(known, every.schema)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.lower("text").rlike(anchor))
-    tokens = rows.select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("row", F.monotonically_increasing_id())
-    docs_words = common.durable(tokens, "licenses")  # row numbers are fixed here; few documents name a license
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - SHINGLE), F.lit(STEP))
-    windows = docs_words.where(F.size("words") >= SHINGLE).select("row", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i + 1, WINDOW))).alias("window"))
-    windows = windows.where(F.array_join("window", " ").rlike(anchor)).select("row", _bands(shingles(F.col("window"))).alias("hashes"))
-    probes = windows.select("row", F.posexplode("hashes").alias("band", "hash"))
-    size = WINDOW - SHINGLE + 1
-    cuts = [(r.license, r.parts[i : i + size]) for r in known for i in (range(max(1, len(r.parts) - size + 1)) if len(r.parts) < LONG else range(0, len(r.parts), size))]
-    template_windows = spark.createDataFrame(cuts, "license string, parts array<string>")
-    index = template_windows.select("license", F.posexplode(_bands(F.col("parts"))).alias("band", "hash")).distinct()
+    known = [r for r in template_table(spark, templates).collect() if r.parts]  # as many rows as there are templates
+    if not known:
+        return docs.limit(0).select(F.col(key).cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("share"), F.lit(0).alias("first_word"))
+    sizes = {r.license: r.parts[0].count(" ") + 1 for r in known}
+    short = sorted({n for n in sizes.values() if n < SHINGLE})
+    cut = spark.createDataFrame([(r.license, p.split(" "), max(1, int(ASKED * len(r.parts)))) for r in known for p in r.parts], "license string, words array<string>, asked int")
+    whole = cut.where(F.size("words") == SHINGLE).select("license", "asked", F.explode(F.array(*_bands([F.xxhash64(*_run(F.col("words"), F.lit(0), SHINGLE))]))).alias("key"))
+    index = [whole] + [cut.where(F.size("words") == n).select("license", "asked", _short_key(_run(F.col("words"), F.lit(0), n)).alias("key")) for n in short]
     # the index has at most BANDS rows for each word of the templates, whatever the corpus
-    pairs = probes.join(F.broadcast(index), ["band", "hash"]).select("row", "license").distinct()
-    checked = pairs.join(docs_words, "row").join(F.broadcast(held), "license").withColumn("own", all_shingles(F.col("words")))
-    common_parts = F.array_intersect("parts", "own")
-    first = F.array_min(F.transform(common_parts, lambda s: F.array_position("own", s)))
-    found = checked.withColumn("share", F.size(common_parts) / F.size("parts")).where(F.col("share") >= SHARE).select("doc_id", "license", F.round("share", 6).alias("share"), (first - 1).cast("int").alias("first_word"))
-    return found.unionByName(_short(docs_words, short)) if short else found
+    index = F.broadcast(reduce(DataFrame.unionByName, index).distinct())
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    hits = probes(rows, short).join(index, "key").select("text_hash", "place", "license", "asked").distinct()
+    retrieved = hits.groupBy("text_hash", "license", "asked").count().where("count >= asked")
+    # written, so that the size of the join's small side is known before it is broadcast or shuffled
+    retrieved = common.durable(retrieved.groupBy("text_hash").agg(F.collect_list("license").alias("licenses")), "licenses")
+    found = rows.withColumn("text_hash", F.xxhash64("text")).join(retrieved, "text_hash").select("doc_id", words(F.col("text")).alias("words"), "licenses")
+    found = common.durable(found, "licenses")  # the retrieved documents only; their words are not split anew for each shingle
+    held = F.broadcast(spark.createDataFrame([(r.license, r.parts) for r in known], "license string, parts array<string>"))
+    out = _containing(found, held)
+    return out.unionByName(_holding(found, [(r.license, r.parts[0]) for r in known if sizes[r.license] < SHINGLE])) if short else out
+
+
+def _containing(found: DataFrame, held: DataFrame) -> DataFrame:
+    """The exact share of the retrieved templates' shingles."""
+    own = found.select("doc_id", all_shingles(F.col("words")).alias("own"), "licenses").select("doc_id", "own", F.explode("licenses").alias("license"))
+    shared = own.join(held, "license").withColumn("both", F.array_intersect("own", "parts"))  # in the order of ``own``
+    shared = shared.withColumn("share", F.size("both") / F.size("parts")).where(F.col("share") >= SHARE)
+    return shared.select("doc_id", "license", F.round("share", 6).alias("share"), (F.array_position("own", F.get("both", F.lit(0))) - 1).cast("int").alias("first_word"))
+
+
+def _holding(found: DataFrame, notices: list[tuple[str, str]]) -> DataFrame:
+    """The rows that hold a notice of under five words, as a run of whole words."""
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    at = [F.struct(F.lit(name).alias("license"), F.instr(F.col("line"), F.lit(f" {notice} ")).alias("at")) for name, notice in notices]
+    hit = found.where(F.arrays_overlap("licenses", F.array(*[F.lit(n) for n, _ in notices]))).select("doc_id", line.alias("line"))
+    hit = hit.select("doc_id", "line", F.explode(F.filter(F.array(*at), lambda x: x["at"] > 0)).alias("hit"))
+    before = F.expr("substring(line, 1, hit.at)")  # a space before each word and before the notice
+    first = F.length(before) - F.length(F.replace(before, F.lit(" "))) - 1
+    return hit.select("doc_id", "hit.license", F.lit(1.0).alias("share"), first.cast("int").alias("first_word"))
