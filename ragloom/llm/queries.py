@@ -66,16 +66,18 @@ ORACLE_SQL = {
         FROM d WINDOW w AS (PARTITION BY norm)""",
     "op8_licenses": r"""
         WITH t(license, notice) AS (VALUES %s),
-        src AS (
-            SELECT license AS id, license, notice AS text, NULL::BIGINT AS doc_id FROM t
-            UNION ALL SELECT 'doc', NULL, text, doc_id FROM documents WHERE regexp_matches(lower(text), 'licen[sc]')),
-        w AS (SELECT *, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM src),
-        s AS (SELECT license, doc_id, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS sh
-              FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+        src AS (SELECT license, notice AS text, NULL::BIGINT AS doc_id FROM t UNION ALL SELECT NULL, text, doc_id FROM documents),
+        w AS (SELECT license, doc_id, row_number() OVER () AS r, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM src),
+        s AS (SELECT license, doc_id, r, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS sh
+              FROM (SELECT *, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 4)),
         p AS (SELECT license, sh FROM s WHERE license IS NOT NULL GROUP BY ALL),
         n AS (SELECT license, count(*) AS n FROM p GROUP BY 1),
-        d AS (SELECT doc_id, sh, min(i) - 1 AS place FROM s WHERE license IS NULL GROUP BY ALL)
+        d AS (SELECT doc_id, r, sh, min(i) - 1 AS place FROM s WHERE license IS NULL GROUP BY ALL),
+        short AS (SELECT license, ' ' || array_to_string(ws, ' ') || ' ' AS run FROM w WHERE license IS NOT NULL AND len(ws) BETWEEN 1 AND 4),
+        l AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w WHERE license IS NULL)
         SELECT doc_id, license, round(count(*) / max(n.n), 6) AS share, CAST(min(place) AS INTEGER) AS first_word
-        FROM d JOIN p USING (sh) JOIN n USING (license) GROUP BY doc_id, license HAVING count(*) / max(n.n) >= 0.8"""
-    % ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items())),
+        FROM d JOIN p USING (sh) JOIN n USING (license) GROUP BY doc_id, r, license HAVING count(*) / max(n.n) >= 0.8
+        UNION ALL
+        SELECT doc_id, license, 1.0::DOUBLE, CAST(len(string_split(left(line, strpos(line, run)), ' ')) - 2 AS INTEGER) FROM l JOIN short ON contains(line, run)"""
+    % ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in sorted(licenses.ALL.items())),
 }
