@@ -146,7 +146,7 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", samp
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], ["pattern", "n"])
 
     found = rows.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** labellers rows
-    patterns = np.array([[r.pattern // 3**k % 3 - 1 for k in range(len(LABELLERS))] for r in found]).reshape(-1, len(LABELLERS))
+    patterns = np.array([[r.pattern // 3**k % 3 - 1 for k in range(len(LABELLERS))] for r in found], np.int64).reshape(-1, len(LABELLERS))
     counts = np.array([r.n for r in found], float)
     posterior, _, _ = expectation_maximisation(patterns, counts)
     known = {r.pattern: float(q) for r, q in zip(found, posterior, strict=True)}
