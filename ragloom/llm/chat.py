@@ -1,26 +1,31 @@
 """Chat formatting: roles from a hidden Markov model, then canonical turns.
 
-The states are roles.  A block of text shows a speaker marker at its start (or
-none), a length, and whether it ends with a question; these and the order of
-roles are counted over labelled conversations, aggregated where they lie.
-Viterbi finds the likeliest roles of each conversation.
+Transcripts are parsed into blocks: a text is cut before every line that opens
+with a speaker marker.  The states are roles.  A block shows a speaker marker
+at its start (or none), a length, and whether it ends with a question; these
+and the order of roles are counted over labelled conversations, aggregated
+where they lie.  Viterbi finds the likeliest roles of each conversation.
 
 A conversation may hold a third of all rows, so none is gathered in one task:
-blocks are sorted by conversation and turn over the cluster, cut into chunks of
-at most ``CHUNK`` rows, and each chunk is reduced to a matrix of best scores
-from the role before it to its last role.  Only these matrices meet, once for
-every ``CHUNK`` rows, to fix the roles at chunk borders; then each chunk is
-decoded by itself.  This is the same result as Viterbi over the whole.
-
-Defined results: a null text is empty; rows without a conv_id form one
-conversation; null turns come first, equal turns are ordered by text; repeated
-rows each get their row; with no labelled rows the markers alone decide;
-clashing input columns are not read.
+rows are sorted by conversation and turn over the cluster and cut into chunks
+of ``CHUNK`` blocks by their place in the conversation.  Each chunk is reduced
+to a matrix of best scores from the role before it to its last role.  Only
+these matrices meet, once for every ``CHUNK`` blocks, to fix the roles at chunk
+borders; then each chunk is decoded by itself.  Scores are whole numbers and
+ties are broken alike everywhere (of equal paths the one whose last role, then
+last but one, ..., is least), so the result is that of Viterbi over the whole
+and depends on neither partitions nor ``CHUNK``.
+
+Defined results: a null text is one empty block; rows without a conv_id form
+one conversation; null turns come first, equal turns are ordered by text; a
+row's role is that of its first block, the others' role is null; repeated rows
+each get their rows; with no labelled rows the markers alone decide; an empty
+table gives an empty result; clashing input columns are not read.
 """
 
 from __future__ import annotations
 
-
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,8 @@ from . import common
 
 ROLES = ("system", "user", "assistant")
 CHUNK = 4096
+#: Log scores are kept as whole numbers of this part of one.
+SCALE = 1 << 20
 #: Speaker names at the start of a line, by role.
 MARKERS = (("system", "instructions"), ("user", "human", "customer", "question", "q"), ("assistant", "ai", "bot", "model", "agent", "answer", "a"))
 LENGTHS = 14
@@ -49,15 +56,14 @@ def symbol(text: Column) -> Column:
     return (marker * 2 * LENGTHS + F.when(F.rtrim(text).endswith("?"), LENGTHS).otherwise(0) + length).cast("int")
 
 
-def split_transcript(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(conv_id, turn, role, text): raw transcripts cut before every line that opens with a speaker marker."""
+def cut_blocks(text: Column) -> Column:
+    """The blocks of a transcript: it is cut before every line that opens with a speaker marker."""
     every = "|".join(n for names in MARKERS for n in names)
-    parts = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), rf"(?i)\n(?={_OPEN}(?:{every}){_CLOSE})")
-    return docs.select(F.col(key).alias("conv_id"), F.posexplode(parts).alias("turn", "text")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), "text")
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), rf"(?i)\n(?=[\[<#*\t |]*(?:{every}){_CLOSE})")
 
 
 class Model:
-    """Log scores: ``start`` by role, ``step`` from role to role, ``show`` by role and symbol."""
+    """Log scores as whole numbers: ``start`` by role, ``step`` from role to role, ``show`` by role and symbol."""
 
     def __init__(self, seen: np.ndarray, steps: np.ndarray, starts: np.ndarray):
         """Counts by (role, symbol), (role, role) and (role)."""
@@ -68,18 +74,34 @@ class Model:
         marker[:, n] += 1
         form = shape.sum(1) + 0.2
         log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-        self.show = (log(marker)[:, :, None] + log(form)[:, None, :]).reshape(n, -1)
-        self.step = log(steps + 0.2)
-        self.start = log(starts + 0.2)
+        whole = lambda x: np.round(x * SCALE).astype(np.int64)
+        self.show = whole((log(marker)[:, :, None] + log(form)[:, None, :]).reshape(n, -1))
+        self.step = whole(log(steps + 0.2))
+        self.start = whole(log(starts + 0.2))
+
+    def reduce(self, symbols: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(best, rank): best[i, j] is the best score that ends in role j, from role i before; one row if it is the first chunk.
 
-    def reduce(self, symbols: np.ndarray, first: bool) -> np.ndarray:
-        """best[i, j]: best score of the symbols that ends in role j, from role i before; one row if it is the first chunk."""
+        rank[i, j] orders the paths of a role j: the least is the one that ties go to.
+        """
         show = self.show[:, symbols].T
-        best = (self.start if first else self.step) + show[0]
-        best = best[None, :] if first else best
+        best, back = ((self.start if first else self.step) + show[0]).reshape(-1, len(ROLES)), []
         for row in show[1:]:
-            best = (best[:, :, None] + self.step[None]).max(1) + row
-        return best
+            come = best[:, :, None] + self.step[None]
+            back.append(come.argmax(1))  # the least role of equal ones
+            best = come.max(1) + row
+        rank = np.zeros(best.shape, np.int64)
+        for j in range(best.shape[1]):
+            paths = []
+            for i in range(best.shape[0]):
+                role, path = j, []
+                for step in reversed(back):
+                    role = int(step[i, role])
+                    path.append(role)
+                paths.append((path, i))
+            for place, (_, i) in enumerate(sorted(paths)):
+                rank[i, j] = place
+        return best, rank
 
     def decode(self, symbols: np.ndarray, before: int, last: int) -> list[int]:
         """Likeliest roles; ``before`` (-1: the conversation begins) and ``last`` (-1: free) are given."""
@@ -99,44 +121,66 @@ class Model:
         return roles[::-1]
 
 
-def _chunked(turns: DataFrame, chunk: int) -> DataFrame:
-    """The rows with chunk, pos and opens (its conversation begins with it, as far as its task can tell)."""
+def fix_borders(chunks: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """(chunk, role before it or -1, its last role) from the (chunk, best, rank) of a conversation, in order."""
+    score, come = None, []
+    for _, best, rank in chunks:
+        whole = best if score is None else score[:, None] + best
+        score = whole.max(0)
+        come.append(np.where(whole == score, rank, len(ROLES)).argmin(0))
+    last, out = int(score.argmax()), []
+    for (chunk, _, _), c in zip(reversed(chunks), reversed(come), strict=True):
+        before = -1 if chunk == chunks[0][0] else int(c[last])
+        out.append((chunk, before, last))
+        last = before
+    return out
+
+
+def chunked(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(conv_id, turn, block, role, text, symbol, chunk, pos): blocks, with their place in their conversation."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("symbol", symbol(F.col("text")))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv_id", "turn", F.xxhash64("text")]
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions("conv_id", "turn", F.xxhash64("text"), "text")
+    digest = F.xxhash64("text")
+    ranged = rows.repartitionByRange(parts, "conv_id", "turn", digest).sortWithinPartitions("conv_id", "turn", digest, "text", "role")
+    blocks = ranged.select("conv_id", "turn", "role", F.posexplode(cut_blocks(F.col("text"))).alias("block", "text"))
+    blocks = blocks.select("conv_id", "turn", "block", F.when(F.col("block") == 0, F.col("role")).alias("role"), "text", symbol(F.col("text")).alias("symbol"))
     common.small_batches(turns.sparkSession)
 
     def run(batches):
-        number, pos, conv = (TaskContext.get().partitionId() << 33) - 1, chunk, "none yet"
+        part, at, conv = TaskContext.get().partitionId(), 0, "none yet"
         for b in batches:
-            chunks, places = [], []
+            places = []
             for c in b.column("conv_id").to_pylist():
-                if c != conv or pos >= chunk:
-                    number, pos, conv = number + 1, 0, c
-                chunks.append(number)
-                places.append(pos)
-                pos += 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int64()), pa.array(places, pa.int32())], [*b.schema.names, "chunk", "pos"])
-
-    return ranged.mapInArrow(run, "conv_id long, turn long, role string, text string, symbol int, chunk long, pos int")
-
-
-def train(chunked: DataFrame) -> Model:
-    """Counts over labelled rows outside the held-out fold of conversations; a few hundred numbers reach the driver."""
+                if c != conv:
+                    at, conv = 0, c
+                places.append(at)
+                at += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(places, pa.int64())], [*b.schema.names, "part", "place"])
+
+    # written, as the places hold for this one computation of the partitions
+    placed = common.durable(blocks.mapInArrow(run, "conv_id long, turn long, block int, role string, text string, symbol int, part int, place long"), "chat")
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy("conv_id", "part").count().select("conv_id", "part", F.sum("count").over(before).alias("first"))
+    # a conversation that goes on in a later partition: one row for each partition at the most
+    later = F.broadcast(runs.where("first > 0").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "first"))
+    place = F.col("place") + F.coalesce("first", F.lit(0))
+    joined = placed.join(later, placed.conv_id.eqNullSafe(later.c) & (placed.part == later.p), "left")
+    return joined.select("conv_id", "turn", "block", "role", "text", "symbol", F.floor(place / chunk).alias("chunk"), (place % chunk).cast("int").alias("pos"))
+
+
+def train(rows: DataFrame) -> Model:
+    """Counts over labelled blocks outside the held-out fold of conversations; a few hundred numbers reach the driver."""
     role = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(ROLES)])
-    use = chunked.where("conv_id is null or pmod(crc32(cast(conv_id as string)), 5) <> 0").withColumn("r", role)
+    use = rows.where("conv_id is null or pmod(crc32(cast(conv_id as string)), 5) <> 0").withColumn("r", role)
     n = len(ROLES)
     seen, steps, starts = np.zeros((n, (n + 1) * 2 * LENGTHS)), np.zeros((n, n)), np.zeros(n)
     for r in use.where("r is not null").groupBy("r", "symbol").count().collect():
         seen[r.r, r.symbol] = r["count"]
-    before = F.lag("r").over(Window.partitionBy("chunk").orderBy("pos"))  # a chunk is at most CHUNK rows
+    before = F.lag("r").over(Window.partitionBy("conv_id", "chunk").orderBy("pos"))  # a chunk is at most CHUNK rows
     inside = use.select("r", before.alias("b"), "pos").where("pos > 0").select("b", "r", F.lit(False).alias("opens"))
     # one row a chunk: its first role follows the last one of its conversation's chunk before
     ends = use.groupBy("conv_id", "chunk").agg(F.min_by("r", "pos").alias("r"), F.max_by("r", "pos").alias("last"))
-    order = Window.partitionBy("conv_id").orderBy("chunk")
-    borders = ends.select(F.lag("last").over(order).alias("b"), "r", (F.row_number().over(order) == 1).alias("opens"))
+    borders = ends.select(F.lag("last").over(Window.partitionBy("conv_id").orderBy("chunk")).alias("b"), "r", (F.col("chunk") == 0).alias("opens"))
     for r in inside.unionByName(borders).where("r is not null").groupBy("b", "r", "opens").count().collect():
         if r.opens:
             starts[r.r] += r["count"]
@@ -145,82 +189,66 @@ def train(chunked: DataFrame) -> Model:
     return Model(seen, steps, starts)
 
 
-def _by_chunk(batches, columns):
-    """Whole chunks from rows sorted by (chunk, pos), as record batches."""
-    held = []
+def _by_chunk(batches):
+    """Whole chunks from rows sorted by (conv_id, chunk, pos), as tables."""
+    held, key = [], None
     for b in batches:
-        ids = b.column("chunk").to_numpy()
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        conv, ids = b.column("conv_id"), b.column("chunk").to_numpy()
+        filled, null = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
+        change = (ids[1:] != ids[:-1]) | (filled[1:] != filled[:-1]) | (null[1:] != null[:-1])
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(ids)] if len(ids) else [0]
         for s, e in zip(cuts, cuts[1:], strict=False):
-            if held and held[0].column("chunk")[0].as_py() != int(ids[s]):
+            mine = (int(ids[s]), int(filled[s]), bool(null[s]))
+            if held and mine != key:
                 yield pa.Table.from_batches(held)
                 held = []
+            key = mine
             held.append(b.slice(s, e - s))
     if held:
         yield pa.Table.from_batches(held)
 
 
 def recover_roles(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(conv_id, turn, role, found_role, rendered): a row per block, its given role beside the one found."""
+    """(conv_id, turn, block, role, found_role, rendered): a row per block, its given role beside the one found."""
     spark = turns.sparkSession
-    rows = common.durable(_chunked(turns, chunk), "chat")
+    rows = chunked(turns, chunk)
     model = spark.sparkContext.broadcast(train(rows))
     # only conversations of several chunks need their borders fixed
-    heads = rows.groupBy("conv_id", "chunk").count()
-    several = common.durable(heads.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("chunk").alias("first_chunk")).where("n > 1"), "chat")
-    narrow = rows.select("conv_id", "chunk", "pos", "symbol").join(several, rows.conv_id.eqNullSafe(several.conv_id), "left_semi")
-    firsts = several.select(F.col("first_chunk").alias("chunk"), F.lit(True).alias("opens"))
-    narrow = narrow.join(firsts, "chunk", "left").select("conv_id", "chunk", "pos", "symbol", F.coalesce("opens", F.lit(False)).alias("opens"))
+    several = common.durable(rows.where("chunk = 1 and pos = 0").select(F.col("conv_id").alias("c")), "chat")
+    narrow = rows.select("conv_id", "chunk", "pos", "symbol").join(several, rows.conv_id.eqNullSafe(several.c), "left_semi")
 
     def reduce(batches):
-        for t in _by_chunk(batches, None):
-            best = model.value.reduce(t["symbol"].to_numpy(), t["opens"][0].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([t["conv_id"][0].as_py()], pa.int64()), pa.array([t["chunk"][0].as_py()], pa.int64()), pa.array([best.ravel().tolist()], pa.list_(pa.float64()))], ["conv_id", "chunk", "best"])
+        for t in _by_chunk(batches):
+            number = t["chunk"][0].as_py()
+            best, rank = model.value.reduce(t["symbol"].to_numpy(), number == 0)
+            lists = [pa.array([x.ravel().tolist()], pa.list_(pa.int64())) for x in (best, rank)]
+            yield pa.RecordBatch.from_arrays([pa.array([t["conv_id"][0].as_py()], pa.int64()), pa.array([number], pa.int64()), *lists], ["conv_id", "chunk", "best", "rank"])
 
-    matrices = common.durable(narrow.repartition("chunk").sortWithinPartitions("chunk", "pos").mapInArrow(reduce, "conv_id long, chunk long, best array<double>"), "chat")
+    matrices = common.durable(narrow.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "pos").mapInArrow(reduce, "conv_id long, chunk long, best array<long>, rank array<long>"), "chat")
 
     def borders(batches):
-        n = len(ROLES)
+        def all_rows():
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("conv_id", "chunk", "best", "rank")), strict=True)
 
-        def solve(part):
-            score, come = None, []
-            for _, best in part:
-                m = np.array(best).reshape(-1, n)
-                whole = m if score is None else score[:, None] + m
-                come.append(whole.argmax(0))
-                score = whole.max(0)
-            last = int(score.argmax())
-            out = []
-            for (chunk_id, _), c in zip(reversed(part), reversed(come), strict=True):
-                before = int(c[last]) if chunk_id != part[0][0] else -1
-                out.append((chunk_id, before, last))
-                last = before
-            return out
-
-        held, conv, found = [], "none yet", []
-        for b in batches:
-            for c, k, best in zip(b.column("conv_id").to_pylist(), b.column("chunk").to_pylist(), b.column("best").to_pylist(), strict=True):
-                if c != conv and held:
-                    found += solve(held)
-                    held = []
-                conv = c
-                held.append((k, best))
-        if held:
-            found += solve(held)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["chunk", "before", "last"])
-
-    ends = common.durable(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(borders, "chunk long, before int, last int"), "chat")
-    joined = rows.join(ends, "chunk", "left").select("conv_id", "turn", "role", "text", "symbol", "chunk", "pos", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"))
+        for conv, group in groupby(all_rows(), key=lambda r: r[0]):
+            shaped = [(k, *(np.array(x, np.int64).reshape(-1, len(ROLES)) for x in (best, rank))) for _, k, best, rank in group]
+            found = fix_borders(shaped)
+            columns = [pa.array([conv] * len(found), pa.int64()), *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "k", "before", "last"])
+
+    ends = common.durable(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(borders, "c long, k long, before int, last int"), "chat")
+    joined = rows.join(ends, rows.conv_id.eqNullSafe(ends.c) & (rows.chunk == ends.k), "left")
+    joined = joined.select("conv_id", "turn", "block", "role", "text", "symbol", "chunk", "pos", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"))
 
     def decode(batches):
-        for t in _by_chunk(batches, None):
+        for t in _by_chunk(batches):
             roles = model.value.decode(t["symbol"].to_numpy(), t["before"][0].as_py(), t["last"][0].as_py())
-            out = t.select(["conv_id", "turn", "role", "text"]).append_column("found_role", pa.array([ROLES[r] for r in roles], pa.string()))
+            out = t.select(["conv_id", "turn", "block", "role", "text"]).append_column("found_role", pa.array([ROLES[r] for r in roles], pa.string()))
             yield from out.combine_chunks().to_batches()
 
-    found = joined.repartition("chunk").sortWithinPartitions("chunk", "pos").mapInArrow(decode, "conv_id long, turn long, role string, text string, found_role string")
-    return found.select("conv_id", "turn", "role", "found_role", render(F.col("found_role"), F.col("text")).alias("rendered"))
+    found = joined.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "pos").mapInArrow(decode, "conv_id long, turn long, block int, role string, text string, found_role string")
+    return found.select("conv_id", "turn", "block", "role", "found_role", render(F.col("found_role"), F.col("text")).alias("rendered"))
 
 
 def render(role: Column, text: Column) -> Column:

@@ -35,7 +35,7 @@ def op6_simhash_dedup(spark, sf_dir):
 
 def op7_chat_format(spark, sf_dir):
     found = chat.recover_roles(table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "role", "found_role", F.sha2("rendered", 256).alias("rendered_sha256"))
+    return found.select("conv_id", "turn", "block", "role", "found_role", F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
 def op8_licenses(spark, sf_dir):

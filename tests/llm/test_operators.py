@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ragloom.llm import automaton, bpe, chat, components, exact, licenses, neighbours, packing, quality, secrets, simhash, toxicity
 
@@ -277,27 +278,76 @@ def test_quality(spark, docs):
     assert quality.score_quality(docs).count() == docs.count()
 
 
-def test_chat_chunks_change_nothing(spark):
+def brute_roles(rows):
+    """Roles by counting and Viterbi over whole conversations in memory, with its own cutting and symbols."""
+    names = ("system", "user", "assistant")
+    marks = [re.compile(rf"(?i)^[\[<#*\s|]*(?:{'|'.join(m)})[\]>*|]*\s*[:>\]]\s*") for m in chat.MARKERS]
+    blocks = defaultdict(list)
+    for conv, turn, role, text in rows:
+        parts = [""]
+        for i, line in enumerate((text or "").split("\n")):
+            if i and any(m.match(line) for m in marks):
+                parts.append(line)
+            else:
+                parts[-1] += ("\n" if i else "") + line
+        role = (role or "").strip().lower()
+        signed = xxhash.xxh64_intdigest((text or "").encode(), 42)
+        signed -= (signed >> 63) << 64
+        blocks[conv].append(((turn is not None, turn or 0, signed, role), parts, role))
+    out, seen, steps, starts = {}, np.zeros((3, 8 * chat.LENGTHS)), np.zeros((3, 3)), np.zeros(3)
+    for conv, found in blocks.items():
+        flat = []
+        for key, parts, role in sorted(found, key=lambda x: x[0]):
+            for i, p in enumerate(parts):
+                mark = next((k for k, m in enumerate(marks) if m.match(p)), 3)
+                length = min(chat.LENGTHS - 1, int(np.floor(np.log2(len(p) + 1.0) * 1.25)))
+                sym = mark * 2 * chat.LENGTHS + (chat.LENGTHS if p.rstrip(" ").endswith("?") else 0) + length
+                flat.append((key, i, p, names.index(role) if i == 0 and role in names else None, sym))
+        out[conv] = flat
+        if conv is None or zlib.crc32(str(conv).encode()) % 5:
+            for i, (_, _, _, r, sym) in enumerate(flat):
+                if r is not None:
+                    seen[r, sym] += 1
+                    if i == 0:
+                        starts[r] += 1
+                    elif flat[i - 1][3] is not None:
+                        steps[flat[i - 1][3], r] += 1
+    model, result = chat.Model(seen, steps, starts), Counter()
+    for conv, flat in out.items():
+        best = {(): 0}  # for each last role the best (score, path reversed); of equal ones the least path
+        for n, (*_, sym) in enumerate(flat):
+            best = {j: max(((int(s) + int(model.start[j] if n == 0 else model.step[path[0], j]) + int(model.show[j, sym]), [-x for x in (path or ())], path) for path, s in best.items()), key=lambda x: x[:2]) for j in range(3)}
+            best = {(j, *(v[2] or ())): v[0] for j, v in best.items()}
+        path = max(best.items(), key=lambda x: (x[1], [-r for r in x[0]]))[0][::-1]
+        for (key, i, p, r, _), role in zip(flat, path, strict=True):
+            result[conv, key[1] if key[0] else None, i, p, names[role]] += 1
+    return result
+
+
+def test_chat_equals_brute_force(spark):
     rng = random.Random(9)
     rows = []
     for c in range(12):
         role = "user"
         for t in range(rng.randint(1, 60)):
-            rows.append((c, t, role, "word " * (rng.randint(3, 12) if role == "user" else rng.randint(40, 90))))
+            lead = rng.choice(["", "", "User: ", "### Assistant: ", "[system] "])
+            rows.append((c, t, rng.choice([role, role, None, " USER "]), lead + "word " * rng.choice([3, 4, 12, 40, 90]) + rng.choice(["", "?", "\nBot: and more\nplain\nHuman: more?"])))
             role = "assistant" if role == "user" else "user"
-    rows += [(None, None, None, None), (3, 1, "user", "repeat"), (3, 1, "user", "repeat")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole, cut = (Counter(tuple(r) for r in chat.recover_roles(turns, chunk=n).collect()) for n in (4096, 3))
-    assert whole.total() == len(rows)
-    same = sum((whole & cut).values())
-    assert same >= 0.97 * len(rows)  # training counts role pairs inside chunks only
-    model = chat.Model(np.full((3, 4 * 2 * chat.LENGTHS), 1.0), np.array([[0, 9, 0], [0, 1, 9], [0, 9, 1.0]]), np.array([1, 3, 0.0]))
-    symbols = np.array([rng.randrange(8 * chat.LENGTHS) for _ in range(7)])
-    score = lambda p: model.start[p[0]] + sum(model.step[a, b] for a, b in itertools.pairwise(p)) + sum(model.show[r, s] for r, s in zip(p, symbols, strict=True))
-    best = max(map(score, itertools.product(range(3), repeat=7)))
-    assert abs(score(model.decode(symbols, -1, -1)) - best) < 1e-9
-    split = chat.split_transcript(spark.createDataFrame([(1, "User: hi\nthere\nAssistant: hello")], "id long, t string"), "id", "t").collect()
-    assert [r.text for r in split] == ["User: hi\nthere", "Assistant: hello"]
+    rows += [(None, None, None, None), (3, 1, "user", "repeat"), (3, 1, "user", "repeat"), (None, 2, "user", ""), (5, None, "system", "no turn")]
+    want = brute_roles(rows)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash")).withColumn("chunk", F.lit(7))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, chunk in ((1, 4096), (7, 3), (64, 4096), (7, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found = chat.recover_roles(frame, chunk).collect()
+            got = Counter((r.conv_id, r.turn, r.block, r.found_role) for r in found)
+            assert got == Counter({k: 0 for k in ()}) + Counter((c, t, i, role) for (c, t, i, _, role), n in want.items() for _ in range(n))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    one = [r for r in found if r.turn is None and r.conv_id == 5]
+    assert one[0].rendered == f"<|{one[0].found_role}|>\nno turn\n<|end|>"
+    assert chat.recover_roles(frame.limit(0)).count() == 0
 
 
 def test_licenses(spark, docs):
@@ -382,7 +432,7 @@ def test_simhash_drops_rows_without_a_key(spark):
 def test_chat_training_counts_across_chunks(spark):
     rows = [(c, t, ("system", "user", "assistant")[0 if t == 0 else 1 + t % 2], f"text {t}") for c in [*range(20), None] for t in range(23)] + [(0, 23, None, "unknown"), (0, 24, "user", "after")]  # a row without a role gives no pair
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole, cut = (chat.train(chat._chunked(turns, n)) for n in (4096, 3))
+    whole, cut = (chat.train(chat.chunked(turns, n)) for n in (4096, 3))
     use = [c for c in [*range(20), None] if c is None or zlib.crc32(str(c).encode()) % 5]
     steps = np.zeros((3, 3))
     steps[0, 2], steps[1, 2], steps[2, 1] = len(use), 10 * len(use), 11 * len(use)
