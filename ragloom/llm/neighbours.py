@@ -5,9 +5,18 @@ of its own, fitted by k-means on a bounded sample, and pairs of codes are the
 cells of a product grid.  A vector lies in one cell.  As a query it visits cells
 in the order of a lower bound of the distance from it to them (how far the
 boundaries to a cell's two centroids are), by the multi-sequence walk over both
-halves, until a radius.  The radius is the least one that reaches ``RECALL``
-for copies of sample vectors moved to the cosine limit, in random directions
-and along single axes.  What a visit finds is verified by exact cosines.
+halves, until a radius.  The radius is the least of ``RADII`` (parts of the
+distance at the cosine limit) that reaches the wanted recall for copies of
+sample vectors moved to the limit, in random directions and along single axes.
+The last radius is the whole distance at the limit, and as the bound is a lower
+bound, nothing within the limit lies beyond it: where no other radius will do,
+the search is exact.  What a visit finds is verified by exact cosines.
+
+Vectors are compared within a label and a vector length.  Each length has an
+index of its own; up to ``CELL`` classes of a length are one cell.  The grid
+grows with the largest label, so that its cells hold about ``CELL`` members, and
+the sample with the grid: ``CENTROIDS`` to ``MOST`` codes a half, fitted on
+``SAMPLE`` or 16 vectors a code.
 
 Equal vectors of a label are one class with a count, so copies are not
 expanded.  A cell above ``BLOCK`` members is cut into blocks, each a task of
@@ -15,14 +24,17 @@ its own through which the queries stream.  Each task gives sums of links and a
 spanning forest of them; no list of links leaves it.
 
 Defined results: a vector that is null, empty or zero, holds null or
-non-finite components, has no label or another length than most has no links;
-it stands alone.  Repeated rows link with each other; a null vec_id never names
-a component unless all its ids are null.
+non-finite components, or has no label has no links; it stands alone.  Repeated
+rows link with each other; a null vec_id never names a component unless all its
+ids are null; an empty table gives an empty result; clashing input columns are
+not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +45,9 @@ from . import common
 from .components import connected_components
 from .simhash import Forest
 
-COSINE, RECALL, CENTROIDS, SAMPLE, BLOCK = 0.98, 0.995, 8, 4096, 4096
-RADII = (0.05, 0.075, 0.1, 0.125, 0.15, 0.2)
+COSINE, RECALL, SAMPLE, BLOCK, CELL = 0.98, 0.995, 4096, 4096, 2048
+CENTROIDS, MOST = 8, 2048
+RADII = (0.25, 0.375, 0.5, 0.625, 0.75)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -92,8 +105,10 @@ class MultiIndex:
         return home, [self.walk(p, q, self.radius) for p, q in zip(a, b, strict=True)]
 
     def _radius(self, x: np.ndarray, cosine: float, recall: float) -> float:
-        if not len(x):
-            return RADII[-1]
+        limit = math.sqrt(max(0.0, 2 - 2 * cosine))
+        whole = limit + 1e-6  # for rounding
+        if not len(x) or recall >= 1:
+            return whole
         rng = np.random.default_rng(11)
         moved = []
         for kind in range(2):
@@ -101,17 +116,15 @@ class MultiIndex:
             d = unit(d - (d * x).sum(1)[:, None] * x)
             moved.append(cosine * x + np.sqrt(1 - cosine**2) * d)
         y = np.concatenate(moved)
-        (a, b), _ = self.bounds(np.concatenate([x, x]))
+        (a, b), home = self.bounds(np.concatenate([x, x]))
         (ay, by), home_y = self.bounds(y)
-        width = len(self.books[1])
-        i, j = home_y // width, home_y % width
-        there = np.sqrt(a[np.arange(len(y)), i] ** 2 + b[np.arange(len(y)), j] ** 2)
-        _, home = self.bounds(np.concatenate([x, x]))
-        back = np.sqrt(ay[np.arange(len(y)), home // width] ** 2 + by[np.arange(len(y)), home % width] ** 2)
+        width, at = len(self.books[1]), np.arange(len(y))
+        there = np.sqrt(a[at, home_y // width] ** 2 + b[at, home_y % width] ** 2)
+        back = np.sqrt(ay[at, home // width] ** 2 + by[at, home % width] ** 2)
         for r in RADII:
-            if (np.minimum(there, back) <= r).mean() >= recall:
-                return r
-        return RADII[-1]
+            if (np.minimum(there, back) <= r * limit).mean() >= recall:
+                return r * limit
+        return whole
 
 
 def _matrix(column) -> np.ndarray:
@@ -119,124 +132,52 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def near_groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def fit_indexes(classes: DataFrame, cosine: float = COSINE, recall: float = RECALL, cell: int = CELL) -> dict[int, MultiIndex]:
+    """An index for each vector length that has more than ``cell`` members in a label."""
+    sizes = classes.groupBy("d", "label").count().groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("all")).where(F.col("largest") > cell)
+    out = {}
+    for r in sizes.collect():  # one row a vector length, of those with many vectors
+        codes = min(MOST, max(CENTROIDS, math.ceil(math.sqrt(r.largest / cell))))
+        wanted = max(SAMPLE, 16 * codes)
+        share = F.lit(True) if r["all"] <= wanted else F.xxhash64("cid", "first") < F.lit(-(1 << 63) + int((1 << 64) * (wanted / r["all"])))
+        sample = classes.where((F.col("d") == r.d) & share).select("cid", "v").toArrow().sort_by("cid")  # about ``wanted`` rows
+        out[r.d] = MultiIndex(_matrix(sample["v"].combine_chunks()), codes, cosine, recall)
+    return out
+
+
+def near_groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, recall: float = RECALL, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
     fine = F.coalesce(F.expr("label is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"), F.lit(False))
-    common_size = rows.where(fine).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = F.lit(True) if common_size is None else ~(fine & (F.size("v") == common_size.d))
-    single = rows.where(alone).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if common_size is None:
-        return single
-    usable = rows.where(~alone)
-    classes = common.durable(usable.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    total = classes.count()
-    share = F.lit(True) if total <= SAMPLE else F.xxhash64("cid", "first") < F.lit(-(1 << 63) + int((1 << 64) * (SAMPLE / total)))
-    sample = classes.where(share).select("cid", "v").toArrow().sort_by("cid")  # about SAMPLE rows
-    held = spark.sparkContext.broadcast(MultiIndex(_matrix(sample["v"].combine_chunks()), cosine=cosine, recall=recall))
+    single = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    usable = rows.where(fine)
+    grouped = usable.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    classes = common.durable(grouped.select("label", F.size("v").alias("d"), "v", "first", "copies", F.monotonically_increasing_id().alias("cid")), "classes")
+    held = spark.sparkContext.broadcast(fit_indexes(classes, cosine, recall, cell))
     common.small_batches(spark)
 
     def dealt(batches):
+        """A row for each cell that a class visits, with all that it visits."""
         for b in batches:
-            home, cells = held.value.cells(unit(_matrix(b.column("v"))))
-            n = np.array([len(c) for c in cells])
-            out = b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
-            width = int(len(held.value.books[0]) * len(held.value.books[1]) + 7) // 8
-            bits = []
-            for c in cells:
-                mark = np.zeros(width, np.uint8)
-                np.bitwise_or.at(mark, np.array(c) >> 3, (1 << (np.array(c) & 7)).astype(np.uint8))
-                bits.append(mark.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(np.concatenate(cells) if len(cells) else [], pa.int32()), pa.array(np.repeat(home, n), pa.int32()), pa.array([x for x, k in zip(bits, n, strict=True) for _ in range(k)], pa.binary())],
-                [*out.schema.names, "cell", "home", "visits"],
-            )
-
-    visits = common.durable(classes.select("label", "cid", "copies", "v").mapInArrow(dealt, "label string, cid long, copies long, v array<double>, cell int, home int, visits binary"), "visits")
-    sizes = visits.where("cell = home").groupBy("label", "cell").count().select("label", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+            lengths = b.column("d").to_numpy()
+            for d in np.unique(lengths).tolist():
+                part = b.take(pa.array(np.flatnonzero(lengths == d)))
+                index = held.value.get(d)
+                home, cells = index.cells(unit(_matrix(part.column("v")))) if index else (np.zeros(part.num_rows, np.int64), [[0]] * part.num_rows)
+                n = np.array([len(c) for c in cells])
+                out = part.take(pa.array(np.repeat(np.arange(part.num_rows), n)))
+                visits = pa.array([sorted(c) for c in cells], pa.list_(pa.int32())).take(pa.array(np.repeat(np.arange(len(cells)), n)))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cells), pa.int32()), pa.array(np.repeat(home, n), pa.int32()), visits], [*out.schema.names, "cell", "home", "visits"])
+
+    visits = common.durable(classes.select("label", "d", "cid", "copies", "v").mapInArrow(dealt, "label string, d int, cid long, copies long, v array<double>, cell int, home int, visits array<int>"), "visits")
+    sizes = visits.where("cell = home").groupBy("label", "d", "cell").count().select("label", "d", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     # a member belongs to one block of its cell; it queries the blocks behind that, and visitors query all
     own = F.when(F.col("cell") == F.col("home"), F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).otherwise(-1)
-    tasks = visits.join(sizes, ["label", "cell"]).withColumn("own", own).withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)))
-    tasks = tasks.withColumn("asks", (F.col("own") != F.col("block")).cast("int")).select("label", "cell", "block", "asks", "cid", "copies", "v", "home", "visits")
-    keys = ["label", "cell", "block"]
-
-    def solve(batches):
-        task, members, label, gathered = None, None, None, []
-
-        def compare(asking):
-            """Sums and spanning links between the members and ``asking``."""
-            nonlocal label
-            x, ids, copies, home, _ = asking
-            m, m_ids, m_copies, _, m_bits = members
-            q, k = np.nonzero(x @ m.T >= cosine)
-            # where the member visits the query's cell too, the pair is counted in the lesser cell only
-            back = m_bits[k, home[q] >> 3] >> (home[q] & 7) & 1
-            keep = (home[q] >= task[1]) | (back == 0)
-            q, k = q[keep], k[keep]
-            if not len(q):
-                return
-            who, at = np.unique(np.concatenate([ids[q], m_ids[k]]), return_inverse=True)
-            more = np.bincount(at, np.concatenate([m_copies[k], copies[q]])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(who), bool)), pa.array(who), pa.array(more)], ["link", "a", "b"])
-            forest = Forest(len(m) + len(x))
-            forest.label[: len(m)] = label
-            forest.add(q + len(m), k)
-            label = np.unique(forest.label[: len(m)], return_inverse=True)[1].ravel()
-            every = np.concatenate([m_ids, ids])
-            links = every[np.array(forest.links, np.int64).reshape(-1, 2)]
-            if len(links):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(links), bool)), pa.array(links[:, 0]), pa.array(links[:, 1])], ["link", "a", "b"])
-
-        def begun():
-            """The members are complete: link them with each other."""
-            nonlocal members, label, gathered
-            members = tuple(np.concatenate(c) for c in zip(*gathered, strict=True))
-            gathered, label = [], np.arange(len(members[0]))
-            for at in range(0, len(members[0]), 2048):  # rows of the triangle
-                yield from compare_rows(at)
-
-        def compare_rows(at: int):
-            nonlocal label
-            m, m_ids, m_copies, _, _ = members
-            q, k = np.nonzero(m[at : at + 2048] @ m.T >= cosine)
-            q = q + at
-            q, k = q[q < k], k[q < k]
-            if len(q):
-                who, place = np.unique(np.concatenate([q, k]), return_inverse=True)
-                more = np.bincount(place, np.concatenate([m_copies[k], m_copies[q]])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(who), bool)), pa.array(m_ids[who]), pa.array(more)], ["link", "a", "b"])
-                forest = Forest(len(m))
-                forest.label = label
-                forest.add(q, k)
-                label = forest.label
-                if forest.links:
-                    links = m_ids[np.array(forest.links, np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(links), bool)), pa.array(links[:, 0]), pa.array(links[:, 1])], ["link", "a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = list(zip(*(b.column(c).to_pylist() for c in (*keys, "asks")), strict=True))
-            bits = np.frombuffer(b"".join(b.column("visits").to_pylist()), np.uint8).reshape(len(key), -1)
-            part = (unit(_matrix(b.column("v"))), *(b.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "copies", "home")), bits)
-            cuts = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if key[s][:3] != task:
-                    if gathered:
-                        yield from begun()
-                    task, members = key[s][:3], None
-                if key[s][3] == 0:
-                    gathered.append(tuple(c[s:e] for c in part))
-                    continue
-                if gathered:
-                    yield from begun()
-                if members is not None:
-                    yield from compare(tuple(c[s:e] for c in part))
-        if gathered:
-            yield from begun()
-
-    found = common.durable(tasks.repartition(*keys).sortWithinPartitions(*keys, "asks", "cid").mapInArrow(solve, "link boolean, a long, b long"), "near")
+    tasks = visits.join(sizes, ["label", "d", "cell"]).withColumn("own", own).withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)))
+    tasks = tasks.withColumn("asks", (F.col("own") != F.col("block")).cast("int")).select("label", "d", "cell", "block", "asks", "cid", "copies", "v", "home", "visits")
+    keys = ["label", "d", "cell", "block"]
+    found = common.durable(tasks.repartition(*keys).sortWithinPartitions(*keys, "asks", "cid").mapInArrow(partial(_solve, cosine=cosine), "link boolean, a long, b long"), "near")
     more = found.where(~F.col("link")).groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("more"))
     roots = common.durable(connected_components(found.where("link").select("a", "b")), "near")
     rooted = classes.join(roots, classes.cid == roots.node, "left").select("label", "v", "cid", "first", "copies", F.coalesce("root", "cid").alias("root"))
@@ -245,3 +186,75 @@ def near_groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "embed
     linked = usable.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return linked.unionByName(single)
 
+
+class _Block:
+    """The members of one block of a cell, and what is linked among them."""
+
+    def __init__(self, cell: int, parts: list[tuple], cosine: float):
+        self.cell, self.cosine = cell, cosine
+        self.x, self.ids, self.copies = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        visits = [v for p in parts for v in p[4]]
+        self.label = np.arange(len(self.ids))
+        # which cells each member visits, as sorted (member, cell) in one number
+        self.visits = np.concatenate([(at << 32) + np.asarray(v, np.int64) for at, v in enumerate(visits)])
+
+    def _sums(self, ids: np.ndarray, more: np.ndarray):
+        who, at = np.unique(ids, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(who), bool)), pa.array(who), pa.array(np.bincount(at, more).astype(np.int64))], ["link", "a", "b"])
+
+    def _links(self, links: np.ndarray):
+        if len(links):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(links), bool)), pa.array(links[:, 0]), pa.array(links[:, 1])], ["link", "a", "b"])
+
+    def inner(self, rows: int = 2048):
+        """Links of the members with each other, by rows of the triangle."""
+        for first in range(0, len(self.ids), rows):
+            q, k = np.nonzero(self.x[first : first + rows] @ self.x.T >= self.cosine)
+            q, k = (q + first)[q + first < k], k[q + first < k]
+            if len(q):
+                yield from self._sums(self.ids[np.concatenate([q, k])], np.concatenate([self.copies[k], self.copies[q]]))
+                forest = Forest(len(self.ids))
+                forest.label = self.label
+                forest.add(q, k)
+                self.label = forest.label
+                yield from self._links(self.ids[np.array(forest.links, np.int64).reshape(-1, 2)])
+
+    def asked(self, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, home: np.ndarray):
+        """Links between the members and visitors."""
+        q, k = np.nonzero(x @ self.x.T >= self.cosine)
+        # where the member visits the visitor's cell too, the pair is counted in the lesser cell only
+        pair = (k.astype(np.int64) << 32) + home[q]
+        at = np.minimum(np.searchsorted(self.visits, pair), len(self.visits) - 1)
+        keep = (home[q] >= self.cell) | (self.visits[at] != pair)
+        q, k = q[keep], k[keep]
+        if len(q):
+            yield from self._sums(np.concatenate([ids[q], self.ids[k]]), np.concatenate([self.copies[k], copies[q]]))
+            forest = Forest(len(self.ids) + len(ids))
+            forest.label[: len(self.ids)] = self.label
+            forest.add(q + len(self.ids), k)
+            self.label = np.unique(forest.label[: len(self.ids)], return_inverse=True)[1].ravel()
+            yield from self._links(np.concatenate([self.ids, ids])[np.array(forest.links, np.int64).reshape(-1, 2)])
+
+
+def _solve(batches, cosine: float):
+    """Per task, sums of links (false, cid, n) and spanning links (true, cid, cid); members come before visitors."""
+    task, block, gathered = None, None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = list(zip(*(b.column(c).to_pylist() for c in ("label", "d", "cell", "block", "asks")), strict=True))
+        cuts = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            rows = b.slice(s, e - s)
+            part = (unit(_matrix(rows.column("v"))), *(rows.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "copies", "home")), rows.column("visits").to_pylist())
+            if gathered and (key[s][:4] != task or key[s][4]):
+                block, gathered = _Block(task[2], gathered, cosine), []
+                yield from block.inner()
+            if key[s][:4] != task:
+                task, block = key[s][:4], None
+            if not key[s][4]:
+                gathered.append(part)
+            elif block is not None:
+                yield from block.asked(*part[:4])
+    if gathered:
+        yield from _Block(task[2], gathered, cosine).inner()

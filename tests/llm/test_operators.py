@@ -119,28 +119,67 @@ def test_components(spark):
     assert got == components_of({x for e in edges for x in e}, edges)
 
 
-def test_neighbours(spark):
-    rng = np.random.default_rng(3)
-    base = rng.standard_normal((40, 64))
-    rows = []
-    for k in range(300):
-        v = base[k % 40] + rng.standard_normal(64) * rng.choice([0.02, 0.1, 0.14, 0.3])
-        rows.append((k, [float(np.float32(x)) for x in v], k % 3))
-    rows += [(300, rows[0][1], 0), (301, [0.0] * 64, 0), (302, None, 0), (303, [float("nan")] * 64, 0), (304, rows[0][1], None), (305, [1.0], 0), (0, rows[0][1], 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    ok = [r for r in rows if r[1] and len(r[1]) == 64 and r[2] is not None and np.isfinite(r[1]).all() and any(r[1])]
-    x = np.array([r[1] for r in ok])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    links = [(i, j) for i, j in itertools.combinations(range(len(ok)), 2) if ok[i][2] == ok[j][2] and x[i] @ x[j] >= 0.98]
-    for block in (4096, 5):
-        out = neighbours.near_groups(frame, block=block).collect()
-        assert len(out) == len(rows)
-        assert sum(r.n_links for r in out) >= 0.9 * 2 * len(links)  # recall
-        assert sum(r.n_links for r in out) <= 2 * len(links)
-        assert {r.vec_id: r.n_links for r in out}[301] == 0
+def brute_groups(rows):
+    """vec_id, n_links, component_id, kept of each row, all pairs compared."""
+    fine = lambda v: bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    linked, count = [], [0] * len(rows)
+    groups = defaultdict(list)
+    for i, (_, v, label) in enumerate(rows):
+        if label is not None and fine(v):
+            groups[label, len(v)].append(i)
+    for members in groups.values():
+        x = np.array([rows[i][1] for i in members], np.float64)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        for p, q in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)), strict=True):
+            linked.append((members[p], members[q]))
+            count[members[p]] += 1
+            count[members[q]] += 1
+    root, ids = components_of(range(len(rows)), linked), defaultdict(list)
+    for i, r in enumerate(rows):
+        ids[root[i]].append(r[0])
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
+    return Counter((r[0], count[i], least[root[i]], r[0] == least[root[i]] if count[i] else True) for i, r in enumerate(rows))
+
+
+def near_vectors(seed, n=700, d=32):
+    """Vectors of dense clusters and of pairs close to the limit, whose links cross the cells' borders."""
+    rng = np.random.default_rng(seed)
+    base, rows = rng.standard_normal((25, d)), []
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    for k in range(n):
+        b, turn = base[k % 25], rng.standard_normal(d)
+        turn -= (turn @ b) * b
+        turn /= np.linalg.norm(turn)
+        cos = 1 - rng.choice([0.0005, 0.005, 0.012, 0.0199, 0.0201, 0.05])
+        rows.append((k, [float(x) for x in cos * b + np.sqrt(1 - cos**2) * turn], k % 2))
+    return rows
+
+
+def test_neighbours_equal_brute_force(spark):
+    rows = near_vectors(3)
+    rows += [(800, rows[0][1], 0), (801, [0.0] * 32, 0), (802, None, 0), (803, [float("nan")] * 32, 0), (804, rows[0][1], None), (805, [1.0], 0), (806, [-3.0], 0), (807, [2.0], 0), (0, rows[0][1], 0), (None, rows[0][1], 0), (808, [1.0, None], 0), (809, [], 0)]
+    rows += [(900 + k, [1.0, 2.0], 1) for k in range(4)]  # of a rare length
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("cid", F.lit("clash"))
+    want = brute_groups(rows)
+    for block, cell, recall in ((4096, 2048, 0.995), (4096, 10, 1.0), (5, 10, 1.0)):  # one cell a label; grids of 8 x 8 codes; small blocks
+        got = Counter(tuple(r) for r in neighbours.near_groups(frame, block=block, cell=cell, recall=recall).collect())
+        assert got == want
     assert neighbours.near_groups(frame.limit(0)).count() == 0
 
 
+def test_neighbours_recall(spark):
+    """With the recall of production over a grid: nothing is linked that should not be, and nearly all links are found."""
+    rows = near_vectors(4, 3000, 64)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: r for r in neighbours.near_groups(frame, cell=100).collect()}
+    want = {w[0]: w for w in brute_groups(rows)}
+    assert all(out[i].n_links <= want[i][1] for i in want)
+    found, every = sum(r.n_links for r in out.values()), sum(w[1] for w in want.values())
+    same = sum(tuple(out[i])[2:] == want[i][2:] for i in want)
+    print(f"recall {found / every:.4f} of {every // 2} links, {same} of {len(rows)} rows with the same component")
+    assert found >= 0.98 * every and same >= 0.98 * len(rows)
+
+
 def test_packing_is_exact_on_small_bins():
     rng = random.Random(4)
 
