@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +14,47 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is set, as in tests."""
-    conf = spark.sparkContext.getConf()
-    at = spark.conf.get(SHARED, None) or conf.get(SHARED, None)
+    """The cluster's shared folder; where none is set, a folder of this machine if Spark runs on it alone, and an error on a cluster."""
+    at = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SHARED} must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set(SHARED, at)
     return at.rstrip("/")
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
+_SCRATCH: list[list[DataFrame]] = []
+
+
+def durable(df: DataFrame, tag: str, scratch: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Lineage ends at files that outlive any executor, and values that Spark
     does not reproduce when it computes a plan again, such as row numbers
-    given on the fly, are fixed from here on.
+    given on the fly, are fixed from here on.  The files go when the
+    application ends, or with the ``scratch`` block around the call.
     """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch and _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch():
+    """Delete what ``durable`` writes inside the block when it ends, but for tables written with ``scratch=False``."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for df in _SCRATCH.pop():
+            discard(df)
 
 
 def discard(df: DataFrame) -> None:
