@@ -217,7 +217,7 @@ class _Block:
                 forest.label = self.label
                 forest.add(q, k)
                 self.label = forest.label
-                yield from self._links(self.ids[np.array(forest.links, np.int64).reshape(-1, 2)])
+                yield from self._links(self.ids[forest.links])
 
     def asked(self, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, home: np.ndarray):
         """Links between the members and visitors."""
@@ -232,8 +232,8 @@ class _Block:
             forest = Forest(len(self.ids) + len(ids))
             forest.label[: len(self.ids)] = self.label
             forest.add(q + len(self.ids), k)
-            self.label = np.unique(forest.label[: len(self.ids)], return_inverse=True)[1].ravel()
-            yield from self._links(np.concatenate([self.ids, ids])[np.array(forest.links, np.int64).reshape(-1, 2)])
+            self.label = forest.label[: len(self.ids)]
+            yield from self._links(np.concatenate([self.ids, ids])[forest.links])
 
 
 def _solve(batches, cosine: float):

@@ -2,37 +2,46 @@
 
 A text's fingerprint is the bitwise majority over XXH64 hashes of its 3-word
 shingles.  Documents with one fingerprint are one vertex.  Two fingerprints at
-distance 3 or less agree in at least one of four 16-bit bands, so each
-fingerprint goes to four shards (band, value).  A shard is held as a BK-tree:
-children are keyed by the Hamming distance to their parent, and a query of
-radius r follows only the edges d - r .. d + r.  Trees are built where their
-shard lies, as the trees of all shards together grow with the data and so must
-not be broadcast.  A shard above ``SHARD`` members is cut into blocks, and each
-pair of blocks is a task of its own.
+distance 3 or less agree in at least two of five blocks of 12 or 13 bits, so
+each fingerprint goes to ten shards, named by two blocks and their 25 or 26
+bits.  A shard is held as a BK-tree: children are keyed by the Hamming distance
+to their parent, and a query of radius r follows only the edges d - r .. d + r.
 
-Of the links found in a shard only a spanning forest leaves it; components are
-joined across shards by ``connected_components``.
+Most shards are small, and their trees are built and asked where the shard
+lies.  The members of shards above ``SHARD`` are dealt over rounds; each round
+broadcasts the trees of at most about ``ROUND`` members and every fingerprint of
+those shards asks the tree of its own shard.  So a broadcast is bounded, a hot
+shard is split over all tasks, and fingerprints in small shards never reach the
+driver.
+
+Of the links found only a spanning forest leaves a task; components are joined
+across shards by ``connected_components``.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; texts under three words hash as one shingle; repeated rows each get
 their row; a null doc_id never names a component unless all its ids are null;
-clashing input columns are not read.
+an empty table gives an empty result; clashing input columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import partial
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
 
-WIDTH, SEED, RADIUS, BANDS = 3, 42, 3, 4
-#: Members of a shard that one task holds.
-SHARD = 20_000
+WIDTH, SEED, RADIUS = 3, 42, 3
+#: (first bit, bits) of the blocks, and how many of them name a shard; blocks - kept >= RADIUS.
+BLOCKS, KEPT = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 2
+#: Members of a shard that one task holds, and members whose trees a round broadcasts (8 bytes each).
+SHARD, ROUND = 20_000, 2_000_000
 LEAF = 48
 
 
@@ -111,82 +120,130 @@ class BkTree:
 
 
 class Forest:
-    """Union-find that keeps every label flat; gives the links that joined two parts."""
+    """Union-find with flat labels: a part is named by its least place."""
 
     def __init__(self, size: int):
         self.label = np.arange(size)
-        self.links: list[tuple[int, int]] = []
+        self.joined: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+
+    @property
+    def links(self) -> np.ndarray:
+        """Pairs of places that connect what was added."""
+        return np.concatenate(self.joined)
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        new = np.flatnonzero(self.label[a] != self.label[b])
-        while len(new):
-            i, j = int(a[new[0]]), int(b[new[0]])
-            old, kept = self.label[i], self.label[j]
-            self.label[self.label == old] = kept
-            self.links.append((i, j))
-            new = new[self.label[a[new]] != self.label[b[new]]]
-
-
-def _tree_links(mine: np.ndarray, others: np.ndarray | None, radius: int) -> np.ndarray:
-    """Spanning links (n, 2) among ``mine``, or between ``mine`` and ``others``."""
-    every = mine if others is None else np.concatenate([mine, others])
+        x, y = self.label[a], self.label[b]
+        new = x != y
+        if not new.any():
+            return
+        names, at = np.unique(np.concatenate([x[new], y[new]]), return_inverse=True)
+        p, q = at.reshape(2, -1)
+        root = np.arange(len(names))
+        while True:  # the least name spreads along the pairs
+            old = root
+            low = np.minimum(root[p], root[q])
+            root = root.copy()
+            np.minimum.at(root, p, low)
+            np.minimum.at(root, q, low)
+            root = root[root]
+            if (root == old).all():
+                break
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        self.joined.append(np.stack([names[moved], names[root[moved]]], axis=1))
+        place = np.minimum(np.searchsorted(names, self.label), len(names) - 1)
+        self.label = np.where(names[place] == self.label, names[root[place]], self.label)
+
+
+def _tree_links(tree: BkTree, queries: np.ndarray, radius: int) -> np.ndarray:
+    """Spanning links (n, 2) between the tree's values and ``queries``."""
+    every = np.concatenate([tree.values, queries])
     forest = Forest(len(every))
-    shift = 0 if others is None else len(mine)
-    queries = mine if others is None else others
-    tree = BkTree(mine)
     for first in range(0, len(queries), 4096):
         for q, m in tree.near(queries[first : first + 4096], radius):
-            forest.add(q + shift + first, m)
-    found = np.array(forest.links, np.int64).reshape(-1, 2)
-    return every[found]
-
-
-def near_links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) that connect whatever distinct ``fp`` lie within ``radius``; radius < BANDS."""
+            forest.add(q + len(tree.values) + first, m)
+    return every[forest.links]
+
+
+def _link_batch(found: list[np.ndarray]):
+    links = np.concatenate(found) if found else np.empty((0, 2), np.uint64)
+    links = np.ascontiguousarray(links[links[:, 0] != links[:, 1]]).view(np.int64)
+    if len(links):
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+
+def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+
+
+def _shard_links(batches, radius: int):
+    """Links inside shards, from rows sorted by key; a shard is held whole."""
+    keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+
+    def solve(keys, fps, found):
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e - s == 2:  # what most shards with a pair are
+                if int(fps[s] ^ fps[s + 1]).bit_count() <= radius:
+                    found.append(fps[None, s:e])
+            elif e - s > 2:
+                found.append(_tree_links(BkTree(fps[s:e]), fps[s:e], radius))
+
+    for b in batches:
+        if b.num_rows:
+            k, f = _columns(b)
+            keys, fps, found = np.concatenate([keys, k]), np.concatenate([fps, f]), []
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last shard may go on in the next batch
+            solve(keys[:whole], fps[:whole], found)
+            keys, fps = keys[whole:], fps[whole:]
+            yield from _link_batch(found)
+    found: list = []
+    solve(keys, fps, found)
+    yield from _link_batch(found)
+
+
+def _asked(batches, trees, radius: int):
+    """Links between fingerprints of hot shards and the broadcast trees."""
+    for b in batches:
+        keys, fps = _columns(b)
+        order = np.argsort(keys, kind="stable")
+        names, begins = np.unique(keys[order], return_index=True)
+        found = [_tree_links(trees.value[k], fps[rows], radius) for k, rows in zip(names.tolist(), np.split(order, begins[1:]), strict=True) if k in trees.value] if len(keys) else []
+        yield from _link_batch(found)
+
+
+def shard_keys(fp: Column) -> Column:
+    """The names of a fingerprint's shards: which blocks, and their bits."""
+    bits = [F.expr(f"shiftrightunsigned(fp, {first}) & {(1 << width) - 1}") for first, width in BLOCKS]
+    keys = []
+    for n, kept in enumerate(combinations(range(len(BLOCKS)), KEPT)):
+        key = F.lit(n).cast("long")
+        for k in kept:
+            key = F.shiftleft(key, BLOCKS[k][1]).bitwiseOR(bits[k])
+        keys.append(key)
+    return F.array(*keys)
+
+
+def near_links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD, round_: int = ROUND) -> DataFrame:
+    """Links (a, b) that connect whatever distinct ``fp`` lie within ``radius``; radius <= blocks - kept blocks."""
     spark = values.sparkSession
-    width = 64 // BANDS
-    banded = values.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn(
-        "value", F.expr(f"shiftright(fp, band * {width}) & {(1 << width) - 1}")
-    )
-    sizes = banded.groupBy("band", "value").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / shard).cast("int"))
-    # (block i, block j) for i <= j: a member goes to each pair that its own block is in; nearly all shards have one block
-    dealt = (
-        banded.join(sizes.drop("count"), ["band", "value"])
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("fp", "band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    )
-    keys = ["band", "value", "i", "j"]
+    sharded = values.select("fp", F.explode(shard_keys(F.col("fp"))).alias("key")).select("key", "fp")
+    hot = common.durable(sharded.groupBy("key").count().where(F.col("count") > shard), "simhash")
     common.small_batches(spark, 20_000)
-
-    def solve(key, fps, own):
-        i, j = key[2], key[3]
-        if i == j:
-            return _tree_links(fps, None, radius)
-        return _tree_links(fps[own == i], fps[own == j], radius)
-
-    def run(batches):
-        held: list = []
-        for b in batches:
-            block = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*keys, "fp", "own"]], axis=1)
-            block = np.concatenate([*held, block]) if held else block
-            change = np.flatnonzero((block[1:, :4] != block[:-1, :4]).any(axis=1)) + 1
-            found = []
-            for s, e in zip([0, *change[:-1]], change, strict=False):
-                if e - s > 1:
-                    found.append(solve(block[s, :4].tolist(), block[s:e, 4].view(np.uint64), block[s:e, 5]))
-            held = [block[change[-1] :]] if len(change) else [block]
-            yield from _pairs(found)
-        if held and len(held[0]) > 1:
-            yield from _pairs([solve(held[0][0, :4].tolist(), np.ascontiguousarray(held[0][:, 4]).view(np.uint64), held[0][:, 5])])
-
-    def _pairs(found):
-        links = np.concatenate(found) if found else np.empty((0, 2), np.uint64)
-        if len(links):
-            links = np.ascontiguousarray(links).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
-
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    light = sharded if hot.isEmpty() else sharded.join(hot.select("key"), "key", "left_anti")
+    links = light.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_shard_links, radius=radius), "a long, b long")
+    total = hot.agg(F.sum("count")).first()[0] or 0
+    if not total:
+        return links
+    members = common.durable(sharded.join(hot.select("key"), "key", "left_semi"), "simhash")
+    rounds = -(-total // round_)
+    for n in range(rounds):
+        held = members.where(F.pmod(F.xxhash64("key", "fp"), F.lit(rounds)) == n).toArrow().sort_by("key")  # about ``round_`` rows at the most
+        keys, fps = held["key"].to_numpy(), held["fp"].to_numpy().view(np.uint64)
+        names, begins = np.unique(keys, return_index=True)
+        trees = spark.sparkContext.broadcast({k: BkTree(f) for k, f in zip(names.tolist(), np.split(fps, begins[1:]), strict=True)} if len(keys) else {})
+        links = links.unionByName(common.durable(members.mapInArrow(partial(_asked, trees=trees, radius=radius), "a long, b long"), "simhash"))
+        trees.unpersist()
+    return links
 
 
 def _rooted(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:

@@ -101,15 +101,15 @@ def test_simhash(docs):
     assert Counter(tuple(r) for r in simhash.simhash_groups(docs).collect()) == want
 
 
-def test_bk_links_in_blocks(spark):
+def test_bk_trees_of_any_shard(spark):
     rng = random.Random(2)
     values = {rng.getrandbits(64) for _ in range(40)}
     values |= {v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in list(values) for _ in range(6)}
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     pairs = [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
     frame = spark.createDataFrame([(v,) for v in signed], "fp long")
-    for shard in (20_000, 3):
-        got = [(r.a, r.b) for r in simhash.near_links(frame, shard=shard).collect()]
+    for shard, round_ in ((20_000, 1), (3, 2_000_000), (3, 300)):  # trees in their shards; broadcast at once; in several rounds
+        got = [(r.a, r.b) for r in simhash.near_links(frame, shard=shard, round_=round_).collect()]
         assert components_of(signed, got) == components_of(signed, pairs)
 
 
