@@ -6,11 +6,13 @@ have ended; equality is read off the bytes themselves, without any digest.
 1. Where a text is read, its white space is normalised and the rows of one
    Arrow batch are split by the radix recursion, so that copies in a batch
    become one representative before anything is shuffled.
-2. Representatives are dealt by their leading bytes.  A leading digit whose
-   texts exceed ``GROUP_BYTES`` is split by more bytes, in as many rounds as it
-   takes; a group so large whose texts have all ended is a group of copies, and
-   an aggregation with map-side combining resolves it.
-3. Each remaining group fits a task, where the recursion ends it.
+2. Representatives are dealt by their leading bytes.  A leading digit that
+   holds more than a fair share of the bytes (a quarter of what a task would
+   get if all were dealt evenly; ``GROUP_BYTES`` at the most) is split by more
+   bytes, in as many rounds as it takes.  What has ended within the digit, so
+   that the digit is the whole text, is a group of copies, and an aggregation
+   with map-side combining resolves it, however large.
+3. Each remaining group is a small part of a task, where the recursion ends it.
 
 Defined results: null is empty, empty texts equal each other; of repeated rows
 exactly one stays; a null doc_id sorts behind all others; an empty table gives
@@ -20,6 +22,7 @@ an empty one; clashing column names are kept apart, as rows travel in a struct.
 from __future__ import annotations
 
 import hashlib
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GROUP_BYTES = 64 << 20
+#: Most and least bytes of a leading digit that is not split further.
+GROUP_BYTES, LEAST_BYTES = 64 << 20, 64 << 10
 DEPTHS = tuple(32 * 16**k for k in range(7))
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
@@ -103,66 +107,73 @@ def _collapse(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
 _FOUND = "rep long, keep_id long, keep_rid long, group_size long"
 
 
-def _finish(light: DataFrame, depth: int) -> DataFrame:
-    """Groups of a leading digit that fit a task."""
+def _solved(batches, depth: int):
+    """Groups of equal texts among rows sorted by their first ``depth`` bytes."""
+    held: list[list] = [[], [], [], [], []]  # rep, norm, least, least_rid, copies
 
-    def solve(rows):
-        texts = [r["norm"] for r in rows]
+    def packed():
+        rep, texts, least, least_rid, copies = held
+        out: list[list] = [[], [], [], []]
         for group in radix_groups(texts):
-            keep, keep_rid = _sorted_first((rows[i]["least"], rows[i]["least_rid"]) for i in group)
-            size = sum(rows[i]["copies"] for i in group)
-            for i in group:
-                yield rows[i]["rep"], keep, keep_rid, size
-
-    def packed(rows):
-        found = list(solve(rows))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["rep", "keep_id", "keep_rid", "group_size"])
+            keep, keep_rid = _sorted_first((least[i], least_rid[i]) for i in group)
+            size = sum(copies[i] for i in group)
+            out[0] += [rep[i] for i in group]
+            for column, value in zip(out[1:], (keep, keep_rid, size), strict=True):
+                column += [value] * len(group)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rep", "keep_id", "keep_rid", "group_size"])
+
+    size, last = 0, None
+    for b in batches:
+        columns = [b.column(c).to_pylist() for c in ("rep", "norm", "least", "least_rid", "copies")]
+        first = 0
+        for i, text in enumerate(columns[1]):
+            digit = text[:depth]
+            if size > 4 << 20 and digit != last:  # only between digits
+                for h, c in zip(held, columns, strict=True):
+                    h += c[first:i]
+                yield from packed()
+                held, size, first = [[], [], [], [], []], 0, i
+            size, last = size + len(text), digit
+        for h, c in zip(held, columns, strict=True):
+            h += c[first:]
+    yield from packed()
 
-    def run(batches):
-        held, size, last = [], 0, None
-        for b in batches:
-            for r in b.to_pylist():
-                digit = r["norm"][:depth]
-                if digit != last and size > 4 << 20:
-                    yield from packed(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["norm"])
-                last = digit
-        yield from packed(held)
 
+def _finish(light: DataFrame, depth: int) -> DataFrame:
+    """Groups of leading digits that are small parts of a task."""
     digit = F.substring("norm", 1, depth)
-    return light.repartition(digit).sortWithinPartitions(digit).select("rep", "norm", "least", "least_rid", "copies").mapInArrow(run, _FOUND)
+    return light.repartition(digit).sortWithinPartitions(digit).select("rep", "norm", "least", "least_rid", "copies").mapInArrow(partial(_solved, depth=depth), _FOUND)
 
 
-def _resolve(reps: DataFrame, group_bytes: int) -> DataFrame:
+def _resolve(reps: DataFrame, group_bytes: int | None) -> DataFrame:
     found: list[DataFrame] = []
     todo = reps
     for depth in (*DEPTHS, 1 << 30):
-        digit = F.substring("norm", 1, depth)
-        dealt = todo.withColumn("digit", digit)
+        dealt = todo.withColumn("digit", F.substring("norm", 1, depth))
         sizes = dealt.groupBy("digit").agg(F.sum(F.length("norm")).alias("bytes"), F.max(F.length("norm")).alias("longest"))
+        if group_bytes is None:
+            tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            every = reps.agg(F.sum(F.length("norm"))).first()[0] or 0
+            group_bytes = min(GROUP_BYTES, max(LEAST_BYTES, every // (4 * tasks)))
         heavy = common.durable(sizes.where(F.col("bytes") > group_bytes), "radix")
         if heavy.isEmpty():
             found.append(_finish(todo, depth))
             break
-        ended, open_ = heavy.where(F.col("longest") <= depth).select("digit"), heavy.where(F.col("longest") > depth).select("digit")
-        copies = dealt.join(ended, "digit", "left_semi")
-        order = F.min(F.struct(F.col("least").isNull().alias("z"), F.col("least").alias("k"), F.col("least_rid").alias("r")))
-        whole = copies.groupBy("digit").agg(order.alias("first"), F.sum("copies").alias("group_size"))
-        found.append(copies.select("rep", "digit").join(whole, "digit").select("rep", F.col("first.k").alias("keep_id"), F.col("first.r").alias("keep_rid"), "group_size"))
         found.append(_finish(dealt.join(heavy.select("digit"), "digit", "left_anti").drop("digit"), depth))
-        todo = common.durable(dealt.join(open_, "digit", "left_semi").drop("digit"), "radix")
-        if todo.isEmpty():
+        # of a heavy digit, the texts that have ended are copies of each other; the others go on
+        ended = dealt.join(heavy.select("digit"), "digit", "left_semi").where(F.length("norm") <= depth)
+        order = F.min(F.struct(F.col("least").isNull().alias("z"), F.col("least").alias("k"), F.col("least_rid").alias("r")))
+        whole = ended.groupBy("digit").agg(order.alias("first"), F.sum("copies").alias("group_size"))
+        found.append(ended.select("rep", "digit").join(whole, "digit").select("rep", F.col("first.k").alias("keep_id"), F.col("first.r").alias("keep_rid"), "group_size"))
+        longer = heavy.where(F.col("longest") > depth).select("digit")
+        if longer.isEmpty():
             break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        todo = common.durable(dealt.where(F.length("norm") > depth).join(longer, "digit", "left_semi").drop("digit"), "radix")
+    return reduce(DataFrame.unionByName, found)
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", group_bytes: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (reported, not used to compare)."""
     rows = common.durable(_collapse(docs, key, text, carry=False), "exact")
     reps = rows.where("norm is not null").select("rep", "norm", "least", "least_rid", "copies")
@@ -170,7 +181,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", group
     return joined.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", group_bytes: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
     rows = common.durable(_collapse(docs, key, text, carry=True), "exact")
     reps = rows.where("norm is not null").select("rep", "norm", "least", "least_rid", "copies")
