@@ -89,3 +89,11 @@ def slices(texts: list, limit: int = 2 << 20):
             first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name

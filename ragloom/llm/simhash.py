@@ -268,16 +268,17 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     A key that one row has alone stands for its row.  Rows whose key is null or
     repeated are written once with a row id, which stands for them.
     """
+    name, again_name = common.fresh(docs, "kept_id"), common.fresh(docs, "again")
     number = docs[key].cast("long")
-    counts = docs.select(number.alias("again")).where("again is not null").groupBy("again").count()
-    again = common.durable(counts.where("count > 1").select("again"), "simhash")
-    shared = docs.join(again, number == again.again, "left_semi").unionByName(docs.where(number.isNull()))
+    counts = docs.select(number.alias(again_name)).where(F.col(again_name).isNotNull()).groupBy(again_name).count()
+    again = common.durable(counts.where(F.col("count") > 1).select(again_name), "simhash")
+    shared = docs.join(again, number == again[again_name], "left_semi").unionByName(docs.where(number.isNull()))
     shared = common.durable(shared.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "simhash")
-    alone = docs.where(number.isNotNull()).join(again, number == again.again, "left_anti")
+    alone = docs.where(number.isNotNull()).join(again, number == again[again_name], "left_anti")
     numbered = shared.select(F.col("row")[key].alias("key"), F.col("row")[text].alias("text"), "rid")
     rows = with_fingerprint(alone, key, text).select("doc_id", F.lit(None).cast("long").alias("rid"), "fp").unionByName(with_fingerprint(numbered, "key", "text", "rid"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("first")
     stay = common.durable(_rooted(rows.groupBy("fp").agg(first)).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.rid"), "simhash")
-    by_key = stay.where("rid is null").select(F.col("doc_id").alias("kept_id"))
+    by_key = stay.where("rid is null").select(F.col("doc_id").alias(name))
     by_row = stay.where("rid is not null").select("rid")
-    return docs.join(by_key, number == by_key.kept_id, "left_semi").unionByName(shared.join(by_row, "rid", "left_semi").select("row.*"))
+    return docs.join(by_key, number == by_key[name], "left_semi").unionByName(shared.join(by_row, "rid", "left_semi").select("row.*"))

@@ -13,7 +13,8 @@ folds given (a bounded, documented sample: rows of least hash); scoring reads
 every whole text where it lies, without a shuffle.
 
 Defined results: null and empty texts get the score of no feature; null labels
-are not learnt from; where there is nothing to learn from, every score is 0;
+are not learnt from; where there is nothing to learn from, every score is under
+1e-17; an empty table gives an empty result;
 repeated rows each get their row; clashing columns are not read.
 """
 
@@ -215,7 +216,6 @@ def _with(docs: DataFrame, name: str) -> StructType:
 def _scored(docs: DataFrame, scorer: Scorer, text: str, name: str) -> DataFrame:
     common.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias))  # bounded by DIMENSION
-    docs = docs.drop(name)
 
     def run(batches):
         score = Scorer(*held.value)
@@ -235,5 +235,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` scored under ``threshold``."""
-    scored = _scored(docs, train(docs, labels, sample), "text", "toxic_score__")
-    return scored.where(F.col("toxic_score__") < threshold).drop("toxic_score__")
+    name = common.fresh(docs, "toxic_score")
+    return _scored(docs, train(docs, labels, sample), "text", name).where(F.col(name) < threshold).drop(name)

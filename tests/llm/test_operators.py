@@ -478,3 +478,47 @@ def test_chat_training_counts_across_chunks(spark):
     want = chat.Model(np.zeros((3, 8 * chat.LENGTHS)), steps, np.array([len(use), 0, 0.0]))
     for m in (whole, cut):
         assert np.allclose(m.start, want.start) and np.allclose(m.step, want.step)
+
+
+HARD = {
+    "op1": quality.score_quality,
+    "op2": secrets.secret_report,
+    "op2 redact": secrets.redact_secrets,
+    "op3": exact.exact_groups,
+    "op3 drop": exact.drop_exact_duplicates,
+    "op5": lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json")),
+    "op6": simhash.simhash_groups,
+    "op6 drop": simhash.drop_near_duplicates,
+    "op8": licenses.find_licenses,
+    "op9": lambda d: bpe.encode_documents(d, public_tokenizers.path("word_bpe_49k.json"), digests=True),
+    "op10": lambda d: toxicity.score_documents(d, d.select("doc_id", F.lit(None).cast("int").alias("toxic"))),
+    "op10 drop": lambda d: toxicity.drop_toxic(d, d.select("doc_id", F.lit(0).alias("toxic"))),
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_tables(spark, name):
+    """Empty tables, nulls, empty and very long texts, repeated rows, and columns named as the operators name their own."""
+    names = ["rid", "row", "fp", "digit", "norm", "text_hash", "licenses", "place", "length", "rank", "kept_id", "again", "toxic_score", "kept", "score", "key"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    long = "word and more " * 140_000 + "x" * 90_000
+    texts = [None, "", " ", long, long, "one", "a b c d e f", "a b c d e f", "Released under the MIT License.", "é" * 3000]
+    rows = [(i, t, None, None, None, *["clash"] * len(names)) for i, t in enumerate(texts)] + [(None, None, *[None] * (3 + len(names)))] * 2 + [(4, texts[4], None, None, None, *["clash"] * len(names))]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    run, n = HARD[name], len(rows)
+    assert run(docs.limit(0)).count() == 0
+    out = run(docs)
+    got = out.collect()
+    distinct = 7  # null, empty and the one space apart: "" and null are equal, " " is not
+    if name in ("op1", "op2", "op2 redact", "op3", "op6", "op9", "op10", "op10 drop"):
+        assert len(got) == n
+    if "drop" in name or "redact" in name:
+        assert out.columns == docs.columns
+    if name == "op3 drop":
+        assert len(got) == distinct
+    if name == "op8":
+        assert [(r.doc_id, r.license) for r in got] == [(8, "mit")]
+    if name == "op5":
+        assert {r.doc_id for r in got} == {r[0] for r in rows} and all(r.length <= 2048 for r in got)
+    if name == "op10":
+        assert all(r.score < 1e-17 and r.predicted == 0 for r in got)
