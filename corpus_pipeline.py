@@ -44,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages; what a stage wrote for itself goes when its result is written, and a result when the next one is."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.durable(stage(spark, docs, sf_dir), name)
+        with common.scratch():
+            docs = common.durable(stage(spark, docs, sf_dir), name, scratch=False)
+        if before is not None:
+            common.discard(before)
+        before = docs
     return docs
