@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import Config
-from .embedders import Embedder, HashEmbedder
+from . import models
+from .embedders import Embedder, HashEmbedder, http_rerank, post_json
 from .errors import ConfigError, EngineError, FetchError, SourceNotFound
 from .functions import text as T
 from .operators import chunk as C
@@ -48,13 +49,30 @@ def _like(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty])
 
 
-def overlaps(stored: list[tuple[str, str]], source_type: str, uri: str) -> list[str]:
-    """Warnings for sources of (type, uri) that hold this one, or that it holds."""
-    out, mine = [], uri.rstrip("/") + "/"
-    for kind, other in stored:
-        theirs = other.rstrip("/") + "/"
-        if kind == source_type and theirs != mine and (mine.startswith(theirs) or theirs.startswith(mine)):
-            out.append(f"{uri} and {other} overlap")
+def _contains(kind: str, outer: str, inner: str) -> bool:
+    """Folders by whole components; addresses by host and the text of the path."""
+    if kind == "dir":
+        return (inner.rstrip("/") + "/").startswith(outer.rstrip("/") + "/")
+    return (urlsplit(inner).path or "/").startswith(urlsplit(outer).path or "/")
+
+
+def overlaps(stored: list[tuple[str, str, str, str | None]], source_type: str, uri: str) -> list[str]:
+    """Warnings for a new source about those of (id, type, uri, name) that are it, hold it, or are held by it.
+
+    Folders are set against folders, sites and sitemaps of one host against both.
+    """
+    web_kinds, out = ("url", "sitemap"), []
+    for at, kind, other, name in stored:
+        if source_type == "dir" and kind != "dir" or source_type in web_kinds and (kind not in web_kinds or urlsplit(other).hostname != urlsplit(uri).hostname):
+            continue
+        held, holds = _contains(source_type, other, uri), _contains(source_type, uri, other)
+        known = f"{name or other} ({at})"
+        if held and holds:
+            out.append(f"{uri} is indexed already as {known}")
+        elif held:
+            out.append(f"{uri} lies inside {known}: its documents may be indexed twice")
+        elif holds:
+            out.append(f"{uri} holds {known}: its documents may be indexed twice")
     return out
 
 
@@ -75,22 +93,63 @@ class Index:
             raise SourceNotFound(name)
         return row
 
+    def _write(self, dropped: tuple[str, ...] = (), **tables: DataFrame) -> None:
+        """Whole tables that are not kept by source, and sources that go, become current at once."""
+        try:
+            for name, df in tables.items():
+                self.store.stage(name, df.coalesce(1))
+            self.store.publish(dropped)
+        finally:
+            self.store.unstage()
+
     def rename(self, source: str, name: str | None) -> None:
         at = self.find_source(source).id
+        if name and self.store.table("sources").where((F.col("name") == name) & (F.col("id") != at)).count():
+            raise ConfigError(f"another source is named {name}")
         s = self.store.table("sources")
-        self.store.commit(sources=s.withColumn("name", F.when(F.col("id") == at, F.lit(name)).otherwise(F.col("name"))))
+        self._write(sources=s.withColumn("name", F.when(F.col("id") == at, F.lit(name)).otherwise(F.col("name"))))
 
     def remove(self, source: str) -> None:
+        """A source's parts of all tables go with it; nothing of other sources is read or written."""
         at = self.find_source(source).id
-        self.store.commit(**merge.cascade({n: self.store.table(n) for n in ("sources", "documents", "chunks", "runs", "points")}, at))
+        self._write((at,), sources=self.store.table("sources").where(F.col("id") != at))
 
     def sources(self) -> DataFrame:
         t = self.store.table
         return status.list_sources(t("sources"), t("documents"), t("chunks"), t("runs"))
 
     def status(self) -> DataFrame:
+        """One row: the counts of the index, and whether the vectors' store can be read and has a collection."""
+        try:
+            m = self.store.manifest()
+        except Exception:  # the store is not there or cannot be reached
+            row = [(False, False, 0, 0, 0, 0)]
+            return self.spark.createDataFrame(row, "connected boolean, collection boolean, points long, sources long, documents long, chunks long")
         t = self.store.table
-        return status.global_stats(t("sources"), t("documents"), t("chunks"))
+        counts = status.global_stats(t("sources"), t("documents"), t("chunks"))
+        points = t("points").agg(F.count("*").alias("points"))
+        return counts.crossJoin(points).select(F.lit(True).alias("connected"), F.lit(bool(m["dim"])).alias("collection"), "points", "sources", "documents", "chunks")  # one row each
+
+    # -- look-ups ----------------------------------------------------------------
+
+    def documents(self, source: str) -> DataFrame:
+        """A source's documents by address."""
+        return status.documents_of(self.store.table("documents", at := self.find_source(source).id), at)
+
+    def document(self, source: str, uri: str):
+        """A source's document of an address, or None."""
+        return self.store.table("documents", self.find_source(source).id).where(F.col("uri") == uri).first()
+
+    def chunks(self, source: str, doc_id: str, modality: str | None = None) -> DataFrame:
+        """A document's chunks in order, of one modality if asked."""
+        return status.chunks_of(self.store.table("chunks", self.find_source(source).id), doc_id, modality)
+
+    def chunk(self, point_id: str):
+        return self.store.table("chunks").where(F.col("point_id") == point_id).first()
+
+    def point_ids(self, source: str | None = None) -> DataFrame:
+        """The points that chunks name, of all sources or of one."""
+        return self.store.table("chunks", None if source is None else self.find_source(source).id).select("point_id").distinct()
 
     # -- ingest ------------------------------------------------------------------
 
@@ -142,19 +201,20 @@ class Index:
         (addresses that exist, but could not be read) has go.
         """
         store, now = self.store, datetime.now(timezone.utc)
-        old = {n: store.table(n) for n in ("sources", "documents", "chunks", "points")}
-        known = old["sources"].select("source_type", "uri", "id").collect()  # one row a source
+        known = store.table("sources").select("source_type", "uri", "id", "name").collect()  # one row a source
         source_id = next((r.id for r in known if r.uri == uri), str(uuid.uuid5(uuid.NAMESPACE_URL, uri)))
-        out = Stats(source_id, errors=list(errors), warnings=overlaps([(r.source_type, r.uri) for r in known], source_type, uri))
+        out = Stats(source_id, errors=list(errors), warnings=[] if any(r.uri == uri for r in known) else overlaps([(r.id, r.source_type, r.uri, r.name) for r in known], source_type, uri))
         run = {"id": str(uuid.uuid4()), "source_id": source_id, "operation": operation, "started_at": now, "status": "running"}
         if not any(r.id == source_id for r in known):
+            if name and any(r.name == name for r in known):
+                raise ConfigError(f"another source is named {name}")
             row = self.spark.createDataFrame([(source_id, source_type, uri, name, now, now, None)], SOURCES)
             store.upsert(sources=row)
         self._run(run)
         try:
-            self._apply(out, source_type, uri, seen, old, now, whole, listed)
+            self._apply(out, source_type, uri, seen, now, whole, listed)
         except Exception as e:
-            store.staged = {}
+            store.unstage()
             self._run(run | {"status": "failed", "completed_at": datetime.now(timezone.utc), "errors": [*out.errors, str(e)[:500]]})
             raise
         self._run(run | {"status": "completed", "completed_at": datetime.now(timezone.utc), "docs_processed": out.docs_changed, "chunks_created": out.chunks_created, "chunks_updated": 0, "chunks_deleted": out.chunks_deleted, "errors": out.errors})
@@ -162,53 +222,61 @@ class Index:
 
     def _run(self, values: dict) -> None:
         empty = self.spark.createDataFrame([], RUNS)
-        row = self.spark.createDataFrame([tuple(values.get(c) for c in empty.columns)], RUNS)
-        self.store.commit(runs=self.store.table("runs").where(F.col("id") != values["id"]).unionByName(row))
+        self.store.log(self.spark.createDataFrame([tuple(values.get(c) for c in empty.columns)], RUNS), values["source_id"])
 
-    def _apply(self, out: Stats, source_type: str, uri: str, seen: DataFrame, old: dict[str, DataFrame], now: datetime, whole: bool, listed: list[str]) -> None:
-        store, sid = self.store, F.lit(out.source_id)
+    def _apply(self, out: Stats, source_type: str, uri: str, seen: DataFrame, now: datetime, whole: bool, listed: list[str]) -> None:
+        store, at, sid = self.store, out.source_id, F.lit(out.source_id)
+        old = {n: store.table(n, at) for n in ("documents", "chunks", "points")}
         seen = seen.withColumn("source_id", sid)
-        mine = old["documents"].where(F.col("source_id") == sid)
-        changed = merge.changed(seen, mine, ["source_id", "uri"]).withColumn("id", F.expr("sha2(concat(source_id, '\n', uri), 256)"))
+        changed = merge.changed(seen, old["documents"], ["source_id", "uri"]).withColumn("id", F.expr("sha2(concat(source_id, '\n', uri), 256)"))
         parsed = parse.parse_documents(changed, base="uri")
         title = F.coalesce(*(["title"] if "title" in seen.columns else []), F.col("parsed.title"))
-        # the changed documents are parsed once, into the staging area
+        # the changed documents are parsed once, into a folder that is not published
         fresh = store.stage("parsed", parsed.select("id", "source_id", "uri", "content_hash", "content_type", title.alias("title"), F.col("parsed.text").alias("text"), F.col("parsed.headings").alias("headings")))
-        store.staged.pop("parsed")
+        parsed_at = store.staged.pop()
+        try:
+            exists = seen.select("uri").unionByName(self.spark.createDataFrame([(u,) for u in listed], "uri string"))
+            gone = merge.stale(old["documents"], exists).select("id") if whole else old["documents"].where("false").select("id")
+            out.docs_seen, out.docs_changed, out.docs_deleted = seen.count(), fresh.count(), gone.count()
+            if out.docs_changed or out.docs_deleted:
+                self._write_changes(out, old, fresh, gone, now, source_type, uri)
+        finally:
+            store.fs.delete(store.path(f"{store.root}/{parsed_at[3]['at'][0]}"), True)
+
+    def _write_changes(self, out: Stats, old: dict[str, DataFrame], fresh: DataFrame, gone: DataFrame, now: datetime, source_type: str, uri: str) -> None:
+        """New documents alone are appended to the source's parts; where stored ones change or go, its parts are written anew."""
+        store, at = self.store, out.source_id
         new_docs = _like(fresh.drop("headings", "text").withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), DOCUMENTS)
-        exists = seen.select("uri").unionByName(self.spark.createDataFrame([(u,) for u in listed], "uri string"))
-        gone = merge.stale(mine, exists).select("id") if whole else mine.where("false").select("id")
-        documents = merge.delete(merge.upsert(old["documents"], new_docs, KEYS["documents"]), gone, ["id"])
-
         found = C.chunk_documents(fresh, "id", "text", "headings", self.config.chunking())
         found = found.withColumn("id", F.concat_ws(":", "doc_id", "chunk_index")).withColumn("point_id", T.point_id(F.concat_ws(":", "id", "chunk_hash")))
         new_chunks = _like(found.withColumn("modality", F.lit("text")).withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), CHUNKS)
-        # of a changed document, chunks that it no longer has go
-        touched = fresh.select(F.col("id").alias("doc_id"))
-        left = merge.delete(old["chunks"], gone.select(F.col("id").alias("doc_id")), ["doc_id"])
-        rest = left.join(touched, "doc_id", "left_anti")
-        again = merge.delete(left.join(touched, "doc_id", "left_semi"), left.join(touched, "doc_id", "left_semi").select("doc_id", "chunk_index").join(new_chunks.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_anti"), ["doc_id", "chunk_index"])
-        chunks = store.stage("chunks", rest.unionByName(merge.upsert(again, new_chunks, KEYS["chunks"])))
-        docs = store.stage("documents", documents)
-        points = store.stage("points", self._points(old["points"], chunks.join(touched, "doc_id", "left_semi"), chunks, docs, source_type, uri))
-
-        out.docs_seen, out.docs_changed, out.docs_deleted = seen.count(), fresh.count(), gone.count()
-        before = old["points"].select("id")
-        out.chunks_created = points.select("id").join(before, "id", "left_anti").count()
-        out.chunks_deleted = before.join(points.select("id"), "id", "left_anti").count()
+        if not out.docs_deleted and store.appendable(at) and not old["documents"].join(fresh.select("id"), "id", "left_semi").count():
+            docs = store.stage("documents", new_docs, at, append=True)
+            chunks = store.stage("chunks", new_chunks, at, append=True)
+            points = store.stage("points", self._embedded(chunks, docs, F.lit(source_type), F.lit(uri)), at, append=True)
+            out.chunks_created = points.count()
+        else:
+            documents = merge.delete(merge.upsert(old["documents"], new_docs, KEYS["documents"]), gone, ["id"])
+            # of a changed document, chunks that it no longer has go
+            touched = fresh.select(F.col("id").alias("doc_id"))
+            left = merge.delete(old["chunks"], gone.select(F.col("id").alias("doc_id")), ["doc_id"])
+            again = left.join(touched, "doc_id", "left_semi").join(new_chunks.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_semi")
+            chunks = store.stage("chunks", left.join(touched, "doc_id", "left_anti").select(*left.columns).unionByName(merge.upsert(again.select(*left.columns), new_chunks, KEYS["chunks"])), at)
+            docs = store.stage("documents", documents, at)
+            kept = old["points"].join(chunks.select(F.col("point_id").alias("id")), "id", "left_semi")
+            # only chunks without a stored point are embedded
+            lacking = chunks.join(touched, "doc_id", "left_semi").join(old["points"].select(F.col("id").alias("point_id")), "point_id", "left_anti")
+            points = store.stage("points", kept.unionByName(self._embedded(lacking, docs, F.lit(source_type), F.lit(uri))), at)
+            before = old["points"].select("id")
+            out.chunks_created = points.select("id").join(before, "id", "left_anti").count()
+            out.chunks_deleted = before.join(points.select("id"), "id", "left_anti").count()
         store.publish()
 
-    def _points(self, stored: DataFrame, touched: DataFrame, chunks: DataFrame, docs: DataFrame, source_type: str, uri: str) -> DataFrame:
-        """Stored points that a chunk still names, and those of chunks that have none; only the latter are embedded."""
-        kept = stored.join(chunks.select(F.col("point_id").alias("id")), "id", "left_semi")
-        lacking = touched.join(stored.select(F.col("id").alias("point_id")), "point_id", "left_anti")
-        return kept.unionByName(self._embedded(lacking, docs, F.lit(source_type), F.lit(uri)))
-
     def _embedded(self, chunks: DataFrame, docs: DataFrame, source_type, source_uri) -> DataFrame:
         d = docs.select(F.col("id").alias("doc_id"), "source_id", F.col("uri").alias("doc_uri"), "title")
         rows = chunks.join(d, "doc_id").withColumn("vector", self.embedder.column(F.col("chunk_text")).cast("array<float>"))
         rows = rows.drop("id").withColumnRenamed("point_id", "id").withColumn("source_type", source_type).withColumn("source_uri", source_uri)
-        return _like(self.store.checked(rows), POINTS)
+        return _like(self.store.with_norm(rows), POINTS)
 
     # -- maintenance -------------------------------------------------------------
 
@@ -232,45 +300,66 @@ class Index:
         return done, errors
 
     def prune(self, source: str | None = None, dry_run: bool = False, orphans: bool = False) -> dict[str, int]:
-        """Drop documents of folder sources whose file is gone and, if asked, points that no chunk names."""
-        t, one = self.store.table, self.find_source(source).id if source else None
-        gone = None
-        for s in t("sources").where("source_type = 'dir'").collect():
+        """Drop documents of folder sources whose file is gone and, if asked, points that no chunk names.
+
+        A source whose folder is not there is left alone: it may not be mounted.
+        """
+        store, one = self.store, self.find_source(source).id if source else None
+        counts, parts = {"documents": 0, "points": 0}, []
+        for s in store.table("sources").collect():  # one row a source
             if one and s.id != one:
                 continue
-            listed = self.spark.createDataFrame([(p,) for p in (files.list_files(s.uri) if os.path.isdir(s.uri) else [])], "uri string")
-            stale = merge.stale(t("documents").where(F.col("source_id") == s.id), listed).select("id")
-            gone = stale if gone is None else gone.unionByName(stale)
-        if gone is None:
-            gone = t("documents").where("false").select("id")
-        documents = merge.delete(t("documents"), gone, ["id"])
-        chunks = merge.delete(t("chunks"), gone.select(F.col("id").alias("doc_id")), ["doc_id"])
-        lost = merge.orphans(t("points"), chunks if orphans else t("chunks").join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
-        if not orphans:  # only the points of the documents that go
-            own = t("chunks").join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("point_id").alias("id"))
-            lost = lost.join(own, "id", "left_semi")
-        counts = {"documents": gone.count(), "points": lost.count()}
-        if not dry_run and any(counts.values()):
-            self.store.commit(documents=documents, chunks=chunks, points=merge.delete(t("points"), lost, ["id"]))
+            docs, chunks, points = (store.table(n, s.id) for n in ("documents", "chunks", "points"))
+            gone = docs.where("false").select("id")
+            if s.source_type == "dir" and os.path.isdir(s.uri):
+                listed = self.spark.createDataFrame([(p,) for p in files.list_files(s.uri)], "uri string")
+                gone = merge.stale(docs, listed).select("id")
+            left = merge.delete(chunks, gone.select(F.col("id").alias("doc_id")), ["doc_id"])
+            lost = merge.orphans(points, left)
+            if not orphans:  # only the points of the documents that go
+                own = chunks.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("point_id").alias("id"))
+                lost = lost.join(own, "id", "left_semi")
+            here = {"documents": gone.count(), "points": lost.count()}
+            if any(here.values()):
+                parts.append((s.id, {"documents": merge.delete(docs, gone, ["id"]), "chunks": left, "points": merge.delete(points, lost, ["id"])}))
+            counts = {k: counts[k] + here[k] for k in counts}
+        if not dry_run and parts:
+            try:
+                for at, tables in parts:
+                    for name, df in tables.items():
+                        store.stage(name, df, at)
+                store.publish()
+            finally:
+                store.unstage()
         return counts
 
     def reindex(self, source: str | None = None) -> int:
         """Embed the stored chunks again; texts are neither read nor cut anew."""
-        t = self.store.table
-        docs = t("documents") if source is None else t("documents").where(F.col("source_id") == self.find_source(source).id)
-        src = t("sources").select(F.col("id").alias("source_id"), F.col("source_type").alias("kind"), F.col("uri").alias("root"))
-        known = docs.join(src, "source_id")
-        chunks = t("chunks").where("modality = 'text'").join(known.select(F.col("id").alias("doc_id"), "kind", "root"), "doc_id")
-        new = self._embedded(chunks, docs, F.col("kind"), F.col("root"))
-        rest = t("points").join(chunks.select(F.col("point_id").alias("id")), "id", "left_anti")
-        self.store.stage("points", rest.unionByName(new))
-        self.store.publish()
-        return chunks.count()
+        store, total, one = self.store, 0, None if source is None else self.find_source(source).id
+        try:
+            for s in store.table("sources").collect():  # one row a source
+                if one and s.id != one:
+                    continue
+                docs, points = store.table("documents", s.id), store.table("points", s.id)
+                chunks = store.table("chunks", s.id).where("modality = 'text'")
+                new = self._embedded(chunks, docs, F.lit(s.source_type), F.lit(s.uri))
+                rest = points.join(chunks.select(F.col("point_id").alias("id")), "id", "left_anti")
+                store.stage("points", rest.unionByName(new), s.id)
+                total += chunks.count()
+            store.publish()
+        finally:
+            store.unstage()
+        return total
 
     # -- query -------------------------------------------------------------------
 
     def query(self, text: str, **options) -> DataFrame:
+        """Hits for a text; with a model server behind the embedder, its reranker scores them, else BM25."""
         o = self.config.querying(**options)
-        t = self.store.table
+        t, e, model = self.store.table, self.config.embedding, self.config.reranker.model
         chunks = t("chunks").select(F.col("point_id").alias("id"), "chunk_text")
-        return S.search(t("points"), chunks, text, self.embedder.one(self.spark, text), o)
+        score = None
+        if o.rerank and e.backend == "http":
+            score = lambda query, texts: http_rerank(e.url, model, query, texts, getattr(self.embedder, "post", post_json))
+        media = bool(models.reranker(model)) and models.reranker(model).multimodal
+        return S.search(t("points"), chunks, text, self.embedder.one(self.spark, text), o, self.store.mean_length(), score, media)

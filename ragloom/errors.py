@@ -16,6 +16,10 @@ class DimensionMismatch(EngineError):
         super().__init__(f"Vector dimension mismatch: expected {expected}, got {actual}")
 
 
+class StoreError(EngineError):
+    """The stored index cannot be read."""
+
+
 class SourceNotFound(EngineError):
     """No source has this id, address or name."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def cosine_known(a: Column, a_norm: Column, b: list[float]) -> Column:
+    """Cosine with a literal vector, where the column's norm is stored; a row without one has it computed."""
+    length = math.sqrt(sum(float(x) * float(x) for x in b))
+    return dot(a, F.array(*[F.lit(float(x)) for x in b])) / (F.coalesce(a_norm, norm(a)) * F.lit(length))
+
+
 def let(value: Column, use) -> Column:
     """``use`` of a value that is computed once a row; inside a lambda a captured expression would be computed for every element."""
     return F.transform(F.array(value), use)[0]

@@ -42,6 +42,18 @@ def global_stats(sources: DataFrame, documents: DataFrame, chunks: DataFrame) ->
     return one(sources, "sources").crossJoin(one(documents, "documents")).crossJoin(one(chunks, "chunks"))  # one row each
 
 
+def documents_of(documents: DataFrame, source_id: str) -> DataFrame:
+    return documents.where(F.col("source_id") == source_id).orderBy("uri")
+
+
+def chunks_of(chunks: DataFrame, doc_id: str, modality: str | None = None) -> DataFrame:
+    """A document's chunks in order; chunks without a modality are text."""
+    mine = chunks.where(F.col("doc_id") == doc_id)
+    if modality is not None:
+        mine = mine.where(F.coalesce("modality", F.lit("text")) == modality)
+    return mine.orderBy("chunk_index")
+
+
 def completions(sources: DataFrame, shell: str) -> DataFrame:
     label = F.coalesce("name", "uri")
     line = {"zsh": F.concat("id", F.lit(":"), F.replace(label, F.lit(":"), F.lit("\\:"))), "fish": F.concat("id", F.lit("\t"), label)}.get(shell, F.col("id"))

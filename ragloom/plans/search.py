@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vec as V
 
 
+#: Scores of texts for a query, by place; places left out are dropped, none at all leaves the hits as they are.
+Reranker = Callable[[str, list[str]], dict[int, float]]
+
+
 @dataclass(frozen=True)
 class QueryOptions:
     k: int = 10
@@ -38,8 +43,8 @@ def filtered(points: DataFrame, o: QueryOptions) -> DataFrame:
 
 def top_k(points: DataFrame, query: list[float], k: int, vector: str = "vector", tie: str = "id") -> DataFrame:
     """The k nearest by cosine; the query is a literal, so scoring and the heap run where the vectors lie."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return points.withColumn("score", V.cosine(F.col(vector), q)).orderBy(F.desc("score"), tie).limit(k)
+    stored = F.col("norm") if "norm" in points.columns else F.lit(None).cast("double")
+    return points.withColumn("score", V.cosine_known(F.col(vector), stored, query)).orderBy(F.desc("score"), tie).limit(k)
 
 
 def min_score(hits: DataFrame, floor: float) -> DataFrame:
@@ -47,8 +52,10 @@ def min_score(hits: DataFrame, floor: float) -> DataFrame:
 
 
 def best_per_document(hits: DataFrame, document: str = "doc_uri", tie: str = "id") -> DataFrame:
-    w = Window.partitionBy(document).orderBy(F.desc("score"), tie)
-    return hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The hit of each document with the highest score; an aggregation, so each task sends one row a document."""
+    score = F.coalesce(F.col("score"), F.lit(float("-inf")))
+    best = F.min_by(F.struct("*"), F.struct((-score).alias("s"), F.col(tie).alias("t"))).alias("best")
+    return hits.groupBy(document).agg(best).select(*[F.col("best")[c].alias(c) for c in hits.columns])
 
 
 def hybrid(hits: DataFrame, terms: list[str], mean_length: float, weight: float) -> DataFrame:
@@ -64,24 +71,41 @@ def rerank(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return hits.join(scores, "id").withColumn("score", F.col("rerank_score")).drop("rerank_score").orderBy(F.desc("score"), "id").limit(k)
 
 
-def search(points: DataFrame, chunks: DataFrame | None, query_text: str, query: list[float], o: QueryOptions = QueryOptions()) -> DataFrame:
+def rerank_by(hits: DataFrame, query: str, scorer: Reranker, k: int) -> DataFrame:
+    """``rerank`` with scores from outside; at most twice ``k`` hits reach the driver."""
+    rows = hits.orderBy(F.desc("score"), "id").select("id", "chunk_text").collect()
+    found = scorer(query, [r.chunk_text or "" for r in rows]) if rows else {}
+    scores = hits.sparkSession.createDataFrame([(rows[i].id, float(s)) for i, s in found.items() if 0 <= i < len(rows)], "id string, rerank_score double")
+    return rerank(hits, scores, k)
+
+
+def search(points: DataFrame, chunks: DataFrame | None, query_text: str, query: list[float], o: QueryOptions = QueryOptions(), mean_length: float | None = None, reranker: Reranker | None = None, reranks_media: bool = False) -> DataFrame:
     """points: id, vector, source_id, source_type, doc_uri ...; chunks: id, chunk_text, joined to the hits only.
 
-    Without ``chunks``, points carry ``chunk_text`` themselves.
+    Without ``chunks``, points carry ``chunk_text`` themselves.  Without a
+    ``reranker`` BM25 scores the hits; ``mean_length`` saves a scan for it.  A
+    reranker of texts only leaves hits of other modalities behind the texts.
     """
     k = min(o.k, o.max_results)
     hits = top_k(filtered(points, o), query, 2 * k).withColumnRenamed("score", "vector_score").withColumn("score", F.col("vector_score"))
     hits = hits.drop("vector") if chunks is None else hits.drop("vector").join(chunks.select("id", "chunk_text"), "id", "left")
     hits = hits.withColumn("bm25_score", F.lit(None).cast("double"))
     terms = [t for t in query_text.lower().split() if len(t.encode()) >= 3]
-    if o.hybrid or o.rerank:
-        mean = (points if chunks is None else chunks).agg(F.avg(F.octet_length("chunk_text"))).first()[0] or 1.0
+    if mean_length is None and (o.hybrid or (o.rerank and reranker is None)):
+        mean_length = (points if chunks is None else chunks).agg(F.avg(F.octet_length("chunk_text"))).first()[0] or 1.0
     if o.hybrid:
-        hits = hybrid(hits, terms, mean, o.bm25_weight)
+        hits = hybrid(hits, terms, mean_length, o.bm25_weight)
     hits = min_score(hits, o.min_score)
+    order = [F.desc("score"), F.col("id")]
     if o.rerank:
-        scores = hits.select("id", T.bm25(terms, F.col("chunk_text"), F.lit(mean)).alias("rerank_score"))
-        hits = rerank(hits, scores, o.rerank_top_k)
+        is_text = F.coalesce("modality", F.lit("text")) == "text" if "modality" in hits.columns and not reranks_media else F.lit(True)
+        texts = hits.where(is_text)
+        if reranker is None:
+            ranked = rerank(texts, texts.select("id", T.bm25(terms, F.col("chunk_text"), F.lit(mean_length)).alias("rerank_score")), o.rerank_top_k)
+        else:
+            ranked = rerank_by(texts, query_text, reranker, o.rerank_top_k)
+        hits = ranked.withColumn("behind", F.lit(0)).unionByName(hits.where(~is_text).withColumn("behind", F.lit(1)))
+        order = [F.col("behind"), *order]
     if o.dedupe:
-        hits = best_per_document(hits)
-    return hits.orderBy(F.desc("score"), "id").limit(k)
+        hits, order = best_per_document(hits), order[-2:]
+    return hits.orderBy(*order).limit(k).drop("behind")

@@ -1,110 +1,198 @@
-"""The index's tables as Parquet snapshots behind one manifest.
-
-A write makes new snapshot folders and then replaces the manifest, so readers
-see all tables of one state or of the next.  Paths go through Hadoop's file
-system, so any store that Spark reads will do.
+"""The index's tables as Parquet folders behind numbered manifests.
+
+A table is kept in parts, one for each source, and a part is a list of folders.
+A write makes new folders and then a manifest of the next number that names
+them; the highest manifest that is whole is the state of the index.  A crash
+between the steps leaves the state before, and readers see all tables of one
+state or of the next.  What a source writes touches its own parts only: new
+rows are appended as one more folder, anything else replaces the part.  Paths
+go through Hadoop's file system, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DimensionMismatch
+from ..errors import DimensionMismatch, StoreError
 from ..functions import vec as V
 from ..operators import merge
 from ..schemas import KEYS, TABLES
 
+#: The part of tables that are not kept by source.
+WHOLE = ""
+#: Folders of a part beyond which an append rewrites it as one.
+FOLDERS = 16
+_MANIFEST = re.compile(r"manifest-(\d+)\.json")
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, dim: int | None = None):
-        self.spark, self.root, self.dim = spark, root.rstrip("/"), dim
-        self.staged: dict[str, str] = {}
+        self.spark, self.root = spark, root.rstrip("/")
+        self.staged: list[tuple[str, str, bool, dict]] = []
         jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.path, self.io = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not self.exists():
+            if any(self.fs.exists(self.path(f"{self.root}/{name}")) for name in TABLES):
+                raise StoreError(f"{self.root} holds tables but no manifest that can be read")
             self._write_manifest({"dim": dim, "tables": {}})
         stored = self.manifest()["dim"]
         if dim and stored and dim != stored:
             raise DimensionMismatch(stored, dim)
         self.dim = stored or dim
 
+    # -- manifests ---------------------------------------------------------------
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the manifests, the highest first."""
+        at = self.path(self.root)
+        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return sorted((int(m[1]) for n in names if (m := _MANIFEST.fullmatch(n))), reverse=True)
+
+    def _current(self) -> tuple[int, dict] | None:
+        for n in self._numbers():
+            stream = self.fs.open(self.path(f"{self.root}/manifest-{n:012d}.json"))
+            try:
+                return n, json.loads(self.io.toString(stream, "UTF-8"))
+            except ValueError:  # cut short by a crash: the one before holds
+                continue
+            finally:
+                stream.close()
+        return None
+
     def exists(self) -> bool:
-        return self.fs.exists(self.path(f"{self.root}/manifest.json"))
+        return self._current() is not None
 
     def manifest(self) -> dict:
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).collect()))
+        found = self._current()
+        if found is None:
+            raise StoreError(f"{self.root} holds no manifest that can be read")
+        return found[1]
 
     def _write_manifest(self, m: dict) -> None:
-        at, new = self.path(f"{self.root}/manifest.json"), self.path(f"{self.root}/manifest-{uuid.uuid4().hex}")
-        out = self.fs.create(new, True)
+        """A new number each time; a file that exists is never opened, so of two writers one fails."""
+        n = max(self._numbers(), default=-1) + 1
+        out = self.fs.create(self.path(f"{self.root}/manifest-{n:012d}.json"), False)
         out.write(bytearray(json.dumps(m).encode()))
         out.close()
-        self.fs.delete(at, False)
-        self.fs.rename(new, at)
 
-    def table(self, name: str) -> DataFrame:
-        at = self.manifest()["tables"].get(name)
+    # -- reading -----------------------------------------------------------------
+
+    def parts(self, name: str) -> dict[str, dict]:
+        return self.manifest()["tables"].get(name, {})
+
+    def table(self, name: str, source: str | None = None) -> DataFrame:
+        """A table, or one source's part of it; of each run its last state."""
+        parts = self.parts(name)
+        if source is not None:
+            parts = {k: v for k, v in parts.items() if k == source}
+        paths = [f"{self.root}/{at}" for p in parts.values() for at in p["at"]]
         empty = self.spark.createDataFrame([], TABLES[name])
-        if not at:
+        if not paths:
             return empty
-        read = self.spark.read.parquet(f"{self.root}/{at}")  # older snapshots may lack columns
-        read = read.select(*[F.col(f.name) if f.name in read.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema])
+        read = self.spark.read.schema(empty.schema).parquet(*paths)  # columns that older folders lack are null
+        if name == "runs":
+            done = F.struct(F.col("completed_at").isNotNull(), F.col("completed_at"))
+            return read.groupBy("id").agg(F.max_by(F.struct(*[c for c in read.columns if c != "id"]), done).alias("r")).select("id", "r.*")
         return read.withColumn("modality", F.coalesce("modality", F.lit("text"))) if "modality" in read.columns else read
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Write the given tables and make them current together."""
-        m = self.manifest()
-        for name, df in tables.items():
-            at = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{at}")
-            m["tables"][name] = at
-        self._write_manifest(m | {"dim": self.dim})
+    def mean_length(self) -> float:
+        """Mean bytes of a chunk's text, from the manifest."""
+        parts = self.parts("chunks").values()
+        rows = sum(p.get("rows", 0) for p in parts)
+        return sum(p.get("bytes", 0) for p in parts) / rows if rows else 1.0
+
+    # -- writing -----------------------------------------------------------------
 
-    def stage(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the next state of a table and read it back; readers see it once ``publish`` is called."""
+    def stage(self, name: str, df: DataFrame, source: str = WHOLE, append: bool = False) -> DataFrame:
+        """Write the next state of a part, or rows to be added to it; readers see them once ``publish`` is called."""
         at = f"{name}/{uuid.uuid4().hex}"
+        entry = {"at": [at]}
+        self.staged.append((name, source, append, entry))
         df.write.parquet(f"{self.root}/{at}")
-        self.staged[name] = at
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}")
-
-    def publish(self) -> None:
+        out = self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}")
+        if name == "chunks":
+            r = out.agg(F.count("*").alias("n"), F.sum(F.octet_length("chunk_text")).alias("b")).first()
+            entry |= {"rows": r.n, "bytes": int(r.b or 0)}
+        if name == "points":
+            self._check(out)
+        return out
+
+    def _check(self, points: DataFrame) -> None:
+        """Vectors that were written have the collection's length."""
+        sizes = [r.n for r in points.select(F.size("vector").alias("n")).distinct().limit(2).collect()]
+        self.dim = self.dim or (sizes[0] if sizes else None)
+        if bad := [n for n in sizes if n != self.dim]:
+            raise DimensionMismatch(self.dim, bad[0])
+
+    def publish(self, dropped: tuple[str, ...] = ()) -> None:
+        """Make what was staged current, without the sources ``dropped``."""
         m = self.manifest()
-        m["tables"] |= self.staged
+        for name, source, append, entry in self.staged:
+            parts = m["tables"].setdefault(name, {})
+            old = parts.get(source) if append else None
+            parts[source] = {k: old[k] + entry[k] for k in entry} if old else entry
+        for parts in m["tables"].values():
+            for source in dropped:
+                parts.pop(source, None)
         self._write_manifest(m | {"dim": self.dim})
-        self.staged = {}
+        self.staged = []
+
+    def unstage(self) -> None:
+        """Delete what was staged and is not to be current."""
+        for *_, entry in self.staged:
+            for at in entry["at"]:
+                self.fs.delete(self.path(f"{self.root}/{at}"), True)
+        self.staged = []
+
+    def appendable(self, source: str) -> bool:
+        """Whether the source's parts are few folders; beyond that they are written as one."""
+        return all(len(self.parts(n).get(source, {"at": []})["at"]) < FOLDERS for n in ("documents", "chunks", "points"))
+
+    def log(self, row: DataFrame, source: str) -> None:
+        """Add a state of a run; one folder of a source's runs in ``FOLDERS`` is a rewrite of them all."""
+        full = len(self.parts("runs").get(source, {"at": []})["at"]) >= FOLDERS
+        rows = self.table("runs", source).unionByName(row) if full else row
+        self.stage("runs", rows.coalesce(1), source, append=not full)
+        self.publish()
 
     def upsert(self, **rows: DataFrame) -> None:
-        out = {}
-        for name, new in rows.items():
-            keep = tuple(c for c in ("id", "created_at") if c in new.columns and c not in KEYS[name])
-            version = {"runs": "started_at"}.get(name, "updated_at")
-            if name == "points":
-                new = self.checked(new)
-            out[name] = merge.upsert(self.table(name), new, KEYS[name], keep if name not in ("runs", "points") else (), version)
-        self.commit(**out)
-
-    def checked(self, points: DataFrame) -> DataFrame:
-        if self.dim is None:
-            first = points.select(F.size("vector").alias("n")).first()
-            self.dim = first.n if first else None
-        bad = points.where(F.size("vector") != F.lit(self.dim)).select(F.size("vector").alias("n")).first() if self.dim else None
-        if bad:
-            raise DimensionMismatch(self.dim, bad.n)
+        """Merge rows into their tables by key, source by source, and make all of it current together."""
+        try:
+            for name, new in rows.items():
+                by_source = "source_id" in new.columns
+                for source in [r.source_id for r in new.select("source_id").distinct().collect()] if by_source else [WHOLE]:
+                    mine = new.where(F.col("source_id") == source) if by_source else new
+                    keep = tuple(c for c in ("id", "created_at") if c in new.columns and c not in KEYS[name])
+                    version = {"runs": "started_at"}.get(name, "updated_at")
+                    self.stage(name, merge.upsert(self.table(name, source), self.with_norm(mine) if name == "points" else mine, KEYS[name], keep if name not in ("runs", "points") else (), version), source)
+            self.publish()
+        finally:
+            self.unstage()
+
+    def with_norm(self, points: DataFrame) -> DataFrame:
         return points.withColumn("norm", V.norm(F.col("vector")))
 
+    # -- upkeep ------------------------------------------------------------------
+
     def vacuum(self) -> int:
-        """Delete snapshot folders that the manifest does not name; only while nobody reads or writes older states."""
-        live, gone = set(self.manifest()["tables"].values()), 0
+        """Delete folders and manifests that are not current; only while nobody reads or writes older states."""
+        current, m = self._current()
+        live = {at for parts in m["tables"].values() for p in parts.values() for at in p["at"]}
+        gone = 0
         for folder in self.fs.listStatus(self.path(self.root)):
             if folder.isDirectory():
                 for old in self.fs.listStatus(folder.getPath()):
                     if f"{folder.getPath().getName()}/{old.getPath().getName()}" not in live:
                         gone += bool(self.fs.delete(old.getPath(), True))
+        for n in self._numbers():
+            if n != current:
+                self.fs.delete(self.path(f"{self.root}/manifest-{n:012d}.json"), False)
         return gone
 
     def reset(self) -> None:

@@ -1,8 +1,12 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from ragloom import config, embedders, models
-from ragloom.commands import Index, overlaps
-from ragloom.errors import ConfigError, EmbeddingError, SourceNotFound
+from ragloom.commands import Index, _like, overlaps
+from ragloom.errors import ConfigError, DimensionMismatch, EmbeddingError, SourceNotFound, StoreError
+from ragloom.plans import search as S
+from ragloom.schemas import POINTS
 from ragloom.sources.store import Store
 from ragloom.streaming.ingest import ingest_stream
 
@@ -129,4 +133,102 @@ def test_models_and_http():
     with pytest.raises(EmbeddingError):
         embedders.vectors_of({})
     assert embedders.http_rerank("http://h", "BAAI/bge-reranker-base", "q", ["a", "b"], lambda *a: {"results": [{"index": 1, "score": 0.5}, {"index": 9, "score": 1}]}) == {1: 0.5}
-    assert overlaps([("dir", "/a"), ("url", "/a")], "dir", "/a/b") == ["/a/b and /a overlap"]
+
+
+def test_overlaps():
+    stored = [("i1", "dir", "/a", None), ("i2", "url", "https://x.org/docs", "docs"), ("i3", "sitemap", "https://x.org/docs/map.xml", None), ("i4", "url", "https://y.org/docs", None)]
+    assert overlaps(stored, "dir", "/a/b") == ["/a/b lies inside /a (i1): its documents may be indexed twice"]
+    assert overlaps(stored, "dir", "/ab") == [] and overlaps(stored, "dir", "/a/") == ["/a/ is indexed already as /a (i1)"]
+    got = overlaps(stored, "sitemap", "https://x.org/docs/")
+    assert got == ["https://x.org/docs/ lies inside docs (i2): its documents may be indexed twice", "https://x.org/docs/ holds https://x.org/docs/map.xml (i3): its documents may be indexed twice"]
+    assert len(overlaps(stored, "url", "https://x.org/docs")) == 2
+
+
+def counting(dim=3):
+    posts = []
+
+    def post(address, body, seconds):
+        if "documents" in body:
+            return {"results": [{"index": i, "score": float(len(d))} for i, d in enumerate(body["documents"])]}
+        open(posts[0], "a").write("".join(f"{len(x)}\n" for x in body["inputs"]))
+        return {"vectors": [[float(len(x)), 1.0, 2.0][:dim] for x in body["inputs"]]}
+
+    return posts, post
+
+
+def test_each_chunk_is_embedded_once_and_other_sources_stay(spark, tmp_path):
+    posts, post = counting()
+    posts.append(str(tmp_path / "posts"))
+    index = make(spark, tmp_path, embedder=embedders.HttpEmbedder("http://h", "BAAI/bge-small-en-v1.5", 3, post=post))
+    for d in ("one", "two"):
+        (tmp_path / d).mkdir()
+        for n in range(3):
+            (tmp_path / d / f"{n}.txt").write_text(f"File {n} of {d}. " * (10 + n))
+    got = [index.ingest_dir(str(tmp_path / d), d) for d in ("one", "two")]
+    assert sum(s.chunks_created for s in got) == 6 == len(open(posts[0]).readlines())
+    parts = index.store.manifest()["tables"]
+    (tmp_path / "one" / "new.txt").write_text("A new file alone. " * 12)
+    assert index.ingest_dir(str(tmp_path / "one")).docs_changed == 1 and len(open(posts[0]).readlines()) == 7
+    now = index.store.manifest()["tables"]
+    for name in ("documents", "chunks", "points"):
+        assert now[name][got[1].source_id] == parts[name][got[1].source_id]  # untouched
+        assert now[name][got[0].source_id]["at"][:1] == parts[name][got[0].source_id]["at"] and len(now[name][got[0].source_id]["at"]) == 2  # appended to
+    (tmp_path / "one" / "0.txt").write_text("Changed. " * 20)
+    assert index.ingest_dir(str(tmp_path / "one")).chunks_deleted == 1 and len(open(posts[0]).readlines()) == 8
+    assert state(index) == (7, 7, 7) and len(index.store.manifest()["tables"]["points"][got[0].source_id]["at"]) == 1
+    # look-ups
+    docs = index.documents("one").collect()
+    assert [d.uri.rsplit("/", 1)[1] for d in docs] == ["0.txt", "1.txt", "2.txt", "new.txt"]
+    assert index.document("one", docs[0].uri).id == docs[0].id and index.document("two", docs[0].uri) is None
+    chunk = index.chunks("one", docs[0].id).first()
+    assert chunk.chunk_text.startswith("Changed") and index.chunk(chunk.point_id).doc_id == docs[0].id
+    assert index.chunks("one", docs[0].id, "image").count() == 0 and index.chunks("one", docs[0].id, "text").count() == 1
+    assert (index.point_ids().count(), index.point_ids("two").count()) == (7, 3)
+    # the model server reranks: the longest text first, with the server's score
+    index.config.embedding.backend = "http"
+    best = index.query("file", k=4, rerank=True).collect()
+    assert best[0].score == max(len(r.chunk_text) for r in index.store.table("chunks").collect())
+    (tmp_path / "two").rename(tmp_path / "away")
+    assert len(index.update()[1]) == 1 and state(index) == (7, 7, 7)  # a folder that is not there loses nothing
+
+
+def test_a_crash_between_the_steps_keeps_the_state(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.txt").write_text("word " * 60)
+    index = make(spark, tmp_path)
+    index.ingest_dir(str(tmp_path / "docs"))
+    before, (number, _) = state(index), index.store._current()
+    with open(f"{tmp_path}/index/manifest-{number + 1:012d}.json", "w") as f:
+        f.write('{"dim": 64, "tables": {"docu')  # a writer that died
+    assert state(make(spark, tmp_path)) == before
+    (tmp_path / "docs" / "b.txt").write_text("other " * 60)
+    index.store._write_manifest = lambda m: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        index.ingest_dir(str(tmp_path / "docs"))
+    again = make(spark, tmp_path)
+    assert state(again) == before
+    assert again.ingest_dir(str(tmp_path / "docs")).docs_changed == 1 and state(again) == (2, 2, 2)
+    assert again.store.vacuum() > 0 and state(again) == (2, 2, 2)
+    for f in (tmp_path / "index").glob("*manifest-*"):
+        f.unlink()
+    with pytest.raises(StoreError):  # tables without a manifest are not an empty index
+        make(spark, tmp_path)
+
+
+def test_store_refuses_vectors_of_another_length(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index")
+    row = "SELECT '{i}' AS id, {v} AS vector, 's' AS source_id"
+    rows = lambda sql: _like(store.with_norm(spark.sql(sql)), POINTS)
+    store.upsert(points=rows(row.format(i="a", v="array(1f, 2f)")))
+    with pytest.raises(DimensionMismatch):
+        store.upsert(points=rows(row.format(i="b", v="array(1f, 2f, 3f)")))
+    assert [r.id for r in store.table("points").collect()] == ["a"] and store.staged == []
+
+
+def test_rerank_leaves_other_modalities_behind_the_texts(spark):
+    points = spark.createDataFrame([("t1", [1.0, 0.0], "text", "aaa"), ("t2", [0.9, 0.1], None, "bbbb"), ("i1", [1.0, 0.01], "image", "alt")], "id string, vector array<float>, modality string, chunk_text string").withColumn("doc_uri", F.col("id"))
+    scorer = lambda query, texts: {i: float(len(t)) for i, t in enumerate(texts)} | {99: 1.0}
+    o = S.QueryOptions(k=5, rerank=True)
+    assert [(r.id, r.score) for r in S.search(points, None, "q", [1.0, 0.0], o, None, scorer).collect()][:2] == [("t2", 4.0), ("t1", 3.0)]
+    assert [r.id for r in S.search(points, None, "q", [1.0, 0.0], o, None, scorer, True).collect()] == ["t2", "i1", "t1"]
+    assert [r.id for r in S.search(points, None, "q", [1.0, 0.0], o, None, lambda q, t: {}).collect()] == ["t1", "t2", "i1"]
