@@ -185,5 +185,7 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
     rows = common.durable(_collapse(docs, key, text, carry=True), "exact")
     reps = rows.where("norm is not null").select("rep", "norm", "least", "least_rid", "copies")
-    kept = _resolve(reps, group_bytes).select(F.col("keep_rid").alias("rid")).distinct()
-    return rows.select("rid", "row").join(kept, "rid", "left_semi").select("row.*")
+    found = _resolve(reps, group_bytes).select("rep", "keep_rid")
+    # the rows that go, by number alone and written: their size decides whether texts are shuffled to meet them
+    dropped = common.durable(rows.select("rid", "rep").join(found, "rep").where(F.col("rid") != F.col("keep_rid")).select("rid"), "exact")
+    return rows.select("rid", "row").join(dropped, "rid", "left_anti").select("row.*")

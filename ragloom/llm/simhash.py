@@ -277,8 +277,14 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     alone = docs.where(number.isNotNull()).join(again, number == again[again_name], "left_anti")
     numbered = shared.select(F.col("row")[key].alias("key"), F.col("row")[text].alias("text"), "rid")
     rows = with_fingerprint(alone, key, text).select("doc_id", F.lit(None).cast("long").alias("rid"), "fp").unionByName(with_fingerprint(numbered, "key", "text", "rid"))
+    rows = common.durable(rows, "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("first")
-    stay = common.durable(_rooted(rows.groupBy("fp").agg(first)).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.rid"), "simhash")
-    by_key = stay.where("rid is null").select(F.col("doc_id").alias(name))
-    by_row = stay.where("rid is not null").select("rid")
-    return docs.join(by_key, number == by_key[name], "left_semi").unionByName(shared.join(by_row, "rid", "left_semi").select("row.*"))
+    rooted = _rooted(rows.groupBy("fp").agg(first))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("stay"))
+    known = rooted.select("fp", "root").join(stay, "root").select("fp", "stay")
+    # the rows that go, by key or number alone and written: their size decides whether texts are shuffled to meet them
+    gone = rows.join(known, "fp").where(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & F.col("rid").eqNullSafe(F.col("stay.rid"))))
+    gone = common.durable(gone.select(F.col("doc_id").alias(name), "rid"), "simhash")
+    by_key, by_row = gone.where("rid is null").select(name), gone.where("rid is not null").select("rid")
+    left = docs.where(number.isNotNull()).join(again, number == again[again_name], "left_anti").join(by_key, number == by_key[name], "left_anti")
+    return left.unionByName(shared.join(by_row, "rid", "left_anti").select("row.*"))
