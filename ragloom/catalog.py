@@ -154,6 +154,42 @@ def rag_search(spark, sf_dir):
     return hits.select("id", "doc_uri", F.round("score", 6).alias("score"), F.left("chunk_text", F.lit(200)).alias("preview"))
 
 
+def _hits(spark, sf_dir) -> DataFrame:
+    """Vectors with the text of the document of the same number, its source for its document, and a modality."""
+    e, d = _table(spark, sf_dir, "embeddings"), _table(spark, sf_dir, "documents")
+    rows = e.join(d, e.vec_id == d.doc_id, "left")
+    return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.coalesce("source", F.lit("none")).alias("doc_uri"), F.col("text").alias("chunk_text"), F.when(F.col("lang") == "en", "text").when(F.col("lang") == "de", "image").alias("modality"))
+
+
+_HITS = f"""
+    p AS (SELECT vec_id AS id, {_COS} AS cos, coalesce(source, 'none') AS doc_uri, text, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'image' END AS modality FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
+    m AS (SELECT avg(strlen(text)) AS mean FROM p), top AS (SELECT *, coalesce({_BM25.replace('(SELECT avg(strlen(text)) FROM documents)', '(SELECT mean FROM m)')}, 0) AS bm25 FROM p ORDER BY cos DESC, id LIMIT 60)"""
+_ASKED = " ".join(TERMS)
+
+
+@query(f"""WITH {_HITS}, r AS (SELECT id, doc_uri, bm25 AS score FROM top WHERE cos >= 0.1 ORDER BY score DESC, id LIMIT 25)
+    SELECT id, doc_uri, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_uri ORDER BY score DESC, id) AS n FROM r) WHERE n = 1 ORDER BY score DESC, id LIMIT 30""")
+def search_rerank_dedupe(spark, sf_dir):
+    """The whole query path: top 2k by cosine, score floor, rerank, best hit of each document, top k."""
+    o = S.QueryOptions(k=30, min_score=0.1, rerank=True, rerank_top_k=25, dedupe=True)
+    return S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), o, reranks_media=True).select("id", "doc_uri", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_HITS}, r AS (SELECT id, bm25 AS score, 0 AS behind FROM top WHERE coalesce(modality, 'text') = 'text' ORDER BY score DESC, id LIMIT 15), o AS (SELECT id, cos AS score, 1 AS behind FROM top WHERE coalesce(modality, 'text') <> 'text')
+    SELECT id, round(score, 6) AS score, (row_number() OVER (ORDER BY behind, score DESC, id))::INTEGER AS place FROM (FROM r UNION ALL FROM o) ORDER BY place LIMIT 30""")
+def search_modalities(spark, sf_dir):
+    """A reranker of texts leaves hits of other modalities behind them, in their own order."""
+    hits = S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), S.QueryOptions(k=30, rerank=True, rerank_top_k=15))
+    rows = [(r.id, r.score, n + 1) for n, r in enumerate(hits.select("id", F.round("score", 6).alias("score")).collect())]  # k rows
+    return spark.createDataFrame(rows, "id long, score double, place int")
+
+
+@query(f"""WITH {_HITS} SELECT id, doc_uri, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_uri ORDER BY score DESC, id) AS n FROM (SELECT id, doc_uri, 0.7::DOUBLE * cos + 0.3::DOUBLE * bm25 AS score FROM top)) WHERE n = 1 AND score >= 0.2 ORDER BY score DESC, id LIMIT 30""")
+def search_hybrid(spark, sf_dir):
+    o = S.QueryOptions(k=30, min_score=0.2, hybrid=True, dedupe=True)
+    return S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), o).select("id", "doc_uri", F.round("score", 6).alias("score"))
+
+
 # -- text ------------------------------------------------------------------
 
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s*\n\s*\n\s*', E'\n\n', 'g'), '[^\S\n]*\n[^\S\n]*', E'\n', 'g'), '[^\S\n]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
@@ -192,6 +228,32 @@ def chunk_stats_by_source(spark, sf_dir):
     return d.join(n, "doc_id", "left").groupBy("source").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
 
 
+CHUNK_SMALL = C.ChunkConfig(max_chars=120, min_chars=30, overlap_chars=40)
+_PLAIN_TEXT = "regexp_replace(text, '[^ -~\\n]', '?', 'g')"
+
+
+@query(f"""
+    WITH RECURSIVE t AS (
+        SELECT item_id, x, strlen(x) AS size, list_filter(range(2, strlen(x) + 1), lambda p: substr(x, p - 1, 2) IN (E'\\n\\n', '. ', E'.\\n', '? ', '! ')) AS cuts FROM (SELECT item_id, {_PLAIN_TEXT} AS x FROM benchmark)),
+    w AS (
+        SELECT item_id, 0::BIGINT AS begins, 0::BIGINT AS ends, -1::BIGINT AS idx, false AS kept, true AS more FROM t
+        UNION ALL
+        SELECT item_id, begins, ends, idx + kept::INTEGER AS idx, kept, ends < size AND (ends > begins) AS more
+        FROM (SELECT *, strlen(trim(substr(x, begins + 1, ends - begins), E' \\n')) >= 30 OR ends = size AS kept
+              FROM (SELECT item_id, x, size, begins, idx, CASE WHEN begins + 120 >= size THEN size WHEN best IS NOT NULL THEN best
+                           WHEN space IS NOT NULL AND space BETWEEN begins + 96 AND least(begins + 144, size) THEN space ELSE begins + 120 END AS ends
+                    FROM (SELECT *, list_max(list_filter(range(greatest(0, begins + 70), least(size, begins + 170)), lambda p: substr(x, p + 1, 1) = ' ')) + 1 AS space,
+                                 list_last(list_sort(list_transform(list_filter(cuts, lambda p: p BETWEEN begins + 96 AND least(begins + 144, size)), lambda p: {{'k': (substr(x, p - 1, 2) = E'\\n\\n')::INTEGER, 'p': p}}))).p AS best
+                          FROM (SELECT t.item_id, x, size, cuts, idx, CASE WHEN w.idx < 0 AND NOT w.kept AND w.ends = 0 THEN 0 WHEN NOT w.kept THEN w.ends WHEN w.ends > 40 AND w.ends - 40 > w.begins THEN w.ends - 40 ELSE w.ends END AS begins
+                                FROM w JOIN t USING (item_id) WHERE w.more))))
+        WHERE begins < size)
+    SELECT item_id, idx::INTEGER AS chunk_index, begins::INTEGER AS char_start, ends::INTEGER AS char_end, sha256(sha256(x) || trim(substr(x, begins + 1, ends - begins), E' \\n')) AS chunk_hash FROM w JOIN t USING (item_id) WHERE kept""")
+def chunk_benchmark(spark, sf_dir):
+    """The chunker over a whole table of short texts, with small chunks, so that recursive SQL can follow it."""
+    b = _table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^ -~\n]", "?").alias("text"))
+    return C.chunk_documents(b, "item_id", config=CHUNK_SMALL).select(F.col("doc_id").alias("item_id"), "chunk_index", "char_start", "char_end", "chunk_hash")
+
+
 _UUID = "substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', 1 + (('0x' || substr(s, 17, 1))::INTEGER % 4), 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12)"
 
 
@@ -339,7 +401,7 @@ def page_technology(spark, sf_dir):
 def crawl_bfs_static(spark, sf_dir):
     """Breadth-first over the stored link graph, three levels from the first page; one join a level."""
     pages = _table(spark, sf_dir, "pages").select("url")
-    edges = _links(spark, sf_dir).where("internal").select("base", "link").distinct()
+    edges = _links(spark, sf_dir).where("internal").select("base", "link").distinct().persist()  # parsed once for all levels
     front = pages.agg(F.min("url").alias("url")).withColumn("depth", F.lit(0))
     seen = front
     for depth in range(1, 4):
@@ -350,60 +412,62 @@ def crawl_bfs_static(spark, sf_dir):
 
 # -- maintenance -----------------------------------------------------------
 
-_V1 = "SELECT doc_id, source, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0"
-_V2 = "SELECT doc_id, source, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0"
+_V1 = "SELECT doc_id, source, doc_id::VARCHAR AS uri, sha256(text) AS h FROM documents"
+_MOVED = "source = 'src3'"
+_NEW_TEXT = "CASE WHEN lang = 'de' THEN text || '!' ELSE text END"
+_V2 = f"SELECT doc_id, source, CASE WHEN {_MOVED} THEN doc_id || '-moved' ELSE doc_id::VARCHAR END AS uri, sha256({_NEW_TEXT}) AS h FROM documents"
 
 
 def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Two states of the index: each lacks some documents, and in the second some texts have changed."""
+    """Two states of the index over whole tables: in the second, German texts have changed and one source's documents have moved."""
     d = _table(spark, sf_dir, "documents")
-    old = d.where("doc_id % 3 <> 0").select("doc_id", F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("uri"), T.content_hash(F.col("text")).alias("content_hash"))
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = d.where("doc_id % 7 <> 0").select("doc_id", F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("uri"), T.content_hash(text).alias("content_hash"))
-    return old, new
+    text = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    moved = F.when(F.expr(_MOVED), F.concat(F.col("doc_id").cast("string"), F.lit("-moved"))).otherwise(F.col("doc_id").cast("string"))
+    state = lambda uri, t: d.select("doc_id", F.col("source").alias("source_id"), uri.alias("uri"), T.content_hash(t).alias("content_hash"))
+    return state(F.col("doc_id").cast("string"), F.col("text")), state(moved, text)
 
 
 @query(f"""
     WITH a AS ({_V1}), b AS ({_V2})
-    SELECT coalesce(b.source, a.source) AS source_id, coalesce(a.doc_id, b.doc_id)::VARCHAR AS uri, CASE WHEN a.doc_id IS NULL THEN 'new-' ELSE 'old-' END || coalesce(a.doc_id, b.doc_id) AS id, coalesce(b.h, a.h) AS content_hash
-    FROM a FULL JOIN b USING (doc_id)""")
+    SELECT coalesce(b.source, a.source) AS source_id, uri, CASE WHEN a.doc_id IS NULL THEN 'new-' ELSE 'old-' END || coalesce(a.doc_id, b.doc_id) AS id, coalesce(b.h, a.h) AS content_hash
+    FROM a FULL JOIN b USING (uri)""")
 def upsert_documents(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     at = lambda df, name, day: df.select("source_id", "uri", F.concat(F.lit(name), "doc_id").alias("id"), "content_hash", F.lit(day).cast("timestamp").alias("created_at"), F.lit(day).cast("timestamp").alias("updated_at"))
     return merge.upsert(at(old, "old-", "2024-01-01"), at(new, "new-", "2024-02-01"), ["source_id", "uri"]).select("source_id", "uri", "id", "content_hash")
 
 
-@query("SELECT doc_id, source AS source_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0")
+@query(f"SELECT doc_id, source AS source_id FROM documents WHERE {_MOVED}")
 def stale_documents(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     return merge.stale(old, new).select("doc_id", "source_id")
 
 
-@query(f"WITH a AS ({_V1}), b AS ({_V2}) SELECT b.doc_id, b.h AS content_hash FROM b LEFT JOIN a ON a.doc_id = b.doc_id AND a.h = b.h WHERE a.doc_id IS NULL")
+@query(f"WITH a AS ({_V1}), b AS ({_V2}) SELECT b.doc_id, b.h AS content_hash FROM b LEFT JOIN a ON a.uri = b.uri AND a.h = b.h WHERE a.doc_id IS NULL")
 def changed_documents(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     return merge.changed(new, old, ["source_id", "uri"]).select("doc_id", "content_hash")
 
 
-_LINES = "SELECT doc_id, unnest(string_split({t}, E'\\n')) AS line FROM documents WHERE {w}"
+_LINES = "SELECT doc_id, unnest(string_split({t}, E'\\n')) AS line FROM documents"
 
 
 @query(f"""
-    WITH a AS (SELECT DISTINCT doc_id, sha256(line) AS chunk_hash FROM ({_LINES.format(t='text', w='doc_id % 3 <> 0')})),
-    b AS (SELECT doc_id, sha256(line) AS chunk_hash FROM ({_LINES.format(t="CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END", w='doc_id % 7 <> 0')}))
+    WITH a AS (SELECT DISTINCT doc_id, sha256(line) AS chunk_hash FROM ({_LINES.format(t='text')})),
+    b AS (SELECT doc_id, sha256(line) AS chunk_hash FROM ({_LINES.format(t=_NEW_TEXT)}))
     SELECT b.doc_id, b.chunk_hash FROM b ANTI JOIN a ON a.doc_id = b.doc_id AND a.chunk_hash = b.chunk_hash""")
 def new_chunks(spark, sf_dir):
-    """Lines stand for chunks here."""
+    """Lines stand for chunks here, so that SQL can follow."""
     d = _table(spark, sf_dir, "documents")
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    lines = lambda df, t: df.select("doc_id", F.explode(F.split(t, "\n")).alias("line")).select("doc_id", F.sha2("line", 256).alias("chunk_hash"))
-    return merge.new_chunks(lines(d.where("doc_id % 7 <> 0"), text), lines(d.where("doc_id % 3 <> 0"), F.col("text"))).select("doc_id", "chunk_hash")
+    text = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    lines = lambda t: d.select("doc_id", F.explode(F.split(t, "\n")).alias("line")).select("doc_id", F.sha2("line", 256).alias("chunk_hash"))
+    return merge.new_chunks(lines(text), lines(F.col("text"))).select("doc_id", "chunk_hash")
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_points(spark, sf_dir):
-    chunks = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("point_id"))
-    return merge.orphans(_points(spark, sf_dir), chunks)
+    """Labels stand for the chunks that name points."""
+    return merge.orphans(_points(spark, sf_dir), _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("point_id")))
 
 
 @query("SELECT 'documents' AS part, count(*) AS n FROM documents WHERE source <> 'src1' UNION ALL SELECT 'chunks', sum(len(string_split(text, E'\\n')))::BIGINT FROM documents WHERE source <> 'src1' UNION ALL SELECT 'sources', count(DISTINCT source) - 1 FROM documents")
@@ -417,7 +481,7 @@ def remove_source(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0")
+@query(f"SELECT doc_id FROM documents WHERE {_MOVED}")
 def prune_missing(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     return old.join(new.select("uri"), "uri", "left_anti").select("doc_id")
@@ -458,10 +522,12 @@ def source_state(spark, sf_dir):
 
 @query(f"WITH s AS (SELECT DISTINCT regexp_replace(url, '[^/]*$', '') AS url FROM pages) SELECT a.url AS one, b.url AS other FROM s a JOIN s b ON {_PAGE_HOST.format(u='a.url')} = {_PAGE_HOST.format(u='b.url')} AND a.url <> b.url AND starts_with(b.url, a.url)")
 def source_overlap(spark, sf_dir):
-    """Folders whose address another's begins with: an equi-join on the host, then the prefix."""
-    p = _table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[^/]*$", "").alias("url")).distinct().select("url", U.host(F.col("url")).alias("host"))
-    a, b = p.select(F.col("url").alias("one"), "host"), p.select(F.col("url").alias("other"), "host")
-    return a.join(b, "host").where("one <> other and startswith(other, one)").select("one", "other")
+    """Folders whose address another's begins with: each folder's own prefixes meet the folders in an equi-join."""
+    p = _table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[^/]*$", "").alias("url")).distinct().where("url <> ''")
+    steps = F.split(F.col("url"), "/")
+    shorter = F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.size(steps) - 2)), lambda n: F.concat(F.array_join(F.slice(steps, 1, n), "/"), F.lit("/")))
+    own = p.select(F.col("url").alias("other"), F.explode(shorter).alias("url")).where("url <> other")
+    return own.join(p, "url").select(F.col("url").alias("one"), "other")
 
 
 @query("SELECT d.doc_id, d.source, len(string_split(d.text, E'\\n'))::INTEGER AS lines FROM documents d JOIN labels l USING (doc_id)")
@@ -475,31 +541,168 @@ def conversation_titles(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.plain_title(F.coalesce("text", F.lit(""))).alias("title"))
 
 
-_MEDIA = [
-    ("p1", "https://x.org/architecture-diagram.png", "Overview of setup", "Overview", ["Overview", "Setup"], False),
-    ("p1", "https://x.org/architecture-diagram.png", "Diagram", "Overview", ["Overview", "Setup"], False),
-    ("p1", "https://x.org/logo.png", "Overview", "Overview", ["Overview"], False),
-    ("p1", "https://x.org/chart.svg", "Setup", "Overview", ["Setup"], False),
-    ("p2", "https://x.org/flow.jpg", "The setup flow", "Guide", ["Setup"], False),
-    ("p2", "https://x.org/flow-bg.jpg", "The setup flow", "Guide", ["Setup"], True),
-    ("p2", "https://x.org/plot.gif?x=1", "The setup plot", "Guide", ["Setup"], False),
-]
-_VALUES = ", ".join(f"('{p}', '{u}', '{a}', '{t}', [{', '.join(repr(x) for x in h)}], {str(c).lower()})" for p, u, a, t, h, c in _MEDIA)
+_BASE_HEADS = f"SELECT page_id, list(text ORDER BY level, text) AS headings FROM (SELECT page_id, level, trim(regexp_replace(raw, '<[^>]+>', '', 'g')) AS text FROM ({_LEVELS})) WHERE text <> '' GROUP BY 1"
 
 
 @query(rf"""
-    WITH m(page, url, alt, title, headings, css) AS (VALUES {_VALUES}),
-    s AS (SELECT *, least(0.35 * (trim(alt) <> '')::INTEGER + 0.2 * (len(list_filter(headings, lambda h: contains(lower(trim(alt)), lower(h)))) > 0)::INTEGER + 0.1 * contains(lower(trim(alt)), lower(title))::INTEGER
-        + 0.2 * regexp_matches(lower(url), '{"|".join(images.GOOD)}')::INTEGER - 0.3 * regexp_matches(lower(url), '{"|".join(images.BAD)}')::INTEGER - 0.1 * css::INTEGER, 1.0)::DOUBLE AS r FROM m
-        WHERE NOT css AND NOT regexp_matches(lower(url), '\.svgz?($|[?#])') AND regexp_matches(lower(url), '^https?://.*\.(png|jpg|jpeg|gif|webp|bmp|tiff)$'))
-    SELECT page, url, alt, round(r, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY page, url ORDER BY r DESC, alt) AS n FROM s WHERE round(r, 6) >= 0.6) WHERE n = 1""")
+    {_LINKS}, h AS ({_BASE_HEADS}),
+    m AS (SELECT page_id AS page, {_NORM_URL.replace('base', 'link')} || '/flow-diagram.png' AS url, coalesce(text, '') || coalesce(' ' || headings[1], '') AS alt, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, headings
+          FROM l LEFT JOIN h USING (page_id) JOIN (SELECT page_id, html FROM pages) USING (page_id)
+          UNION ALL SELECT page_id, url || '/logo.png', 'logo', NULL, NULL FROM pages UNION ALL SELECT page_id, url || '/plot.svg', 'plot', NULL, NULL FROM pages),
+    s AS (SELECT *, least(0.35 * (trim(alt) <> '')::INTEGER + 0.2 * coalesce(len(list_filter(headings, lambda h: contains(lower(trim(alt)), lower(h)))) > 0, false)::INTEGER + 0.1 * coalesce(contains(lower(trim(alt)), lower(title)), false)::INTEGER
+        + 0.2 * regexp_matches(lower(url), '{"|".join(images.GOOD)}')::INTEGER - 0.3 * regexp_matches(lower(url), '{"|".join(images.BAD)}')::INTEGER, 1.0)::DOUBLE AS r FROM m
+        WHERE NOT regexp_matches(lower(url), '\.svgz?($|[?#])') AND regexp_matches(lower(url), '^https?://.*\.(png|jpg|jpeg|gif|webp|bmp|tiff)$')),
+    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page, url ORDER BY r DESC, alt) AS n FROM s WHERE round(r, 6) >= 0.6) WHERE n = 1)
+    SELECT page, url, alt, round(r, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY r DESC, url) AS m FROM u) WHERE m <= 10""")
 def image_candidates(spark, sf_dir):
-    media = spark.createDataFrame(_MEDIA, "page string, url string, alt string, title string, headings array<string>, css_background boolean")
+    """The pages hold no images, so each link stands for one beside it; alt texts, titles and headings are the pages' own."""
+    p = _table(spark, sf_dir, "pages")
+    heads = F.array_sort(F.transform(H.headings(F.col("html")), lambda h: F.struct(h["level"].alias("level"), h["text"].alias("text"))))
+    facts = p.select("page_id", H.title(F.col("html")).alias("title"), F.transform(heads, lambda h: h["text"]).alias("headings"))
+    linked = _links(spark, sf_dir).select("page_id", "link", "text").join(facts, "page_id")
+    alt = F.concat(F.coalesce("text", F.lit("")), F.coalesce(F.concat(F.lit(" "), F.get("headings", F.lit(0))), F.lit("")))
+    media = linked.select(F.col("page_id").alias("page"), F.concat(U.normalize(F.col("link")), F.lit("/flow-diagram.png")).alias("url"), alt.alias("alt"), "title", "headings")
+    other = lambda name, alt: p.select(F.col("page_id").alias("page"), F.concat("url", F.lit(name)).alias("url"), F.lit(alt).alias("alt"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("array<string>").alias("headings"))
+    media = media.unionByName(other("/logo.png", "logo")).unionByName(other("/plot.svg", "plot")).withColumn("css_background", F.lit(False))
     return images.candidates(media).select("page", "url", "alt", F.round("relevance", 6).alias("relevance"))
 
 
-@query("SELECT a.event_id AS id, bit_count(xor(a.event_id * 2654435761, (a.event_id + 1) * 2654435761))::INTEGER AS distance, bit_count(xor(a.event_id * 2654435761, (a.event_id + 1) * 2654435761)) <= 5 AS alike FROM events a")
+_PHASH = "xor(('0x' || substr(md5((event_id // 8) || event_type), 1, 15))::BIGINT, 1::BIGINT << (event_id % 60)::INTEGER)"
+
+
+def _hashes(spark, sf_dir) -> DataFrame:
+    """Events stand for images, eight to a page; images of one kind on a page differ in two bits at the most."""
+    base = F.conv(F.substring(F.md5(F.concat(F.floor(F.col("event_id") / 8).cast("string"), "event_type")), 1, 15), 16, 10).cast("long")
+    bit = F.expr("shiftleft(1L, cast(event_id % 60 as int))")
+    return _table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 8).alias("page"), F.col("event_id").alias("id"), base.bitwiseXOR(bit).alias("hash"))
+
+
+@query(f"""
+    WITH h AS (SELECT event_id // 8 AS page, event_id AS id, {_PHASH} AS hash FROM events)
+    SELECT a.page, a.id AS one, b.id AS other, bit_count(xor(a.hash, b.hash))::INTEGER AS distance FROM h a JOIN h b ON a.page = b.page AND a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 5""")
 def phash_near_dup(spark, sf_dir):
-    k = F.lit(2654435761)
-    d = images.hamming(F.col("event_id") * k, (F.col("event_id") + 1) * k)
-    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), d.alias("distance"), (d <= images.HAMMING).alias("alike"))
+    """All pairs of near images of a page."""
+    return images.near_pairs(_hashes(spark, sf_dir)).select("page", "one", "other", "distance")
+
+
+@query()
+def distinct_images(spark, sf_dir):
+    """The images of each page that are kept, in order; a greedy choice that SQL does not express."""
+    return images.distinct(_hashes(spark, sf_dir)).select("page", "id")
+
+
+@query("""
+    WITH a AS (SELECT source AS page, CASE WHEN lang = 'de' THEN 'image/svg+xml' ELSE 'image/png' END AS content_type, n_chars AS size, sha256(text) AS sha FROM documents)
+    SELECT DISTINCT page, sha, size FROM a WHERE content_type NOT LIKE '%svg%' AND size BETWEEN 4096 AND 5000000""")
+def image_assets(spark, sf_dir):
+    """Documents stand for fetched files, their sources for pages."""
+    d = _table(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "de", "image/svg+xml").otherwise("image/png")
+    return images.acceptable(d.select(F.col("source").alias("page"), kind.alias("content_type"), F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha"))).select("page", "sha", "size")
+
+
+@query("SELECT conv_id, turn, concat_ws(' | ', nullif(trim(left(text, 12)), ''), nullif(trim(role), ''), CASE WHEN turn > 0 THEN 'Part > ' || turn END) AS context FROM conversations")
+def image_context(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    heads = F.when(F.col("turn") > 0, F.array(F.lit("Part"), F.col("turn").cast("string")))
+    return c.select("conv_id", "turn", images.context(F.left("text", F.lit(12)), F.col("role"), heads).alias("context"))
+
+
+@query("SELECT page_id, [url || '/a.png', url || '/b.png?x=1'] AS urls FROM pages")
+def srcset_urls(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    return p.select("page_id", U.srcset(F.concat("url", F.lit("/a.png 1x, "), "url", F.lit("/b.png?x=1  2x,"))).alias("urls"))
+
+
+# -- look-ups --------------------------------------------------------------
+
+
+@query("SELECT doc_id, source AS source_id, lang AS uri FROM documents WHERE source = 'src5'")
+def documents_of_source(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), F.col("lang").alias("uri"))
+    return status.documents_of(d, "src5")
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Conversations stand for documents, their turns for chunks, roles for modalities."""
+    c = _table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("chunk_index"), F.nullif("role", F.lit("user")).alias("modality"), F.concat_ws(":", "conv_id", "turn").alias("point_id"), F.sha2("text", 256).alias("chunk_hash"))
+
+
+@query("SELECT conv_id::VARCHAR AS doc_id, turn::INTEGER AS chunk_index, conv_id || ':' || turn AS point_id FROM conversations WHERE conv_id = 3")
+def chunks_of_document(spark, sf_dir):
+    return status.chunks_of(_turns(spark, sf_dir), "3").select("doc_id", "chunk_index", "point_id")
+
+
+@query("SELECT turn::INTEGER AS chunk_index FROM conversations WHERE conv_id = 3 AND role = 'assistant'")
+def chunks_by_modality(spark, sf_dir):
+    return status.chunks_of(_turns(spark, sf_dir), "3", "assistant").select("chunk_index")
+
+
+@query("SELECT conv_id || ':' || turn AS point_id FROM conversations WHERE conv_id = 3 AND role = 'user' AND turn >= 1")
+def chunks_from_index(spark, sf_dir):
+    """The text chunks (users' turns here) of a document from a place on."""
+    t = _turns(spark, sf_dir).withColumn("modality", F.coalesce("modality", F.lit("text")))
+    return merge.chunks_from(t, "3", 1).select("point_id")
+
+
+@query("SELECT conv_id || ':' || turn AS point_id FROM conversations WHERE conv_id = 3 AND role = 'assistant'")
+def chunks_removed_by_modality(spark, sf_dir):
+    gone, _ = merge.split_modality(_turns(spark, sf_dir), "3", "assistant")
+    return gone.select("point_id")
+
+
+@query("SELECT DISTINCT conv_id || ':' || turn AS point_id FROM conversations JOIN documents ON conv_id = doc_id WHERE source = 'src2'")
+def point_ids_of_source(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"))
+    return merge.point_ids(_turns(spark, sf_dir), d, "src2")
+
+
+@query("SELECT DISTINCT conv_id || ':' || turn AS point_id FROM conversations")
+def all_point_ids(spark, sf_dir):
+    return merge.point_ids(_turns(spark, sf_dir))
+
+
+@query("""
+    WITH a AS (SELECT conv_id, turn, 'old' AS id, sha256(text) AS h FROM conversations), b AS (SELECT conv_id, turn + 1 AS turn, 'new' AS id, sha256(text || role) AS h FROM conversations)
+    SELECT coalesce(a.conv_id, b.conv_id)::VARCHAR AS doc_id, coalesce(a.turn, b.turn)::INTEGER AS chunk_index, coalesce(a.id, b.id) AS id, coalesce(b.h, a.h) AS chunk_hash FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn""")
+def upsert_chunks(spark, sf_dir):
+    """A chunk that comes again keeps its id and takes the new hash."""
+    c = _table(spark, sf_dir, "conversations")
+    rows = lambda shift, text, name, day: c.select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + shift).cast("int").alias("chunk_index"), F.lit(name).alias("id"), F.sha2(text, 256).alias("chunk_hash"), F.lit(day).cast("timestamp").alias("created_at"), F.lit(day).cast("timestamp").alias("updated_at"))
+    return merge.upsert(rows(0, F.col("text"), "old", "2024-01-01"), rows(1, F.concat("text", "role"), "new", "2024-02-01"), ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", "id", "chunk_hash")
+
+
+@query("""
+    WITH r AS (SELECT 'src' || (user_id % 20) AS source_id, *, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, event_id DESC) AS n FROM events),
+    d AS (SELECT source, count(*) AS documents, sum(len(string_split(text, E'\\n')))::BIGINT AS chunks FROM documents GROUP BY 1)
+    SELECT source AS id, documents, chunks, CASE WHEN event_type = 'click' THEN 'indexing' WHEN event_type = 'error' THEN 'error' ELSE 'ready' END AS state, CASE WHEN event_type = 'error' THEN 2 ELSE 0 END::INTEGER AS error_count
+    FROM d LEFT JOIN r ON r.source_id = source AND n = 1""")
+def list_sources(spark, sf_dir):
+    """Sources with their counts, the state and the errors of their latest run."""
+    d, e = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "events")
+    sources = d.select(F.col("source").alias("id")).distinct().select("id", F.lit("dir").alias("source_type"), F.col("id").alias("uri"), F.lit(None).cast("string").alias("name"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    runs = e.select(F.col("event_id").alias("id"), F.concat(F.lit("src"), F.col("user_id") % 20).alias("source_id"), F.lit("ingest").alias("operation"), F.expr(_STATUS).alias("status"), F.col("ts").alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.when(F.col("event_type") == "error", F.array("event_type", "props")).alias("errors"))
+    docs, chunks = d.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id")), d.select("doc_id", F.explode(F.split("text", "\n")))
+    return status.list_sources(sources, docs, chunks, runs).select("id", "documents", "chunks", "state", "error_count")
+
+
+@query("SELECT source || ':' || source AS line FROM (SELECT DISTINCT source FROM documents)")
+def source_completions(spark, sf_dir):
+    return status.completions(_table(spark, sf_dir, "documents").select(F.col("source").alias("id")).distinct().select("id", F.lit(None).cast("string").alias("name"), F.col("id").alias("uri")), "zsh")
+
+
+@query("SELECT page_id, string_split(url, '#')[1] || '#/page/' || page_id AS link FROM pages")
+def hash_route_urls(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    return p.select("page_id", U.hash_route(F.col("url"), F.concat(F.lit("/page/"), "page_id")).alias("link"))
+
+
+@query(f"""
+    WITH f AS (SELECT min(url) AS base FROM pages), s AS (SELECT {_PAGE_HOST.format(u='base')} AS host, regexp_replace({_PATH}, '[^/]*$', '') AS folder FROM f),
+    {_LINKS.replace('WITH a AS', 'a AS')}
+    SELECT DISTINCT link, {_PAGE_HOST.format(u='link')} = s.host AND starts_with({_PATH.replace('base', 'link')}, s.folder) AS inside FROM l, s""")
+def crawl_scope(spark, sf_dir):
+    """Whether links lie on the first page's host and under its folder."""
+    first = _table(spark, sf_dir, "pages").agg(F.min("url").alias("u")).select(U.host(F.col("u")).alias("host"), F.regexp_replace(U.path(F.col("u")), "[^/]*$", "").alias("folder")).first()
+    return _links(spark, sf_dir).select("link").distinct().select("link", U.in_scope(F.col("link"), [first.host], first.folder).alias("inside"))

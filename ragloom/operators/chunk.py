@@ -56,6 +56,24 @@ def break_points(data: bytes, headings: list[tuple[int, str, int]], prefer: bool
     return found
 
 
+def find_code_blocks(text: str) -> list[tuple[int, int]]:
+    """(begin, end) in bytes of the fenced blocks, fences included; one that is not closed does not count."""
+    found, begin, at = [], None, 0
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        if line.strip().startswith((b"```", b"~~~")):
+            if begin is None:
+                begin = at
+            else:
+                found.append((begin, at + len(line) + 1))
+                begin = None
+        at += len(line) + 1
+    return found
+
+
+def in_code_block(position: int, blocks: list[tuple[int, int]]) -> bool:
+    return any(begin <= position < end for begin, end in blocks)
+
+
 def floor_boundary(data: bytes, at: int) -> int:
     at = min(at, len(data))
     while 0 < at < len(data) and data[at] & 0xC0 == 0x80:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,42 @@ def drop_alike(hashes: list[int], radius: int = HAMMING) -> list[int]:
     return kept
 
 
+def near_pairs(hashes: DataFrame, radius: int = HAMMING, bits: int = 64) -> DataFrame:
+    """hashes: page, id, hash.  (page, one, other, distance) of the pairs of a page within ``radius``, each once.
+
+    Two hashes that differ in ``radius`` bits agree in one of ``radius`` + 1
+    blocks, so pairs meet in an equi-join on page, block and its bits, and are
+    taken from the first block in which they agree.
+    """
+    n = radius + 1
+    edges = [bits * k // n for k in range(n + 1)]
+    block = lambda c, k: F.expr(f"shiftrightunsigned({c}, {edges[k]})").bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+    parts = F.posexplode(F.array(*[block("hash", k) for k in range(n)])).alias("block", "bits")
+    dealt = hashes.select("page", "id", "hash", parts)
+    a = dealt.select("page", "block", "bits", F.col("id").alias("one"), F.col("hash").alias("h"))
+    b = dealt.select("page", "block", "bits", F.col("id").alias("other"), F.col("hash").alias("g"))
+    pairs = a.join(b, ["page", "block", "bits"]).where("one < other").withColumn("distance", hamming(F.col("h"), F.col("g"))).where(F.col("distance") <= radius)
+    differ = F.col("h").bitwiseXOR(F.col("g"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] if edges[k + 1] < 64 else -(1 << edges[k]))) == 0, k) for k in range(n)])
+    return pairs.where(F.col("block") == first).select("page", "one", "other", "distance")
+
+
+def distinct(hashes: DataFrame, radius: int = HAMMING) -> DataFrame:
+    """hashes: page, id, hash.  The images of each page kept when they are taken by id and those near a kept one go.
+
+    A page's images are few once ``candidates`` has chosen them; a null hash is near to nothing.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable")
+        known = rows[rows["hash"].notna()]
+        kept = known.iloc[drop_alike([int(h) & (1 << 64) - 1 for h in known["hash"]], radius)]
+        return pd.concat([kept, rows[rows["hash"].isna()]])[["page", "id"]]
+
+    kinds = dict(hashes.dtypes)
+    return hashes.select("page", "id", "hash").groupBy("page").applyInPandas(run, f"page {kinds['page']}, id {kinds['id']}")
+
+
 def acceptable(assets: DataFrame, least: int = LEAST_BYTES, most: int = MOST_BYTES) -> DataFrame:
     """assets: page, content_type, size, sha.  No SVG, sizes in range, equal bytes once a page."""
     rows = assets.where(~F.lower(F.coalesce("content_type", F.lit(""))).contains("svg")).where(F.col("size").between(least, most))

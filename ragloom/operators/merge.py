@@ -43,6 +43,19 @@ def chunks_from(chunks: DataFrame, doc_id: str, index: int) -> DataFrame:
     return chunks.where((F.col("doc_id") == doc_id) & (F.coalesce("modality", F.lit("text")) == "text") & (F.col("chunk_index") >= index))
 
 
+def split_modality(chunks: DataFrame, doc_id: str, modality: str) -> tuple[DataFrame, DataFrame]:
+    """(a document's chunks of a modality, all other chunks); chunks without a modality are text."""
+    mine = F.coalesce((F.col("doc_id") == doc_id) & (F.coalesce("modality", F.lit("text")) == modality), F.lit(False))
+    return chunks.where(mine), chunks.where(~mine)
+
+
+def point_ids(chunks: DataFrame, documents: DataFrame | None = None, source_id: str | None = None) -> DataFrame:
+    """The points that chunks name, of all sources or of one."""
+    if documents is not None:
+        chunks = chunks.join(documents.where(F.col("source_id") == source_id).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return chunks.select("point_id").distinct()
+
+
 def orphans(points: DataFrame, chunks: DataFrame) -> DataFrame:
     """Points that no chunk names, over all sources."""
     return points.select("id").join(chunks.select(F.col("point_id").alias("id")).distinct(), "id", "left_anti")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from ragloom.functions import html as H
@@ -88,6 +90,69 @@ def test_images(spark):
     assert one(spark, U.is_svg(F.col("t")), t="https://x/icon.svgz?x=1") is True
 
 
+def test_distinct_images_equal_a_loop(spark):
+    rng = random.Random(3)
+    rows = []
+    for page in range(6):
+        base = [rng.getrandbits(64) for _ in range(3)]
+        for i in range(rng.randint(0, 9)):
+            h = rng.choice(base)
+            for _ in range(rng.randint(0, 7)):
+                h ^= 1 << rng.randrange(64)
+            rows.append((page, page * 100 + i, h - (1 << 64) if h >> 63 else h))
+    rows += [(7, 701, None), (7, 702, None)]
+    frame = spark.createDataFrame(rows, "page long, id long, hash long")
+    far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want, pairs = [], set()
+    for page in range(6):
+        kept, mine = [], [(i, h) for p, i, h in rows if p == page]
+        for i, h in mine:
+            if all(far(h, k) > 5 for _, k in kept):
+                kept.append((i, h))
+        want += [i for i, _ in kept]
+        pairs |= {(i, j, far(h, g)) for i, h in mine for j, g in mine if i < j and far(h, g) <= 5}
+    assert sorted(r.id for r in images.distinct(frame).collect()) == sorted([*want, 701, 702])
+    got = [(r.one, r.other, r.distance) for r in images.near_pairs(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) > 5
+
+
+def plain_chunks(text, most, least, overlap):
+    """The chunker as a plain loop over bytes, written from its description."""
+    data, begin, out = text.encode(), 0, []
+    ends = sorted({i + 2: (3 if data[i : i + 2] == b"\n\n" else 2) for i in range(len(data)) if data[i : i + 2] in (b"\n\n", b". ", b".\n", b"? ", b"! ")}.items())
+    floor = lambda i: i if i >= len(data) or i <= 0 or data[i] >> 6 != 2 else floor(i - 1)
+    while begin < len(data):
+        target, low, high = begin + most, begin + most * 4 // 5, min(begin + most * 6 // 5, len(data))
+        end = len(data)
+        if target < len(data):
+            near = [(rank, at) for at, rank in ends if low <= at <= high]
+            spaces = [i + 1 for i in range(max(0, target - 50), min(len(data), target + 50)) if data[i : i + 1] == b" "]
+            end = max(near)[1] if near else spaces[-1] if spaces and low <= spaces[-1] <= high else floor(target)
+        piece = data[begin:end].decode(errors="replace").strip()
+        if len(piece.encode()) < least and end < len(data):
+            begin = end
+            continue
+        out.append((begin, end, piece))
+        if end == len(data):
+            break
+        back = floor(end - overlap) if end > overlap else end
+        begin = back if back > begin else end
+    return out
+
+
+def test_chunks_equal_a_plain_loop(spark):
+    """Over every document of a table, against a loop of its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = sorted((r.doc_id, i, *c) for r in docs.collect() for i, c in enumerate(plain_chunks(r.text or "", 1500, 100, 200)))
+    got = sorted((r.doc_id, r.chunk_index, r.char_start, r.char_end, r.chunk_text) for r in C.chunk_documents(docs).collect())
+    assert got == want
+    for n, most in ((1, 40), (2, 77)):
+        for r in docs.limit(60).collect():
+            assert [c[1:4] for c in C.chunk_text(r.text or "", [], C.ChunkConfig(most, 10 * n, 9 * n))] == plain_chunks(r.text or "", most, 10 * n, 9 * n)
+    blocks = C.find_code_blocks("a\n```py\nb\n```\nc\n~~~\nd")
+    assert blocks == [(2, 14)] and C.in_code_block(9, blocks) and not C.in_code_block(14, blocks)
+
+
 def test_states_and_merge(spark):
     assert one(spark, status.state(F.col("s"), F.col("o")), s="running", o="update") == "updating"
     points = spark.createDataFrame([(1,), (2,)], "id long")
