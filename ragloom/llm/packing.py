@@ -9,8 +9,14 @@ last.  The search's work does not grow with the corpus.
 Search: the largest remaining length opens a bin; undominated fillings of the
 rest are enumerated, the least waste first, starting from the best-fit filling
 as incumbent and pruned by waste bounds.  Complete packings from best-fit
-fillings and from least-waste fillings are the first incumbents; branching
-goes on until the lower bound is met or ``NODES`` fillings were tried.
+fillings and from least-waste fillings are the first incumbents.  Branching
+goes by discrepancy: first packings that leave the least-waste filling once,
+wherever that is, then twice, and so on, so that effort is spread from the first
+bin to the last.  It ends when the lower bound is met, when all is searched, or
+when ``NODES`` fillings and ``PER_LENGTH`` more for each length were tried; the
+last case is logged with both numbers.  A node enumerates up to ``MOST``
+fillings in ``STEPS`` steps; fillings of more than ``TESTED`` pieces are not
+tested for dominance, which only lets more of them through.
 
 Pieces get their place by rank: within a task as they are written, plus the
 counts of the tasks before it, so no window gathers a length in one task.
@@ -21,6 +27,7 @@ are packed each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from array import array
 from collections import Counter
@@ -34,7 +41,10 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-CAPACITY, CLOSING, NODES = 2048, 0, 4000
+CAPACITY, CLOSING = 2048, 0
+#: Bounds of the search, on the driver, whatever the corpus.
+NODES, PER_LENGTH, MOST, STEPS, TESTED = 4000, 8, 4, 4000, 8
+_LOG = logging.getLogger(__name__)
 
 
 class ByteEncoder:
@@ -92,7 +102,7 @@ def best_fit(counts: np.ndarray, room: int) -> list[int]:
 
 def _dominated(filling: tuple, slack: int, counts: np.ndarray) -> bool:
     """Whether one unused length could take the place of two or more of the filling, wasting no more."""
-    if len(filling) > 8:
+    if len(filling) > TESTED:
         return False
     used = Counter(filling)
     sums = {0: 0}
@@ -107,7 +117,7 @@ def _dominated(filling: tuple, slack: int, counts: np.ndarray) -> bool:
     return False
 
 
-def fillings(counts: np.ndarray, room: int, most: int = 4, steps: int = 4000) -> list[tuple]:
+def fillings(counts: np.ndarray, room: int, most: int = MOST, steps: int = STEPS) -> list[tuple]:
     """Up to ``most`` undominated fillings of ``room``, least waste first; the best-fit one is the incumbent that bounds waste."""
     if room and counts[room]:
         return [(room,)]  # one document that fills the rest dominates every other filling
@@ -159,31 +169,38 @@ def _dive(counts: np.ndarray, room: int, fill) -> list[tuple[tuple, int]]:
     return out
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple, int]]:
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | None = None) -> list[tuple[tuple, int]]:
     """(filling, times) that use up ``counts`` (index: length) in as few bins as the search finds."""
     counts = np.asarray(counts, np.int64)
     size = np.arange(len(counts))
-    bound = -(-int((counts * size).sum()) // capacity)
-    used = lambda plan: sum(t for _, t in plan)
+    least = lambda c: -(-int((c * size).sum()) // capacity)
+    bound, used = least(counts), lambda plan: sum(t for _, t in plan)
+    nodes = NODES + PER_LENGTH * int((counts > 0).sum()) if nodes is None else nodes
     best = min((_dive(counts, capacity, best_fit), _dive(counts, capacity, lambda c, r: fillings(c, r, 1)[0])), key=used)
-    todo = [(counts.copy(), [], 0)]
-    while todo and nodes > 0 and used(best) > bound:
-        left, plan, bins = todo.pop()
-        if not left.any():
-            if bins < used(best):
-                best = plan
-            continue
-        if bins + -(-int((left * size).sum()) // capacity) >= used(best):
-            continue
-        first = int(np.flatnonzero(left)[-1])
-        left[first] -= 1
-        choices = fillings(left, capacity - first)
-        left[first] += 1
-        nodes -= len(choices)
-        for rest in reversed(choices):
-            pattern, after = (first, *rest), left.copy()
-            times = _apply(after, Counter(pattern))
-            todo.append((after, [*plan, (pattern, times)], bins + times))
+    allowed, cut = 0, True
+    while cut and nodes > 0 and used(best) > bound:
+        cut, todo = False, [(counts.copy(), [], 0, allowed)]
+        while todo and nodes > 0 and used(best) > bound:
+            left, plan, bins, free = todo.pop()
+            if not left.any():
+                if bins < used(best):
+                    best = plan
+                continue
+            if bins + least(left) >= used(best):
+                continue
+            first = int(np.flatnonzero(left)[-1])
+            left[first] -= 1
+            choices = fillings(left, capacity - first)
+            left[first] += 1
+            nodes -= len(choices)
+            cut |= len(choices) > 1 and free == 0
+            for n, rest in reversed(list(enumerate(choices if free else choices[:1]))):
+                pattern, after = (first, *rest), left.copy()
+                times = _apply(after, Counter(pattern))
+                todo.append((after, [*plan, (pattern, times)], bins + times, free - (n > 0)))
+        allowed += 1
+    if used(best) > bound:
+        _LOG.warning("packing uses %d sequences, the lower bound is %d%s", used(best), bound, "" if nodes > 0 else "; the search ended by its limit")
     return best
 
 
