@@ -208,6 +208,103 @@ def test_packing_is_exact_on_small_bins():
         assert sum(t for _, t in plan) == least(sizes, 20)
 
 
+def test_packing_reports_what_it_misses(caplog):
+    """Three pieces of over half a bin need three bins where the bound says two, and the log says so."""
+    assert sum(t for _, t in packing.bin_completion(np.bincount([11, 11, 11], minlength=21), 20)) == 3
+    assert "3 sequences, the lower bound is 2" in caplog.text and "limit" not in caplog.text
+    rng = random.Random(12)
+    hot = np.bincount([rng.randint(1025, 1100) for _ in range(3000)] + [rng.randint(1, 900) for _ in range(2500)], minlength=2049)
+    plan = packing.bin_completion(hot)
+    bound = -(-int((hot * np.arange(2049)).sum()) // 2048)
+    least = max(bound, int(hot[1025:].sum()))  # no two of the long ones share a bin
+    assert least <= sum(t for _, t in plan) <= least * 1.002
+
+
+def brute_em(patterns, counts, q):
+    """One round of expectation-maximisation over single votes, and the likelihood before it."""
+    votes = [(p, q[i]) for i, p in enumerate(patterns) for _ in range(int(counts[i]))]
+    table = np.full((len(patterns[0]), 2, 3), 0.1)
+    for p, good in votes:
+        for k, v in enumerate(p):
+            table[k, 1, v + 1] += good
+            table[k, 0, v + 1] += 1 - good
+    table /= table.sum(2, keepdims=True)
+    share = sum(g for _, g in votes) / len(votes)
+    like = lambda p, c: np.prod([table[k, c, v + 1] for k, v in enumerate(p)])
+    both = [(share * like(p, 1), (1 - share) * like(p, 0)) for p in patterns]
+    return np.array([a / (a + b) for a, b in both]), sum(n * np.log(a + b) for n, (a, b) in zip(counts, both, strict=True))
+
+
+def test_quality_em_equals_brute_force():
+    """The fixed point over all vote patterns is one of plain EM, no worse in likelihood than where it began, and finds planted accuracies."""
+    rng = np.random.default_rng(2)
+    truth, accuracy = rng.random(4000) < 0.7, (0.95, 0.9, 0.8, 0.7)
+    votes = np.stack([np.where(rng.random(4000) < 0.3, -1, np.where(rng.random(4000) < a, truth, ~truth)) for a in accuracy], 1).astype(int)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    q, table, share = quality.expectation_maximisation(patterns, counts.astype(float))
+    again, end = brute_em(patterns, counts, q)
+    assert np.abs(again - q).max() < 1e-6
+    good, bad = (patterns == 1).sum(1), (patterns == 0).sum(1)
+    _, began = brute_em(patterns, counts, np.where(bad > 0, 0.15, np.where(good > 0, 0.9, 0.5)))
+    assert end >= began and abs(share - 0.7) < 0.05
+    for k, a in enumerate(accuracy):
+        assert abs(table[k, 1, 2] / table[k, 1, 1:].sum() - a) < 0.06
+
+
+def test_quality_scores_equal_a_plain_loop(spark, docs):
+    """The whole query against votes, EM, and the scorer's arithmetic in memory."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    votes = [tuple(quality.votes(quality.measures(t)[0])) for _, t in rows]
+    patterns = sorted(set(votes), key=lambda v: sum((x + 1) * 3**k for k, x in enumerate(v)))
+    q, _, _ = quality.expectation_maximisation(np.array(patterns), np.array([votes.count(p) for p in patterns], float))
+    out = quality.score_quality(docs).collect()
+    weak = defaultdict(list)
+    for r in out:
+        weak[r.doc_id].append(r.weak)
+        assert r.keep == (r.score >= 0.5)
+    for (i, _), v in zip(rows, votes, strict=True):
+        assert any(abs(w - q[patterns.index(v)]) < 1e-9 for w in weak[i])
+
+
+def test_toxicity_gradient_and_penalty():
+    """The fit is a minimum of its loss, written out plainly, and the penalty narrows what a swap of groups changes."""
+    rng = random.Random(5)
+    texts, labels = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        words = {rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(3)} | ({"vile"} if bad and rng.random() < 0.9 else set())
+        if rng.random() < (0.7 if bad else 0.1):
+            words.add("muslims")
+        texts.append(words)
+        labels.append(bad)
+    features, named = [toxicity.text_features(w) for w in texts], [sorted(w for w in ws if w in toxicity._SWAP) for ws in texts]
+    y = np.array(labels, float)
+    n, up, down = len(y), len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(weights, bias, fair, sparse):
+        total = 0.0
+        for i, (words, held, label) in enumerate(zip(texts, named, labels, strict=True)):
+            score = lambda ws: sigmoid(bias + sum(weights.get(f, 0.0) for f in {f for w in ws for f in toxicity.word_features(w)}))
+            has, one, two = toxicity.swaps(held, i)
+            a, b = (score((words - set(has)) | set(terms)) for terms in (one, two))
+            p = score(words)
+            total += -(up * np.log(p) if label else down * np.log(1 - p)) / n + fair * (a - b) ** 2 / n
+        scale = {f: 1 / np.sqrt(max(1, sum(f in set(r.tolist()) for r in features)) / n + 1e-3) for f in weights}
+        return total + sparse * sum(abs(w) for w in weights.values()), scale
+
+    for fair in (0.0, 1.0):
+        weights, bias = toxicity.fit(features, named, np.array(labels), rounds=3000, fair=fair)
+        here, _ = loss(weights, bias, fair, toxicity.SPARSE)
+        top = sorted(weights, key=lambda f: -abs(weights[f]))[:12]
+        for f in top:
+            for step in (1e-3, -1e-3):
+                assert loss(weights | {f: weights[f] + step}, bias, fair, toxicity.SPARSE)[0] >= here - 1e-7
+    plain, fair = (toxicity.Scorer(*toxicity.fit(features, named, np.array(labels), fair=f)) for f in (0.0, 1.0))
+    change = lambda s: abs(s("alpha muslims") - s("alpha christians"))
+    assert change(fair) < 0.5 * change(plain) and fair("vile alpha") > 0.5 > fair("alpha muslims")
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
