@@ -32,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--name")
     ingest.add_argument("--max-pages", type=int)
     ingest.add_argument("--max-depth", type=int)
+    ingest.add_argument("--extensions", default="", help="of files, with commas between")
+    ingest.add_argument("--exclude", action="append", default=[], help="a pattern of paths under the folder")
     query = c.add_parser("query", help="search")
     query.add_argument("text")
     query.add_argument("-k", type=int)
@@ -67,7 +69,8 @@ def run(a: argparse.Namespace, index: Index, fetch) -> object:
     """What a command found or did, as plain values."""
     if a.command == "ingest":
         if a.kind == "dir":
-            return dataclasses.asdict(index.ingest_dir(a.uri, a.name))
+            endings = tuple(e.strip().lstrip(".") for e in a.extensions.split(",") if e.strip())
+            return dataclasses.asdict(index.ingest_dir(a.uri, a.name, endings, tuple(a.exclude)))
         if a.kind == "sitemap":
             return dataclasses.asdict(index.ingest_sitemap(a.uri, fetch, a.name))
         limits = {k: v for k, v in (("max_pages", a.max_pages), ("max_depth", a.max_depth)) if v is not None}

@@ -377,21 +377,23 @@ _ROUTE_SQL = "list_sort(list_distinct(list_filter(" + " || ".join(f"regexp_extra
 _count = lambda parts: " + ".join(f"({p})::INTEGER" for p in parts)
 _AUTH = _count([f"regexp_matches(lower(html), {_lit('(?i)' + p)})" for p in H.AUTH_PATTERNS] + [f"contains(lower(html), {_lit(t)})" for t in H.AUTH_TEXTS])
 _BOT = _count([f"contains(lower(html), {_lit(b)})" for b in H.BOTS])
-_SHELL = " OR ".join(f"regexp_matches(html, {_lit('(?i)' + p)})" for _, p in H.SHELLS)
+_SHELL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, {_lit('(?i)' + p)}) THEN {_lit(n)} END" for n, p in H.SHELLS) + "], lambda x: x IS NOT NULL)"
 _SCRIPTS = r"""len(regexp_extract_all(html, '<script[^>]*(?:src\s*=\s*["''][^"'']+["''])?[^>]*>')) > 5 OR list_sum(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>(.+?)</script>', 1), lambda x: strlen(x))) / 1024.0 > 50"""
 
 
 @query(f"""
-    WITH f AS (SELECT page_id, {_RATIO} AS ratio, coalesce(({_SHELL}), false) AS shell, {_FRAME} AS framework, coalesce(({_SCRIPTS}), false) AS heavy, {_has(H.HYDRATION)} AS hydrated,
+    WITH f AS (SELECT page_id, {_RATIO} AS ratio, {_SHELL} AS shells, {_FRAME} AS framework, coalesce(({_SCRIPTS}), false) AS heavy, {_has(H.HYDRATION)} AS hydrated,
         {_ROUTE_SQL} AS routes, ({_AUTH}) >= 2 AS auth, ({_BOT}) >= 2 AS bot FROM pages),
-    s AS (SELECT *, (CASE WHEN ratio < 0.05 THEN 40 WHEN ratio < 0.15 THEN 20 ELSE 0 END) + 30 * shell::INTEGER + 20 * (framework IS NOT NULL)::INTEGER + 15 * heavy::INTEGER + 10 * hydrated::INTEGER + 30 * (len(routes) > 0)::INTEGER AS points FROM f)
+    s AS (SELECT *, (CASE WHEN ratio < 0.05 THEN 40 WHEN ratio < 0.15 THEN 20 ELSE 0 END) + 30 * (len(shells) > 0)::INTEGER + 20 * (framework IS NOT NULL)::INTEGER + 15 * heavy::INTEGER + 10 * hydrated::INTEGER + 30 * (len(routes) > 0)::INTEGER AS points FROM f)
     SELECT page_id, CASE WHEN auth THEN 'auth_wall' WHEN bot THEN 'bot_protection' WHEN points >= 50 THEN 'spa' ELSE 'static' END AS technology,
         CASE WHEN NOT auth AND NOT bot AND points >= 50 THEN coalesce(framework, 'unknown') END AS framework,
         (CASE WHEN auth THEN 0.8 WHEN bot THEN 0.9 WHEN points >= 50 THEN least(points / 100.0, 1.0) ELSE 1.0 END)::DOUBLE AS confidence,
-        CASE WHEN auth THEN false WHEN bot THEN true ELSE points >= 50 END AS needs_js, round(ratio, 6) AS content_ratio FROM s""")
+        CASE WHEN auth THEN false WHEN bot THEN true ELSE points >= 50 END AS needs_js, round(ratio, 6) AS content_ratio,
+        array_to_string(CASE WHEN auth THEN ['login form'] WHEN bot THEN ['bot check'] WHEN points >= 50 THEN list_filter([CASE WHEN ratio < 0.05 THEN 'hardly any text' WHEN ratio < 0.15 THEN 'little text' END] || list_transform(shells, lambda x: 'shell: ' || x)
+            || ['framework ' || framework, CASE WHEN heavy THEN 'heavy scripts' END, CASE WHEN hydrated THEN 'hydration' END, CASE WHEN len(routes) > 0 THEN len(routes) || ' hash routes' END], lambda x: x IS NOT NULL) ELSE [] END, ', ') AS indicators FROM s""")
 def page_technology(spark, sf_dir):
     a = _table(spark, sf_dir, "pages").select("page_id", H.analyze(F.col("html")).alias("a"))
-    return a.select("page_id", "a.technology", "a.framework", "a.confidence", "a.needs_js", F.round("a.content_ratio", 6).alias("content_ratio"))
+    return a.select("page_id", "a.technology", "a.framework", "a.confidence", "a.needs_js", F.round("a.content_ratio", 6).alias("content_ratio"), F.array_join("a.indicators", ", ").alias("indicators"))
 
 
 @query(f"""

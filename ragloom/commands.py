@@ -20,12 +20,14 @@ from .config import Config
 from . import models
 from .embedders import Embedder, HashEmbedder, http_rerank, post_json
 from .errors import ConfigError, EngineError, FetchError, SourceNotFound
+from .functions import html as H
 from .functions import text as T
 from .operators import chunk as C
-from .operators import merge, parse, status
+from .operators import media, merge, parse, status
 from .plans import search as S
-from .schemas import CHUNKS, DOCUMENTS, KEYS, POINTS, RUNS, SOURCES
+from .schemas import ASSETS, CHUNKS, DOCUMENTS, KEYS, POINTS, RUNS, SOURCES
 from .sources import files, web
+from .sources.fetch import bytes_fetcher
 from .sources.store import Store
 
 SEEN = "uri string, text string, content_hash string, content_type string, title string"
@@ -77,10 +79,13 @@ def overlaps(stored: list[tuple[str, str, str, str | None]], source_type: str, u
 
 
 class Index:
-    def __init__(self, store: Store, config: Config | None = None, embedder: Embedder | None = None):
+    def __init__(self, store: Store, config: Config | None = None, embedder: Embedder | None = None, image_fetch: media.BytesFetcher | None = None, luma: media.Luma | None = None, renderer: web.Renderer | None = None):
+        """``luma`` reads images for perceptual hashes, ``renderer`` runs scripts; without them neither is done."""
         self.store, self.spark = store, store.spark
         self.config = (config or Config()).validate()
         self.embedder = embedder or HashEmbedder()
+        self.image_fetch = image_fetch or bytes_fetcher(self.config.crawl.user_agent, self.config.crawl.timeout_secs, self.config.multimodal.max_asset_bytes)
+        self.luma, self.renderer = luma, renderer
         store.dim = store.dim or self.embedder.dim
 
     # -- sources ---------------------------------------------------------------
@@ -161,7 +166,11 @@ class Index:
         return self.ingest("dir", root, seen, name)
 
     def ingest_url(self, url: str, fetch: web.Fetcher, name: str | None = None, **limits) -> Stats:
-        pages, errors = web.crawl(url, fetch, self.config.crawling(**limits))
+        settings = self.config.crawling(**limits)
+        pages, errors = web.crawl(url, fetch, settings)
+        if self.config.crawl.auto_js_rendering and self.renderer is not None and pages:
+            pages, failed = web.render_pages(pages, self._scripted(pages), self.renderer, settings.max_pages)
+            errors += failed
         # a crawl that reached nothing tells nothing about what is gone
         return self.ingest("url", web.normalize_url(url), self._pages(pages), name, whole=bool(pages), errors=errors)
 
@@ -188,6 +197,12 @@ class Index:
                 errors.append(f"{e['loc']}: {err}")
         return self.ingest("sitemap", url, self._pages(pages), name, errors=errors, listed=[e["loc"] for e in entries])
 
+    def _scripted(self, pages: list[dict]) -> dict[str, list[str] | None]:
+        """The pages that need scripts, with their hash routes, or None for those without."""
+        rows = self.spark.createDataFrame([(p["url"], p["html"]) for p in pages if "html" in p["content_type"]], "url string, html string")
+        found = rows.select("url", H.analyze(F.col("html")).alias("a")).where("a.needs_js").select("url", F.when(F.col("a.uses_hash_routing"), F.col("a.hash_routes")).alias("routes"))
+        return {r.url: r.routes for r in found.collect()}  # at most max_pages
+
     def _pages(self, pages: list[dict]) -> DataFrame:
         rows = self.spark.createDataFrame([(p["url"], p["html"], p["content_type"]) for p in pages], "uri string, text string, mime string")  # at most max_pages
         rows = rows.dropDuplicates(["uri"])
@@ -232,7 +247,7 @@ class Index:
         parsed = parse.parse_documents(changed, base="uri")
         title = F.coalesce(*(["title"] if "title" in seen.columns else []), F.col("parsed.title"))
         # the changed documents are parsed once, into a folder that is not published
-        fresh = store.stage("parsed", parsed.select("id", "source_id", "uri", "content_hash", "content_type", title.alias("title"), F.col("parsed.text").alias("text"), F.col("parsed.headings").alias("headings")))
+        fresh = store.stage("parsed", parsed.select("id", "source_id", "uri", "content_hash", "content_type", title.alias("title"), F.col("parsed.text").alias("text"), F.col("parsed.headings").alias("headings"), F.col("parsed.media").alias("media")))
         parsed_at = store.staged.pop()
         try:
             exists = seen.select("uri").unionByName(self.spark.createDataFrame([(u,) for u in listed], "uri string"))
@@ -246,36 +261,56 @@ class Index:
     def _write_changes(self, out: Stats, old: dict[str, DataFrame], fresh: DataFrame, gone: DataFrame, now: datetime, source_type: str, uri: str) -> None:
         """New documents alone are appended to the source's parts; where stored ones change or go, its parts are written anew."""
         store, at = self.store, out.source_id
-        new_docs = _like(fresh.drop("headings", "text").withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), DOCUMENTS)
+        new_docs = _like(fresh.drop("headings", "text", "media").withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), DOCUMENTS)
         found = C.chunk_documents(fresh, "id", "text", "headings", self.config.chunking())
         found = found.withColumn("id", F.concat_ws(":", "doc_id", "chunk_index")).withColumn("point_id", T.point_id(F.concat_ws(":", "id", "chunk_hash")))
-        new_chunks = _like(found.withColumn("modality", F.lit("text")).withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), CHUNKS)
-        if not out.docs_deleted and store.appendable(at) and not old["documents"].join(fresh.select("id"), "id", "left_semi").count():
+        found = found.withColumn("modality", F.lit("text"))
+        append = not out.docs_deleted and store.appendable(at) and not old["documents"].join(fresh.select("id"), "id", "left_semi").count()
+        touched, lost = fresh.select(F.col("id").alias("doc_id")), gone.select(F.col("id").alias("doc_id"))
+        pictures = self._pictures(fresh, source_type)
+        if pictures is not None:
+            if not append:
+                pictures = merge.delete(store.table("assets", at), touched.unionByName(lost), ["doc_id"]).unionByName(pictures)
+            pictures = store.stage("assets", pictures, at, append)  # each is fetched once
+            found = found.unionByName(media.chunks(pictures.join(touched, "doc_id", "left_semi")), allowMissingColumns=True)
+        new_chunks = _like(found.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), CHUNKS)
+        if append:
             docs = store.stage("documents", new_docs, at, append=True)
             chunks = store.stage("chunks", new_chunks, at, append=True)
-            points = store.stage("points", self._embedded(chunks, docs, F.lit(source_type), F.lit(uri)), at, append=True)
+            points = store.stage("points", self._embedded(chunks, docs, F.lit(source_type), F.lit(uri), pictures), at, append=True)
             out.chunks_created = points.count()
         else:
             documents = merge.delete(merge.upsert(old["documents"], new_docs, KEYS["documents"]), gone, ["id"])
             # of a changed document, chunks that it no longer has go
-            touched = fresh.select(F.col("id").alias("doc_id"))
-            left = merge.delete(old["chunks"], gone.select(F.col("id").alias("doc_id")), ["doc_id"])
+            left = merge.delete(old["chunks"], lost, ["doc_id"])
             again = left.join(touched, "doc_id", "left_semi").join(new_chunks.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_semi")
             chunks = store.stage("chunks", left.join(touched, "doc_id", "left_anti").select(*left.columns).unionByName(merge.upsert(again.select(*left.columns), new_chunks, KEYS["chunks"])), at)
             docs = store.stage("documents", documents, at)
             kept = old["points"].join(chunks.select(F.col("point_id").alias("id")), "id", "left_semi")
             # only chunks without a stored point are embedded
             lacking = chunks.join(touched, "doc_id", "left_semi").join(old["points"].select(F.col("id").alias("point_id")), "point_id", "left_anti")
-            points = store.stage("points", kept.unionByName(self._embedded(lacking, docs, F.lit(source_type), F.lit(uri))), at)
+            points = store.stage("points", kept.unionByName(self._embedded(lacking, docs, F.lit(source_type), F.lit(uri), pictures)), at)
             before = old["points"].select("id")
             out.chunks_created = points.select("id").join(before, "id", "left_anti").count()
             out.chunks_deleted = before.join(points.select("id"), "id", "left_anti").count()
         store.publish()
 
-    def _embedded(self, chunks: DataFrame, docs: DataFrame, source_type, source_uri) -> DataFrame:
+    def _pictures(self, fresh: DataFrame, source_type: str) -> DataFrame | None:
+        """The images of changed pages that are to be indexed, as ``ASSETS``; None where settings ask for none."""
+        m = self.config.multimodal
+        if not (m.enabled and m.include_images) or source_type == "dir":
+            return None
+        found = media.assets(fresh, self.image_fetch, self.luma, m.min_asset_bytes, m.max_asset_bytes, least=m.min_relevance_score, most=m.max_assets_per_page, css=m.include_css_backgrounds, prefixes=tuple(m.allowed_mime_prefixes))
+        return _like(found, ASSETS)
+
+    def _embedded(self, chunks: DataFrame, docs: DataFrame, source_type, source_uri, pictures: DataFrame | None = None) -> DataFrame:
+        """Points of chunks; those of images need their assets."""
         d = docs.select(F.col("id").alias("doc_id"), "source_id", F.col("uri").alias("doc_uri"), "title")
-        rows = chunks.join(d, "doc_id").withColumn("vector", self.embedder.column(F.col("chunk_text")).cast("array<float>"))
-        rows = rows.drop("id").withColumnRenamed("point_id", "id").withColumn("source_type", source_type).withColumn("source_uri", source_uri)
+        rows = chunks.where("modality = 'text'").withColumn("vector", self.embedder.column(F.col("chunk_text")).cast("array<float>"))
+        if pictures is not None:
+            seen = chunks.where("modality = 'image'").join(pictures.select("doc_id", "chunk_index", "data", "context"), ["doc_id", "chunk_index"])
+            rows = rows.unionByName(seen.withColumn("vector", self.embedder.images(F.col("data"), F.col("context")).cast("array<float>")).select(*rows.columns))
+        rows = rows.join(d, "doc_id").drop("id").withColumnRenamed("point_id", "id").withColumn("source_type", source_type).withColumn("source_uri", source_uri)
         return _like(self.store.with_norm(rows), POINTS)
 
     # -- maintenance -------------------------------------------------------------
@@ -334,15 +369,17 @@ class Index:
         return counts
 
     def reindex(self, source: str | None = None) -> int:
-        """Embed the stored chunks again; texts are neither read nor cut anew."""
+        """Embed the stored chunks again, images too if they are asked for; nothing is read, fetched or cut anew."""
         store, total, one = self.store, 0, None if source is None else self.find_source(source).id
         try:
             for s in store.table("sources").collect():  # one row a source
                 if one and s.id != one:
                     continue
                 docs, points = store.table("documents", s.id), store.table("points", s.id)
-                chunks = store.table("chunks", s.id).where("modality = 'text'")
-                new = self._embedded(chunks, docs, F.lit(s.source_type), F.lit(s.uri))
+                chunks, images = store.table("chunks", s.id), self.config.multimodal.enabled
+                if not images:
+                    chunks = chunks.where("modality = 'text'")
+                new = self._embedded(chunks, docs, F.lit(s.source_type), F.lit(s.uri), store.table("assets", s.id) if images else None)
                 rest = points.join(chunks.select(F.col("point_id").alias("id")), "id", "left_anti")
                 store.stage("points", rest.unionByName(new), s.id)
                 total += chunks.count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import time
 import urllib.error
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +60,8 @@ class Embedder(Protocol):
 
     def column(self, text: Column) -> Column: ...
 
+    def images(self, data: Column, context: Column) -> Column: ...
+
     def one(self, spark, text: str) -> list[float]: ...
 
 
@@ -70,6 +74,11 @@ class HashEmbedder:
     def column(self, text: Column) -> Column:
         return V.hash_embed(text, self.dim)
 
+    def images(self, data: Column, context: Column) -> Column:
+        """The image's vector, between it and its context's where it has one."""
+        image = V.hash_embed(F.sha2(data, 256), self.dim)
+        return F.when(F.coalesce(F.trim(context), F.lit("")) == "", image).otherwise(V.fuse(image, V.hash_embed(F.coalesce(context, F.lit("")), self.dim)))
+
     def one(self, spark, text: str) -> list[float]:
         return spark.range(1).select(V.hash_embed(F.lit(text), self.dim).alias("v")).first().v
 
@@ -84,13 +93,16 @@ class HttpEmbedder:
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         """Vectors in the order of the texts, batch by batch; a wrong count or length is an error."""
+        return self._asked("text", texts)
+
+    def _asked(self, kind: str, inputs: list) -> list[list[float]]:
         out: list[list[float]] = []
         size = models.batch_size(self.batch_size, self.model)
-        for first in range(0, len(texts), size):
-            batch = texts[first : first + size]
-            got = vectors_of(with_retries(self.post, f"{self.url.rstrip('/')}/v1/embed/text", {"model": self.model, "inputs": batch}))
+        for first in range(0, len(inputs), size):
+            batch = inputs[first : first + size]
+            got = vectors_of(with_retries(self.post, f"{self.url.rstrip('/')}/v1/embed/{kind}", {"model": self.model, "inputs": batch}))
             if len(got) != len(batch):
-                raise EmbeddingError(f"{len(batch)} texts sent, {len(got)} vectors came back")
+                raise EmbeddingError(f"{len(batch)} inputs sent, {len(got)} vectors came back")
             if bad := next((v for v in got if len(v) != self.dim), None):
                 raise EmbeddingError(f"a vector of length {len(bad)} came back, not {self.dim}")
             out += got
@@ -106,6 +118,33 @@ class HttpEmbedder:
 
         return run(text)
 
+    def embed_images(self, data: list[bytes], contexts: list[str | None]) -> list[list[float]]:
+        """Joint models take the image with its context; dual encoders take both apart, and the vectors are fused."""
+        known = models.embedder(self.model)
+        if known is not None and (not known.multimodal or known.strategy == models.LATE):
+            raise EmbeddingError(f"{self.model} makes no single vector of an image")
+        joint = known is None or known.strategy == models.JOINT
+        coded = [{"image_base64": base64.b64encode(d).decode(), **({"text": c} if joint and c else {})} for d, c in zip(data, contexts, strict=True)]
+        out = self._asked("image_text", coded)
+        if not joint:
+            named = [i for i, c in enumerate(contexts) if c and c.strip()]
+            for i, v in zip(named, self.embed([contexts[i] for i in named]), strict=True):
+                pair = np.array([out[i], v], float)
+                pair /= np.maximum(np.linalg.norm(pair, axis=1), 1e-300)[:, None]
+                middle = pair.mean(axis=0)
+                out[i] = (middle / (np.linalg.norm(middle) or 1.0)).tolist()
+        return out
+
+    def images(self, data: Column, context: Column) -> Column:
+        embed = self.embed_images
+
+        @F.pandas_udf("array<double>")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for d, c in batches:
+                yield pd.Series(embed(d.tolist(), [None if x is None or x != x else x for x in c]), index=d.index)
+
+        return run(data, context)
+
     def one(self, spark, text: str) -> list[float]:
         return self.embed([text])[0]
 

@@ -14,6 +14,7 @@ POINTS = (
     "id string, vector array<float>, norm double, source_id string, source_type string, source_uri string, doc_id string, doc_uri string, title string, headings array<string>, "
     "chunk_index int, chunk_hash string, updated_at timestamp, modality string, media_url string, media_hash string"
 )
-TABLES = {"sources": SOURCES, "documents": DOCUMENTS, "chunks": CHUNKS, "runs": RUNS, "points": POINTS}
+ASSETS = "doc_id string, chunk_index int, url string, alt string, context string, content_type string, sha string, data binary"
+TABLES = {"sources": SOURCES, "documents": DOCUMENTS, "chunks": CHUNKS, "runs": RUNS, "points": POINTS, "assets": ASSETS}
 #: What tells a row of each table from others.
-KEYS = {"sources": ["uri"], "documents": ["source_id", "uri"], "chunks": ["doc_id", "chunk_index"], "runs": ["id"], "points": ["id"]}
+KEYS = {"sources": ["uri"], "documents": ["source_id", "uri"], "chunks": ["doc_id", "chunk_index"], "runs": ["id"], "points": ["id"], "assets": ["doc_id", "chunk_index"]}

@@ -6,6 +6,7 @@ import gzip
 import urllib.error
 import urllib.request
 import zlib
+from functools import partial
 
 from ..errors import FetchError
 from .web import Fetcher
@@ -39,3 +40,20 @@ def http_fetcher(agent: str, seconds: float = 30.0, most_bytes: int = 64 << 20)
             raise FetchError(f"{address}: {e}") from e
 
     return fetch
+
+
+def bytes_fetcher(agent: str, seconds: float = 30.0, most_bytes: int = 8 << 20):
+    """(status, content type, bytes) of an address, for images; it can be sent to tasks."""
+    return partial(_fetch_bytes, agent=agent, seconds=seconds, most_bytes=most_bytes)
+
+
+def _fetch_bytes(address: str, agent: str, seconds: float, most_bytes: int) -> tuple[int, str, bytes]:
+    request = urllib.request.Request(address, headers={"User-Agent": agent})
+    try:
+        with urllib.request.build_opener(_Redirects).open(request, timeout=seconds) as answer:
+            data = answer.read(most_bytes + 1)
+            return (answer.status if len(data) <= most_bytes else 413), answer.headers.get("Content-Type", ""), data
+    except urllib.error.HTTPError as e:
+        return e.code, "", b""
+    except (urllib.error.URLError, TimeoutError, OSError, ValueError) as e:
+        raise FetchError(f"{address}: {e}") from e

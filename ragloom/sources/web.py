@@ -8,6 +8,7 @@ from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import Protocol
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 from ..errors import FetchError
@@ -18,6 +19,61 @@ Fetcher = Callable[[str], tuple[int, str, str, str]]
 SITEMAPS = 50
 
 
+class Renderer(Protocol):
+    """Runs a page's scripts and gives (final address, HTML)."""
+
+    def render(self, url: str) -> tuple[str, str]: ...
+
+
+class NoRenderer:
+    """What stands for a renderer where none is installed."""
+
+    def render(self, url: str) -> tuple[str, str]:
+        raise FetchError(f"{url}: no renderer of JavaScript is installed")
+
+
+def fetch_hash_route(base: str, route: str, renderer: Renderer) -> tuple[str, str]:
+    """A route behind ``#`` exists only once scripts have run."""
+    return renderer.render(base.partition("#")[0] + "#" + route)
+
+
+def rendered_routes(html: str, url: str) -> list[str]:
+    """Routes of a rendered page: fragments that begin with / of links to its own host, but for the root."""
+    finder = _Links()
+    finder.feed(html)
+    found = (urlsplit(urljoin(url, h)) for h in finder.found)
+    return sorted({p.fragment for p in found if p.hostname == urlsplit(url).hostname and p.fragment.startswith("/") and p.fragment != "/"})
+
+
+def render_pages(pages: list[dict], needs: dict[str, list[str] | None], renderer: Renderer, most: int) -> tuple[list[dict], list[str]]:
+    """(pages, errors) with those that need scripts rendered, and their hash routes behind them, up to ``most`` pages.
+
+    ``needs``: address -> known routes (None: the page does not route by hash).
+    """
+    out, errors = [], []
+    for page in pages:
+        if page["url"] not in needs:
+            out.append(page)
+            continue
+        try:
+            final, html = renderer.render(page["url"])
+            out.append(page | {"url": final, "html": html, "content_type": "text/html"})
+        except FetchError as e:
+            errors.append(str(e))
+            out.append(page)
+            continue
+        if needs[page["url"]] is not None:
+            for route in sorted({*needs[page["url"]], *rendered_routes(html, final)}):
+                if len(out) >= most:
+                    break
+                try:
+                    _, inner = fetch_hash_route(final, route, renderer)
+                    out.append(page | {"url": final.partition("#")[0] + "#" + route, "html": inner, "content_type": "text/html"})
+                except FetchError as e:
+                    errors.append(str(e))
+    return out[:most], errors
+
+
 def normalize_url(u: str, keep_routes: bool = False) -> str:
     p = urlsplit(u)
     if not p.scheme or not p.netloc:

@@ -7,6 +7,7 @@ from ragloom.commands import Index, _like, overlaps
 from ragloom.errors import ConfigError, DimensionMismatch, EmbeddingError, SourceNotFound, StoreError
 from ragloom.plans import search as S
 from ragloom.schemas import POINTS
+from ragloom.sources import web
 from ragloom.sources.store import Store
 from ragloom.streaming.ingest import ingest_stream
 
@@ -232,3 +233,63 @@ def test_rerank_leaves_other_modalities_behind_the_texts(spark):
     assert [(r.id, r.score) for r in S.search(points, None, "q", [1.0, 0.0], o, None, scorer).collect()][:2] == [("t2", 4.0), ("t1", 3.0)]
     assert [r.id for r in S.search(points, None, "q", [1.0, 0.0], o, None, scorer, True).collect()] == ["t2", "i1", "t1"]
     assert [r.id for r in S.search(points, None, "q", [1.0, 0.0], o, None, lambda q, t: {}).collect()] == ["t1", "t2", "i1"]
+
+
+def test_images_are_indexed(spark, tmp_path):
+    figure = "<img src='/img/flow-diagram.png' alt='The flow of it'><img src='/img/again-diagram.png' alt='The flow again'><img src='/logo.png' alt='logo'><img src='/img/chart.svg' alt='A chart'><img src='/img/tiny-chart.png' alt='A flow chart'><img src='/img/lost-chart.png' alt='The flow lost'>"
+    page = "<html><head><title>Flow</title></head><body><h1>Flow</h1><p>" + "Words of a page about it. " * 12 + "{0}</p></body></html>"
+    site = {"http://x.org/d/1": page.format(figure)}
+    fetch = lambda u: (200 if u in site else 404, "text/html", site.get(u, ""), u)
+
+    def image(u):
+        big = b"picture" * 1000
+        return (404, "", b"") if "lost" in u else (200, "image/png", b"small" if "tiny" in u else big)
+
+    settings = config.from_dict({"embedding": {"model": "jinaai/jina-clip-v2"}, "multimodal": {"enabled": True}, "crawl": {"rate_limit_per_host": 1000.0}})
+    index = make(spark, tmp_path, config=settings, image_fetch=image)
+    got = index.ingest_url("http://x.org/d/1", fetch)
+    chunks = {r.chunk_index: r for r in index.store.table("chunks").collect()}
+    assert sorted(chunks) == [-1, 0] and got.chunks_created == 2 and state(index) == (1, 2, 2)  # equal bytes once, small, SVG and lost ones not at all
+    assert chunks[-1].modality == "image" and chunks[-1].chunk_text.startswith("The flow") and chunks[-1].media_url.startswith("http://x.org/img/") and chunks[-1].media_hash == chunks[-1].chunk_hash
+    point = index.store.table("points").where("modality = 'image'").first()
+    assert point.id == chunks[-1].point_id and point.norm == pytest.approx(1.0, abs=1e-6) and index.store.table("assets").first().context == f"{chunks[-1].chunk_text} | Flow | Flow"
+    assert index.reindex() == 2 and state(index) == (1, 2, 2)
+    source = index.sources().first().id
+    doc = index.documents(source).first().id
+    assert [r.chunk_index for r in index.chunks(source, doc).collect()] == [-1, 0] and index.chunks(source, doc, "image").count() == 1
+    site["http://x.org/d/1"] = page.format("<p>No images any more.</p>")
+    assert index.ingest_url("http://x.org/d/1", fetch).chunks_deleted >= 1 and state(index)[1:] == (1, 1) and index.store.table("assets").count() == 0
+
+
+def test_http_images():
+    sent = []
+
+    def post(address, body, seconds):
+        sent.append((address.rsplit("/", 1)[1], body["inputs"]))
+        return {"embeddings": [[1.0, 0.0] if "image" in address else [0.0, 1.0] for _ in body["inputs"]]}
+
+    dual = embedders.HttpEmbedder("http://h", "jinaai/jina-clip-v2", 2, post=post)
+    got = dual.embed_images([b"a", b"b"], ["text", None])
+    assert got[0] == pytest.approx([0.5**0.5, 0.5**0.5]) and got[1] == [1.0, 0.0] and [k for k, _ in sent] == ["image_text", "text"]
+    sent.clear()
+    joint = embedders.HttpEmbedder("http://h", "Qwen/Qwen3-VL-Embedding-2B", 2, post=post)
+    assert joint.embed_images([b"a"], ["text"]) == [[1.0, 0.0]] and sent == [("image_text", [{"image_base64": "YQ==", "text": "text"}])]
+    with pytest.raises(EmbeddingError):
+        embedders.HttpEmbedder("http://h", "vidore/colpali", 2, post=post).embed_images([b"a"], [None])
+
+
+def test_pages_that_need_scripts_are_rendered(spark, tmp_path):
+    shell = "<html><body><app-root></app-root><i ng-version='1'></i><a href='#/intro'>x</a></body></html>"
+    body = "<html><body><p>" + "Rendered words. " * 20 + "</p><a href='#/more'>m</a></body></html>"
+    fetch = lambda u: (200 if u == "http://x.org/app" else 404, "text/html", shell, u)
+
+    class Renders:
+        def render(self, url):
+            return url, body.replace("words", "words of " + url.rpartition("#")[2] if "#" in url else "words")
+
+    index = make(spark, tmp_path, renderer=Renders())
+    index.config.crawl.rate_limit_per_host = 1000.0
+    assert index.ingest_url("http://x.org/app/", fetch).docs_changed == 3
+    assert sorted(r.uri for r in index.store.table("documents").collect()) == ["http://x.org/app", "http://x.org/app#/intro", "http://x.org/app#/more"]
+    with pytest.raises(web.FetchError):
+        web.fetch_hash_route("http://x.org/", "/a", web.NoRenderer())
