@@ -276,7 +276,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     places = spark.sparkContext.broadcast(Places(bin_completion(counts, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_task.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(firsts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"))
+    # the table of lengths and tasks grows with the corpus, so it is never broadcast; a piece's row is a few numbers
+    ranked = pieces.join(firsts.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"))
 
     def place(batches):
         for b in batches:
