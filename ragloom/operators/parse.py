@@ -122,7 +122,7 @@ class _Markdown:
 
     def code(self, language: str | None, content: str) -> None:
         self.out.code_blocks.append({"language": language or None, "content": content, "position": self.size})
-        self.write(f"\n```{language or ''}\n{content}\n```\n")
+        self.write(f"\n```\n{content}\n```\n")
 
     def paragraph(self, held: list[str]) -> None:
         if held:
