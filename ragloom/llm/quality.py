@@ -16,6 +16,7 @@ from __future__ import annotations
 import operator
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .words import Kept
 
 #: Documents that the scorer is fitted on, those of least hash, and its dimension.
 SAMPLE, DIMENSION = 6_000, 1 << 14
 _LETTER = bytes([*range(65, 91), *range(97, 123)])
 _UPPER, _SYMBOL = bytes(range(65, 91)), b"%*$&#@^~<>=+{}\\"
 _SHAPE = str.maketrans({**{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})
-_NOT_ASCII = re.compile("[^\x00-\x7f]+")
+_NOT_ASCII, _RUN = re.compile("[^\x00-\x7f]+"), re.compile(r"(.)\1+")
 
 
 def _count(data: bytes, chars: bytes) -> int:
@@ -66,13 +68,18 @@ def votes(m: list[float]) -> list[int]:
     ]
 
 
+def shape(word: str) -> str:
+    """A word's kinds of characters, each run of one kind once, up to eight."""
+    s = word.translate(_SHAPE)
+    return _RUN.sub(r"\1", s if s.isascii() else _NOT_ASCII.sub("x", s))[:8]
+
+
+_SHAPES = Kept(shape)
+
+
 def features(m: list[float], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed feature, value): word shapes by share, and the measures in steps."""
-    shapes: dict[str, int] = {}
-    for w in words:
-        s = w.translate(_SHAPE)
-        s = re.sub(r"(.)\1+", r"\1", s if s.isascii() else _NOT_ASCII.sub("x", s))[:8]
-        shapes[s] = shapes.get(s, 0) + 1
+    shapes = Counter(map(_SHAPES.recall().__getitem__, words))
     named = {f"shape {k}": (v / max(1, len(words))) ** 0.5 for k, v in shapes.items()}
     named |= {f"{name} {min(9, int(v * 20))}": 1.0 for name, v in zip(LABELLERS[:6], m, strict=False)}
     named |= {f"plain {min(20, int(m[6] * 20))}": 1.0, f"words {min(8, int(m[7]).bit_length())}": 1.0}
