@@ -53,6 +53,7 @@ class Merges:
         for i, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank[a, b] = i
+        self.none = len(self.rank)
         self.end = model.get("end_of_word_suffix") or ""
 
     def encode(self, symbols: list[str]) -> list[str]:
@@ -77,14 +78,20 @@ class Merges:
         return [t for t in out if t]
 
     def _encode_short(self, symbols: list[str]) -> list[str]:
-        out, rank, none = list(symbols), self.rank, len(self.rank)
-        while len(out) > 1:
-            ranks = [rank.get(p, none) for p in zip(out, out[1:], strict=False)]
+        """The same over plain lists; only the two pairs beside a merge are ranked anew."""
+        out, get, none = list(symbols), self.rank.get, self.none
+        ranks = [get(p, none) for p in zip(out, out[1:], strict=False)]
+        while ranks:
             least = min(ranks)
             if least == none:
                 break
             i = ranks.index(least)
-            out[i : i + 2] = [out[i] + out[i + 1]]
+            out[i] += out.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((out[i - 1], out[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((out[i], out[i + 1]), none)
         return out
 
     def symbols(self, token: str) -> list[str]:
@@ -273,8 +280,10 @@ class WordBpe:
 
     def finish(self, coded: list) -> tuple[bytes, str]:
         """(packed ids, decoded text): tokens joined by single spaces, as this file has no decoder."""
-        pairs = [self._close(c) if isinstance(c, list) else c for c in coded]
-        return b"".join([p[0] for p in pairs]), "".join([p[1] for p in pairs])[:-1]
+        if any(type(c) is list for c in coded):
+            coded = [self._close(c) if type(c) is list else c for c in coded]
+        ids, tokens = zip(*coded, strict=True) if coded else ((), ())
+        return b"".join(ids), "".join(tokens)[:-1]
 
     def __call__(self, text: str) -> tuple[bytes, str]:
         coded: list = []
