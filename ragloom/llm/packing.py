@@ -12,9 +12,9 @@ as incumbent and pruned by waste bounds.  Complete packings from best-fit
 fillings and from least-waste fillings are the first incumbents.  Branching
 goes by discrepancy: first packings that leave the least-waste filling once,
 wherever that is, then twice, and so on, so that effort is spread from the first
-bin to the last.  It ends when the lower bound is met, when all is searched, or
-when ``NODES`` fillings and ``PER_LENGTH`` more for each length were tried; the
-last case is logged with both numbers.  A node enumerates up to ``MOST``
+bin to the last.  It ends when ``lower_bound`` is met, when all is searched, or
+when ``NODES`` fillings were tried; the last case is logged with both numbers.
+A node enumerates up to ``MOST``
 fillings in ``STEPS`` steps; fillings of more than ``TESTED`` pieces are not
 tested for dominance, which only lets more of them through.
 
@@ -43,7 +43,7 @@ from . import common, words
 
 CAPACITY, CLOSING = 2048, 0
 #: Bounds of the search, on the driver, whatever the corpus.
-NODES, PER_LENGTH, MOST, STEPS, TESTED = 4000, 8, 4, 4000, 8
+NODES, MOST, STEPS, TESTED = 40_000, 4, 4000, 8
 _LOG = logging.getLogger(__name__)
 
 
@@ -169,13 +169,28 @@ def _dive(counts: np.ndarray, room: int, fill) -> list[tuple[tuple, int]]:
     return out
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | None = None) -> list[tuple[tuple, int]]:
+def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """No packing uses fewer bins: for each k, pieces above half a bin have a bin each, and those above
+    capacity - k leave no room for pieces of k or more; what of the latter the other bins cannot hold needs more."""
+    counts = np.asarray(counts, np.int64)
+    n, total = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts * np.arange(len(counts))))
+    upto = lambda x: min(x + 1, len(counts))  # noqa: E731  # pieces of up to x are before this place
+    half, every = upto(capacity // 2), len(counts)
+    best = -(-int(total[every]) // capacity)
+    for k in range(1, capacity // 2 + 1):
+        large, small = upto(capacity - k), min(k, every)
+        middle = int(n[large] - n[half])
+        over = int(total[half] - total[small]) - (middle * capacity - int(total[large] - total[half]))
+        best = max(best, int(n[every] - n[half]) + max(0, -(-over // capacity)))
+    return best
+
+
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple, int]]:
     """(filling, times) that use up ``counts`` (index: length) in as few bins as the search finds."""
     counts = np.asarray(counts, np.int64)
     size = np.arange(len(counts))
     least = lambda c: -(-int((c * size).sum()) // capacity)
-    bound, used = least(counts), lambda plan: sum(t for _, t in plan)
-    nodes = NODES + PER_LENGTH * int((counts > 0).sum()) if nodes is None else nodes
+    bound, used = lower_bound(counts, capacity), lambda plan: sum(t for _, t in plan)
     best = min((_dive(counts, capacity, best_fit), _dive(counts, capacity, lambda c, r: fillings(c, r, 1)[0])), key=used)
     allowed, cut = 0, True
     while cut and nodes > 0 and used(best) > bound:
