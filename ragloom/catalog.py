@@ -38,6 +38,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a scan has fewer splits, as for a file of one row group; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _points(spark, sf_dir) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("label-"), "label").alias("source_id"), F.col("label").alias("doc_uri"))
@@ -120,7 +126,7 @@ def _bm25(docs: DataFrame):
 
 @query(f"SELECT doc_id, round({_BM25}, 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 200")
 def bm25_rank(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.round(_bm25(d), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
 
 
@@ -146,7 +152,7 @@ def rerank_bm25(spark, sf_dir):
 @query()
 def rag_search(spark, sf_dir):
     """The flagship: documents are normalised, chunked and embedded, and the best chunk of each document answers a query text."""
-    d = _table(spark, sf_dir, "documents")
+    d = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     chunks = C.chunk_documents(d.withColumn("text", T.normalize_whitespace(F.col("text"))))
     query_text = _table(spark, sf_dir, "benchmark").orderBy("item_id").select(V.hash_embed(F.col("text")).alias("v"), "text").first()
     points = chunks.select(F.concat_ws(":", "doc_id", "chunk_index").alias("id"), F.concat(F.lit("doc://"), "doc_id").alias("doc_uri"), "chunk_text", V.hash_embed(F.col("chunk_text")).alias("vector"))
@@ -203,7 +209,7 @@ def query_tokenize(spark, sf_dir):
 @query(f"SELECT doc_id, sha256({_NORM}) AS h, strlen({_NORM})::INTEGER AS n_bytes FROM documents")
 def normalize_whitespace(spark, sf_dir):
     t = T.normalize_whitespace(F.coalesce("text", F.lit("")))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("h"), F.octet_length(t).alias("n_bytes"))
+    return _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sha2(t, 256).alias("h"), F.octet_length(t).alias("n_bytes"))
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS h FROM documents")
@@ -218,7 +224,7 @@ def plain_text_title(spark, sf_dir):
 
 @query()
 def chunk_documents(spark, sf_dir):
-    return C.chunk_documents(_table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "char_start", "char_end", "chunk_hash", "point_id")
+    return C.chunk_documents(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "chunk_index", "char_start", "char_end", "chunk_hash", "point_id")
 
 
 @query()
@@ -392,7 +398,7 @@ _SCRIPTS = r"""len(regexp_extract_all(html, '<script[^>]*(?:src\s*=\s*["''][^"''
         array_to_string(CASE WHEN auth THEN ['login form'] WHEN bot THEN ['bot check'] WHEN points >= 50 THEN list_filter([CASE WHEN ratio < 0.05 THEN 'hardly any text' WHEN ratio < 0.15 THEN 'little text' END] || list_transform(shells, lambda x: 'shell: ' || x)
             || ['framework ' || framework, CASE WHEN heavy THEN 'heavy scripts' END, CASE WHEN hydrated THEN 'hydration' END, CASE WHEN len(routes) > 0 THEN len(routes) || ' hash routes' END], lambda x: x IS NOT NULL) ELSE [] END, ', ') AS indicators FROM s""")
 def page_technology(spark, sf_dir):
-    a = _table(spark, sf_dir, "pages").select("page_id", H.analyze(F.col("html")).alias("a"))
+    a = _spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", H.analyze(F.col("html")).alias("a"))
     return a.select("page_id", "a.technology", "a.framework", "a.confidence", "a.needs_js", F.round("a.content_ratio", 6).alias("content_ratio"), F.array_join("a.indicators", ", ").alias("indicators"))
 
 
