@@ -33,6 +33,14 @@ def post_json(address: str, body: dict, seconds: float) -> object:
         raise EmbeddingError(f"{address}: {e}") from e
 
 
+def get_json(address: str, seconds: float = 30.0) -> object:
+    try:
+        with urllib.request.urlopen(address, timeout=seconds) as answer:
+            return json.loads(answer.read())
+    except (urllib.error.URLError, TimeoutError, ValueError) as e:
+        raise EmbeddingError(f"{address}: {e}") from e
+
+
 def with_retries(post: Post, address: str, body: dict, seconds: float = 30.0, retries: int = 2, sleep=time.sleep) -> object:
     for n in range(retries + 1):
         try:
@@ -158,11 +166,38 @@ def http_rerank(url: str, model: str, query: str, texts: list[str], post: Post =
     return {int(r["index"]): float(r["score"]) for r in results if 0 <= int(r["index"]) < len(texts)}
 
 
-def make(config) -> Embedder:
+#: A picture of one grey point, for models that are probed with an image.
+_POINT = base64.b64encode(b"P5 1 1 255 \x80").decode()
+
+
+def resolve(config, post: Post = post_json, get: Callable[[str], object] = get_json) -> int:
+    """The vector length of the configured model, once its server has been asked what it can do.
+
+    A model that is not registered must be among the server's; models of late
+    interaction, and without text, are refused.  What the settings say must
+    agree with the probe.
+    """
+    e, url = config.embedding, config.embedding.url.rstrip("/")
+    known = models.embedder(e.model)
+    if known is None:
+        offered = get(f"{url}/capabilities")
+        found = next((m for m in offered.get("models", []) if m.get("id") == e.model), None)
+        if found is None:
+            raise EmbeddingError(f"the server at {url} has no model {e.model}")
+        if "text" not in found.get("modalities", ["text"]):
+            raise EmbeddingError(f"{e.model} takes no text")
+    body = {"model": e.model, "text": "probe"} | ({"image_base64": _POINT} if known is not None and known.strategy == models.JOINT else {})
+    said = with_retries(post, f"{url}/probe", body)
+    if (known is not None and known.strategy == models.LATE) or said.get("multivector"):
+        raise EmbeddingError(f"{e.model} gives several vectors for an input")
+    dim = config.dim(said.get("embedding_dim"))
+    if not dim:
+        raise EmbeddingError(f"the vector length of {e.model} is not known")
+    return dim
+
+
+def make(config, post: Post = post_json, get: Callable[[str], object] = get_json) -> Embedder:
     e = config.embedding
     if e.backend == "hash":
         return HashEmbedder(e.dimension or 64)
-    dim = config.dim()
-    if dim is None:
-        dim = len(vectors_of(with_retries(post_json, f"{e.url.rstrip('/')}/v1/embed/text", {"model": e.model, "inputs": ["probe"]}))[0])
-    return HttpEmbedder(e.url, e.model, dim, e.batch_size)
+    return HttpEmbedder(e.url, e.model, resolve(config, post, get), e.batch_size, post)

@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ragloom import config, embedders, models
+from ragloom import config, embedders, model_server, models
 from ragloom.commands import Index, _like, overlaps
 from ragloom.errors import ConfigError, DimensionMismatch, EmbeddingError, SourceNotFound, StoreError
 from ragloom.plans import search as S
@@ -293,3 +293,34 @@ def test_pages_that_need_scripts_are_rendered(spark, tmp_path):
     assert sorted(r.uri for r in index.store.table("documents").collect()) == ["http://x.org/app", "http://x.org/app#/intro", "http://x.org/app#/more"]
     with pytest.raises(web.FetchError):
         web.fetch_hash_route("http://x.org/", "/a", web.NoRenderer())
+
+
+def test_model_server(spark, tmp_path):
+    with model_server.running() as url:
+        settings = lambda model, **more: config.from_dict({"embedding": {"backend": "http", "url": url, "model": model, **more}, "reranker": {"enabled": True}})
+        e = embedders.make(settings("BAAI/bge-small-en-v1.5"))
+        assert e.dim == 384 and embedders.make(settings("jinaai/jina-clip-v2")).dim == 64 and embedders.make(settings("Qwen/Qwen3-VL-Embedding-2B")).dim == 64
+        assert e.embed(["a"] * 70) == [model_server.vector(b"a", 384)] * 70  # batches stay under the server's limit
+        with pytest.raises(EmbeddingError):
+            embedders.post_json(f"{url}/v1/embed/text", {"model": e.model, "inputs": ["a"] * 70}, 5)
+        for wrong in (settings("vidore/colpali"), settings("own/model", allow_custom=True)):
+            with pytest.raises(EmbeddingError):
+                embedders.make(wrong)
+        with pytest.raises(ConfigError):
+            embedders.make(settings("BAAI/bge-small-en-v1.5", dimension=3))
+        offered = lambda at: {"models": [{"id": "own/model", "modalities": ["text"]}]}
+        own = embedders.resolve(settings("own/model", allow_custom=True), lambda *a: {"embedding_dim": 7}, offered)
+        assert own == 7
+        clip = embedders.make(settings("jinaai/jina-clip-v2"))
+        assert clip.embed_images([b"x"], [None]) == [model_server.vector(b"x", 64)]
+        joint = embedders.make(settings("Qwen/Qwen3-VL-Embedding-2B"))
+        assert joint.embed_images([b"x"], ["t"]) == [model_server.vector(b"tx", 64)]
+        assert [m["id"] for m in embedders.get_json(f"{url}/capabilities")["models"]] == models.names(models.EMBEDDERS)
+        (tmp_path / "docs").mkdir()
+        for name, text in (("a", "apples and pears " * 12), ("b", "stars and planets " * 12)):
+            (tmp_path / "docs" / f"{name}.txt").write_text(text)
+        index = make(spark, tmp_path, config=settings(e.model), embedder=e)
+        assert index.ingest_dir(str(tmp_path / "docs")).chunks_created == 2
+        best = index.query("stars planets", min_score=-1.0).first()
+        assert best.doc_uri.endswith("b.txt") and best.score == 1.0
+        assert index.status().first().asDict() == {"connected": True, "collection": True, "points": 2, "sources": 1, "documents": 2, "chunks": 2}
