@@ -622,6 +622,15 @@ def srcset_urls(spark, sf_dir):
     return p.select("page_id", U.srcset(F.concat("url", F.lit("/a.png 1x, "), "url", F.lit("/b.png?x=1  2x,"))).alias("urls"))
 
 
+@query("""
+    SELECT vec_id AS id, '{"source_id":"label-' || label || '","doc_uri":' || label || CASE WHEN lang IS NOT NULL THEN ',"title":"' || lang || '"' ELSE '' END || ',"headings":["' || label || '"]'
+        || ',"chunk_index":' || vec_id || CASE WHEN lang = 'de' THEN ',"modality":"image"' ELSE '' END || '}' AS payload FROM embeddings LEFT JOIN documents ON vec_id = doc_id""")
+def point_payloads(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    rows = _points(spark, sf_dir).join(d, "id", "left").withColumn("title", F.col("lang")).withColumn("headings", F.array(F.col("doc_uri").cast("string")))
+    return S.payload(rows.withColumn("chunk_index", F.col("id")).withColumn("modality", F.when(F.col("lang") == "de", "image")).withColumn("media_url", F.lit(None).cast("string")))
+
+
 # -- look-ups --------------------------------------------------------------
 
 

@@ -162,19 +162,19 @@ class Index:
         if not os.path.isdir(path):
             raise ConfigError(f"{path} is not a folder")
         root = os.path.realpath(path)
-        seen = files.read_files(self.spark, files.list_files(root, endings, exclude))
+        seen = files.read_files(self.spark, files.list_files(root, endings, exclude), root)
         return self.ingest("dir", root, seen, name)
 
-    def ingest_url(self, url: str, fetch: web.Fetcher, name: str | None = None, **limits) -> Stats:
+    def ingest_url(self, url: str, fetch: web.Fetcher, name: str | None = None, operation: str = "ingest", **limits) -> Stats:
         settings = self.config.crawling(**limits)
         pages, errors = web.crawl(url, fetch, settings)
         if self.config.crawl.auto_js_rendering and self.renderer is not None and pages:
             pages, failed = web.render_pages(pages, self._scripted(pages), self.renderer, settings.max_pages)
             errors += failed
         # a crawl that reached nothing tells nothing about what is gone
-        return self.ingest("url", web.normalize_url(url), self._pages(pages), name, whole=bool(pages), errors=errors)
+        return self.ingest("url", web.normalize_url(url), self._pages(pages), name, operation, whole=bool(pages), errors=errors)
 
-    def ingest_sitemap(self, url: str, fetch: web.Fetcher, name: str | None = None, pace: web.HostPace | None = None) -> Stats:
+    def ingest_sitemap(self, url: str, fetch: web.Fetcher, name: str | None = None, pace: web.HostPace | None = None, operation: str = "ingest") -> Stats:
         """Up to ``crawl.max_pages`` pages that a sitemap names; one that names none makes no source."""
         entries, failed = web.read_sitemaps(url, fetch)
         if not entries:
@@ -195,7 +195,7 @@ class Index:
                 pages.append({"url": final, "html": body, "content_type": kind})
             except FetchError as err:
                 errors.append(f"{e['loc']}: {err}")
-        return self.ingest("sitemap", url, self._pages(pages), name, errors=errors, listed=[e["loc"] for e in entries])
+        return self.ingest("sitemap", url, self._pages(pages), name, operation, errors=errors, listed=[e["loc"] for e in entries])
 
     def _scripted(self, pages: list[dict]) -> dict[str, list[str] | None]:
         """The pages that need scripts, with their hash routes, or None for those without."""
@@ -323,11 +323,11 @@ class Index:
                 if s.source_type == "dir":
                     if not os.path.isdir(s.uri):
                         raise ConfigError(f"{s.uri} is not a folder")
-                    done.append(self.ingest("dir", s.uri, files.read_files(self.spark, files.list_files(s.uri)), operation="update"))
+                    done.append(self.ingest("dir", s.uri, files.read_files(self.spark, files.list_files(s.uri), s.uri), operation="update"))
                 elif fetch is None:
                     raise FetchError("no fetcher was given")
                 else:
-                    done.append((self.ingest_url if s.source_type == "url" else self.ingest_sitemap)(s.uri, fetch))
+                    done.append((self.ingest_url if s.source_type == "url" else self.ingest_sitemap)(s.uri, fetch, operation="update"))
             except EngineError as e:
                 errors.append(f"{s.uri}: {e}")
         if prune:

@@ -31,6 +31,16 @@ class QueryOptions:
     max_results: int = 100
 
 
+#: What a point tells beside its vector, in the order of its JSON form.
+PAYLOAD = ("source_id", "source_type", "source_uri", "doc_id", "doc_uri", "title", "headings", "chunk_index", "chunk_hash", "updated_at", "modality", "media_url", "media_hash")
+
+
+def payload(points: DataFrame) -> DataFrame:
+    """(id, payload): a point's columns as JSON; what is null or not there is left out."""
+    held = [c for c in PAYLOAD if c in points.columns]
+    return points.select("id", F.to_json(F.struct(*held), {"ignoreNullFields": "true"}).alias("payload"))
+
+
 def filtered(points: DataFrame, o: QueryOptions) -> DataFrame:
     if o.source_ids:
         points = points.where(F.col("source_id").isin(list(o.source_ids)))

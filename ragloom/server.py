@@ -91,7 +91,10 @@ class Server:
     def rag_status(self, a: dict) -> str:
         s = self.index.status().first()
         failed = "".join(f"\nFailed: {f}" for f in self.failures)
-        return f"# Index\n\n- sources: {s.sources}\n- documents: {s.documents}\n- chunks: {s.chunks}{failed}"
+        if not s.connected:
+            return f"# Index\n\nThe store cannot be reached.{failed}"
+        points = f"{s.points}" if s.collection else "no collection yet"
+        return f"# Index\n\n- sources: {s.sources}\n- documents: {s.documents}\n- chunks: {s.chunks}\n- points: {points}{failed}"
 
     def _later(self, what: str, job: Callable[[], object]) -> str:
         def run():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,45 @@ def list_files(root: str, endings: tuple[str, ...] = (), exclude: tuple[str, ...
     return found
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """uri, text, content_hash, content_type; binary files and skipped endings go."""
+def _opened(batches):
+    """The bytes of files; what cannot be read is left out."""
+    for b in batches:
+        for path in b.column("uri").to_pylist():
+            try:
+                with open(path, "rb") as f:
+                    data = f.read()
+            except OSError:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([data], pa.binary())], ["uri", "content"])
+
+
+#: Paths up to which a reader is handed each path; beyond that it lists the folder itself.
+FEW = 1000
+
+
+def read_files(spark: SparkSession, paths: list[str], root: str | None = None, few: int = FEW) -> DataFrame:
+    """uri, text, content_hash, content_type; binary files and skipped endings go.
+
+    Of many paths under a ``root`` Spark lists the folder in its tasks and meets
+    the paths by name.  Files whose name begins with a dot or an underscore,
+    which Spark's readers leave out, are opened by tasks of their own.
+    """
     if not paths:
         return spark.createDataFrame([], "uri string, text string, content_hash string, content_type string")
-    rows = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("uri"), "content")
+    reader = spark.read.format("binaryFile")
+    named = lambda df: df.select(F.regexp_replace("path", "^file:/*", "/").alias("uri"), "content")
+    hidden = [p for p in paths if os.path.basename(p)[:1] in "._"]
+    open_ = sorted({*paths} - {*hidden}) if root is None or len(paths) <= few else []
+    if root is not None and len(paths) > few:
+        under = [p for p in paths if any(x[:1] in "._" for x in os.path.relpath(p, root).split(os.sep))]
+        hidden = sorted({*hidden, *under})
+        listed = spark.createDataFrame([(p,) for p in paths], "uri string")
+        rows = named(reader.option("recursiveFileLookup", "true").load(root)).join(listed, "uri", "left_semi")
+    else:
+        rows = named(reader.load(open_)) if open_ else spark.createDataFrame([], "uri string, content binary")
+    if hidden:
+        at = spark.createDataFrame([(p,) for p in hidden], "uri string").repartition(spark.sparkContext.defaultParallelism)
+        rows = rows.unionByName(at.mapInArrow(_opened, "uri string, content binary"))
     rows = rows.where(~T.should_skip(F.col("uri"))).where(~T.is_binary(F.col("content")))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return rows.select("uri", text.alias("text")).withColumn("content_hash", T.content_hash(F.col("text"))).withColumn("content_type", T.type_by_ending(F.col("uri")))

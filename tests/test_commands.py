@@ -69,6 +69,7 @@ def test_web_sources(spark, tmp_path):
     assert index.ingest_sitemap("http://x.org/map.xml", fetch).docs_changed == 1
     assert index.ingest_sitemap("http://x.org/none.xml", fetch).source_id == ""
     assert index.update()[1] and index.update(fetch)[1] == []
+    assert {r.operation for r in index.store.table("runs").collect()} == {"ingest", "update"}
     site["http://x.org/robots.txt"] = "User-agent: *\nDisallow: /d/2"
     closed = index.ingest_sitemap("http://x.org/map.xml", fetch)
     assert closed.docs_seen == 0 and closed.errors == ["http://x.org/d/2: ruled out by robots.txt"]

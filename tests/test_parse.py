@@ -70,3 +70,10 @@ def test_white_space_against_a_plain_loop(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_whitespace(F.col("t")).alias("n"), T.flatten_whitespace(F.col("t")).alias("f"))
     for r in rows.collect():
         assert r.n == P.normalize_whitespace(r.t) and r.f == " ".join(r.t.split())
+
+
+def test_markdown_quotes_references_and_tables():
+    p = P.markdown('> outer\n>> inner *deep*\n> > - item one\n\nSee [the guide][g] and [short] and ![pic][p].\n\n[g]: https://x.org/g "T"\n[short]: <#part>\n[p]: /img/p.png\n\n| a | b |\n|---|---|\n| 1 | [c](d.md) |\n')
+    assert p.text == "outer inner deep\n\n• item one\n\nSee the guide and short and pic.\n\n| a | b | |---|---| | 1 | c |"  # tables are text, as without the extension
+    assert [(x["url"], x["text"], x["is_internal"]) for x in p.links] == [("https://x.org/g", "the guide", False), ("#part", "short", True), ("d.md", "c", True)]
+    assert p.media == [{"url": "/img/p.png", "alt": "pic", "tag": "img", "css_background": False}]
