@@ -7,8 +7,8 @@ have ended; equality is read off the bytes themselves, without any digest.
    Arrow batch are split by the radix recursion, so that copies in a batch
    become one representative before anything is shuffled.
 2. Representatives are dealt by their leading bytes.  A leading digit that
-   holds more than a fair share of the bytes (a quarter of what a task would
-   get if all were dealt evenly; ``GROUP_BYTES`` at the most) is split by more
+   holds more than a fair share of the bytes (what a task would get if all were
+   dealt evenly, from ``LEAST_BYTES`` to ``GROUP_BYTES``) is split by more
    bytes, in as many rounds as it takes.  What has ended within the digit, so
    that the digit is the whole text, is a group of copies, and an aggregation
    with map-side combining resolves it, however large.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Most and least bytes of a leading digit that is not split further.
-GROUP_BYTES, LEAST_BYTES = 64 << 20, 64 << 10
+GROUP_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 DEPTHS = tuple(32 * 16**k for k in range(7))
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
@@ -155,7 +155,7 @@ def _resolve(reps: DataFrame, group_bytes: int | None) -> DataFrame:
         if group_bytes is None:
             tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             every = reps.agg(F.sum(F.length("norm"))).first()[0] or 0
-            group_bytes = min(GROUP_BYTES, max(LEAST_BYTES, every // (4 * tasks)))
+            group_bytes = min(GROUP_BYTES, max(LEAST_BYTES, every // tasks))
         heavy = common.durable(sizes.where(F.col("bytes") > group_bytes), "radix")
         if heavy.isEmpty():
             found.append(_finish(todo, depth))

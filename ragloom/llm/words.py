@@ -24,7 +24,7 @@ WORD_PLAIN = re.compile(f"{_TAILS}|[{_LETTERS}]+|[0-9]|[^{_SPACE}0-9{_LETTERS}]+
 
 
 #: Words that a worker keeps in each of two generations.
-KEPT = 300_000
+KEPT = 200_000
 
 
 class Kept(dict):
