@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, licenses, neighbours, packing, quality, secrets, simhash, toxicity
+from . import bpe, chat, exact, licenses, neighbours, packing, quality, secrets, simhash, toxicity, whitening
 from .common import table
 
 
@@ -50,13 +50,17 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_embedding_dedup, op5_packing, op6_simhash_dedup, op7_chat_format, op8_licenses, op9_bpe, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_embedding_dedup, op5_packing, op6_simhash_dedup, op7_chat_format, op8_licenses, op9_bpe, op10_toxicity, op11_whitening, pipeline)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
