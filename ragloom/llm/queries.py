@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, licenses, neighbours, packing, quality, secrets, simhash, toxicity, whitening
+from . import bpe, chat, exact, licenses, merkle, neighbours, packing, quality, secrets, simhash, toxicity, whitening
 from .common import table
 
 
@@ -54,13 +54,17 @@ def op11_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_embedding_dedup, op5_packing, op6_simhash_dedup, op7_chat_format, op8_licenses, op9_bpe, op10_toxicity, op11_whitening, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_embedding_dedup, op5_packing, op6_simhash_dedup, op7_chat_format, op8_licenses, op9_bpe, op10_toxicity, op11_whitening, op13_merkle, pipeline)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
@@ -84,4 +88,29 @@ ORACLE_SQL = {
         UNION ALL
         SELECT doc_id, license, 1.0::DOUBLE, CAST(len(string_split(left(line, strpos(line, run)), ' ')) - 2 AS INTEGER) FROM l JOIN short ON contains(line, run)"""
     % ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in sorted(licenses.ALL.items())),
+    "op13_merkle": r"""
+        WITH RECURSIVE
+        c AS (SELECT doc_id AS id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+              lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS state
+              FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+        t AS (SELECT *, CASE WHEN xor(state, 4294967295) %% 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low
+              FROM documents LEFT JOIN c ON id = doc_id),
+        d AS (SELECT row_number() OVER () AS r, doc_id, source, %s AS leaf, %s AS other FROM t),
+        n1 AS (SELECT source AS s, 0 AS lvl, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n, r FROM d
+               UNION ALL SELECT s, lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), max(n + 15) // 16, NULL FROM n1 WHERE n > 1 GROUP BY s, lvl, i // 16),
+        k1 AS (SELECT s, lvl, i // 16 AS p, list(h ORDER BY i) AS k FROM n1 WHERE n > 1 GROUP BY ALL),
+        f1 AS (SELECT r, s, lvl, i, '' AS proof, other AS fold FROM n1 JOIN d USING (r)
+               UNION ALL SELECT r, f1.s, f1.lvl + 1, p, proof || array_to_string(k[1:i %% 16], '') || array_to_string(k[i %% 16 + 2:], ''),
+                                sha256(array_to_string(k[1:i %% 16], '') || fold || array_to_string(k[i %% 16 + 2:], ''))
+               FROM f1 JOIN k1 ON k1.s IS NOT DISTINCT FROM f1.s AND k1.lvl = f1.lvl AND p = i // 16),
+        n2 AS (SELECT s, lvl AS own, 0 AS lvl, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM n1 WHERE n = 1
+               UNION ALL SELECT NULL, NULL, lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), max(n + 15) // 16 FROM n2 WHERE n > 1 GROUP BY lvl, i // 16),
+        k2 AS (SELECT lvl, i // 16 AS p, list(h ORDER BY i) AS k FROM n2 WHERE n > 1 GROUP BY ALL),
+        f2 AS (SELECT r, n2.h AS subroot, 0 AS lvl, n2.i, proof, fold FROM f1 JOIN n2 ON f1.s IS NOT DISTINCT FROM n2.s AND f1.lvl = own AND n2.lvl = 0
+               UNION ALL SELECT r, subroot, f2.lvl + 1, p, proof || array_to_string(k[1:i %% 16], '') || array_to_string(k[i %% 16 + 2:], ''),
+                                sha256(array_to_string(k[1:i %% 16], '') || fold || array_to_string(k[i %% 16 + 2:], ''))
+               FROM f2 JOIN k2 ON k2.lvl = f2.lvl AND p = i // 16)
+        SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+        FROM f2 JOIN (SELECT lvl, h FROM n2 WHERE n = 1) USING (lvl) JOIN d USING (r)"""
+    % tuple("sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", last)) + ")" for last in ("text", "low")),
 }
