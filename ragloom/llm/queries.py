@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, licenses, merkle, neighbours, packing, quality, secrets, simhash, toxicity, whitening
+from . import bpe, brown, chat, exact, licenses, merkle, neighbours, packing, quality, secrets, simhash, toxicity, whitening
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scores(spark, sf_dir):
+    return brown.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_embedding_dedup, op5_packing, op6_simhash_dedup, op7_chat_format, op8_licenses, op9_bpe, op10_toxicity, op11_whitening, op13_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_exact_dedup, op4_embedding_dedup, op5_packing, op6_simhash_dedup, op7_chat_format, op8_licenses, op9_bpe, op10_toxicity, op11_whitening, op12_lm_scores, op13_merkle, pipeline)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
