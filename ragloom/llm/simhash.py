@@ -3,16 +3,18 @@
 A text's fingerprint is the bitwise majority over XXH64 hashes of its 3-word
 shingles.  Documents with one fingerprint are one vertex.  Two fingerprints at
 distance 3 or less agree in at least two of five blocks of 12 or 13 bits, so
-each fingerprint goes to ten shards, named by two blocks and their 25 or 26
-bits.  A shard is held as a BK-tree: children are keyed by the Hamming distance
-to their parent, and a query of radius r follows only the edges d - r .. d + r.
-
-Most shards are small, and their trees are built and asked where the shard
-lies.  The members of shards above ``SHARD`` are dealt over rounds; each round
-broadcasts the trees of at most about ``ROUND`` members and every fingerprint of
-those shards asks the tree of its own shard.  So a broadcast is bounded, a hot
-shard is split over all tasks, and fingerprints in small shards never reach the
-driver.
+each fingerprint goes to ten shards, named by two blocks and the leading bits
+of these: as many bits as leave about ``MEMBERS`` fingerprints to a shard, so
+that shards keep their size while their number grows with the corpus.  A shard
+is a BK-tree: children are keyed by the Hamming distance to their parent, and a
+query of radius r follows only the edges d - r .. d + r.  The trees of many
+shards are one set of arrays, and all queries go down together.
+
+Trees are built and asked where the shard lies.  The members of shards above
+``SHARD`` are dealt over rounds; each round broadcasts the trees of at most
+about ``ROUND`` members and every fingerprint of those shards asks the tree of
+its own shard.  So a broadcast is bounded, a hot shard is split over all tasks,
+and fingerprints of other shards never reach the driver.
 
 Of the links found only a spanning forest leaves a task; components are joined
 across shards by ``connected_components``.
@@ -25,6 +27,7 @@ an empty table gives an empty result; clashing input columns are not read.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 from itertools import combinations
 
@@ -42,7 +45,8 @@ WIDTH, SEED, RADIUS = 3, 42, 3
 BLOCKS, KEPT = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 2
 #: Members of a shard that one task holds, and members whose trees a round broadcasts (8 bytes each).
 SHARD, ROUND = 20_000, 2_000_000
-LEAF = 48
+#: Members that a shard has in the mean, and pairs of a query and a node that go down at a time.
+MEMBERS, FRONT = 32, 1 << 20
 
 
 def shingle_hashes(text: str | None) -> bytes:
@@ -84,39 +88,61 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
-class BkTree:
-    """A BK-tree over distinct 64-bit values, with small leaves; values are known by their place."""
+class BkTrees:
+    """A BK-tree for each run of equal ``keys`` over its distinct 64-bit ``values``, built level by level; nodes are known by their place.
+
+    ``asked`` and ``followed`` count the nodes that queries met and the edges
+    they went down.
+    """
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.values = values
-        self.root = self._node(np.arange(len(values)))
-
-    def _node(self, members: np.ndarray):
-        if len(members) <= LEAF:
-            return members
-        parent = members[0]
-        far = np.bitwise_count(self.values[members[1:]] ^ self.values[parent])
-        return parent, {int(d): self._node(members[1:][far == d]) for d in np.unique(far)}
-
-    def near(self, queries: np.ndarray, radius: int):
-        """Yields (query places, member places) for all pairs within ``radius``; all queries go down together."""
-        todo = [(self.root, np.arange(len(queries)))]
+        self.keys, begins = np.unique(keys, return_index=True)
+        if len(keys) and (keys[1:] < keys[:-1]).any():
+            raise ValueError("keys must be sorted")
+        self.roots = begins
+        links = []  # parent * 65 + edge, child
+        group = np.repeat(np.arange(len(begins)), np.diff([*begins, len(keys)]))
+        rest, heads = np.arange(len(keys)), begins
+        while len(rest):
+            first = np.concatenate([[True], group[1:] != group[:-1]])
+            parent = rest[first][group]
+            rest, parent = rest[~first], parent[~first]
+            edge = parent * 65 + np.bitwise_count(values[rest] ^ values[parent]).astype(np.int64)
+            order = np.argsort(edge, kind="stable")
+            rest, edge = rest[order], edge[order]
+            heads, at, group = np.unique(edge, return_index=True, return_inverse=True)
+            links.append((heads, rest[at]))
+        self.edges, self.children = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
+        order = np.argsort(self.edges)
+        self.edges, self.children = self.edges[order], self.children[order]
+        self.asked = self.followed = 0
+
+    def root_of(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the roots for keys that all have a tree."""
+        return self.roots[np.searchsorted(self.keys, keys)]
+
+    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int):
+        """Yields (query places, node places) of all pairs within ``radius``, each query in the tree of its root."""
+        todo = [(np.arange(len(queries)), roots)]
         while todo:
-            node, asked = todo.pop()
-            if not len(asked):
+            q, node = todo.pop()
+            if len(q) > FRONT:  # so that a front stays small, whatever the trees
+                todo += [(q[FRONT:], node[FRONT:])]
+                q, node = q[:FRONT], node[:FRONT]
+            if not len(q):
                 continue
-            if isinstance(node, np.ndarray):
-                q, m = np.nonzero(np.bitwise_count(queries[asked][:, None] ^ self.values[node][None, :]) <= radius)
-                if len(q):
-                    yield asked[q], node[m]
-                continue
-            parent, children = node
-            far = np.bitwise_count(queries[asked] ^ self.values[parent]).astype(np.int64)
-            hit = asked[far <= radius]
-            if len(hit):
-                yield hit, np.full(len(hit), parent)
-            for d, child in children.items():
-                todo.append((child, asked[np.abs(far - d) <= radius]))
+            far = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            hit = far <= radius
+            if hit.any():
+                yield q[hit], node[hit]
+            low = np.searchsorted(self.edges, node * 65 + np.maximum(far - radius, 0))
+            n = np.searchsorted(self.edges, node * 65 + np.minimum(far + radius, 64), "right") - low
+            self.asked += len(q)
+            self.followed += int(n.sum())
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(low, n)
+            todo.append((np.repeat(q, n), self.children[at]))
 
 
 class Forest:
@@ -154,14 +180,14 @@ class Forest:
         self.label = np.where(names[place] == self.label, names[root[place]], self.label)
 
 
-def _tree_links(tree: BkTree, queries: np.ndarray, radius: int) -> np.ndarray:
-    """Spanning links (n, 2) between the tree's values and ``queries``."""
-    every = np.concatenate([tree.values, queries])
-    forest = Forest(len(every))
-    for first in range(0, len(queries), 4096):
-        for q, m in tree.near(queries[first : first + 4096], radius):
-            forest.add(q + len(tree.values) + first, m)
-    return every[forest.links]
+def tree_links(trees: BkTrees, keys: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
+    """Spanning links (n, 2) between the trees' values and ``queries``, each of which asks the tree of its key."""
+    names, at = np.unique(np.concatenate([trees.values, queries]), return_inverse=True)  # a fingerprint is one vertex in all shards
+    member, asking = at[: len(trees.values)], at[len(trees.values) :]
+    forest = Forest(len(names))
+    for q, m in trees.near(queries, trees.root_of(keys), radius):
+        forest.add(asking[q], member[m])
+    return names[forest.links]
 
 
 def _link_batch(found: list[np.ndarray]):
@@ -175,58 +201,56 @@ def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
 
 
-def _shard_links(batches, radius: int):
-    """Links inside shards, from rows sorted by key; a shard is held whole."""
-    keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+def _shard_links(batches, radius: int, size: int = 1 << 18):
+    """Links inside shards, from rows sorted by key; shards are held whole, about ``size`` members at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
 
-    def solve(keys, fps, found):
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if e - s == 2:  # what most shards with a pair are
-                if int(fps[s] ^ fps[s + 1]).bit_count() <= radius:
-                    found.append(fps[None, s:e])
-            elif e - s > 2:
-                found.append(_tree_links(BkTree(fps[s:e]), fps[s:e], radius))
+    def solve(keys, fps):
+        yield from _link_batch([tree_links(BkTrees(keys, fps), keys, fps, radius)] if len(keys) else [])
 
     for b in batches:
-        if b.num_rows:
-            k, f = _columns(b)
-            keys, fps, found = np.concatenate([keys, k]), np.concatenate([fps, f]), []
+        held.append(_columns(b))
+        rows += b.num_rows
+        if rows >= size:
+            keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
             whole = int(np.searchsorted(keys, keys[-1]))  # the last shard may go on in the next batch
-            solve(keys[:whole], fps[:whole], found)
-            keys, fps = keys[whole:], fps[whole:]
-            yield from _link_batch(found)
-    found: list = []
-    solve(keys, fps, found)
-    yield from _link_batch(found)
+            yield from solve(keys[:whole], fps[:whole])
+            held, rows = [(keys[whole:], fps[whole:])], len(keys) - whole
+    if held:
+        yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _asked(batches, trees, radius: int):
     """Links between fingerprints of hot shards and the broadcast trees."""
     for b in batches:
         keys, fps = _columns(b)
-        order = np.argsort(keys, kind="stable")
-        names, begins = np.unique(keys[order], return_index=True)
-        found = [_tree_links(trees.value[k], fps[rows], radius) for k, rows in zip(names.tolist(), np.split(order, begins[1:]), strict=True) if k in trees.value] if len(keys) else []
-        yield from _link_batch(found)
+        here = np.isin(keys, trees.value.keys)
+        yield from _link_batch([tree_links(trees.value, keys[here], fps[here], radius)] if here.any() else [])
+
+
+def shard_bits(count: int, members: int = MEMBERS) -> int:
+    """Bits of a shard's name, so that of ``count`` fingerprints about ``members`` have one in common, as far as two blocks go."""
+    return min(KEPT * min(width for _, width in BLOCKS), max(0, math.ceil(math.log2(max(1, count / members)))))
 
 
-def shard_keys(fp: Column) -> Column:
-    """The names of a fingerprint's shards: which blocks, and their bits."""
-    bits = [F.expr(f"shiftrightunsigned(fp, {first}) & {(1 << width) - 1}") for first, width in BLOCKS]
+def shard_keys(bits: int) -> Column:
+    """The names of a fingerprint's shards: which blocks, and their leading ``bits`` together."""
     keys = []
     for n, kept in enumerate(combinations(range(len(BLOCKS)), KEPT)):
         key = F.lit(n).cast("long")
-        for k in kept:
-            key = F.shiftleft(key, BLOCKS[k][1]).bitwiseOR(bits[k])
+        for place, k in enumerate(kept):
+            width = (bits + KEPT - 1 - place) // KEPT
+            first = BLOCKS[k][0] + BLOCKS[k][1] - width
+            key = F.shiftleft(key, width).bitwiseOR(F.expr(f"shiftrightunsigned(fp, {first}) & {(1 << width) - 1}"))
         keys.append(key)
     return F.array(*keys)
 
 
-def near_links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD, round_: int = ROUND) -> DataFrame:
+def near_links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD, round_: int = ROUND, members: int = MEMBERS) -> DataFrame:
     """Links (a, b) that connect whatever distinct ``fp`` lie within ``radius``; radius <= blocks - kept blocks."""
     spark = values.sparkSession
-    sharded = values.select("fp", F.explode(shard_keys(F.col("fp"))).alias("key")).select("key", "fp")
+    sharded = values.select("fp", F.explode(shard_keys(shard_bits(values.count(), members))).alias("key")).select("key", "fp")
     hot = common.durable(sharded.groupBy("key").count().where(F.col("count") > shard), "simhash")
     common.small_batches(spark, 20_000)
     light = sharded if hot.isEmpty() else sharded.join(hot.select("key"), "key", "left_anti")
@@ -234,14 +258,13 @@ def near_links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD, roun
     total = hot.agg(F.sum("count")).first()[0] or 0
     if not total:
         return links
-    members = common.durable(sharded.join(hot.select("key"), "key", "left_semi"), "simhash")
+    asking = common.durable(sharded.join(hot.select("key"), "key", "left_semi"), "simhash")
     rounds = -(-total // round_)
     for n in range(rounds):
-        held = members.where(F.pmod(F.xxhash64("key", "fp"), F.lit(rounds)) == n).toArrow().sort_by("key")  # about ``round_`` rows at the most
+        held = asking.where(F.pmod(F.xxhash64("key", "fp"), F.lit(rounds)) == n).toArrow().sort_by("key")  # about ``round_`` rows at the most
         keys, fps = held["key"].to_numpy(), held["fp"].to_numpy().view(np.uint64)
-        names, begins = np.unique(keys, return_index=True)
-        trees = spark.sparkContext.broadcast({k: BkTree(f) for k, f in zip(names.tolist(), np.split(fps, begins[1:]), strict=True)} if len(keys) else {})
-        links = links.unionByName(common.durable(members.mapInArrow(partial(_asked, trees=trees, radius=radius), "a long, b long"), "simhash"))
+        trees = spark.sparkContext.broadcast(BkTrees(keys, fps))
+        links = links.unionByName(common.durable(asking.mapInArrow(partial(_asked, trees=trees, radius=radius), "a long, b long"), "simhash"))
         trees.unpersist()
     return links
 

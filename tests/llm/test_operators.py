@@ -108,11 +108,39 @@ def test_bk_trees_of_any_shard(spark):
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     pairs = [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
     frame = spark.createDataFrame([(v,) for v in signed], "fp long")
-    for shard, round_ in ((20_000, 1), (3, 2_000_000), (3, 300)):  # trees in their shards; broadcast at once; in several rounds
-        got = [(r.a, r.b) for r in simhash.near_links(frame, shard=shard, round_=round_).collect()]
+    for shard, round_, members in ((20_000, 1, 32), (3, 2_000_000, 32), (3, 300, 32), (20_000, 1, 1 << 40), (100, 500, 1 << 40), (20_000, 1, 1e-9)):  # trees in their shards; broadcast at once; in several rounds; one shard for all, split; the smallest
+        got = [(r.a, r.b) for r in simhash.near_links(frame, shard=shard, round_=round_, members=members).collect()]
         assert components_of(signed, got) == components_of(signed, pairs)
 
 
+def test_bk_trees_find_every_pair(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(0, 5, 400))
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    values = np.concatenate([np.unique(base[rng.integers(0, 20, int(n))] ^ (np.uint64(1) << rng.integers(0, 63, int(n)).astype(np.uint64))) for n in np.bincount(keys)])
+    keys = np.concatenate([np.full(len(np.unique(v)), k) for k, v in enumerate(np.split(values, np.flatnonzero(np.diff(values.astype(float)) < 0) + 1))])
+    monkeypatch.setattr(simhash, "FRONT", 50)
+    for radius in (0, 3, 10, 64):
+        trees = simhash.BkTrees(keys, values)
+        got = {(int(q), int(m)) for a, b in trees.near(values, trees.root_of(keys), radius) for q, m in zip(a, b, strict=True)}
+        far = np.bitwise_count(values[:, None] ^ values[None])
+        assert got == set(zip(*map(np.ndarray.tolist, np.nonzero((far <= radius) & (keys[:, None] == keys[None]))), strict=True))
+
+
+def test_trees_of_the_registered_query_have_edges(spark):
+    """With the query's own parameters: queries go down from node to node, and most nodes are never met."""
+    from ragloom.llm.common import table
+
+    found = simhash.with_fingerprint(table(spark, "/root/testdata/sf0.01", "documents")).select("fp").distinct()
+    bits = simhash.shard_bits(found.count())
+    rows = found.select("fp", F.explode(simhash.shard_keys(bits)).alias("key")).toPandas().sort_values(["key", "fp"])
+    keys, fps = rows.key.to_numpy(), rows.fp.to_numpy().view(np.uint64)
+    trees = simhash.BkTrees(keys, fps)
+    list(trees.near(fps, trees.root_of(keys), simhash.RADIUS))
+    sizes = np.bincount(np.searchsorted(trees.keys, keys))
+    assert len(fps) < trees.asked < (sizes.astype(float) ** 2).sum() and trees.followed == trees.asked - len(fps) > 3 * len(fps)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
