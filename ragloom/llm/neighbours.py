@@ -13,10 +13,9 @@ bound, nothing within the limit lies beyond it: where no other radius will do,
 the search is exact.  What a visit finds is verified by exact cosines.
 
 Vectors are compared within a label and a vector length.  Each length has an
-index of its own; up to ``CELL`` classes of a length are one cell.  The grid
-grows with the largest label, so that its cells hold about ``CELL`` members, and
-the sample with the grid: ``CENTROIDS`` to ``MOST`` codes a half, fitted on
-``SAMPLE`` or 16 vectors a code.
+index of its own.  Its grid grows with the largest label, so that its cells hold
+about ``CELL`` members, and the sample with the grid: ``CENTROIDS`` to ``MOST``
+codes a half, fitted on ``SAMPLE`` or 16 vectors a code.
 
 Equal vectors of a label are one class with a count, so copies are not
 expanded.  A cell above ``BLOCK`` members is cut into blocks, each a task of
@@ -45,8 +44,8 @@ from . import common
 from .components import connected_components
 from .simhash import Forest
 
-COSINE, RECALL, SAMPLE, BLOCK, CELL = 0.98, 0.995, 4096, 4096, 2048
-CENTROIDS, MOST = 8, 2048
+COSINE, RECALL, SAMPLE, BLOCK, CELL = 0.98, 0.995, 4096, 4096, 256
+CENTROIDS, MOST = 2, 2048
 RADII = (0.25, 0.375, 0.5, 0.625, 0.75)
 
 
@@ -133,10 +132,10 @@ def _matrix(column) -> np.ndarray:
 
 
 def fit_indexes(classes: DataFrame, cosine: float = COSINE, recall: float = RECALL, cell: int = CELL) -> dict[int, MultiIndex]:
-    """An index for each vector length that has more than ``cell`` members in a label."""
-    sizes = classes.groupBy("d", "label").count().groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("all")).where(F.col("largest") > cell)
+    """An index for each vector length that has two members or more in a label."""
+    sizes = classes.groupBy("d", "label").count().groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("all")).where("largest > 1")
     out = {}
-    for r in sizes.collect():  # one row a vector length, of those with many vectors
+    for r in sizes.collect():  # one row a vector length
         codes = min(MOST, max(CENTROIDS, math.ceil(math.sqrt(r.largest / cell))))
         wanted = max(SAMPLE, 16 * codes)
         share = F.lit(True) if r["all"] <= wanted else F.xxhash64("cid", "first") < F.lit(-(1 << 63) + int((1 << 64) * (wanted / r["all"])))
@@ -158,7 +157,7 @@ def near_groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "embed
     common.small_batches(spark)
 
     def dealt(batches):
-        """A row for each cell that a class visits, with all that it visits."""
+        """A row for each cell that a class visits; the row of its own cell has all of them."""
         for b in batches:
             lengths = b.column("d").to_numpy()
             for d in np.unique(lengths).tolist():
@@ -167,8 +166,9 @@ def near_groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "embed
                 home, cells = index.cells(unit(_matrix(part.column("v")))) if index else (np.zeros(part.num_rows, np.int64), [[0]] * part.num_rows)
                 n = np.array([len(c) for c in cells])
                 out = part.take(pa.array(np.repeat(np.arange(part.num_rows), n)))
-                visits = pa.array([sorted(c) for c in cells], pa.list_(pa.int32())).take(pa.array(np.repeat(np.arange(len(cells)), n)))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cells), pa.int32()), pa.array(np.repeat(home, n), pa.int32()), visits], [*out.schema.names, "cell", "home", "visits"])
+                cell, own = np.concatenate(cells), np.repeat(home, n)
+                visits = [sorted(cells[i]) if at else None for i, at in zip(np.repeat(np.arange(len(cells)), n).tolist(), (cell == own).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int32()), pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*out.schema.names, "cell", "home", "visits"])
 
     visits = common.durable(classes.select("label", "d", "cid", "copies", "v").mapInArrow(dealt, "label string, d int, cid long, copies long, v array<double>, cell int, home int, visits array<int>"), "visits")
     sizes = visits.where("cell = home").groupBy("label", "d", "cell").count().select("label", "d", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -246,15 +246,15 @@ def _solve(batches, cosine: float):
         cuts = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)]
         for s, e in zip(cuts, cuts[1:], strict=False):
             rows = b.slice(s, e - s)
-            part = (unit(_matrix(rows.column("v"))), *(rows.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "copies", "home")), rows.column("visits").to_pylist())
+            part = (unit(_matrix(rows.column("v"))), *(rows.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "copies", "home")))
             if gathered and (key[s][:4] != task or key[s][4]):
                 block, gathered = _Block(task[2], gathered, cosine), []
                 yield from block.inner()
             if key[s][:4] != task:
                 task, block = key[s][:4], None
             if not key[s][4]:
-                gathered.append(part)
+                gathered.append((*part, rows.column("visits").to_pylist()))
             elif block is not None:
-                yield from block.asked(*part[:4])
+                yield from block.asked(*part)
     if gathered:
         yield from _Block(task[2], gathered, cosine).inner()

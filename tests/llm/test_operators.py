@@ -189,17 +189,34 @@ def test_neighbours_equal_brute_force(spark):
     rows += [(900 + k, [1.0, 2.0], 1) for k in range(4)]  # of a rare length
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("cid", F.lit("clash"))
     want = brute_groups(rows)
-    for block, cell, recall in ((4096, 2048, 0.995), (4096, 10, 1.0), (5, 10, 1.0)):  # one cell a label; grids of 8 x 8 codes; small blocks
+    for block, cell, recall in ((4096, 256, 1.0), (4096, 5, 1.0), (5, 10, 1.0)):  # 2 x 2 codes; a finer grid; small blocks
         got = Counter(tuple(r) for r in neighbours.near_groups(frame, block=block, cell=cell, recall=recall).collect())
         assert got == want
     assert neighbours.near_groups(frame.limit(0)).count() == 0
 
 
+def test_neighbours_walk_cells_with_the_parameters_of_the_query(spark):
+    """Each label of the shared vectors lies in several cells, vectors visit some of them, and all links are found."""
+    from ragloom.llm.common import table
+
+    vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
+    classes = vectors.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v")).select("label", F.size("v").alias("d"), "v", F.col("vec_id").alias("first"), F.col("vec_id").alias("cid"))
+    (index,) = neighbours.fit_indexes(classes).values()
+    rows = [tuple(r) for r in vectors.select("vec_id", "embedding", "label").collect()]
+    home, cells = index.cells(neighbours.unit(np.array([r[1] for r in rows], np.float64)))
+    assert all(len({h for h, r in zip(home.tolist(), rows, strict=True) if r[2] == label}) > 1 for label in {r[2] for r in rows})
+    assert sum(map(len, cells)) > len(cells) and all(h in c for h, c in zip(home.tolist(), cells, strict=True))
+    got = {r.vec_id: tuple(r) for r in neighbours.near_groups(vectors).collect()}
+    want = {w[0]: w for w in brute_groups(rows)}
+    assert sum(w[1] for w in got.values()) >= 0.995 * sum(w[1] for w in want.values())
+    assert sum(got[i] == want[i] for i in want) >= 0.995 * len(want)
+
+
 def test_neighbours_recall(spark):
     """With the recall of production over a grid: nothing is linked that should not be, and nearly all links are found."""
     rows = near_vectors(4, 3000, 64)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    out = {r.vec_id: r for r in neighbours.near_groups(frame, cell=100).collect()}
+    out = {r.vec_id: r for r in neighbours.near_groups(frame, cell=20).collect()}
     want = {w[0]: w for w in brute_groups(rows)}
     assert all(out[i].n_links <= want[i][1] for i in want)
     found, every = sum(r.n_links for r in out.values()), sum(w[1] for w in want.values())
