@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-LEAF, WORD, PART = 1024, 256, 1 << 17
+LEAF, WORD, PART = 1024, 256, 1 << 16
 
 
 class Merges:

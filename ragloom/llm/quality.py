@@ -3,8 +3,8 @@
 Overlapping heuristic labellers vote junk (0), good (1) or nothing (-1).
 Expectation-maximisation over the counts of vote patterns, at most
 3 ** labellers rows however large the corpus, estimates each labeller's
-behaviour in either class.  The posteriors label a bounded sample of documents,
-and a hashed linear scorer learns from it; it then scores every whole text.
+behaviour in either class.  The posteriors label a bounded sample of different
+texts, and a hashed linear scorer learns from it; it then scores every whole text.
 
 Defined results: null and empty texts carry the vote of the ``empty`` labeller
 alone; repeated rows each get their row; an empty table gives an empty result;
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from .words import Kept
 
-#: Documents that the scorer is fitted on, those of least hash, and its dimension.
+#: Different texts that the scorer is fitted on at most, those of least hash, and its dimension.
 SAMPLE, DIMENSION = 6_000, 1 << 14
 _LETTER = bytes([*range(65, 91), *range(97, 123)])
 _UPPER, _SYMBOL = bytes(range(65, 91)), b"%*$&#@^~<>=+{}\\"
@@ -158,19 +158,25 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", samp
     posterior, _, _ = expectation_maximisation(patterns, counts)
     known = {r.pattern: float(q) for r, q in zip(found, posterior, strict=True)}
 
-    total = counts.sum()
-    chosen = rows if total <= sample else rows.where(F.xxhash64("doc_id", F.length("text")) < F.lit(-(1 << 63) + int((1 << 64) * (sample / total))))
+    hashed = rows.select(F.xxhash64("text").alias("h"), "text")
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(last if last is not None else 0))
 
     def sampled(batches):
+        seen = set()  # at most ``sample`` texts; repeated ones are looked at once a task
         for b in batches:
             out = []
-            for t in b.column("text").to_pylist():
-                m, w = measures(t)
-                c, v = features(m, w)
-                out.append((code(votes(m)), c, v))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float32()))], ["doc_id", "pattern", "cols", "vals"])
-
-    got = chosen.mapInArrow(sampled, "doc_id long, pattern long, cols array<int>, vals array<float>").toArrow().combine_chunks().sort_by("doc_id")  # about ``sample`` rows
+            for h, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    m, w = measures(t)
+                    c, v = features(m, w)
+                    out.append((h, code(votes(m)), c, v))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["h", "pattern", "cols", "vals"])
+
+    drawn = chosen.mapInArrow(sampled, "h long, pattern long, cols array<int>, vals array<float>").groupBy("h").agg(F.min(F.struct("pattern", "cols", "vals")).alias("r"))
+    got = drawn.select("h", "r.*").toArrow().combine_chunks().sort_by("h")  # at most ``sample`` rows
     target = np.array([known[p] for p in got["pattern"].to_pylist()])
     weights, bias = fit([(np.asarray(c.values), np.asarray(v.values)) for c, v in zip(got["cols"], got["vals"], strict=True)], target)
     held = spark.sparkContext.broadcast((weights, bias, known))

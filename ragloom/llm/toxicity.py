@@ -9,11 +9,12 @@ neutral mention of one group, and of another in the copy).  An L1 proximal
 step keeps weights of words that tell nothing at zero.
 
 The model is fitted on the driver on at most ``SAMPLE`` labelled rows of the
-folds given (a bounded, documented sample: rows of least hash); scoring reads
-every whole text where it lies, without a shuffle.
+folds given (a bounded, documented sample: the ids of least hash that have a
+document, each with one text); scoring reads every whole text where it lies,
+without a shuffle.
 
 Defined results: null and empty texts get the score of no feature; null labels
-are not learnt from; where there is nothing to learn from, every score is under
+are not learnt from; a null doc_id is not held out; where there is nothing to learn from, every score is under
 1e-17; an empty table gives an empty result;
 repeated rows each get their row; clashing columns are not read.
 """
@@ -188,11 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """Fit on the rows of ``labels`` (doc_id, toxic) outside the held-out fold, found in ``docs``."""
     spark = docs.sparkSession
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("toxic is not null and doc_id is not null and " + "pmod(crc32(cast(doc_id as string)), 5) <> 0")
-    use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    count = use.count()
-    if count > sample:  # rows of least hash; the draw is the same at every run
-        use = use.where(F.xxhash64("doc_id") < F.lit(-(1 << 63) + int((1 << 64) * (sample / count))))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(use, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    use = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the draw is the same at every run
+    chosen = rows.join(use, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # repeated ids are learnt from once
     common.small_batches(spark)
 
     def run(batches):
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
             named = pa.array([sorted(w for w in ws if w in _SWAP) for ws in found], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), features, named], ["doc_id", "toxic", "features", "named"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, toxic double, features array<int>, named array<string>").toArrow()  # about ``sample`` rows at most
+    rows = chosen.mapInArrow(run, "doc_id long, toxic double, features array<int>, named array<string>").toArrow()  # ``sample`` rows at most
     rows = rows.combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     return Scorer(*fit([np.asarray(v.values) for v in rows["features"]], rows["named"].to_pylist(), rows["toxic"].to_numpy() > 0))
 
@@ -230,7 +230,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     scorer = train(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = _scored(rows, scorer, "text", "score")
-    return scored.select("doc_id", F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.expr("coalesce(pmod(crc32(cast(doc_id as string)), 5) = 0, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:

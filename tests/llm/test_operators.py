@@ -314,6 +314,26 @@ def test_quality_scores_equal_a_plain_loop(spark, docs):
         assert any(abs(w - q[patterns.index(v)]) < 1e-9 for w in weak[i])
 
 
+def test_samples_are_bounded_and_never_empty(spark, monkeypatch):
+    """Null ids, a few ids, one hot text: as many different texts as wanted are fitted, no more."""
+    drawn = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, target: drawn.append(len(rows)) or fit(rows, target, 2))
+    for rows in ([(None, f"text number {i} {'x' * (i % 9)}") for i in range(3000)], [(i % 3, f"text {i}") for i in range(3000)], [(i, "hot text" if i % 2 else f"other {i}") for i in range(3000)]):
+        quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), sample=100).count()
+    quality.score_quality(spark.createDataFrame([(i, "hot text") for i in range(300)], "doc_id long, text string"), sample=100).count()
+    assert drawn == [100, 100, 100, 1]
+    drawn.clear()
+    monkeypatch.setattr(toxicity, "fit", lambda features, named, toxic: drawn.append(len(features)) or ({}, 0.0))
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(5000)], "doc_id long, quality int, toxic int")
+    for ids in ([i % 40 for i in range(3000)], range(3000), [4999 - i % 7 for i in range(500)]):
+        toxicity.train(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string"), labels, sample=100)
+    kept = lambda ids: len({i for i in ids if zlib.crc32(str(i).encode()) % 5})
+    assert drawn == [kept(range(40)), 100, kept(range(4993, 5000))]
+    out = toxicity.score_documents(spark.createDataFrame([(None, "x")], "doc_id long, text string"), labels).collect()
+    assert [r.held_out for r in out] == [False]
+
+
 def test_toxicity_gradient_and_penalty():
     """The fit is a minimum of its loss, written out plainly, and the penalty narrows what a swap of groups changes."""
     rng = random.Random(5)
