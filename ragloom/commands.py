@@ -26,7 +26,7 @@ from .operators import chunk as C
 from .operators import media, merge, parse, status
 from .plans import search as S
 from .schemas import ASSETS, CHUNKS, DOCUMENTS, KEYS, POINTS, RUNS, SOURCES
-from .sources import files, web
+from .sources import files, frontier, web
 from .sources.fetch import bytes_fetcher
 from .sources.store import Store
 
@@ -167,35 +167,44 @@ class Index:
 
     def ingest_url(self, url: str, fetch: web.Fetcher, name: str | None = None, operation: str = "ingest", **limits) -> Stats:
         settings = self.config.crawling(**limits)
-        pages, errors = web.crawl(url, fetch, settings)
-        if self.config.crawl.auto_js_rendering and self.renderer is not None and pages:
-            pages, failed = web.render_pages(pages, self._scripted(pages), self.renderer, settings.max_pages)
-            errors += failed
-        # a crawl that reached nothing tells nothing about what is gone
-        return self.ingest("url", web.normalize_url(url), self._pages(pages), name, operation, whole=bool(pages), errors=errors)
-
-    def ingest_sitemap(self, url: str, fetch: web.Fetcher, name: str | None = None, pace: web.HostPace | None = None, operation: str = "ingest") -> Stats:
+        crawled = self._crawl(frontier.seeds_of(self.spark, [("", url)], settings), fetch, settings)
+        try:
+            pages, errors = crawled.pages(), self._failures(crawled, settings)
+            if self.config.crawl.auto_js_rendering and self.renderer is not None and not pages.isEmpty():
+                rows = [r.asDict() for r in pages.orderBy("rank").select("url", "html", "content_type", "depth", "links").collect()]  # at most max_pages, and rendering is not Spark's
+                rendered, failed = web.render_pages(rows, self._scripted(rows), self.renderer, settings.max_pages)
+                pages = self.spark.createDataFrame([(p["url"], p["html"], p["content_type"]) for p in rendered], "url string, html string, content_type string")
+                errors += failed
+            # a crawl that reached nothing tells nothing about what is gone
+            return self.ingest("url", web.normalize_url(url), self._pages(pages), name, operation, whole=not pages.isEmpty(), errors=errors)
+        finally:
+            crawled.delete()
+
+    def _crawl(self, seeds: DataFrame, fetch: web.Fetcher, limits: web.CrawlLimits) -> frontier.Crawl:
+        crawl = frontier.Crawl(self.spark, f"{self.store.root}/crawl", limits, fetch)
+        try:
+            return crawl.run(seeds)
+        except Exception:
+            crawl.delete()
+            raise
+
+    def _failures(self, crawled: frontier.Crawl, limits: web.CrawlLimits) -> list[str]:
+        """What could not be had, in order; a report, so no more than the attempts that a crawl has."""
+        return [r.error for r in crawled.errors().orderBy("rank").limit(limits.attempts).collect()]
+
+    def ingest_sitemap(self, url: str, fetch: web.Fetcher, name: str | None = None, operation: str = "ingest") -> Stats:
         """Up to ``crawl.max_pages`` pages that a sitemap names; one that names none makes no source."""
         entries, failed = web.read_sitemaps(url, fetch)
         if not entries:
             return Stats(errors=[f"{failed} sitemaps could not be read"] if failed else [])
-        pace = pace or web.HostPace(self.config.crawl.rate_limit_per_host)
-        rules = web.HostRules(fetch, self.config.crawl.user_agent) if self.config.crawl.respect_robots_txt else None
-        pages, errors = [], []
-        entries = entries[: self.config.crawl.max_pages]
-        for e in entries:
-            if rules and not rules.allows(e["loc"]):
-                errors.append(f"{e['loc']}: ruled out by robots.txt")
-                continue
-            pace.wait(urlsplit(e["loc"]).netloc)
-            try:
-                code, kind, body, final = fetch(e["loc"])
-                if not 200 <= code < 300:
-                    raise FetchError(f"status {code}")
-                pages.append({"url": final, "html": body, "content_type": kind})
-            except FetchError as err:
-                errors.append(f"{e['loc']}: {err}")
-        return self.ingest("sitemap", url, self._pages(pages), name, operation, errors=errors, listed=[e["loc"] for e in entries])
+        limits = self.config.crawling(max_depth=0)
+        listed = [e["loc"] for e in entries][: limits.max_pages]
+        seeds = self.spark.createDataFrame([("", u, 0, 0, n, [], "") for n, u in enumerate(dict.fromkeys(listed))], frontier.QUEUE)
+        crawled = self._crawl(seeds, fetch, limits)
+        try:
+            return self.ingest("sitemap", url, self._pages(crawled.pages()), name, operation, errors=self._failures(crawled, limits), listed=listed)
+        finally:
+            crawled.delete()
 
     def _scripted(self, pages: list[dict]) -> dict[str, list[str] | None]:
         """The pages that need scripts, with their hash routes, or None for those without."""
@@ -203,9 +212,8 @@ class Index:
         found = rows.select("url", H.analyze(F.col("html")).alias("a")).where("a.needs_js").select("url", F.when(F.col("a.uses_hash_routing"), F.col("a.hash_routes")).alias("routes"))
         return {r.url: r.routes for r in found.collect()}  # at most max_pages
 
-    def _pages(self, pages: list[dict]) -> DataFrame:
-        rows = self.spark.createDataFrame([(p["url"], p["html"], p["content_type"]) for p in pages], "uri string, text string, mime string")  # at most max_pages
-        rows = rows.dropDuplicates(["uri"])
+    def _pages(self, pages: DataFrame) -> DataFrame:
+        rows = pages.select(F.col("url").alias("uri"), F.col("html").alias("text"), F.col("content_type").alias("mime")).dropDuplicates(["uri"])
         return rows.select("uri", "text", T.content_hash(F.col("text")).alias("content_hash"), T.content_type(F.col("uri"), F.col("mime")).alias("content_type"))
 
     def ingest(self, source_type: str, uri: str, seen: DataFrame, name: str | None = None, operation: str = "ingest", whole: bool = True, errors: list[str] = (), listed: list[str] = ()) -> Stats:
@@ -300,7 +308,7 @@ class Index:
         m = self.config.multimodal
         if not (m.enabled and m.include_images) or source_type == "dir":
             return None
-        found = media.assets(fresh, self.image_fetch, self.luma, m.min_asset_bytes, m.max_asset_bytes, least=m.min_relevance_score, most=m.max_assets_per_page, css=m.include_css_backgrounds, prefixes=tuple(m.allowed_mime_prefixes))
+        found = media.assets(fresh, self.image_fetch, self.config.crawling(), self.luma, m.min_asset_bytes, m.max_asset_bytes, least=m.min_relevance_score, most=m.max_assets_per_page, css=m.include_css_backgrounds, prefixes=tuple(m.allowed_mime_prefixes))
         return _like(found, ASSETS)
 
     def _embedded(self, chunks: DataFrame, docs: DataFrame, source_type, source_uri, pictures: DataFrame | None = None) -> DataFrame:

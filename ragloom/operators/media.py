@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import frontier
+from ..sources.web import CrawlLimits
 from . import images
 
 #: Takes an address and gives (status, content type, bytes); it is sent to the tasks.
@@ -29,35 +31,41 @@ def wanted(docs: DataFrame, least: float, most: int, css: bool, prefixes: tuple[
     return found.select("page", "url", "alt", images.context(F.col("alt"), F.col("title"), F.col("headings")).alias("context"), "relevance")
 
 
-def fetched(rows: DataFrame, fetch: BytesFetcher, luma: Luma | None = None) -> DataFrame:
-    """``rows`` with content_type, data, size, sha and hash; what cannot be fetched goes."""
-    names = rows.columns
+def fetched(rows: DataFrame, fetch: BytesFetcher, limits: CrawlLimits, luma: Luma | None = None) -> DataFrame:
+    """``rows`` with content_type, data, size, sha and hash; what cannot be fetched goes.
+
+    Each address is asked once, by the task that has its host, under the
+    host's robots rules and at the pace that it is owed.
+    """
+    targets = rows.select("url").distinct().withColumn("rank", F.xxhash64("url"))
+    got = frontier.fetch_all(targets, fetch, limits, body="body binary").where("error is null").select("url", "content_type", F.col("body").alias("data"))
+    return hashed(rows.join(got, "url"), luma).withColumn("size", F.length("data")).withColumn("sha", F.sha2("data", 256))
+
+
+def hashed(rows: DataFrame, luma: Luma | None) -> DataFrame:
+    """``rows`` (data, ...) with the perceptual hash, null where ``luma`` is none or cannot read the image."""
+    if luma is None:
+        return rows.withColumn("hash", F.lit(None).cast("long"))
 
     def run(batches):
         for b in batches:
-            for i, url in enumerate(b.column("url").to_pylist()):
-                try:
-                    status, kind, data = fetch(url)
-                except Exception:  # noqa: BLE001 - a page is indexed without an image that cannot be had
-                    continue
-                if 200 <= status < 300:
-                    grey = luma(data) if luma else None
-                    value = None if grey is None else images.average_hash(grey)
-                    signed = None if value is None else value - (1 << 64) if value >> 63 else value
-                    # one image a batch, as each may be megabytes
-                    yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([kind], pa.string()), pa.array([data], pa.binary()), pa.array([signed], pa.int64())], [*names, "content_type", "data", "hash"])
+            found = []
+            for data in b.column("data").to_pylist():
+                grey = luma(data)
+                value = None if grey is None else images.average_hash(grey)
+                found.append(None if value is None else value - (1 << 64) if value >> 63 else value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], [*b.schema.names, "hash"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    got = rows.mapInArrow(run, f"{kinds}, content_type string, data binary, hash long")
-    return got.withColumn("size", F.length("data")).withColumn("sha", F.sha2("data", 256))
+    return rows.mapInArrow(run, f"{kinds}, hash long")
 
 
-def assets(docs: DataFrame, fetch: BytesFetcher, luma: Luma | None = None, least_bytes: int = images.LEAST_BYTES, most_bytes: int = images.MOST_BYTES, **choice) -> DataFrame:
+def assets(docs: DataFrame, fetch: BytesFetcher, limits: CrawlLimits, luma: Luma | None = None, least_bytes: int = images.LEAST_BYTES, most_bytes: int = images.MOST_BYTES, **choice) -> DataFrame:
     """(doc_id, chunk_index, url, alt, context, content_type, sha, data) of the images to be indexed.
 
     No SVG, sizes in range, equal bytes and near images once a page.
     """
-    rows = images.acceptable(fetched(wanted(docs, **choice), fetch, luma), least_bytes, most_bytes)
+    rows = images.acceptable(fetched(wanted(docs, **choice), fetch, limits, luma), least_bytes, most_bytes)
     place = Window.partitionBy("page").orderBy(F.desc("relevance"), "url")  # at most ``most`` rows a page
     rows = rows.withColumn("place", F.row_number().over(place))
     if luma:

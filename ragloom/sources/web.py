@@ -39,9 +39,7 @@ def fetch_hash_route(base: str, route: str, renderer: Renderer) -> tuple[str, st
 
 def rendered_routes(html: str, url: str) -> list[str]:
     """Routes of a rendered page: fragments that begin with / of links to its own host, but for the root."""
-    finder = _Links()
-    finder.feed(html)
-    found = (urlsplit(urljoin(url, h)) for h in finder.found)
+    found = (urlsplit(urljoin(url, h)) for h in links_of(html))
     return sorted({p.fragment for p in found if p.hostname == urlsplit(url).hostname and p.fragment.startswith("/") and p.fragment != "/"})
 
 
@@ -177,6 +175,13 @@ class _Links(HTMLParser):
             self.found.append(href)
 
 
+def links_of(html: str) -> list[str]:
+    """The addresses of a page's links as they are written, in order."""
+    finder = _Links()
+    finder.feed(html)
+    return finder.found
+
+
 @dataclass
 class CrawlLimits:
     max_depth: int = 3
@@ -218,10 +223,7 @@ def crawl(seed: str, fetch: Fetcher, limits: CrawlLimits = CrawlLimits(), pace:
         except FetchError as e:
             errors.append(f"{at}: {e}")
             continue
-        finder = _Links()
-        if "html" in kind:
-            finder.feed(body)
-        links = [urljoin(final, h) for h in finder.found]
+        links = [urljoin(final, h) for h in links_of(body)] if "html" in kind else []
         pages.append({"url": final, "html": body, "content_type": kind, "depth": depth, "links": links})
         if depth >= limits.max_depth:
             continue
