@@ -5,20 +5,21 @@ token before it, times that of the token in its class.  Texts end with one end
 token, which has a class of its own and also stands before the first word.
 
 1. Documents are written once, dealt into blocks of about ``BLOCK`` bytes.
-2. Words of the training documents are counted.
-3. Words with at least one in ``FREQUENT`` tokens are the frequent ones.  There
-   can be no more than ``FREQUENT`` of them, and their letters are no more than
-   ``FREQUENT`` mean words, so they are broadcast.  The others can be no hot
-   keys, so they are dealt by word.
-4. Neighbours of frequent words are counted over the whole corpus.
-5. Exchange clustering: in each round, tasks move some of the frequent words,
+2. Frequent words are those with at least one in ``FREQUENT`` training tokens.
+   There can be no more than ``FREQUENT`` of them, and their letters are no more
+   than ``FREQUENT`` mean words, so they are broadcast.  Other words can be no
+   hot keys, so they are dealt by word.  A word that is frequent has half its
+   share in some piece of a task's texts at least; only such words are sent.
+3. Neighbours of frequent words are counted over the whole corpus.
+4. Exchange clustering: in each round, tasks move some of the frequent words,
    by a hash, to the class where the class bigrams' likelihood gains most.  As
    a round moves many words at once, one that makes the likelihood fall is
    taken back, and from then on rounds move half as many.
-6. Every other word is exchanged once, from all its neighbours' classes.
-7. Words that are not frequent are joined to the blocks that hold them, and a
-   block's task turns its documents into one class number a token.
-8. Class bigrams are counted from these over all training documents, and every
+5. Every other word goes with the classes around it, block by block, to the task
+   that has the word.  There it is counted and exchanged once, and count and
+   class go back to each block.
+6. A block's task turns its documents into one class number a token.
+7. Class bigrams are counted from these over all training documents, and every
    document is scored.
 
 In a class, words have their counts less an absolute discount; what is taken
@@ -46,8 +47,10 @@ from pyspark.sql import functions as F
 from . import common
 
 CLASSES, FREQUENT, ROUNDS, PARTS = 64, 1 << 16, 12, 3
+#: What each word's count gives to the unknown word.
+DISCOUNT = 0.75
 #: Bytes of text in a block, and distinct words or tokens that a task holds before it passes them on.
-BLOCK, HELD_WORDS, HELD_TOKENS = 4 << 20, 200_000, 1 << 20
+BLOCK, HELD_WORDS, HELD_TOKENS = 8 << 20, 200_000, 1 << 20
 #: Class of the end, class of words that are not frequent until they are exchanged, and number of an unknown word.
 END, REST, UNKNOWN = 0, 1, 255
 _END = b"\n"  # no word holds white space
@@ -77,28 +80,29 @@ def _blocks(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], [*b.schema.names, "block"])
 
 
-def _counted(batches):
-    """(word, n) of a task's training texts."""
+def _often(batches, frequent: int):
+    """(word, n) of a task's training texts, of words with at least 1 / (2 * frequent) of a piece; the null word has all tokens."""
     held: Counter = Counter()
-    ends = 0
+    tokens = 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+        most = [(w, n) for w, n in held.items() if 2 * n * frequent >= tokens]
+        return pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in most)], pa.binary()), pa.array([tokens, *(n for _, n in most)], pa.int64())], ["word", "n"])
 
     for b in batches:
         for t in _texts(b.column("text")):
-            held.update(words_of(t))
-            ends += 1
+            words = words_of(t)
+            held.update(words)
+            tokens += len(words) + 1
             if len(held) >= HELD_WORDS:
                 yield out()
-                held = Counter()
-    held[_END] = ends
-    if ends:
+                held, tokens = Counter(), 0
+    if tokens:
         yield out()
 
 
 def _pairs(batches, frequent):
-    """(a, b, n): counts of neighbours among frequent words; number 0 is any other word, 1 the end."""
+    """(a, b, n): counts of neighbours among numbered words; number 0 is any other word, 1 the end."""
     number = frequent.value.get
     width = len(frequent.value) + 2
     held: list[np.ndarray] = []
@@ -122,6 +126,12 @@ def _pairs(batches, frequent):
         yield out()
 
 
+def _renumbered(batches, numbers):
+    for b in batches:
+        a, c = (numbers.value[b.column(x).to_numpy()] for x in ("a", "b"))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), b.column("n")], ["a", "b", "n"])
+
+
 def entropy(x: np.ndarray) -> np.ndarray:
     """x log x, 0 at 0."""
     return x * np.log(np.maximum(x, 1e-300))
@@ -241,140 +251,168 @@ def exchange(spark: SparkSession, pairs: DataFrame, size: int, k: int = CLASSES,
 
 
 def _contexts(batches, frequent, classes):
-    """(word, codes): for words that are not frequent the classes before and behind each time they occur, as before * 256 + behind."""
+    """(word, block, codes): for each word of a block that is not frequent the classes before and behind each time it occurs in training, as two bytes before * 256 + behind."""
     number, of = frequent.value.get, classes.value
     held: dict[bytes, int] = {}
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    tokens = 0
+    tokens, block = 0, None
 
     def out():
-        at, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(at, kind="stable")
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(held)))]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[order]))], ["word", "codes"])
+        at, codes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 2
+        offsets = np.concatenate([[0], 2 * np.cumsum(np.bincount(at, minlength=len(held)))]).astype(np.int32)
+        codes = codes[np.argsort(at, kind="stable")].astype(np.uint16)
+        binary = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(np.full(len(held), block)), binary], ["word", "block", "codes"])
 
     for b in batches:
-        for t in _texts(b.column("text")):
+        for n, out_of, t in zip(b.column("block").to_pylist(), b.column("held_out").to_pylist(), _texts(b.column("text")), strict=True):
+            if n != block or tokens >= HELD_TOKENS or len(held) >= HELD_WORDS:
+                if held:
+                    yield out()
+                held, parts, tokens, block = {}, [], 0, n
             words = words_of(t)
             ids = np.fromiter(map(number, words, repeat(0)), np.int64, len(words))
-            line = np.concatenate([[END], of[ids], [END]]).astype(np.int32) if len(words) else np.array([END, END], np.int32)
-            rare = np.flatnonzero(ids == 0).tolist()
-            if rare:
-                local = [held.setdefault(words[i], len(held)) for i in rare]
-                parts.append((np.array(local), line[rare] * 256 + line[np.array(rare) + 2]))
+            rare = np.flatnonzero(ids == 0)
+            local = [held.setdefault(words[i], len(held)) for i in rare.tolist()]
+            if len(rare) and not out_of:
+                line = np.concatenate([[END], of[ids], [END]])
+                parts.append((np.array(local), line[rare] * 256 + line[rare + 2]))
                 tokens += len(rare)
-            if tokens >= HELD_TOKENS or len(held) >= HELD_WORDS:
-                yield out()
-                held, parts, tokens = {}, [], 0
-    if parts:
+    if held:
         yield out()
 
 
-def best_classes(table: np.ndarray, word: np.ndarray, codes: np.ndarray, times: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(occurrences, class) of ``size`` words from rows (word, code of the classes around it, times it so occurred)."""
-    k = len(table)
-    n = np.bincount(word, times, size)
-    value = np.zeros((size, k))
-    for side, cells in ((codes % 256, table.T), (codes // 256, table)):  # classes behind count in the word's row of the table, those before in its column
-        pair, at = np.unique(word * k + side, return_inverse=True)
-        more = np.bincount(at, times)
-        for first in range(0, len(pair), 20_000):
-            some = slice(first, first + 20_000)
-            old = cells[pair[some] % k]
-            np.add.at(value, pair[some] // k, entropy(old + more[some, None]) - entropy(old))
-    for total in (table.sum(1), table.sum(0)):
-        value -= entropy(total + n[:, None]) - entropy(total)
-    value[:, END] = -np.inf
-    return n.astype(np.int64), value.round(6).argmax(1).astype(np.int32)
+class Gains:
+    """What counts of a word add to the likelihood in each class of a table, as if the word were new."""
+
+    SMALL = 16
+
+    def __init__(self, table: np.ndarray):
+        self.k, self.sums = len(table), (table.sum(1), table.sum(0))
+        self.sides = []  # classes behind count in the word's row of the table, those before in its column
+        for cells in (np.ascontiguousarray(table.T), table):
+            held = entropy(cells)
+            self.sides.append((cells, held, np.stack([entropy(cells + v) - held for v in range(self.SMALL)])))
+
+    def best(self, word: np.ndarray, codes: np.ndarray, times: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences, class) of ``size`` words from rows (word, code of the classes around it, times it so occurred)."""
+        k, n, value = self.k, np.bincount(word, times, size), np.zeros((size, self.k))
+        for of, (cells, held, small) in zip((codes % 256, codes // 256), self.sides, strict=True):
+            pair, at = np.unique(word * k + of, return_inverse=True)
+            more = np.bincount(at, times).astype(np.int64)
+            for first in range(0, len(pair), 20_000):
+                w, c, m = pair[first : first + 20_000] // k, pair[first : first + 20_000] % k, more[first : first + 20_000]
+                step = small[np.minimum(m, self.SMALL - 1), c]
+                large = m >= self.SMALL
+                step[large] = entropy(cells[c[large]] + m[large, None]) - held[c[large]]
+                begins = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                value[w[begins]] += np.add.reduceat(step, begins)
+        for total in self.sums:
+            value -= entropy(total + n[:, None]) - entropy(total)
+        value[:, END] = -np.inf
+        return n.astype(np.int64), value.round(6).argmax(1).astype(np.int32)
 
 
 def _assigned(batches, state):
-    """(word, n, class) of words that come sorted, a row or more for each."""
-    names: list[bytes] = []
+    """(block, word, packed) for each block of a training word, from rows sorted by word and block.
+
+    ``packed`` is the word's count, whether this is its first block, and its class: n * 512 + first * 256 + class.
+    """
+    gain, names = Gains(state.value), []
     parts: list[tuple[np.ndarray, ...]] = []  # (place in names, code, times), each pair once
+    rows: list[tuple[np.ndarray, np.ndarray]] = []  # (place in names, block)
 
     def gather():
-        if len(parts) > 1:
-            word, codes, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-            pair, at = np.unique(word << 16 | codes, return_inverse=True)
-            parts[:] = [(pair >> 16, pair & 0xFFFF, np.bincount(at, times))]
-        return parts[0]
+        word, codes, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        pair, at = np.unique(word << 16 | codes, return_inverse=True)
+        parts[:] = [(pair >> 16, pair & 0xFFFF, np.bincount(at, times, len(pair)))]
 
     def solve(size: int):
-        word, codes, times = gather()
+        gather()
+        word, codes, times = parts[0]
         done = word < size
-        n, best = best_classes(state.value, word[done], codes[done], times[done], size)
+        n, best = gain.best(word[done], codes[done], times[done], size)
         parts[:] = [(word[~done] - size, codes[~done], times[~done])]
-        out = pa.RecordBatch.from_arrays([pa.array(names[:size], pa.binary()), pa.array(n), pa.array(best)], ["word", "n", "class"])
+        at, block = (np.concatenate(x) for x in zip(*rows, strict=True))
+        cut = int(np.searchsorted(at, size))
+        rows[:] = [(at[cut:] - size, block[cut:])]
+        at, block = at[:cut], block[:cut]
+        packed = n[at] << 9 | np.concatenate([[1], at[1:] != at[:-1]]) << 8 | best[at]
+        seen = n[at] > 0
+        out = pa.RecordBatch.from_arrays([pa.array(block[seen]), pa.array(names[:size], pa.binary()).take(pa.array(at[seen])), pa.array(packed[seen].astype(np.int64))], ["block", "word", "packed"])
         del names[:size]
         return out
 
     for b in batches:
         if not b.num_rows:
             continue
-        places = []
-        for w in b.column("word").to_pylist():
-            if not names or names[-1] != w:
-                names.append(w)
-            places.append(len(names) - 1)
-        codes = np.asarray(b.column("codes").flatten(), np.int64)
-        parts.append((np.repeat(np.array(places, np.int64), b.column("codes").value_lengths().to_numpy()), codes, np.ones(len(codes))))
-        gather()
+        words = b.column("word")
+        new = np.concatenate([[not names or names[-1] != words[0].as_py()], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])
+        place = len(names) - 1 + np.cumsum(new)
+        names += words.filter(pa.array(new)).to_pylist()
+        rows.append((place, b.column("block").to_numpy()))
+        lengths = pc.binary_length(b.column("codes")).to_numpy()
+        codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint16).astype(np.int64)
+        parts.append((np.repeat(place, lengths // 2), codes, np.ones(len(codes))))
+        if len(parts) > 200:  # few words that are not yet done
+            gather()
         if len(names) > 4000:
             yield solve(len(names) - 1)  # the last word may go on
     if names:
         yield solve(len(names))
 
 
-def _asked(batches, frequent):
-    """(block, word): the words of a block that are not frequent."""
-    known, block, held = frequent.value, None, set()
+_CODED = {"is_doc": pa.bool_(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "plain": pa.float64(), "emitted": pa.float64(), "classes": pa.binary()}
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(held), pa.int64()), pa.array(held, pa.binary())], ["block", "word"])
 
-    for b in batches:
-        for n, t in zip(b.column("block").to_pylist(), _texts(b.column("text")), strict=True):
-            if n != block or len(held) >= HELD_WORDS:
-                if held:
-                    yield out()
-                block, held = n, set()
-            held.update(w for w in words_of(t) if w not in known)
-    if held:
-        yield out()
-
-
-_CODED = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "emitted": pa.float64(), "classes": pa.binary()}
+def _coded(batches, known):
+    """Documents as classes, from rows sorted by block, its words first and then its documents.
 
-
-def _coded(batches, state):
-    """Documents as classes: from rows sorted by block, its words first and then its documents."""
-    known, tokens, types, discount, mass = state.value
-    find, end = known.get, known.get(_END, UNKNOWN)
+    ``plain`` sums log10(n + 1) over tokens, ``emitted`` log10(n - discount)
+    over known ones.  A row that is no document has the classes of the words
+    whose first block this is.
+    """
     block, own = None, {}
     for b in batches:
-        out = {c: [] for c in _CODED}
-        rows = zip(*(b.column(c).to_pylist() for c in ("block", "is_doc", "packed", "doc_id", "held_out", "text")), strict=True)
-        for n_block, is_doc, packed, doc_id, held_out, text in rows:
-            if n_block != block:
-                block, own = n_block, {}
-            if not is_doc:
-                own[text] = packed
+        if not b.num_rows:
+            continue
+        out: dict[str, list] = {c: [] for c in _CODED}
+        blocks, docs = b.column("block").to_numpy(), b.column("packed").is_null().to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (docs[1:] != docs[:-1])) + 1).tolist(), b.num_rows]
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            rows = b.slice(first, last - first)
+            if blocks[first] != block:
+                block, own = blocks[first], known.value.copy()
+            texts = rows.column("text").to_pylist()
+            if not docs[first]:
+                packed = rows.column("packed").to_numpy()
+                own.update(zip(texts, (packed >> 9 << 8 | packed & 255).tolist(), strict=True))
+                fresh = (packed[packed >> 8 & 1 == 1] & 255).astype(np.uint8).tobytes()
+                for c, v in zip(_CODED, (False, None, 0, 0, 0.0, 0.0, fresh), strict=True):
+                    out[c].append(v)
                 continue
-            other = own.get
-            line = np.array([*[find(w) or other(w, UNKNOWN) for w in words_of(text)], end], np.int64)
-            counts, classes = line >> 8, line & 255
-            hit = counts > 0
-            out["doc_id"].append(doc_id)
-            out["held_out"].append(held_out)
-            out["n_tokens"].append(len(line))
-            out["n_known"].append(int(hit.sum()))
-            out["base_score"].append(float(np.log10((counts + 1) / (tokens + types + 1)).sum()))
-            out["emitted"].append(float(np.log10((counts[hit] - discount) / mass[classes[hit]]).sum()))
-            out["classes"].append(classes.astype(np.uint8).tobytes())
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts, strict=True):
+                words = words_of(text)
+                words.append(_END)
+                line = np.fromiter(map(own.get, words, repeat(UNKNOWN)), np.int64, len(words))
+                counts, classes = line >> 8, line & 255
+                hit = counts[counts > 0]
+                values = (True, doc_id, len(line), len(hit), float(np.log10(counts + 1).sum()), float(np.log10(hit - DISCOUNT).sum()), classes.astype(np.uint8).tobytes())
+                for c, v in zip(_CODED, values, strict=True):
+                    out[c].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, _CODED[c]) for c, v in out.items()], list(out))
 
 
+def _kinds(batches):
+    """(cell, n): a task's numbers of words by class."""
+    total = np.zeros(256, np.int64)
+    for b in batches:
+        for classes in b.column("classes").to_pylist():
+            total += np.bincount(np.frombuffer(classes, np.uint8), minlength=256)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+
 def _lines(column):
     """Per text its classes, the end in front."""
     for t in column.to_pylist():
@@ -404,67 +442,67 @@ def transition_probabilities(table: np.ndarray, unknown: np.ndarray) -> np.ndarr
     return np.concatenate([rows, (rows @ unknown)[:, None]], axis=1)
 
 
-def discount_of(once: int, twice: int) -> float:
-    """Absolute discount from the numbers of words that occur once and twice."""
-    return min(0.9, max(0.01, once / (once + 2 * twice))) if once + twice else 0.5
-
-
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int = CLASSES, rounds: int = ROUNDS, frequent: int = FREQUENT, fold: int = 2, folds: int = 7) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     if not 3 <= classes < UNKNOWN:
         raise ValueError(f"classes must be 3 to {UNKNOWN - 1}")
     spark = docs.sparkSession
-    common.small_batches(spark)
-    number = F.col(key).cast("long")
-    held_out = F.coalesce(F.crc32(number.cast("string").cast("binary")) % folds == fold, F.lit(False))
-    rows = docs.select(number.alias("doc_id"), held_out.alias("held_out"), common.text_or_empty(text).alias("text"))
-    rows = common.durable(rows.mapInArrow(_blocks, "doc_id long, held_out boolean, text string, block long"), "texts")
+    common.small_batches(spark, 20_000)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text")).withColumn("held_out", held_out)
+    rows = common.durable(rows.mapInArrow(_blocks, "doc_id long, text string, held_out boolean, block long"), "texts", compression="zstd")
     train = rows.where("not held_out").select("text")
 
-    counts = common.durable(train.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    seen = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).first()
-    tokens, types = seen.tokens or 0, seen.types
-    often = [r for r in counts.where((F.col("n") * frequent >= tokens) | (F.col("word") == _END)).orderBy(F.desc("n"), "word").collect() if r.word != _END]  # at most ``frequent`` rows
-    numbers = {bytes(r.word): i + 2 for i, r in enumerate(often)}
+    sent = common.durable(train.mapInArrow(lambda b: _often(b, frequent), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    tokens = sent.where("word is null").agg(F.sum("n")).first()[0] or 0
+    candidates = [bytes(r.word) for r in sent.where(F.col("word").isNotNull() & (F.col("n") * (2 * frequent) >= tokens)).collect()]  # at most 2 * ``frequent`` rows
+    numbers = {w: i + 2 for i, w in enumerate(sorted(candidates))}
     held = spark.sparkContext.broadcast(numbers)
-
-    pairs = train.mapInArrow(lambda b: _pairs(b, held), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    found, counted, _ = exchange(spark, common.durable(pairs, "pairs"), len(numbers) + 2, classes, rounds if tokens else 0)
+    pairs = common.durable(train.mapInArrow(lambda b: _pairs(b, held), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    held.unpersist()
+    counts = {r.a: r.n for r in pairs.groupBy("a").agg(F.sum("n").alias("n")).collect()}  # as many
+    often = sorted((w for w in candidates if counts[numbers[w]] * frequent >= tokens), key=lambda w: (-counts[numbers[w]], w))
+    renumber = np.zeros(len(numbers) + 2, np.int32)
+    renumber[1] = 1
+    for i, w in enumerate(often):
+        renumber[numbers[w]] = i + 2
+    new = spark.sparkContext.broadcast(renumber)
+    pairs = common.durable(pairs.mapInArrow(lambda b: _renumbered(b, new), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    found, counted, _ = exchange(spark, pairs, len(often) + 2, classes, rounds if tokens else 0)
     of, table = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(counted)
-    contexts = train.mapInArrow(lambda b: _contexts(b, held, of), "word binary, codes array<int>")
-    rest = contexts.repartition("word").sortWithinPartitions("word").mapInArrow(lambda b: _assigned(b, table), "word binary, n long, class int")
-    rest = common.durable(rest, "words")
-
-    ends = counts.where(F.col("word") == _END).first()
-    frequent_counts = [(bytes(r.word), r.n, int(found[numbers[bytes(r.word)]])) for r in often] + ([(_END, ends.n, END)] if ends else [])
-    known = {w: n << 8 | c for w, n, c in frequent_counts}
-    mass, kinds = np.zeros(classes), np.zeros(classes)
-    for _, n, c in frequent_counts:
-        mass[c] += n
-        kinds[c] += 1
-    for r in rest.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # a row a class
-        mass[r["class"]] += r.n
-        kinds[r["class"]] += r.kinds
-    discount = discount_of(seen.once, seen.twice)
-    state = spark.sparkContext.broadcast((known, tokens, types, discount, np.maximum(mass, 1)))
-
-    asked = rows.select("block", "text").mapInArrow(lambda b: _asked(b, held), "block long, word binary")
-    given = asked.join(rest, "word").select("block", F.lit(False).alias("is_doc"), F.shiftleft("n", 8).bitwiseOR(F.col("class").cast("long")).alias("packed"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.col("word").alias("text"))
-    texts = rows.select("block", F.lit(True).alias("is_doc"), F.lit(None).cast("long").alias("packed"), "doc_id", "held_out", F.encode("text", "UTF-8").alias("text"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, classes binary"
-    coded = common.durable(given.unionByName(texts).repartition("block").sortWithinPartitions("block", "is_doc").mapInArrow(lambda b: _coded(b, state), schema), "coded")
-
+    held = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(often)})
+
+    contexts = rows.select("block", "held_out", "text").mapInArrow(lambda b: _contexts(b, held, of), "word binary, block long, codes binary")
+    given = contexts.repartition("word").sortWithinPartitions("word", "block").mapInArrow(lambda b: _assigned(b, table), "block long, word binary, packed long")
+    given = given.select("block", "packed", F.lit(None).cast("long").alias("doc_id"), F.col("word").alias("text"))
+    texts = rows.select("block", F.lit(None).cast("long").alias("packed"), "doc_id", F.encode("text", "UTF-8").alias("text"))
+    frequent_words = {w: counts[numbers[w]] << 8 | int(found[i + 2]) for i, w in enumerate(often)} | ({_END: counts[1] << 8 | END} if tokens else {})
+    known = spark.sparkContext.broadcast(frequent_words)
+    schema = "is_doc boolean, doc_id long, n_tokens long, n_known long, plain double, emitted double, classes binary"
+    coded = given.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("packed").asc_nulls_last()).mapInArrow(lambda b: _coded(b, known), schema)
+    coded = common.durable(coded.withColumn("held_out", held_out), "coded")
+
+    kinds = np.bincount([v & 255 for v in frequent_words.values()], minlength=256)
+    for r in coded.where("not is_doc").select("classes").mapInArrow(_kinds, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row a class
+        kinds[r.cell] += r.n
+    types = int(kinds.sum())
+    coded = coded.where("is_doc")
     learnt = class_table(coded.where("not held_out").select("classes").mapInArrow(lambda b: _transitions(b, classes), "cell int, n long"), classes)
-    chances = transition_probabilities(learnt, discount * kinds / np.maximum(mass, 1)) if tokens else np.ones((classes + 1, classes + 1))
+    mass = np.maximum(learnt.sum(0), 1)
+    chances = transition_probabilities(learnt, DISCOUNT * kinds[:classes] / mass) if tokens else np.ones((classes + 1, classes + 1))
+    # a known token's share of its class is taken with the step into the class
+    chances[:, :classes] /= mass if tokens else 1
     final = spark.sparkContext.broadcast(np.log10(np.maximum(chances, 1e-300)))
 
     def score(batches):
         for b in batches:
+            n = b.column("n_tokens").to_numpy()
+            base = b.column("plain").to_numpy() - n * np.log10(tokens + types + 1)
             total = []
             for line, emitted in zip(_lines(b.column("classes")), b.column("emitted").to_pylist(), strict=True):
                 line = np.minimum(line, classes)
                 total.append(float(final.value[line[:-1], line[1:]].sum()) + emitted)
             keep = [b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.full(len(total), tokens, np.int64)), b.column("base_score"), pa.array(total, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(total, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

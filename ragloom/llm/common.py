@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: list[list[DataFrame]] = []
 
 
-def durable(df: DataFrame, tag: str, scratch: bool = True) -> DataFrame:
+def durable(df: DataFrame, tag: str, scratch: bool = True, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Lineage ends at files that outlive any executor, and values that Spark
@@ -37,7 +37,7 @@ def durable(df: DataFrame, tag: str, scratch: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

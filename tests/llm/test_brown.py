@@ -82,8 +82,7 @@ def brute(rows, k, rounds, frequent):
             kinds[c] += 1
     for t in train:
         moves.update((classes[a], classes[b]) for a, b in zip(["\n", *t], t, strict=False))
-    once, twice = (sum(n == x for n in count.values()) for x in (1, 2))
-    off = brown.discount_of(once, twice)
+    off = brown.DISCOUNT
     share = {c: sum(n for (_, b), n in moves.items() if b == c) / max(1, total) for c in range(k)}
     leaving = Counter()
     for (a, _), n in moves.items():
