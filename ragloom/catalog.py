@@ -7,9 +7,11 @@ log (user: source).  Scores are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html as H
@@ -19,6 +21,9 @@ from .functions import vec as V
 from .operators import chunk as C
 from .operators import images, merge, parse, status
 from .plans import search as S
+from .plans import vectors as X
+from .sources import frontier
+from .sources.web import CrawlLimits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,6 +87,42 @@ def vector_dedupe_by_group(spark, sf_dir):
     return S.best_per_document(scored).select("id", "doc_uri", F.round("score", 6).alias("score"))
 
 
+def _shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, deleted when the application ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at.rstrip('/')}/{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+_LAST = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id DESC LIMIT 1))"
+
+
+@query(f"SELECT id, label, score FROM (SELECT vec_id AS id, label, round({_LAST}, 6) AS score FROM embeddings ORDER BY {_LAST} DESC, vec_id LIMIT 25)")
+def vector_topk_indexed(spark, sf_dir):
+    """Top-k over a written index: folders by pivot, codes first, vectors of the candidates only; equal to a scan."""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    asked = e.orderBy(F.desc("id")).select("vector").first()[0]
+    found = X.VectorIndex.build(e, _shared(spark), parts=16).top_k(asked, 25)
+    return found.select("id", "label", F.round("score", 6).alias("score"))
+
+
+@query("""
+    WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE label = 3),
+    s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q)
+    SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 10""")
+def vector_batch_topk(spark, sf_dir):
+    """Every vector of a label as a query against all vectors, in blocks of matrix products."""
+    e = _table(spark, sf_dir, "embeddings")
+    asked = e.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return X.batch_top_k(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
 def normalize_vectors(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
@@ -126,8 +167,9 @@ def _bm25(docs: DataFrame):
 
 @query(f"SELECT doc_id, round({_BM25}, 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 200")
 def bm25_rank(spark, sf_dir):
-    d = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.round(_bm25(d), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = _bm25(d)  # the mean length comes from the scan
+    return _spread(d).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
 
 
 @query(f"SELECT doc_id, round(0.7::DOUBLE * (n_chars % 100) / 100.0::DOUBLE + 0.3::DOUBLE * ({_BM25}), 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 100")
@@ -186,8 +228,8 @@ def search_rerank_dedupe(spark, sf_dir):
 def search_modalities(spark, sf_dir):
     """A reranker of texts leaves hits of other modalities behind them, in their own order."""
     hits = S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), S.QueryOptions(k=30, rerank=True, rerank_top_k=15))
-    rows = [(r.id, r.score, n + 1) for n, r in enumerate(hits.select("id", F.round("score", 6).alias("score")).collect())]  # k rows
-    return spark.createDataFrame(rows, "id long, score double, place int")
+    place = F.row_number().over(Window.orderBy(F.coalesce("modality", F.lit("text")) != "text", F.desc("score"), "id"))  # k rows
+    return hits.select("id", F.round("score", 6).alias("score"), place.alias("place"))
 
 
 @query(f"""WITH {_HITS} SELECT id, doc_uri, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_uri ORDER BY score DESC, id) AS n FROM (SELECT id, doc_uri, 0.7::DOUBLE * cos + 0.3::DOUBLE * bm25 AS score FROM top)) WHERE n = 1 AND score >= 0.2 ORDER BY score DESC, id LIMIT 30""")
@@ -409,7 +451,9 @@ def page_technology(spark, sf_dir):
 def crawl_bfs_static(spark, sf_dir):
     """Breadth-first over the stored link graph, three levels from the first page; one join a level."""
     pages = _table(spark, sf_dir, "pages").select("url")
-    edges = _links(spark, sf_dir).where("internal").select("base", "link").distinct().persist()  # parsed once for all levels
+    parsed = _links(spark, sf_dir).where("internal").select("base", "link").distinct()
+    parsed.write.parquet(at := _shared(spark))  # once for all levels
+    edges = spark.read.schema(parsed.schema).parquet(at)
     front = pages.agg(F.min("url").alias("url")).withColumn("depth", F.lit(0))
     seen = front
     for depth in range(1, 4):
@@ -418,6 +462,22 @@ def crawl_bfs_static(spark, sf_dir):
     return seen
 
 
+@query(f"""
+    WITH RECURSIVE e AS ({_LINKS} SELECT DISTINCT base AS src, {_NORM_URL.replace('base', 'link')} AS dst FROM l
+                         WHERE {_PAGE_HOST.format(u='link')} = {_PAGE_HOST.format(u='base')} AND NOT ({_DENY} OR regexp_matches(lower(link), '^[^#]*#[^/]') OR regexp_matches(lower(link), '/\\d{{4}}/\\d{{2}}/\\d{{2}}/'))),
+    w(source_id, url, depth) AS (SELECT {_PAGE_HOST.format(u='url')}, min(url), 0 FROM pages GROUP BY 1 UNION SELECT source_id, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 3)
+    SELECT source_id, w.url, min(depth)::INTEGER AS depth, max((p.url IS NOT NULL)::INT) = 1 AS found FROM w LEFT JOIN pages p ON p.url = w.url GROUP BY ALL""")
+def crawl_sites(spark, sf_dir):
+    """A crawl of every host at once from its first page, three levels deep, answered from the stored pages instead of the web."""
+    pages = _table(spark, sf_dir, "pages").select("url", F.col("html").alias("body"), F.lit("text/html").alias("content_type"))
+    host = U.host(F.col("url"))
+    seeds = pages.groupBy(host.alias("source_id")).agg(F.min("url").alias("url"))
+    seeds = seeds.select("source_id", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("parent"), F.lit(0).alias("place"), F.array("source_id").alias("hosts"), F.lit("/").alias("prefix"))
+    limits = CrawlLimits(max_depth=3, max_pages=1 << 40)
+    crawl = frontier.Crawl(spark, _shared(spark), limits, visit=frontier.from_table(pages)).run(seeds)
+    return crawl.visited().select("source_id", "url", "depth", F.col("error").isNull().alias("found"))
+
+
 # -- maintenance -----------------------------------------------------------
 
 _V1 = "SELECT doc_id, source, doc_id::VARCHAR AS uri, sha256(text) AS h FROM documents"
@@ -609,11 +669,11 @@ def image_assets(spark, sf_dir):
     return images.acceptable(d.select(F.col("source").alias("page"), kind.alias("content_type"), F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha"))).select("page", "sha", "size")
 
 
-@query("SELECT conv_id, turn, concat_ws(' | ', nullif(trim(left(text, 12)), ''), nullif(trim(role), ''), CASE WHEN turn > 0 THEN 'Part > ' || turn END) AS context FROM conversations")
+@query("SELECT conv_id, turn, concat_ws(' | ', nullif(trim(text), ''), nullif(trim(role), ''), CASE WHEN turn > 0 THEN 'Part > ' || turn END) AS context FROM conversations")
 def image_context(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
     heads = F.when(F.col("turn") > 0, F.array(F.lit("Part"), F.col("turn").cast("string")))
-    return c.select("conv_id", "turn", images.context(F.left("text", F.lit(12)), F.col("role"), heads).alias("context"))
+    return c.select("conv_id", "turn", images.context(F.col("text"), F.col("role"), heads).alias("context"))
 
 
 @query("SELECT page_id, [url || '/a.png', url || '/b.png?x=1'] AS urls FROM pages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,14 +41,24 @@ def payload(points: DataFrame) -> DataFrame:
     return points.select("id", F.to_json(F.struct(*held), {"ignoreNullFields": "true"}).alias("payload"))
 
 
-def filtered(points: DataFrame, o: QueryOptions) -> DataFrame:
+#: Columns of points that filters read.
+FILTERS = ("source_id", "source_type", "doc_uri")
+
+
+def condition(o: QueryOptions) -> Column:
+    """Which points may be found."""
+    out = F.lit(True)
     if o.source_ids:
-        points = points.where(F.col("source_id").isin(list(o.source_ids)))
+        out &= F.col("source_id").isin(list(o.source_ids))
     if o.source_types:
-        points = points.where(F.col("source_type").isin(list(o.source_types)))
+        out &= F.col("source_type").isin(list(o.source_types))
     if o.path_prefix:
-        points = points.where(F.col("doc_uri").startswith(o.path_prefix))
-    return points
+        out &= F.col("doc_uri").startswith(o.path_prefix)
+    return out
+
+
+def filtered(points: DataFrame, o: QueryOptions) -> DataFrame:
+    return points.where(condition(o))
 
 
 def top_k(points: DataFrame, query: list[float], k: int, vector: str = "vector", tie: str = "id") -> DataFrame:
@@ -62,10 +72,16 @@ def min_score(hits: DataFrame, floor: float) -> DataFrame:
 
 
 def best_per_document(hits: DataFrame, document: str = "doc_uri", tie: str = "id") -> DataFrame:
-    """The hit of each document with the highest score; an aggregation, so each task sends one row a document."""
-    score = F.coalesce(F.col("score"), F.lit(float("-inf")))
-    best = F.min_by(F.struct("*"), F.struct((-score).alias("s"), F.col(tie).alias("t"))).alias("best")
-    return hits.groupBy(document).agg(best).select(*[F.col("best")[c].alias(c) for c in hits.columns])
+    """The hit of each document with the highest score, ties by ``tie``.
+
+    Only scores and ties are aggregated, by hash and with a row a document from
+    each task; the rows themselves are met again by document and tie.
+    """
+    score = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
+    top = hits.groupBy(F.col(document).alias("_doc")).agg(F.max(score).alias("_score"))
+    near = hits.select(F.col(document).alias("_doc"), F.col(tie).alias("_tie"), score.alias("_score"))
+    kept = near.join(top.withColumnRenamed("_doc", "_of"), F.col("_doc").eqNullSafe(F.col("_of")) & (near["_score"] == top["_score"])).groupBy("_doc").agg(F.min("_tie").alias("_tie"))
+    return hits.join(kept, F.col(document).eqNullSafe(F.col("_doc")) & F.col(tie).eqNullSafe(F.col("_tie")), "left_semi")
 
 
 def hybrid(hits: DataFrame, terms: list[str], mean_length: float, weight: float) -> DataFrame:
@@ -89,15 +105,17 @@ def rerank_by(hits: DataFrame, query: str, scorer: Reranker, k: int) -> DataFram
     return rerank(hits, scores, k)
 
 
-def search(points: DataFrame, chunks: DataFrame | None, query_text: str, query: list[float], o: QueryOptions = QueryOptions(), mean_length: float | None = None, reranker: Reranker | None = None, reranks_media: bool = False) -> DataFrame:
+def search(points: DataFrame, chunks: DataFrame | None, query_text: str, query: list[float], o: QueryOptions = QueryOptions(), mean_length: float | None = None, reranker: Reranker | None = None, reranks_media: bool = False, near: Callable[[list[float], int, Column], DataFrame] | None = None) -> DataFrame:
     """points: id, vector, source_id, source_type, doc_uri ...; chunks: id, chunk_text, joined to the hits only.
 
     Without ``chunks``, points carry ``chunk_text`` themselves.  Without a
     ``reranker`` BM25 scores the hits; ``mean_length`` saves a scan for it.  A
     reranker of texts only leaves hits of other modalities behind the texts.
+    ``near`` finds the nearest points by an index instead of a scan.
     """
     k = min(o.k, o.max_results)
-    hits = top_k(filtered(points, o), query, 2 * k).withColumnRenamed("score", "vector_score").withColumn("score", F.col("vector_score"))
+    hits = near(query, 2 * k, condition(o)) if near else top_k(filtered(points, o), query, 2 * k)
+    hits = hits.withColumnRenamed("score", "vector_score").withColumn("score", F.col("vector_score"))
     hits = hits.drop("vector") if chunks is None else hits.drop("vector").join(chunks.select("id", "chunk_text"), "id", "left")
     hits = hits.withColumn("bm25_score", F.lit(None).cast("double"))
     terms = [t for t in query_text.lower().split() if len(t.encode()) >= 3]

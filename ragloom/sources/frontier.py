@@ -238,6 +238,12 @@ class Crawl:
     def _read(self) -> DataFrame | None:
         return self.spark.read.parquet(*self.rounds) if self.rounds else None
 
+    def visited(self) -> DataFrame:
+        """source_id, url (as it was asked for), depth, rank, error: every address that was asked for or ruled out."""
+        rows = self._read()
+        names = ("source_id", "url", "depth", "rank", "error")
+        return rows.select(*names) if rows is not None else self.spark.createDataFrame([], "source_id string, url string, depth int, rank long, error string")
+
     def pages(self) -> DataFrame:
         """source_id, url (where it led), html, content_type, depth, links, rank."""
         rows = self._read()
