@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .markdown import Block, Blocks, Inline
+
 PARSED = (
     "title string, text string, headings array<struct<level:int,text:string,position:int>>, "
     "code_blocks array<struct<language:string,content:string,position:int>>, links array<struct<url:string,text:string,is_internal:boolean>>, "
@@ -50,149 +52,60 @@ def plain(value: str) -> Parsed:
 
 # -- Markdown ----------------------------------------------------------------
 
-_FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})\s*(.*?)\s*$")
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_ITEM = re.compile(r"( *)(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)(.*)$")
-_RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-_REFERENCE = re.compile(r" {0,3}\[([^\]]+)\]:[ \t]*<?([^\s>]+)>?.*$")
-_INLINE = re.compile(
-    r"\\(?P<escaped>[!-/:-@\[-`{-~])"
-    r"|(?P<ticks>`+)(?P<code>.+?)(?<!`)(?P=ticks)(?!`)"
-    r"|(?P<image>!?)\[(?P<label>(?:[^\[\]]|\[[^\[\]]*\])*)\](?:\(\s*<?(?P<url>[^\s)>]*)>?(?:\s+[\"'(].*?[\"')])?\s*\)|\[(?P<ref>[^\]]*)\])?"
-    r"|<(?P<auto>[A-Za-z][A-Za-z0-9+.-]+:[^\s<>]*)>"
-    r"|</?[A-Za-z][^<>]*>"
-    r"|(?P<mark>\*{1,3}|_{1,3}|~~)",
-    re.S,
-)
-
-
 class _Markdown:
     def __init__(self, value: str):
-        self.lines = value.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        self.tree = Blocks(value)
         self.out, self.parts, self.size = Parsed(), [], 0
-        self.references = {m[1].lower(): m[2] for line in self.lines if (m := _REFERENCE.match(line))}
 
     def write(self, piece: str) -> None:
         self.parts.append(piece)
         self.size += len(piece.encode("utf-8", "surrogatepass"))
 
-    def inline(self, value: str, heading: bool = False) -> str:
+    def inline(self, block: Block, heading: bool = False) -> str:
         """The text without marks; links and images found on the way are kept."""
 
-        def one(m: re.Match) -> str:
-            if m["escaped"]:
-                return m["escaped"]
-            if m["code"] is not None:
-                return m["code"].strip() if heading else f"`{m['code'].strip()}`"
-            if m["auto"]:
-                self.link(m["auto"], m["auto"])
-                return m["auto"]
-            if m["mark"]:
-                before, after = value[m.start() - 1 : m.start()], value[m.end() : m.end() + 1]
-                inside_word = "_" in m["mark"] and before.isalnum() and after.isalnum()
-                lonely = (not before or before.isspace()) and (not after or after.isspace())
-                return m["mark"] if inside_word or lonely else ""
-            if m["label"] is None:
-                return ""  # a tag
-            url = m["url"] if m["url"] is not None else self.references.get((m["ref"] or m["label"]).lower())
-            if url is None:
-                return m[0]
-            if m["image"]:
-                self.out.media.append({"url": url, "alt": m["label"].strip() or None, "tag": "img", "css_background": False})
-                return m["label"]
-            label = self.inline(m["label"], heading)
-            self.link(url, label)
-            return label
-
-        return _INLINE.sub(one, value)
-
-    def link(self, url: str, label: str) -> None:
-        self.out.links.append({"url": url, "text": label.strip() or None, "is_internal": url.startswith("#") or "://" not in url})
-
-    def heading(self, level: int, raw: str) -> None:
-        text = self.inline(raw.strip(), True)
+        def found(kind: str, url: str, label: str) -> None:
+            if kind == "image":
+                self.out.media.append({"url": url, "alt": label.strip() or None, "tag": "img", "css_background": False})
+            else:
+                self.out.links.append({"url": url, "text": label.strip() or None, "is_internal": url.startswith("#") or "://" not in url})
+
+        code = (lambda c: c) if heading else (lambda c: f"`{c}`")
+        return Inline("\n".join(block.lines).rstrip(), self.tree.references, found, code).text()
+
+    def heading(self, block: Block) -> None:
+        text = self.inline(block, True).strip()
         if not text:
             return
-        if level == 1 and self.out.title is None:
+        if block.level == 1 and self.out.title is None:
             self.out.title = text
         self.write("\n")
-        self.out.headings.append({"level": level, "text": text, "position": self.size})
+        self.out.headings.append({"level": block.level, "text": text, "position": self.size})
         self.write(text + "\n")
 
-    def code(self, language: str | None, content: str) -> None:
-        self.out.code_blocks.append({"language": language or None, "content": content, "position": self.size})
-        self.write(f"\n```\n{content}\n```\n")
-
-    def paragraph(self, held: list[str]) -> None:
-        if held:
-            self.write(self.inline(" ".join(x.strip() for x in held)) + "\n\n")
-            held.clear()
+    def blocks(self) -> None:
+        """The tree in order, however deep it is: what is still to be written, blocks or pieces of text."""
+        todo: list = [(self.tree.root, False)]
+        while todo:
+            block, tight = todo.pop()
+            if isinstance(block, str):
+                self.write(block)
+            elif block.kind == "heading":
+                self.heading(block)
+            elif block.kind == "paragraph":
+                self.write(self.inline(block) + ("" if tight else "\n\n"))
+            elif block.kind == "code":
+                content = "\n".join(block.lines)
+                self.out.code_blocks.append({"language": block.language, "content": content, "position": self.size})
+                self.write(f"\n```\n{content}\n```\n")
+            elif block.kind in ("root", "quote", "list", "item"):
+                item = block.kind == "item"
+                self.write("• " if item else "")
+                todo.append(("\n" if block.kind in ("list", "item") else "", False))
+                todo += [(child, item and not block.list.loose) for child in reversed(block.children)]
 
     def parse(self) -> Parsed:
-        held: list[str] = []
-        item: list[str] = []
-        in_list, i = False, 0
-
-        def end_item():
-            if item:
-                self.write("• " + self.inline(" ".join(x.strip() for x in item)) + "\n")
-                item.clear()
-
-        def end_list():
-            nonlocal in_list
-            end_item()
-            if in_list:
-                self.write("\n")
-            in_list = False
-
-        while i < len(self.lines):
-            line = re.sub(r"^ {0,3}(?:> ?)+", "", self.lines[i])
-            i += 1
-            if fence := _FENCE.match(line.lstrip() if in_list else line):
-                self.paragraph(held)
-                end_item()
-                body = []
-                closing = re.compile(rf"\s*{re.escape(fence[1][0])}{{{len(fence[1])},}}\s*$")
-                while i < len(self.lines) and not closing.match(self.lines[i]):
-                    body.append(self.lines[i])
-                    i += 1
-                i += 1
-                self.code(fence[2], "\n".join(body))
-            elif not line.strip():
-                self.paragraph(held)
-                end_item()
-            elif _REFERENCE.match(line) and not held:
-                continue
-            elif atx := _ATX.match(line):
-                self.paragraph(held)
-                end_list()
-                self.heading(len(atx[1]), atx[2] or "")
-            elif held and (under := _SETEXT.match(line)):
-                raw = " ".join(held)
-                held.clear()
-                self.heading(1 if under[1][0] == "=" else 2, raw)
-            elif _RULE.match(line):
-                self.paragraph(held)
-                end_list()
-            elif (found := _ITEM.match(line)) and (in_list or len(found[1]) < 4) and (not held or found[2]):
-                self.paragraph(held)
-                end_item()
-                in_list = True
-                item.append(found[2])
-            elif in_list and (item or line.startswith((" ", "\t"))):
-                item.append(line)
-            elif line.startswith(("    ", "\t")) and not held:
-                body = [line]
-                while i < len(self.lines) and (self.lines[i].startswith(("    ", "\t")) or not self.lines[i].strip()):
-                    body.append(self.lines[i])
-                    i += 1
-                self.code(None, "\n".join(re.sub(r"^(?: {4}|\t)", "", x) for x in body).rstrip())
-            else:
-                end_list()
-                held.append(line)
-        self.paragraph(held)
-        end_list()
+        self.blocks()
         whole = "".join(self.parts)
         cut = len(whole.encode("utf-8", "surrogatepass")) - len(whole.lstrip().encode("utf-8", "surrogatepass"))
         for found in (*self.out.headings, *self.out.code_blocks):

@@ -74,6 +74,45 @@ def test_white_space_against_a_plain_loop(spark):
 
 def test_markdown_quotes_references_and_tables():
     p = P.markdown('> outer\n>> inner *deep*\n> > - item one\n\nSee [the guide][g] and [short] and ![pic][p].\n\n[g]: https://x.org/g "T"\n[short]: <#part>\n[p]: /img/p.png\n\n| a | b |\n|---|---|\n| 1 | [c](d.md) |\n')
-    assert p.text == "outer inner deep\n\n• item one\n\nSee the guide and short and pic.\n\n| a | b | |---|---| | 1 | c |"  # tables are text, as without the extension
+    assert p.text == "outer\n\ninner deep\n\n• item one\n\nSee the guide and short and pic.\n\n| a | b | |---|---| | 1 | c |"  # tables are text, as without the extension
     assert [(x["url"], x["text"], x["is_internal"]) for x in p.links] == [("https://x.org/g", "the guide", False), ("#part", "short", True), ("d.md", "c", True)]
     assert p.media == [{"url": "/img/p.png", "alt": "pic", "tag": "img", "css_background": False}]
+
+
+#: Markdown, and its text by the events of a CommonMark parser without extensions.
+CASES = [
+    ("a\nb", "a b"), ("a  \nb\\\nc", "a b c"), ("a\n\nb", "a\n\nb"),
+    ("> a\nlazy\n\nout", "a lazy\n\nout"), ("> a\n>\n> b", "a\n\nb"), ("> > a\n> b", "a b"), ("> - a\n> - b\n\nc", "• a\n• b\n\nc"),
+    ("- a\n- b", "• a\n• b"), ("- a\n\n- b", "• a\n\n\n• b"), ("- a\n\n  more\n- b", "• a\n\nmore\n\n\n• b"), ("- a\n  - b\n  - c\n- d", "• a• b\n• c\n\n\n• d"),
+    ("1. a\n2. b\n\ntext", "• a\n• b\n\ntext"), ("text\n2. b", "text 2. b"), ("text\n1. b", "text\n\n• b"), ("- a\n* b", "• a\n\n• b"), ("-\n  a", "• a"), ("-\n\n  a", "• \n\na"), ("10) x", "• x"),
+    ("- a\n\n      code", "• a\n\n\n```\ncode\n```"), ("- > q\n- ```\n  f\n  ```", "• q\n\n\n• \n```\nf\n```"),
+    ("    code\n\n      two\n\nt", "```\ncode\n\n  two\n```\nt"), ("a\n    b", "a b"), ("~~~ x y\n```\n~~~~\nz", "```\n```\n```\nz"), ("````\n```\n````", "```\n```\n```"), ("> ```\n> x\ny", "```\nx\n```\ny"),
+    ("a\n---\nb\n===", "a\n\nb"), ("---\na", "a"), ("* * *\na", "a"), ("# a #\n####### b", "a\n####### b"), ("#no\n#", "#no"),
+    ("*a* **b** ***c*** _d_ __e__", "a b c d e"), ("a*b*c a_b_c", "abc a_b_c"), ("* a", "• a"), ("2 * 3 * 4", "2 * 3 * 4"), ("**a*", "*a"), ("*a **b* c**", "a b c"), ("~~a~~", "~~a~~"), ("\\*a\\*", "*a*"), ("*a `*` b*", "a `*` b"), ("**a *b* c**", "a b c"), ("_a*b_c*", "_ab_c"),
+    ("`a  b` ``c`d`` `e", "`a  b` `c`d` `e"), ("`` `x` ``", "``x``"), ("&amp; &lt;x&gt; &#65; &nope; &copy;", "& <x> A &nope; ©"),
+    ("[a](b) [c] [d][e]", "a [c] [d][e]"), ("[a *b*](<c d> 'T')", "a b"), ("[a [b](c)](d)", "[a b](d)"), ("![a [b](c)](d)", "a b"), ("[x](a\\)b)", "x"), ("[x](a(b)c)", "x"), ("<http://x.org/a> <me@x.org> <b>bold</b>", "http://x.org/a me@x.org bold"),
+    ("<div>\nhidden *x*\n</div>\n\nseen", "seen"), ("<!-- a\n\nb -->\nc", "c"), ("a <!-- x --> b", "a  b"), ("<i>\nx\n\ny", "y"),
+    ("[r]\n\n[R]: /u\n'title'\nrest", "r\n\nrest"), ("[q]: /x y\n", "[q]: /x y"), ("", ""), ("\t\n \n", ""),
+]
+
+
+def test_markdown_block_tree():
+    for value, text in CASES:
+        assert P.markdown(value).text == text, value
+    p = P.markdown("- [a](u1)\n  > # Deep [b](u2)\n\n[c][]\n\n[c]: <u3> (t)\n[c]: u4\n\n1. ```py title\n   x\n    y\n   ```\n")
+    assert [(x["url"], x["text"]) for x in p.links] == [("u1", "a"), ("u2", "b"), ("u3", "c")] and p.title == "Deep b"
+    assert p.code_blocks[0]["language"] == "py title" and p.code_blocks[0]["content"] == "x\n y"
+    for found in (*p.headings, *({"text": "\n```", **c} for c in p.code_blocks)):
+        assert p.text.encode()[found["position"] :].startswith(found["text"].encode())
+
+
+def test_markdown_of_any_shape():
+    """Marks in any order are parsed to an end, and text without marks comes back."""
+    rng = random.Random(8)
+    parts = ["a", "b ", "\n", "\n\n", "> ", "- ", "1. ", "    ", "*", "**", "_", "`", "```", "[", "](x)", "]", "![", "<b>", "<!--", "-->", "#", "# ", "---", "===", "\\", "&amp;", "[r]: u", "\t", "~~~"]
+    for _ in range(3000):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        p = P.markdown(value)
+        assert all(p.text.encode()[h["position"] :].startswith(h["text"].encode()) for h in p.headings)
+    deep = P.markdown("> " * 3000 + "x" + "[" * 3000 + "*" * 3000 + "a" + "`" * 999)
+    assert deep.text.startswith("x[")
