@@ -46,9 +46,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def average_hash(luma: list[int]) -> int:
-    """64 bits of an 8 x 8 grey image: brighter than the mean."""
+    """64 bits of an 8 x 8 grey image: as bright as the mean at least."""
     mean = sum(luma) // 64
-    return sum(1 << i for i, v in enumerate(luma) if v > mean)
+    return sum(1 << i for i, v in enumerate(luma) if v >= mean)
 
 
 def drop_alike(hashes: list[int], radius: int = HAMMING) -> list[int]:
