@@ -56,7 +56,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_parser("serve", help="tool server on standard input and output")
     c.add_parser("completions").add_argument("shell", choices=("bash", "zsh", "fish"))
     db = c.add_parser("db")
-    db.add_argument("action", choices=("init", "status", "reset", "vacuum"))
+    db.add_argument("action", choices=("init", "status", "reset", "vacuum", "optimize"))
     db.add_argument("--yes", action="store_true")
     return p
 
@@ -101,6 +101,8 @@ def run(a: argparse.Namespace, index: Index, fetch) -> object:
         return index.store.reset()
     if a.command == "db" and a.action == "vacuum":
         return {"deleted": index.store.vacuum()}
+    if a.command == "db" and a.action == "optimize":
+        return {"indexed": index.optimize()}
     return None  # db init: opening the store made it
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from urllib.parse import urlsplit
@@ -23,12 +25,13 @@ from .errors import ConfigError, EngineError, FetchError, SourceNotFound
 from .functions import html as H
 from .functions import text as T
 from .operators import chunk as C
-from .operators import media, merge, parse, status
+from .operators import media, merge, parse, pixels, status
 from .plans import search as S
+from .plans import vectors as X
 from .schemas import ASSETS, CHUNKS, DOCUMENTS, KEYS, POINTS, RUNS, SOURCES
 from .sources import files, frontier, web
 from .sources.fetch import bytes_fetcher
-from .sources.store import Store
+from .sources.store import WHOLE, Store
 
 SEEN = "uri string, text string, content_hash string, content_type string, title string"
 
@@ -79,8 +82,8 @@ def overlaps(stored: list[tuple[str, str, str, str | None]], source_type: str, u
 
 
 class Index:
-    def __init__(self, store: Store, config: Config | None = None, embedder: Embedder | None = None, image_fetch: media.BytesFetcher | None = None, luma: media.Luma | None = None, renderer: web.Renderer | None = None):
-        """``luma`` reads images for perceptual hashes, ``renderer`` runs scripts; without them neither is done."""
+    def __init__(self, store: Store, config: Config | None = None, embedder: Embedder | None = None, image_fetch: media.BytesFetcher | None = None, luma: media.Luma | None = pixels.luma, renderer: web.Renderer | None = None):
+        """``luma`` reads images for perceptual hashes (by default PNG and GIF), ``renderer`` runs scripts; without one neither is done."""
         self.store, self.spark = store, store.spark
         self.config = (config or Config()).validate()
         self.embedder = embedder or HashEmbedder()
@@ -98,26 +101,25 @@ class Index:
             raise SourceNotFound(name)
         return row
 
-    def _write(self, dropped: tuple[str, ...] = (), **tables: DataFrame) -> None:
+    def _write(self, dropped: tuple[str, ...] = (), **tables: Callable[[], DataFrame]) -> None:
         """Whole tables that are not kept by source, and sources that go, become current at once."""
-        try:
-            for name, df in tables.items():
-                self.store.stage(name, df.coalesce(1))
-            self.store.publish(dropped)
-        finally:
-            self.store.unstage()
+
+        def write():
+            for name, made in tables.items():
+                self.store.stage(name, made().coalesce(1))
+
+        self.store.change(write, dropped)
 
     def rename(self, source: str, name: str | None) -> None:
-        at = self.find_source(source).id
-        if name and self.store.table("sources").where((F.col("name") == name) & (F.col("id") != at)).count():
+        at, stored = self.find_source(source).id, lambda: self.store.table("sources")
+        if name and stored().where((F.col("name") == name) & (F.col("id") != at)).count():
             raise ConfigError(f"another source is named {name}")
-        s = self.store.table("sources")
-        self._write(sources=s.withColumn("name", F.when(F.col("id") == at, F.lit(name)).otherwise(F.col("name"))))
+        self._write(sources=lambda: stored().withColumn("name", F.when(F.col("id") == at, F.lit(name)).otherwise(F.col("name"))))
 
     def remove(self, source: str) -> None:
         """A source's parts of all tables go with it; nothing of other sources is read or written."""
         at = self.find_source(source).id
-        self._write((at,), sources=self.store.table("sources").where(F.col("id") != at))
+        self._write((at,), sources=lambda: self.store.table("sources").where(F.col("id") != at))
 
     def sources(self) -> DataFrame:
         t = self.store.table
@@ -162,8 +164,17 @@ class Index:
         if not os.path.isdir(path):
             raise ConfigError(f"{path} is not a folder")
         root = os.path.realpath(path)
-        seen = files.read_files(self.spark, files.list_files(root, endings, exclude), root)
-        return self.ingest("dir", root, seen, name)
+        with self._listed(root, endings, exclude) as listed:
+            return self.ingest("dir", root, files.read_files(listed), name)
+
+    @contextmanager
+    def _listed(self, root: str, endings: tuple[str, ...] = (), exclude: tuple[str, ...] = ()):
+        """The files of a folder, as long as the block lasts."""
+        at = f"{self.store.root}/listing/{uuid.uuid4().hex}"
+        try:
+            yield files.list_files(self.spark, root, at, endings, exclude)
+        finally:
+            self.store.fs.delete(self.store.path(at), True)
 
     def ingest_url(self, url: str, fetch: web.Fetcher, name: str | None = None, operation: str = "ingest", **limits) -> Stats:
         settings = self.config.crawling(**limits)
@@ -331,7 +342,8 @@ class Index:
                 if s.source_type == "dir":
                     if not os.path.isdir(s.uri):
                         raise ConfigError(f"{s.uri} is not a folder")
-                    done.append(self.ingest("dir", s.uri, files.read_files(self.spark, files.list_files(s.uri), s.uri), operation="update"))
+                    with self._listed(s.uri) as listed:
+                        done.append(self.ingest("dir", s.uri, files.read_files(listed), operation="update"))
                 elif fetch is None:
                     raise FetchError("no fetcher was given")
                 else:
@@ -349,31 +361,31 @@ class Index:
         """
         store, one = self.store, self.find_source(source).id if source else None
         counts, parts = {"documents": 0, "points": 0}, []
-        for s in store.table("sources").collect():  # one row a source
-            if one and s.id != one:
-                continue
-            docs, chunks, points = (store.table(n, s.id) for n in ("documents", "chunks", "points"))
-            gone = docs.where("false").select("id")
-            if s.source_type == "dir" and os.path.isdir(s.uri):
-                listed = self.spark.createDataFrame([(p,) for p in files.list_files(s.uri)], "uri string")
-                gone = merge.stale(docs, listed).select("id")
-            left = merge.delete(chunks, gone.select(F.col("id").alias("doc_id")), ["doc_id"])
-            lost = merge.orphans(points, left)
-            if not orphans:  # only the points of the documents that go
-                own = chunks.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("point_id").alias("id"))
-                lost = lost.join(own, "id", "left_semi")
-            here = {"documents": gone.count(), "points": lost.count()}
-            if any(here.values()):
-                parts.append((s.id, {"documents": merge.delete(docs, gone, ["id"]), "chunks": left, "points": merge.delete(points, lost, ["id"])}))
-            counts = {k: counts[k] + here[k] for k in counts}
-        if not dry_run and parts:
-            try:
-                for at, tables in parts:
-                    for name, df in tables.items():
-                        store.stage(name, df, at)
-                store.publish()
-            finally:
-                store.unstage()
+        with ExitStack() as listings:
+            for s in store.table("sources").collect():  # one row a source
+                if one and s.id != one:
+                    continue
+                docs, chunks, points = (store.table(n, s.id) for n in ("documents", "chunks", "points"))
+                gone = docs.where("false").select("id")
+                if s.source_type == "dir" and os.path.isdir(s.uri):
+                    gone = merge.stale(docs, listings.enter_context(self._listed(s.uri))).select("id")
+                left = merge.delete(chunks, gone.select(F.col("id").alias("doc_id")), ["doc_id"])
+                lost = merge.orphans(points, left)
+                if not orphans:  # only the points of the documents that go
+                    own = chunks.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("point_id").alias("id"))
+                    lost = lost.join(own, "id", "left_semi")
+                here = {"documents": gone.count(), "points": lost.count()}
+                if any(here.values()):
+                    parts.append((s.id, {"documents": merge.delete(docs, gone, ["id"]), "chunks": left, "points": merge.delete(points, lost, ["id"])}))
+                counts = {k: counts[k] + here[k] for k in counts}
+            if not dry_run and parts:
+                try:
+                    for at, tables in parts:
+                        for name, df in tables.items():
+                            store.stage(name, df, at)
+                    store.publish()
+                finally:
+                    store.unstage()
         return counts
 
     def reindex(self, source: str | None = None) -> int:
@@ -396,6 +408,33 @@ class Index:
             store.unstage()
         return total
 
+    def optimize(self, parts: int | None = None) -> int:
+        """Index the vectors of all folders of points that are current; later ones are scanned beside it until the next call."""
+        store, at = self.store, f"vectors/{uuid.uuid4().hex}"
+        covers = sorted(a for p in store.parts("points").values() for a in p["at"])
+        points = store.table("points")
+        rows = points.select("*", F.regexp_extract(F.col("_metadata.file_path"), "(points/[0-9a-f]+)/[^/]*$", 1).alias("folder")) if covers else points.withColumn("folder", F.lit(""))
+        index = X.VectorIndex.build(rows, f"{store.root}/{at}", parts, (*S.FILTERS, "folder"))
+        store.staged.append(("vectors", WHOLE, False, {"at": [at], "covers": covers}))
+        try:
+            store.publish()
+        finally:
+            store.unstage()
+        return sum(p.n for p in index.parts)
+
+    def nearest(self, query: list[float], k: int, where) -> DataFrame:
+        """The k nearest points with ``score``: by the index what it covers, by a scan what is newer."""
+        store = self.store
+        current = {a for p in store.parts("points").values() for a in p["at"]}
+        held = store.parts("vectors").get(WHOLE)
+        covered = set(held["covers"]) if held else set()
+        scanned = S.top_k(store.read_folders("points", sorted(current - covered)).where(where), query, k)
+        if not held or not covered & current:
+            return scanned
+        gone = sorted(covered - current)
+        found = X.VectorIndex(self.spark, f"{store.root}/{held['at'][0]}").top_k(query, k, where & ~F.col("folder").isin(gone) if gone else where).drop("folder")
+        return found.unionByName(scanned, allowMissingColumns=True).orderBy(F.desc("score"), "id").limit(k) if current - covered else found
+
     # -- query -------------------------------------------------------------------
 
     def query(self, text: str, **options) -> DataFrame:
@@ -407,4 +446,4 @@ class Index:
         if o.rerank and e.backend == "http":
             score = lambda query, texts: http_rerank(e.url, model, query, texts, getattr(self.embedder, "post", post_json))
         media = bool(models.reranker(model)) and models.reranker(model).multimodal
-        return S.search(t("points"), chunks, text, self.embedder.one(self.spark, text), o, self.store.mean_length(), score, media)
+        return S.search(t("points"), chunks, text, self.embedder.one(self.spark, text), o, self.store.mean_length(), score, media, self.nearest)

@@ -34,3 +34,7 @@ class FetchError(EngineError):
 
 class RobotsDenied(FetchError):
     """The host's robots.txt rules the page out."""
+
+
+class ConflictError(StoreError):
+    """Another writer changed what a staged part was made from."""

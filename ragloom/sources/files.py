@@ -1,9 +1,16 @@
-"""Files of a folder tree as rows: ignored and unreadable ones left out, bytes decoded, content hashed."""
+"""Files of a folder tree as rows: ignored and unreadable ones left out, bytes decoded, content hashed.
+
+A tree is listed level by level: the folders of a level are dealt over tasks,
+each of which reads its folders' names and ignore rules, and their subfolders
+are the next level.  Contents are opened by tasks as well.  So the driver meets
+neither names nor contents; folders must be mounted where tasks run.
+"""
 
 from __future__ import annotations
 
 import fnmatch
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,47 +18,129 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: A folder's own ignore files, those named later decide over those before; the last only counts at the root.
+RULES = (".git/info/exclude", ".gitignore")
+_FOUND = "path string, is_dir boolean, rules array<struct<base:string,line:string>>"
+
+
+def rule(line: str) -> tuple[re.Pattern, bool, bool] | None:
+    """(expression over the path below the rule's folder, whether it brings back, whether it is for folders only), or None for no rule.
+
+    As git has it: ``*`` and ``?`` stop at a slash, ``**`` does not where it is a
+    whole part, a slash in front or within ties the rule to its folder, one at
+    the end asks for a folder, and a backslash takes a sign as it is.
+    """
+    line = re.sub(r"(?<!\\)((?:\\\\)*) +$", r"\1", line.rstrip("\r\n"))
+    if not line or line.startswith("#"):
+        return None
+    back = line.startswith("!")
+    line = line[1:] if back else line
+    folders, line = line.endswith("/"), line.removesuffix("/")
+    if not line:
+        return None
+    tied, line = "/" in line, line.removeprefix("/")
+    out, i = "" if tied else "(?:.*/)?", 0
+    while i < len(line):
+        rest = line[i:]
+        if (i == 0 or line[i - 1] == "/") and re.match(r"\*\*(?:/|$)", rest):
+            out += "(?:.*/)?" if rest[2:] else ".+"
+            i += 3
+        elif m := re.match(r"\*+", rest):
+            out += "[^/]*"
+            i += m.end()
+        elif rest[0] == "?":
+            out += "[^/]"
+            i += 1
+        elif m := re.match(r"\[([!^]?)(\]?(?:\\.|\[:\w+:\]|[^\]\\])*)\]", rest):
+            named = {"[:alpha:]": "a-zA-Z", "[:digit:]": "0-9", "[:alnum:]": "a-zA-Z0-9", "[:upper:]": "A-Z", "[:lower:]": "a-z", "[:space:]": r"\s", "[:punct:]": r"!-/:-@\[-`{-~"}
+            inner = re.sub(r"\[:\w+:\]|\\.|[\[\]&~|]", lambda x: named.get(x[0]) or (x[0] if x[0][0] == "\\" else "\\" + x[0]), m[2])
+            out += f"(?!/)[{'^' if m[1] else ''}{inner}]"
+            i += m.end()
+        elif rest[0] == "\\" and len(rest) > 1:
+            out += re.escape(rest[1])
+            i += 2
+        else:
+            out += re.escape(rest[0])
+            i += 1
+    try:
+        return re.compile(out, re.S), back, folders
+    except re.error:  # a range that runs backwards matches nothing
+        return None
 
-def ignored(path: str, is_dir: bool, rules: list[tuple[str, str]]) -> bool:
-    """Whether .gitignore rules, (folder, line) from the root down, leave a path out; the last that matches decides."""
+
+def ignored(path: str, is_dir: bool, rules: list[tuple[str, tuple[re.Pattern, bool, bool]]]) -> bool:
+    """Whether compiled rules, (folder, rule) from the root down, leave a path out; the last that matches decides."""
     out = False
-    for folder, line in rules:
-        line = line.strip()
-        if not line or line.startswith("#") or not (path == folder or path.startswith(folder.rstrip("/") + "/")):
-            continue
-        keep, line = line.startswith("!"), line.lstrip("!")
-        only_dir, line = line.endswith("/"), line.rstrip("/")
-        if only_dir and not is_dir:
-            continue
-        inside = os.path.relpath(path, folder)
-        anchored = "/" in line
-        match = fnmatch.fnmatch(inside, line.lstrip("/")) if anchored else fnmatch.fnmatch(os.path.basename(path), line)
-        if match:
-            out = not keep
+    for base, (expression, back, folders) in rules:
+        base = base.rstrip("/") + "/"
+        if path.startswith(base) and (is_dir or not folders) and expression.fullmatch(path[len(base) :]):
+            out = not back
     return out
 
 
-def list_files(root: str, endings: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> list[str]:
-    """Regular files under a folder, dot files too; names only are read here, contents by Spark."""
-    root, found = os.path.realpath(root), []
-    rules: dict[str, list[tuple[str, str]]] = {}
-    for folder, dirs, names in os.walk(root):
-        own = list(rules.get(os.path.dirname(folder), []))
-        for name in (".gitignore", ".git/info/exclude"):
-            if os.path.isfile(at := os.path.join(folder, name)):
-                own += [(folder, line) for line in open(at, encoding="utf-8", errors="replace")]
-        rules[folder] = own
-        dirs[:] = sorted(d for d in dirs if d != ".git" and not ignored(os.path.join(folder, d), True, own))
-        for n in sorted(names):
-            at = os.path.join(folder, n)
-            if os.path.isfile(at) and not os.path.islink(at) and not ignored(at, False, own):
-                if (not endings or n.rpartition(".")[2] in endings) and not any(fnmatch.fnmatch(os.path.relpath(at, root), e) for e in exclude):
-                    found.append(at)
+def _level(batches, root: str):
+    """The entries of folders that no rule leaves out: files, and folders with the rules that hold in them."""
+    for b in batches:
+        for folder, held in zip(b.column("path").to_pylist(), b.column("rules").to_pylist(), strict=True):
+            own = [(r["base"], r["line"]) for r in held]
+            for name in RULES if folder == root else RULES[1:]:
+                try:
+                    with open(os.path.join(folder, name), encoding="utf-8", errors="surrogateescape") as f:
+                        own += [(folder, line.rstrip("\n")) for line in f if rule(line)]
+                except OSError:
+                    continue
+            compiled = [(base, rule(line)) for base, line in own]
+            try:
+                entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            except OSError:  # not to be read, or gone
+                continue
+            found = []
+            for e in entries:
+                try:
+                    is_dir, is_file = e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)
+                except OSError:
+                    continue
+                if (is_file or is_dir and e.name != ".git") and _is_text(e.path) and not ignored(e.path, is_dir, compiled):
+                    found.append((e.path, is_dir))
+            rules = [{"base": base, "line": line} for base, line in own]
+            kind = pa.list_(pa.struct([("base", pa.string()), ("line", pa.string())]))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([d for _, d in found], pa.bool_()), pa.array([rules if d else None for _, d in found], kind)], ["path", "is_dir", "rules"])
+
+
+def _is_text(path: str) -> bool:
+    """Whether a name can be kept as text; others cannot be an address."""
+    try:
+        path.encode()
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
+def list_files(spark: SparkSession, root: str, at: str, endings: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(uri) of the regular files under a folder, dot files too, written below ``at``, which the caller deletes."""
+    root, levels = os.path.realpath(root), []
+    tasks = _tasks(spark)
+    front = spark.createDataFrame([(root, True, [])], _FOUND)
+    while True:
+        levels.append(f"{at.rstrip('/')}/level-{len(levels)}")
+        front.repartition(tasks).mapInArrow(lambda b: _level(b, root), _FOUND).write.parquet(levels[-1])
+        front = spark.read.schema(front.schema).parquet(levels[-1]).where("is_dir")
+        if front.isEmpty():
+            break
+    found = spark.read.schema(front.schema).parquet(*levels).where("not is_dir").select(F.col("path").alias("uri"))
+    if endings:
+        found = found.where(F.element_at(F.split("uri", r"\."), -1).isin(list(endings)))
+    for pattern in exclude:
+        found = found.where(~F.substring("uri", len(root.rstrip("/")) + 2, 1 << 30).rlike(fnmatch.translate(pattern).replace(r"\z", r"\Z").replace("(?>", "(?:")))
     return found
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _opened(batches):
-    """The bytes of files; what cannot be read is left out."""
+    """The bytes of files, one a batch; what cannot be read is left out."""
     for b in batches:
         for path in b.column("uri").to_pylist():
             try:
@@ -62,33 +151,12 @@ def _opened(batches):
             yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([data], pa.binary())], ["uri", "content"])
 
 
-#: Paths up to which a reader is handed each path; beyond that it lists the folder itself.
-FEW = 1000
-
-
-def read_files(spark: SparkSession, paths: list[str], root: str | None = None, few: int = FEW) -> DataFrame:
-    """uri, text, content_hash, content_type; binary files and skipped endings go.
+def read_files(listed: DataFrame) -> DataFrame:
+    """uri, text, content_hash, content_type of ``listed`` (uri); binary files and skipped endings go.
 
-    Of many paths under a ``root`` Spark lists the folder in its tasks and meets
-    the paths by name.  Files whose name begins with a dot or an underscore,
-    which Spark's readers leave out, are opened by tasks of their own.
+    Paths are opened as they are: no sign in a name is a pattern.
     """
-    if not paths:
-        return spark.createDataFrame([], "uri string, text string, content_hash string, content_type string")
-    reader = spark.read.format("binaryFile")
-    named = lambda df: df.select(F.regexp_replace("path", "^file:/*", "/").alias("uri"), "content")
-    hidden = [p for p in paths if os.path.basename(p)[:1] in "._"]
-    open_ = sorted({*paths} - {*hidden}) if root is None or len(paths) <= few else []
-    if root is not None and len(paths) > few:
-        under = [p for p in paths if any(x[:1] in "._" for x in os.path.relpath(p, root).split(os.sep))]
-        hidden = sorted({*hidden, *under})
-        listed = spark.createDataFrame([(p,) for p in paths], "uri string")
-        rows = named(reader.option("recursiveFileLookup", "true").load(root)).join(listed, "uri", "left_semi")
-    else:
-        rows = named(reader.load(open_)) if open_ else spark.createDataFrame([], "uri string, content binary")
-    if hidden:
-        at = spark.createDataFrame([(p,) for p in hidden], "uri string").repartition(spark.sparkContext.defaultParallelism)
-        rows = rows.unionByName(at.mapInArrow(_opened, "uri string, content binary"))
-    rows = rows.where(~T.should_skip(F.col("uri"))).where(~T.is_binary(F.col("content")))
+    rows = listed.where(~T.should_skip(F.col("uri"))).repartition(_tasks(listed.sparkSession)).mapInArrow(_opened, "uri string, content binary")
+    rows = rows.where(~T.is_binary(F.col("content")))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return rows.select("uri", text.alias("text")).withColumn("content_hash", T.content_hash(F.col("text"))).withColumn("content_type", T.type_by_ending(F.col("uri")))

@@ -14,11 +14,13 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DimensionMismatch, StoreError
+from ..errors import ConflictError, DimensionMismatch, StoreError
 from ..functions import vec as V
 from ..operators import merge
 from ..schemas import KEYS, TABLES
@@ -27,6 +29,10 @@ from ..schemas import KEYS, TABLES
 WHOLE = ""
 #: Folders of a part beyond which an append rewrites it as one.
 FOLDERS = 16
+#: Columns that look-ups name: files are sorted by the first and have a Bloom filter for each, so a look-up skips files and row groups without its key.
+LOOKED_UP = {"documents": ("uri", "id"), "chunks": ("doc_id", "point_id", "id"), "points": ("id",)}
+#: Writers that may come first before one gives up.
+RETRIES = 50
 _MANIFEST = re.compile(r"manifest-(\d+)\.json")
 
 
@@ -34,13 +40,15 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, dim: int | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.staged: list[tuple[str, str, bool, dict]] = []
+        #: The folders of each part when it was last read: what is staged in its place was made from these.
+        self.seen: dict[tuple[str, str], list[str]] = {}
         jvm = spark._jvm
         self.path, self.io = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not self.exists():
             if any(self.fs.exists(self.path(f"{self.root}/{name}")) for name in TABLES):
                 raise StoreError(f"{self.root} holds tables but no manifest that can be read")
-            self._write_manifest({"dim": dim, "tables": {}})
+            self._write_manifest({"dim": dim, "tables": {}}, self._next())  # or another writer's
         stored = self.manifest()["dim"]
         if dim and stored and dim != stored:
             raise DimensionMismatch(stored, dim)
@@ -54,6 +62,9 @@ class Store:
         names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
         return sorted((int(m[1]) for n in names if (m := _MANIFEST.fullmatch(n))), reverse=True)
 
+    def _next(self) -> int:
+        return max(self._numbers(), default=-1) + 1
+
     def _current(self) -> tuple[int, dict] | None:
         for n in self._numbers():
             stream = self.fs.open(self.path(f"{self.root}/manifest-{n:012d}.json"))
@@ -74,12 +85,28 @@ class Store:
             raise StoreError(f"{self.root} holds no manifest that can be read")
         return found[1]
 
-    def _write_manifest(self, m: dict) -> None:
-        """A new number each time; a file that exists is never opened, so of two writers one fails."""
-        n = max(self._numbers(), default=-1) + 1
-        out = self.fs.create(self.path(f"{self.root}/manifest-{n:012d}.json"), False)
+    def _write_manifest(self, m: dict, number: int) -> bool:
+        """Make ``m`` the manifest of a number; false if there is one already.
+
+        It is written aside and renamed, which fails where the name is taken:
+        a manifest is whole once it is seen, and of two writers one comes first.
+        """
+        aside, at = self.path(f"{self.root}/.manifest-{uuid.uuid4().hex}"), self.path(f"{self.root}/manifest-{number:012d}.json")
+        out = self.fs.create(aside, False)
         out.write(bytearray(json.dumps(m).encode()))
         out.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(aside, at, self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        finally:
+            if self.fs.exists(aside):
+                self.fs.delete(aside, False)
 
     # -- reading -----------------------------------------------------------------
 
@@ -91,11 +118,16 @@ class Store:
         parts = self.parts(name)
         if source is not None:
             parts = {k: v for k, v in parts.items() if k == source}
-        paths = [f"{self.root}/{at}" for p in parts.values() for at in p["at"]]
+        for part in {*parts, WHOLE if source is None else source}:
+            self.seen[name, part] = parts.get(part, {"at": []})["at"]
+        return self.read_folders(name, [at for p in parts.values() for at in p["at"]])
+
+    def read_folders(self, name: str, folders: list[str]) -> DataFrame:
+        """A table as these folders of it have it."""
         empty = self.spark.createDataFrame([], TABLES[name])
-        if not paths:
+        if not folders:
             return empty
-        read = self.spark.read.schema(empty.schema).parquet(*paths)  # columns that older folders lack are null
+        read = self.spark.read.schema(empty.schema).parquet(*(f"{self.root}/{at}" for at in folders))  # columns that older folders lack are null
         if name == "runs":
             done = F.struct(F.col("completed_at").isNotNull(), F.col("completed_at"))
             return read.groupBy("id").agg(F.max_by(F.struct(*[c for c in read.columns if c != "id"]), done).alias("r")).select("id", "r.*")
@@ -114,7 +146,11 @@ class Store:
         at = f"{name}/{uuid.uuid4().hex}"
         entry = {"at": [at]}
         self.staged.append((name, source, append, entry))
-        df.write.parquet(f"{self.root}/{at}")
+        keys = LOOKED_UP.get(name, ())
+        writer = (df.sortWithinPartitions(*keys[:1]) if keys else df).write.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for c in keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{self.root}/{at}")
         out = self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}")
         if name == "chunks":
             r = out.agg(F.count("*").alias("n"), F.sum(F.octet_length("chunk_text")).alias("b")).first()
@@ -131,17 +167,42 @@ class Store:
             raise DimensionMismatch(self.dim, bad[0])
 
     def publish(self, dropped: tuple[str, ...] = ()) -> None:
-        """Make what was staged current, without the sources ``dropped``."""
-        m = self.manifest()
-        for name, source, append, entry in self.staged:
-            parts = m["tables"].setdefault(name, {})
-            old = parts.get(source) if append else None
-            parts[source] = {k: old[k] + entry[k] for k in entry} if old else entry
-        for parts in m["tables"].values():
-            for source in dropped:
-                parts.pop(source, None)
-        self._write_manifest(m | {"dim": self.dim})
-        self.staged = []
+        """Make what was staged current, without the sources ``dropped``.
+
+        If another writer made the next manifest meanwhile, that is read and
+        changed in turn, so neither is lost.  Where what is staged replaces a
+        part that is no longer as it was read, this is a ``ConflictError``.
+        """
+        for _ in range(RETRIES):
+            number = self._next()
+            m = self.manifest()
+            for name, source, append, entry in self.staged:
+                parts = m["tables"].setdefault(name, {})
+                old, base = parts.get(source), self.seen.get((name, source))
+                if not append and base is not None and (old or {"at": []})["at"] != base:
+                    raise ConflictError(f"another writer changed {name} of {source or 'the index'}")
+                parts[source] = {k: old[k] + entry[k] for k in entry} if append and old else entry
+            for parts in m["tables"].values():
+                for source in dropped:
+                    parts.pop(source, None)
+            if self._write_manifest(m | {"dim": self.dim}, number):
+                self.seen |= {(name, source): m["tables"][name][source]["at"] for name, source, _, _ in self.staged if source not in dropped}
+                self.staged = []
+                return
+        raise ConflictError(f"{RETRIES} other writers came first")
+
+    def change(self, write: Callable[[], None], dropped: tuple[str, ...] = ()) -> None:
+        """Let ``write`` stage a change and publish it; if another writer came between, it stages it again from what there is now."""
+        for n in range(RETRIES):
+            try:
+                write()
+                self.publish(dropped)
+                return
+            except ConflictError:
+                if n + 1 == RETRIES:
+                    raise
+            finally:
+                self.unstage()
 
     def unstage(self) -> None:
         """Delete what was staged and is not to be current."""
@@ -156,14 +217,18 @@ class Store:
 
     def log(self, row: DataFrame, source: str) -> None:
         """Add a state of a run; one folder of a source's runs in ``FOLDERS`` is a rewrite of them all."""
-        full = len(self.parts("runs").get(source, {"at": []})["at"]) >= FOLDERS
-        rows = self.table("runs", source).unionByName(row) if full else row
-        self.stage("runs", rows.coalesce(1), source, append=not full)
-        self.publish()
+
+        def write():
+            full = len(self.parts("runs").get(source, {"at": []})["at"]) >= FOLDERS
+            rows = self.table("runs", source).unionByName(row) if full else row
+            self.stage("runs", rows.coalesce(1), source, append=not full)
+
+        self.change(write)
 
     def upsert(self, **rows: DataFrame) -> None:
         """Merge rows into their tables by key, source by source, and make all of it current together."""
-        try:
+
+        def write():
             for name, new in rows.items():
                 by_source = "source_id" in new.columns
                 for source in [r.source_id for r in new.select("source_id").distinct().collect()] if by_source else [WHOLE]:
@@ -171,9 +236,8 @@ class Store:
                     keep = tuple(c for c in ("id", "created_at") if c in new.columns and c not in KEYS[name])
                     version = {"runs": "started_at"}.get(name, "updated_at")
                     self.stage(name, merge.upsert(self.table(name, source), self.with_norm(mine) if name == "points" else mine, KEYS[name], keep if name not in ("runs", "points") else (), version), source)
-            self.publish()
-        finally:
-            self.unstage()
+
+        self.change(write)
 
     def with_norm(self, points: DataFrame) -> DataFrame:
         return points.withColumn("norm", V.norm(F.col("vector")))
@@ -196,4 +260,5 @@ class Store:
         return gone
 
     def reset(self) -> None:
-        self._write_manifest({"dim": self.dim, "tables": {}})
+        while not self._write_manifest({"dim": self.dim, "tables": {}}, self._next()):
+            pass

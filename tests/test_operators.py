@@ -153,15 +153,6 @@ def test_chunks_equal_a_plain_loop(spark):
     assert blocks == [(2, 14)] and C.in_code_block(9, blocks) and not C.in_code_block(14, blocks)
 
 
-def test_many_files_are_listed_by_tasks(spark, tmp_path):
-    for at, text in (("a.txt", "one"), ("sub/b.md", "two"), (".hidden.txt", "three"), (".dot/c.txt", "four"), ("_under.txt", "five"), ("ignored.txt", "six"), ("d.bin", "\0"), ("e f%20g.txt", "seven"), (".gitignore", "ignored.txt\n")):
-        (tmp_path / at).parent.mkdir(exist_ok=True)
-        (tmp_path / at).write_text(text)
-    paths = files.list_files(str(tmp_path))
-    handed, listed = ({(r.uri, r.text) for r in files.read_files(spark, paths, str(tmp_path), few).collect()} for few in (100, 2))
-    assert handed == listed and {t for _, t in listed} >= {"one", "two", "three", "four", "five", "seven"} and "six" not in {t for _, t in listed}
-
-
 def test_states_and_merge(spark):
     assert one(spark, status.state(F.col("s"), F.col("o")), s="running", o="update") == "updating"
     points = spark.createDataFrame([(1,), (2,)], "id long")
