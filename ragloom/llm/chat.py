@@ -238,16 +238,18 @@ def recover_roles(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["c", "k", "before", "last"])
 
     ends = common.durable(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(borders, "c long, k long, before int, last int"), "chat")
-    joined = rows.join(ends, rows.conv_id.eqNullSafe(ends.c) & (rows.chunk == ends.k), "left")
-    joined = joined.select("conv_id", "turn", "block", "role", "text", "symbol", "chunk", "pos", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"))
+    bounded = rows.select("conv_id", "chunk", "pos", "symbol").join(ends, rows.conv_id.eqNullSafe(ends.c) & (rows.chunk == ends.k), "left")
+    bounded = bounded.select("conv_id", "chunk", "pos", "symbol", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"))
 
     def decode(batches):
         for t in _by_chunk(batches):
             roles = model.value.decode(t["symbol"].to_numpy(), t["before"][0].as_py(), t["last"][0].as_py())
-            out = t.select(["conv_id", "turn", "block", "role", "text"]).append_column("found_role", pa.array([ROLES[r] for r in roles], pa.string()))
-            yield from out.combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array([t["conv_id"][0].as_py()], pa.int64()), pa.array([t["chunk"][0].as_py()], pa.int64()), pa.array([[int(r) for r in roles]], pa.list_(pa.int8()))], ["c", "k", "roles"])
 
-    found = joined.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "pos").mapInArrow(decode, "conv_id long, turn long, block int, role string, text string, found_role string")
+    # a chunk's roles are one row, which its blocks meet again: texts are never gathered
+    decoded = common.durable(bounded.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "pos").mapInArrow(decode, "c long, k long, roles array<tinyint>"), "chat")
+    named = F.array(*[F.lit(r) for r in ROLES])
+    found = rows.join(decoded, rows.conv_id.eqNullSafe(decoded.c) & (rows.chunk == decoded.k)).withColumn("found_role", named[F.col("roles")[F.col("pos")]])
     return found.select("conv_id", "turn", "block", "role", "found_role", render(F.col("found_role"), F.col("text")).alias("rendered"))
 
 

@@ -769,3 +769,13 @@ def test_pipeline_equals_plain_stages(spark):
         b.sort()
         assert all(o + n == p for (o, n), (p, _) in itertools.pairwise(b)) and b[0][0] == 0 and sum(b[-1]) <= 2048
     assert len(bins) == -(-sum(r.length for r in out) // 2048)
+
+
+def test_chat_of_very_long_texts(spark):
+    """Texts of megabytes go through whole, whatever the chunks, and are never gathered by conversation."""
+    words = "word " * 400_000
+    rows = [(1, t, None if t % 2 else ("user" if t % 4 else "assistant"), ("User: " if t % 4 else "Assistant: ") + words) for t in range(6)] + [(1, 6, "user", None), (1, 7, None, "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.turn: r for r in chat.recover_roles(frame, chunk=2).collect()}
+    assert len(out) == 8 and all(len(out[t].rendered) >= len(words.strip()) for t in range(6)) and out[6].rendered.endswith("<|end|>")
+    assert {t: r.found_role for t, r in out.items()} == {r.turn: r.found_role for r in chat.recover_roles(frame, chunk=4096).collect()}
