@@ -31,7 +31,7 @@ from .plans import vectors as X
 from .schemas import ASSETS, CHUNKS, DOCUMENTS, KEYS, POINTS, RUNS, SOURCES
 from .sources import files, frontier, web
 from .sources.fetch import bytes_fetcher
-from .sources.store import WHOLE, Store
+from .sources.store import WHOLE, Store, buckets_for
 
 SEEN = "uri string, text string, content_hash string, content_type string, title string"
 
@@ -284,8 +284,17 @@ class Index:
         found = C.chunk_documents(fresh, "id", "text", "headings", self.config.chunking())
         found = found.withColumn("id", F.concat_ws(":", "doc_id", "chunk_index")).withColumn("point_id", T.point_id(F.concat_ws(":", "id", "chunk_hash")))
         found = found.withColumn("modality", F.lit("text"))
+        new_source = not store.parts("documents").get(at)
+        deal = buckets_for(out.docs_changed) if new_source else None
         append = not out.docs_deleted and store.appendable(at) and not old["documents"].join(fresh.select("id"), "id", "left_semi").count()
         touched, lost = fresh.select(F.col("id").alias("doc_id")), gone.select(F.col("id").alias("doc_id"))
+        # a change writes the buckets of its documents anew; a part of too many folders is written as a whole, and dealt anew
+        hit = None
+        if not append and not new_source and store.appendable(at):
+            hit = sorted(r.b for r in touched.unionByName(lost).select(store.bucket("doc_id", at).alias("b")).distinct().collect())  # at most ``MOST``
+            old = {n: store.table(n, at, hit) for n in old}
+        elif not append and not new_source:
+            deal = buckets_for(old["documents"].count() + out.docs_changed)
         pictures = self._pictures(fresh, source_type)
         if pictures is not None:
             if not append:
@@ -294,21 +303,21 @@ class Index:
             found = found.unionByName(media.chunks(pictures.join(touched, "doc_id", "left_semi")), allowMissingColumns=True)
         new_chunks = _like(found.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)), CHUNKS)
         if append:
-            docs = store.stage("documents", new_docs, at, append=True)
-            chunks = store.stage("chunks", new_chunks, at, append=True)
-            points = store.stage("points", self._embedded(chunks, docs, F.lit(source_type), F.lit(uri), pictures), at, append=True)
+            docs = store.stage("documents", new_docs, at, append=True, deal=deal)
+            chunks = store.stage("chunks", new_chunks, at, append=True, deal=deal)
+            points = store.stage("points", self._embedded(chunks, docs, F.lit(source_type), F.lit(uri), pictures), at, append=True, deal=deal)
             out.chunks_created = points.count()
         else:
             documents = merge.delete(merge.upsert(old["documents"], new_docs, KEYS["documents"]), gone, ["id"])
             # of a changed document, chunks that it no longer has go
             left = merge.delete(old["chunks"], lost, ["doc_id"])
             again = left.join(touched, "doc_id", "left_semi").join(new_chunks.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_semi")
-            chunks = store.stage("chunks", left.join(touched, "doc_id", "left_anti").select(*left.columns).unionByName(merge.upsert(again.select(*left.columns), new_chunks, KEYS["chunks"])), at)
-            docs = store.stage("documents", documents, at)
+            chunks = store.stage("chunks", left.join(touched, "doc_id", "left_anti").select(*left.columns).unionByName(merge.upsert(again.select(*left.columns), new_chunks, KEYS["chunks"])), at, buckets=hit, deal=deal)
+            docs = store.stage("documents", documents, at, buckets=hit, deal=deal)
             kept = old["points"].join(chunks.select(F.col("point_id").alias("id")), "id", "left_semi")
             # only chunks without a stored point are embedded
             lacking = chunks.join(touched, "doc_id", "left_semi").join(old["points"].select(F.col("id").alias("point_id")), "point_id", "left_anti")
-            points = store.stage("points", kept.unionByName(self._embedded(lacking, docs, F.lit(source_type), F.lit(uri), pictures)), at)
+            points = store.stage("points", kept.unionByName(self._embedded(lacking, docs, F.lit(source_type), F.lit(uri), pictures)), at, buckets=hit, deal=deal)
             before = old["points"].select("id")
             out.chunks_created = points.select("id").join(before, "id", "left_anti").count()
             out.chunks_deleted = before.join(points.select("id"), "id", "left_anti").count()
@@ -413,7 +422,7 @@ class Index:
         store, at = self.store, f"vectors/{uuid.uuid4().hex}"
         covers = sorted(a for p in store.parts("points").values() for a in p["at"])
         points = store.table("points")
-        rows = points.select("*", F.regexp_extract(F.col("_metadata.file_path"), "(points/[0-9a-f]+)/[^/]*$", 1).alias("folder")) if covers else points.withColumn("folder", F.lit(""))
+        rows = points.select("*", F.regexp_extract(F.col("_metadata.file_path"), "(points/[0-9a-f]+(?:/bucket=[0-9]+)?)/[^/]*$", 1).alias("folder")) if covers else points.withColumn("folder", F.lit(""))
         index = X.VectorIndex.build(rows, f"{store.root}/{at}", parts, (*S.FILTERS, "folder"))
         store.staged.append(("vectors", WHOLE, False, {"at": [at], "covers": covers}))
         try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -74,14 +74,11 @@ def min_score(hits: DataFrame, floor: float) -> DataFrame:
 def best_per_document(hits: DataFrame, document: str = "doc_uri", tie: str = "id") -> DataFrame:
     """The hit of each document with the highest score, ties by ``tie``.
 
-    Only scores and ties are aggregated, by hash and with a row a document from
-    each task; the rows themselves are met again by document and tie.
+    Spark takes the first row of a window's groups before the shuffle too, so
+    each task sends one row a document; rows should be narrow, as tasks sort them.
     """
-    score = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
-    top = hits.groupBy(F.col(document).alias("_doc")).agg(F.max(score).alias("_score"))
-    near = hits.select(F.col(document).alias("_doc"), F.col(tie).alias("_tie"), score.alias("_score"))
-    kept = near.join(top.withColumnRenamed("_doc", "_of"), F.col("_doc").eqNullSafe(F.col("_of")) & (near["_score"] == top["_score"])).groupBy("_doc").agg(F.min("_tie").alias("_tie"))
-    return hits.join(kept, F.col(document).eqNullSafe(F.col("_doc")) & F.col(tie).eqNullSafe(F.col("_tie")), "left_semi")
+    place = F.row_number().over(Window.partitionBy(document).orderBy(F.desc_nulls_last("score"), tie))
+    return hits.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def hybrid(hits: DataFrame, terms: list[str], mean_length: float, weight: float) -> DataFrame:

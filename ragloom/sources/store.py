@@ -5,19 +5,22 @@ A write makes new folders and then a manifest of the next number that names
 them; the highest manifest that is whole is the state of the index.  A crash
 between the steps leaves the state before, and readers see all tables of one
 state or of the next.  What a source writes touches its own parts only: new
-rows are appended as one more folder, anything else replaces the part.  Paths
+rows are appended as more folders.  The parts of a large source are dealt into
+buckets by a hash of the document, a folder each, and a change writes only the
+buckets of the documents that it touches anew.  Paths
 go through Hadoop's file system, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConflictError, DimensionMismatch, StoreError
@@ -29,6 +32,9 @@ from ..schemas import KEYS, TABLES
 WHOLE = ""
 #: Folders of a part beyond which an append rewrites it as one.
 FOLDERS = 16
+#: Tables that are dealt into buckets, with the document's column; documents that a bucket should hold, and most buckets of a part.
+BUCKETED, BUCKET, MOST = {"documents": "id", "chunks": "doc_id", "points": "doc_id"}, 500, 256
+_IN_BUCKET = re.compile(r"/bucket=(\d+)$")
 #: Columns that look-ups name: files are sorted by the first and have a Bloom filter for each, so a look-up skips files and row groups without its key.
 LOOKED_UP = {"documents": ("uri", "id"), "chunks": ("doc_id", "point_id", "id"), "points": ("id",)}
 #: Writers that may come first before one gives up.
@@ -36,6 +42,17 @@ RETRIES = 50
 _MANIFEST = re.compile(r"manifest-(\d+)\.json")
 
 
+def _within(folder: str, buckets: list[int] | None) -> bool:
+    """Whether a folder may hold rows of these buckets."""
+    m = _IN_BUCKET.search(folder)
+    return buckets is None or m is None or int(m[1]) in buckets
+
+
+def buckets_for(documents: int) -> int:
+    """A power of two, so that buckets hold about ``BUCKET`` documents."""
+    return min(MOST, 1 << max(0, math.ceil(math.log2(max(1, documents / BUCKET)))))
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, dim: int | None = None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -113,14 +130,21 @@ class Store:
     def parts(self, name: str) -> dict[str, dict]:
         return self.manifest()["tables"].get(name, {})
 
-    def table(self, name: str, source: str | None = None) -> DataFrame:
-        """A table, or one source's part of it; of each run its last state."""
+    def buckets(self, source: str) -> int:
+        """Into how many buckets a source's parts are dealt."""
+        return self.parts("documents").get(source, {}).get("buckets", 1)
+
+    def bucket(self, document: str, source: str) -> Column:
+        return F.pmod(F.xxhash64(document), F.lit(self.buckets(source))).cast("int")
+
+    def table(self, name: str, source: str | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or one source's part of it, or some buckets of that; of each run its last state."""
         parts = self.parts(name)
         if source is not None:
             parts = {k: v for k, v in parts.items() if k == source}
         for part in {*parts, WHOLE if source is None else source}:
             self.seen[name, part] = parts.get(part, {"at": []})["at"]
-        return self.read_folders(name, [at for p in parts.values() for at in p["at"]])
+        return self.read_folders(name, [at for p in parts.values() for at in p["at"] if _within(at, buckets)])
 
     def read_folders(self, name: str, folders: list[str]) -> DataFrame:
         """A table as these folders of it have it."""
@@ -135,28 +159,41 @@ class Store:
 
     def mean_length(self) -> float:
         """Mean bytes of a chunk's text, from the manifest."""
-        parts = self.parts("chunks").values()
-        rows = sum(p.get("rows", 0) for p in parts)
-        return sum(p.get("bytes", 0) for p in parts) / rows if rows else 1.0
+        found = [n for p in self.parts("chunks").values() for n in p.get("stats", {}).values()]
+        rows = sum(n for n, _ in found)
+        return sum(b for _, b in found) / rows if rows else 1.0
 
     # -- writing -----------------------------------------------------------------
 
-    def stage(self, name: str, df: DataFrame, source: str = WHOLE, append: bool = False) -> DataFrame:
-        """Write the next state of a part, or rows to be added to it; readers see them once ``publish`` is called."""
-        at = f"{name}/{uuid.uuid4().hex}"
-        entry = {"at": [at]}
+    def stage(self, name: str, df: DataFrame, source: str = WHOLE, append: bool = False, buckets: list[int] | None = None, deal: int | None = None) -> DataFrame:
+        """Write the next state of a part, of some ``buckets`` of it, or rows to be added to it; readers see them once ``publish`` is called.
+
+        ``deal`` is the number of buckets of a part that is written as a whole, if it is not to stay.
+        """
+        at, held = f"{name}/{uuid.uuid4().hex}", self.parts(name).get(source, {"at": []})
+        n = (deal or self.buckets(source)) if name in BUCKETED else 1
+        entry: dict = {"at": [at]}
         self.staged.append((name, source, append, entry))
         keys = LOOKED_UP.get(name, ())
-        writer = (df.sortWithinPartitions(*keys[:1]) if keys else df).write.option("parquet.bloom.filter.adaptive.enabled", "true")
+        rows = df.withColumn("bucket", F.pmod(F.xxhash64(BUCKETED[name]), F.lit(n)).cast("int")).hint("rebalance", "bucket") if n > 1 else df
+        writer = (rows.sortWithinPartitions(*keys[:1]) if keys else rows).write.option("parquet.bloom.filter.adaptive.enabled", "true")
         for c in keys:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.parquet(f"{self.root}/{at}")
-        out = self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}")
+        (writer.partitionBy("bucket") if n > 1 else writer).parquet(f"{self.root}/{at}")
+        if n > 1:
+            entry |= {"at": sorted(f"{at}/{f.getPath().getName()}" for f in self.fs.listStatus(self.path(f"{self.root}/{at}")) if f.isDirectory()), "buckets": n}
+        out = self.spark.read.schema(df.schema).parquet(*(f"{self.root}/{x}" for x in entry["at"])) if entry["at"] else self.spark.createDataFrame([], df.schema)
         if name == "chunks":
-            r = out.agg(F.count("*").alias("n"), F.sum(F.octet_length("chunk_text")).alias("b")).first()
-            entry |= {"rows": r.n, "bytes": int(r.b or 0)}
+            folder = F.regexp_extract("_metadata.file_path", "(chunks/[0-9a-f]+(?:/bucket=[0-9]+)?)/[^/]*$", 1) if entry["at"] else F.lit("")
+            sizes = out.select(folder.alias("at"), F.octet_length("chunk_text").alias("b")).groupBy("at").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+            entry["stats"] = {r["at"]: [r.n, int(r.b or 0)] for r in sizes.collect()}  # a row a bucket
         if name == "points":
             self._check(out)
+        if buckets is not None and not append:
+            kept = [x for x in held["at"] if not _within(x, buckets)]
+            entry["at"] = kept + entry["at"]
+            if "stats" in entry:
+                entry["stats"] |= {x: held["stats"][x] for x in kept if x in held.get("stats", {})}
         return out
 
     def _check(self, points: DataFrame) -> None:
@@ -181,7 +218,7 @@ class Store:
                 old, base = parts.get(source), self.seen.get((name, source))
                 if not append and base is not None and (old or {"at": []})["at"] != base:
                     raise ConflictError(f"another writer changed {name} of {source or 'the index'}")
-                parts[source] = {k: old[k] + entry[k] for k in entry} if append and old else entry
+                parts[source] = entry | {"at": old["at"] + entry["at"]} | ({"stats": old.get("stats", {}) | entry["stats"]} if "stats" in entry else {}) if append and old else entry
             for parts in m["tables"].values():
                 for source in dropped:
                     parts.pop(source, None)
@@ -205,15 +242,16 @@ class Store:
                 self.unstage()
 
     def unstage(self) -> None:
-        """Delete what was staged and is not to be current."""
-        for *_, entry in self.staged:
-            for at in entry["at"]:
-                self.fs.delete(self.path(f"{self.root}/{at}"), True)
+        """Delete what was staged and is not to be current; buckets that stay as they are belong to the state there is."""
+        for name, source, _, entry in self.staged:
+            current = set(self.parts(name).get(source, {"at": []})["at"])
+            for at in {*entry["at"]} - current:
+                self.fs.delete(self.path(f"{self.root}/{_IN_BUCKET.sub('', at)}"), True)
         self.staged = []
 
     def appendable(self, source: str) -> bool:
         """Whether the source's parts are few folders; beyond that they are written as one."""
-        return all(len(self.parts(n).get(source, {"at": []})["at"]) < FOLDERS for n in ("documents", "chunks", "points"))
+        return all(len((p := self.parts(n).get(source, {"at": []}))["at"]) < FOLDERS * p.get("buckets", 1) for n in BUCKETED)
 
     def log(self, row: DataFrame, source: str) -> None:
         """Add a state of a run; one folder of a source's runs in ``FOLDERS`` is a rewrite of them all."""
@@ -252,8 +290,13 @@ class Store:
         for folder in self.fs.listStatus(self.path(self.root)):
             if folder.isDirectory():
                 for old in self.fs.listStatus(folder.getPath()):
-                    if f"{folder.getPath().getName()}/{old.getPath().getName()}" not in live:
+                    name = f"{folder.getPath().getName()}/{old.getPath().getName()}"
+                    inner = [f for f in self.fs.listStatus(old.getPath()) if f.getPath().getName().startswith("bucket=")] if old.isDirectory() else []
+                    stay = {f.getPath().getName() for f in inner if f"{name}/{f.getPath().getName()}" in live}
+                    if name not in live and not stay:
                         gone += bool(self.fs.delete(old.getPath(), True))
+                    elif stay:
+                        gone += sum(bool(self.fs.delete(f.getPath(), True)) for f in inner if f.getPath().getName() not in stay)
         for n in self._numbers():
             if n != current:
                 self.fs.delete(self.path(f"{self.root}/manifest-{n:012d}.json"), False)

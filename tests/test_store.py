@@ -105,3 +105,28 @@ def test_a_look_up_skips_what_lacks_its_key(spark, tmp_path):
     assert hit.count() == 1 and scanned(hit) == 1000  # one folder of six
     assert scanned(store.table("chunks").where("point_id = 'none'")) == 0
     assert scanned(store.table("chunks").where("doc_id = 'd7'")) <= 1000
+
+
+def test_a_change_writes_the_buckets_of_its_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "BUCKET", 10)
+    index = Index(Store(spark, f"file://{tmp_path}/i"))
+    seen = lambda changed, most=200: spark.range(most).select(F.concat(F.lit("/d/"), "id").alias("uri"), F.concat(F.lit("Text of document "), "id", F.when(F.col("id").isin(changed), " anew ").otherwise(" "), F.lit("word " * 30)).alias("text")).withColumn("content_hash", F.sha2("text", 256)).withColumn("content_type", F.lit("unknown"))
+    folders = lambda: {n: set(index.store.parts(n)[source]["at"]) for n in st.BUCKETED}
+    source = index.ingest("dir", "/d", seen([])).source_id
+    assert index.store.buckets(source) == 32 and all(len(f) == 32 for f in folders().values())
+    first, mean, ids = folders(), index.store.mean_length(), {r.uri: r.id for r in index.store.table("documents").collect()}
+    got = index.ingest("dir", "/d", seen([7]))
+    now = folders()
+    assert (got.docs_changed, got.docs_deleted) == (1, 0) and all(len(now[n] - first[n]) == len(first[n] - now[n]) == 1 for n in now)
+    index.ingest("dir", "/d", seen([7], 199))  # one goes
+    assert all(len(folders()[n] - now[n]) <= 1 for n in now)
+    assert {r.uri: r.id for r in index.store.table("documents").collect()} == {u: i for u, i in ids.items() if u != "/d/199"}
+    chunks = index.store.table("chunks")
+    assert chunks.count() == 199 == index.store.table("points").count() and chunks.where("chunk_text like '% anew %'").count() == 1
+    assert index.store.mean_length() == pytest.approx(chunks.agg(F.avg(F.octet_length("chunk_text"))).first()[0]) and mean > 1
+    index.ingest("dir", "/d", seen([7], 230))  # appended: more folders of the buckets
+    assert index.store.table("documents").count() == 230 and index.store.buckets(source) == 32
+    before = [(r.id, r.score) for r in index.query("document 7 anew", k=5, min_score=-1.0).collect()]
+    index.optimize(parts=4)
+    assert index.store.vacuum() > 0 and [(r.id, pytest.approx(r.score)) for r in index.query("document 7 anew", k=5, min_score=-1.0).collect()] == before
+    assert index.reindex() == 230 and index.store.table("points").count() == 230
