@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
-from contextlib import ExitStack, contextmanager
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from urllib.parse import urlsplit
@@ -31,7 +31,7 @@ from .plans import vectors as X
 from .schemas import ASSETS, CHUNKS, DOCUMENTS, KEYS, POINTS, RUNS, SOURCES
 from .sources import files, frontier, web
 from .sources.fetch import bytes_fetcher
-from .sources.store import WHOLE, Store, buckets_for
+from .sources.store import MOST, WHOLE, Store, buckets_for
 
 SEEN = "uri string, text string, content_hash string, content_type string, title string"
 
@@ -168,7 +168,7 @@ class Index:
             return self.ingest("dir", root, files.read_files(listed), name)
 
     @contextmanager
-    def _listed(self, root: str, endings: tuple[str, ...] = (), exclude: tuple[str, ...] = ()):
+    def _listed(self, root: str | list[str], endings: tuple[str, ...] = (), exclude: tuple[str, ...] = ()):
         """The files of a folder, as long as the block lasts."""
         at = f"{self.store.root}/listing/{uuid.uuid4().hex}"
         try:
@@ -367,35 +367,53 @@ class Index:
         """Drop documents of folder sources whose file is gone and, if asked, points that no chunk names.
 
         A source whose folder is not there is left alone: it may not be mounted.
+        All sources are looked through together; only those that lose something
+        are written, and of these only the buckets that do.
         """
         store, one = self.store, self.find_source(source).id if source else None
-        counts, parts = {"documents": 0, "points": 0}, []
-        with ExitStack() as listings:
-            for s in store.table("sources").collect():  # one row a source
-                if one and s.id != one:
-                    continue
-                docs, chunks, points = (store.table(n, s.id) for n in ("documents", "chunks", "points"))
-                gone = docs.where("false").select("id")
-                if s.source_type == "dir" and os.path.isdir(s.uri):
-                    gone = merge.stale(docs, listings.enter_context(self._listed(s.uri))).select("id")
-                left = merge.delete(chunks, gone.select(F.col("id").alias("doc_id")), ["doc_id"])
-                lost = merge.orphans(points, left)
-                if not orphans:  # only the points of the documents that go
-                    own = chunks.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("point_id").alias("id"))
-                    lost = lost.join(own, "id", "left_semi")
-                here = {"documents": gone.count(), "points": lost.count()}
-                if any(here.values()):
-                    parts.append((s.id, {"documents": merge.delete(docs, gone, ["id"]), "chunks": left, "points": merge.delete(points, lost, ["id"])}))
-                counts = {k: counts[k] + here[k] for k in counts}
-            if not dry_run and parts:
-                try:
-                    for at, tables in parts:
-                        for name, df in tables.items():
-                            store.stage(name, df, at)
-                    store.publish()
-                finally:
-                    store.unstage()
-        return counts
+        mounted = [s for s in store.table("sources").collect() if s.source_type == "dir" and (one in (None, s.id)) and os.path.isdir(s.uri)]  # one row a source
+        docs, chunks, points = (store.table(n, one) for n in ("documents", "chunks", "points"))
+        with self._listed([s.uri for s in mounted]) as listed, self._kept() as keep:
+            gone = keep("gone", merge.stale(docs.where(F.col("source_id").isin([s.id for s in mounted])), listed).select("source_id", "id"))
+            lost_docs = gone.select(F.col("id").alias("doc_id"))
+            lost = merge.orphans(points, merge.delete(chunks, lost_docs, ["doc_id"]))
+            if not orphans:  # only the points of the documents that go
+                lost = lost.join(chunks.join(lost_docs, "doc_id", "left_semi").select(F.col("point_id").alias("id")), "id", "left_semi")
+            lost = keep("lost", points.join(lost.select("id").distinct(), "id", "left_semi").select("source_id", "id", "doc_id"))
+            counts = {"documents": gone.count(), "points": lost.count()}
+            if dry_run or not any(counts.values()):
+                return counts
+            hit: dict[str, set[int] | None] = {}
+            where = gone.select("source_id", F.col("id").alias("d")).unionByName(lost.select("source_id", F.col("doc_id").alias("d")))
+            for r in where.select("source_id", F.pmod(F.xxhash64("d"), F.lit(MOST)).alias("h"), F.col("d").isNull().alias("none")).distinct().collect():  # ``MOST`` rows a source that loses something
+                if r.none:
+                    hit[r.source_id] = None  # of a document that is not known
+                elif hit.setdefault(r.source_id, set()) is not None:
+                    hit[r.source_id].add(r.h % store.buckets(r.source_id))
+            try:
+                for at, found in hit.items():
+                    some = None if found is None else sorted(found)
+                    keys = {"documents": (gone, ["id"]), "chunks": (lost_docs, ["doc_id"]), "points": (lost, ["id"])}
+                    for name, (gone_keys, on) in keys.items():
+                        store.stage(name, merge.delete(store.table(name, at, some), gone_keys, on), at, buckets=some)
+                store.publish()
+            finally:
+                store.unstage()
+            return counts
+
+    @contextmanager
+    def _kept(self):
+        """Tables that are written for the length of a block, as they are read more than once."""
+        at = f"{self.store.root}/kept/{uuid.uuid4().hex}"
+
+        def keep(name: str, df: DataFrame) -> DataFrame:
+            df.write.parquet(f"{at}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+        try:
+            yield keep
+        finally:
+            self.store.fs.delete(self.store.path(at), True)
 
     def reindex(self, source: str | None = None) -> int:
         """Embed the stored chunks again, images too if they are asked for; nothing is read, fetched or cut anew."""

@@ -78,12 +78,12 @@ def ignored(path: str, is_dir: bool, rules: list[tuple[str, tuple[re.Pattern, bo
     return out
 
 
-def _level(batches, root: str):
+def _level(batches, roots: set[str]):
     """The entries of folders that no rule leaves out: files, and folders with the rules that hold in them."""
     for b in batches:
         for folder, held in zip(b.column("path").to_pylist(), b.column("rules").to_pylist(), strict=True):
             own = [(r["base"], r["line"]) for r in held]
-            for name in RULES if folder == root else RULES[1:]:
+            for name in RULES if folder in roots else RULES[1:]:
                 try:
                     with open(os.path.join(folder, name), encoding="utf-8", errors="surrogateescape") as f:
                         own += [(folder, line.rstrip("\n")) for line in f if rule(line)]
@@ -116,14 +116,17 @@ def _is_text(path: str) -> bool:
         return False
 
 
-def list_files(spark: SparkSession, root: str, at: str, endings: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(uri) of the regular files under a folder, dot files too, written below ``at``, which the caller deletes."""
-    root, levels = os.path.realpath(root), []
+def list_files(spark: SparkSession, root: str | list[str], at: str, endings: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(uri) of the regular files under a folder or several, dot files too, written below ``at``, which the caller deletes.
+
+    ``exclude`` has patterns of paths below the folder, of which there is one then.
+    """
+    roots, levels = sorted({os.path.realpath(r) for r in ([root] if isinstance(root, str) else root)}), []
     tasks = _tasks(spark)
-    front = spark.createDataFrame([(root, True, [])], _FOUND)
+    front = spark.createDataFrame([(r, True, []) for r in roots], _FOUND)
     while True:
         levels.append(f"{at.rstrip('/')}/level-{len(levels)}")
-        front.repartition(tasks).mapInArrow(lambda b: _level(b, root), _FOUND).write.parquet(levels[-1])
+        front.repartition(tasks).mapInArrow(lambda b: _level(b, set(roots)), _FOUND).write.parquet(levels[-1])
         front = spark.read.schema(front.schema).parquet(levels[-1]).where("is_dir")
         if front.isEmpty():
             break
@@ -131,7 +134,7 @@ def list_files(spark: SparkSession, root: str, at: str, endings: tuple[str, ...]
     if endings:
         found = found.where(F.element_at(F.split("uri", r"\."), -1).isin(list(endings)))
     for pattern in exclude:
-        found = found.where(~F.substring("uri", len(root.rstrip("/")) + 2, 1 << 30).rlike(fnmatch.translate(pattern).replace(r"\z", r"\Z").replace("(?>", "(?:")))
+        found = found.where(~F.substring("uri", len(roots[0].rstrip("/")) + 2, 1 << 30).rlike(fnmatch.translate(pattern).replace(r"\z", r"\Z").replace("(?>", "(?:")))
     return found
 
 

@@ -130,3 +130,26 @@ def test_a_change_writes_the_buckets_of_its_documents(spark, tmp_path, monkeypat
     index.optimize(parts=4)
     assert index.store.vacuum() > 0 and [(r.id, pytest.approx(r.score)) for r in index.query("document 7 anew", k=5, min_score=-1.0).collect()] == before
     assert index.reindex() == 230 and index.store.table("points").count() == 230
+
+
+def test_prune_takes_as_many_jobs_for_many_sources(spark, tmp_path):
+    def jobs(index, **how):
+        spark.sparkContext.setJobGroup(group := f"prune-{len(taken)}", "")
+        counts = index.prune(**how)
+        spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), counts
+
+    taken, index = [], Index(Store(spark, f"file://{tmp_path}/i"))
+    for i in range(5):
+        (tmp_path / f"s{i}").mkdir()
+        for k in range(2):
+            (tmp_path / f"s{i}/{k}.txt").write_text(f"Text {k} of source {i}. " * 10)
+        index.ingest_dir(str(tmp_path / f"s{i}"))
+        if i in (1, 4):
+            taken.append(jobs(index, orphans=True))
+    assert taken[0][0] == taken[1][0] and taken[0][1] == taken[1][1] == {"documents": 0, "points": 0}
+    (tmp_path / "s2/0.txt").unlink()
+    before = {s: p["at"] for s, p in index.store.parts("documents").items()}
+    assert index.prune(dry_run=True) == index.prune() == {"documents": 1, "points": 1}
+    assert sum(index.store.parts("documents")[s]["at"] != at for s, at in before.items()) == 1
+    assert [index.store.table(n).count() for n in st.BUCKETED] == [9, 9, 9]
