@@ -348,17 +348,19 @@ def scan(a: Automaton, data: bytes, lanes: int = 1024) -> list[tuple[int, int, i
     if len(starts):
         most = int(lengths[0])
         active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(most), side="right")
-        states = np.zeros((most, len(starts)), np.int32)
+        rows = np.concatenate([[0], np.cumsum(active)])  # a step's states lie together, one for each lane that has not ended: as many in all as bytes
+        states = np.empty(rows[-1], np.int32)
         hit = np.zeros(len(starts), bool)
         now, at = np.zeros(len(starts), np.int32), starts.copy()
         for i, k in enumerate(active.tolist()):
             now, at = now[:k], at[:k]
-            a.table.take(now + classes.take(at), out=states[i, :k], mode="clip")
-            now = states[i, :k]
+            own = states[rows[i] : rows[i] + k]
+            a.table.take(now + classes.take(at), out=own, mode="clip")
+            now = own
             hit[:k] |= a.reports.take(now)
             at += 1
         for lane in np.flatnonzero(hit):
-            found += _lane_matches(a, data, int(starts[lane]), states[: lengths[lane], lane])
+            found += _lane_matches(a, data, int(starts[lane]), states[rows[: lengths[lane]] + lane])
     return sorted(found)
 
 
