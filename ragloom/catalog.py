@@ -66,25 +66,25 @@ _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[]
 
 @query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 20")
 def vector_topk(spark, sf_dir):
-    return S.top_k(_points(spark, sf_dir), _first_vector(spark, sf_dir), 20).select("id", F.round("score", 6).alias("score"))
+    return S.top_k(_points(spark, sf_dir), _first_vector(spark, sf_dir), 20).select("id", V.rounded(F.col("score")).alias("score"))
 
 
 @query(f"SELECT vec_id AS id, label AS doc_uri, round({_COS}, 6) AS score FROM embeddings WHERE label IN (1, 3) ORDER BY {_COS} DESC, vec_id LIMIT 20")
 def vector_topk_filtered(spark, sf_dir):
     points = S.filtered(_points(spark, sf_dir), S.QueryOptions(source_ids=("label-1", "label-3")))
-    return S.top_k(points, _first_vector(spark, sf_dir), 20).select("id", "doc_uri", F.round("score", 6).alias("score"))
+    return S.top_k(points, _first_vector(spark, sf_dir), 20).select("id", "doc_uri", V.rounded(F.col("score")).alias("score"))
 
 
 @query(f"SELECT * FROM (SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 20) WHERE score >= 0.2")
 def vector_topk_min_score(spark, sf_dir):
-    return S.min_score(S.top_k(_points(spark, sf_dir), _first_vector(spark, sf_dir), 20).withColumn("score", F.round("score", 6)), 0.2).select("id", "score")
+    return S.min_score(S.top_k(_points(spark, sf_dir), _first_vector(spark, sf_dir), 20).withColumn("score", V.rounded(F.col("score"))), 0.2).select("id", "score")
 
 
 @query(f"SELECT id, doc_uri, score FROM (SELECT vec_id AS id, label AS doc_uri, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY {_COS} DESC, vec_id) AS n FROM embeddings) WHERE n = 1")
 def vector_dedupe_by_group(spark, sf_dir):
     q = F.array(*[F.lit(float(x)) for x in _first_vector(spark, sf_dir)])
     scored = _points(spark, sf_dir).withColumn("score", V.cosine(F.col("vector"), q))
-    return S.best_per_document(scored).select("id", "doc_uri", F.round("score", 6).alias("score"))
+    return S.best_per_document(scored).select("id", "doc_uri", V.rounded(F.col("score")).alias("score"))
 
 
 def _shared(spark: SparkSession) -> str:
@@ -109,7 +109,7 @@ def vector_topk_indexed(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     asked = e.orderBy(F.desc("id")).select("vector").first()[0]
     found = X.VectorIndex.build(e, _shared(spark), parts=16).top_k(asked, 25)
-    return found.select("id", "label", F.round("score", 6).alias("score"))
+    return found.select("id", "label", V.rounded(F.col("score")).alias("score"))
 
 
 @query("""
@@ -120,7 +120,7 @@ def vector_batch_topk(spark, sf_dir):
     """Every vector of a label as a query against all vectors, in blocks of matrix products."""
     e = _table(spark, sf_dir, "embeddings")
     asked = e.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return X.batch_top_k(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).withColumn("score", F.round("score", 6))
+    return X.batch_top_k(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).withColumn("score", V.rounded(F.col("score")))
 
 
 @query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
@@ -136,7 +136,7 @@ def normalize_vectors(spark, sf_dir):
 def fuse_vectors(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return e.join(b, "vec_id").select("vec_id", F.transform(V.fuse(F.col("embedding"), F.col("other")), lambda x: F.round(x, 6)).alias("fused"))
+    return e.join(b, "vec_id").select("vec_id", F.transform(V.fuse(F.col("embedding"), F.col("other")), lambda x: V.rounded(x)).alias("fused"))
 
 
 _HEX_WORD = "('0x' || d[i * 8 + 7:i * 8 + 8] || d[i * 8 + 5:i * 8 + 6] || d[i * 8 + 3:i * 8 + 4] || d[i * 8 + 1:i * 8 + 2])::BIGINT"
@@ -147,7 +147,7 @@ _HEX_WORD = "('0x' || d[i * 8 + 7:i * 8 + 8] || d[i * 8 + 5:i * 8 + 6] || d[i *
     SELECT item_id, list_transform(range(64), lambda i: round({_HEX_WORD} / 4294967296.0::DOUBLE * 2 - 1, 6)) AS vector FROM h""")
 def hash_embedder(spark, sf_dir):
     b = _table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.transform(V.hash_embed(F.col("text")), lambda x: F.round(x, 6)).alias("vector"))
+    return b.select("item_id", F.transform(V.hash_embed(F.col("text")), lambda x: V.rounded(x)).alias("vector"))
 
 
 # -- ranking ---------------------------------------------------------------
@@ -220,7 +220,7 @@ _ASKED = " ".join(TERMS)
 def search_rerank_dedupe(spark, sf_dir):
     """The whole query path: top 2k by cosine, score floor, rerank, best hit of each document, top k."""
     o = S.QueryOptions(k=30, min_score=0.1, rerank=True, rerank_top_k=25, dedupe=True)
-    return S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), o, reranks_media=True).select("id", "doc_uri", F.round("score", 6).alias("score"))
+    return S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), o, reranks_media=True).select("id", "doc_uri", V.rounded(F.col("score")).alias("score"))
 
 
 @query(f"""WITH {_HITS}, r AS (SELECT id, bm25 AS score, 0 AS behind FROM top WHERE coalesce(modality, 'text') = 'text' ORDER BY score DESC, id LIMIT 15), o AS (SELECT id, cos AS score, 1 AS behind FROM top WHERE coalesce(modality, 'text') <> 'text')
@@ -229,13 +229,13 @@ def search_modalities(spark, sf_dir):
     """A reranker of texts leaves hits of other modalities behind them, in their own order."""
     hits = S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), S.QueryOptions(k=30, rerank=True, rerank_top_k=15))
     place = F.row_number().over(Window.orderBy(F.coalesce("modality", F.lit("text")) != "text", F.desc("score"), "id"))  # k rows
-    return hits.select("id", F.round("score", 6).alias("score"), place.alias("place"))
+    return hits.select("id", V.rounded(F.col("score")).alias("score"), place.alias("place"))
 
 
 @query(f"""WITH {_HITS} SELECT id, doc_uri, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_uri ORDER BY score DESC, id) AS n FROM (SELECT id, doc_uri, 0.7::DOUBLE * cos + 0.3::DOUBLE * bm25 AS score FROM top)) WHERE n = 1 AND score >= 0.2 ORDER BY score DESC, id LIMIT 30""")
 def search_hybrid(spark, sf_dir):
     o = S.QueryOptions(k=30, min_score=0.2, hybrid=True, dedupe=True)
-    return S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), o).select("id", "doc_uri", F.round("score", 6).alias("score"))
+    return S.search(_hits(spark, sf_dir), None, _ASKED, _first_vector(spark, sf_dir), o).select("id", "doc_uri", V.rounded(F.col("score")).alias("score"))
 
 
 # -- text ------------------------------------------------------------------

@@ -31,6 +31,12 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """``x`` to the nearest multiple of 10^-places, halves away from zero, as SQL engines round doubles: what becomes zero from below is -0.0, which ``F.round`` makes 0.0."""
+    y = x * float(10**places)
+    return F.when(F.abs(y - F.rint(y)) == 0.5, y + F.signum(y) * 0.5).otherwise(F.rint(y)) / float(10**places)
+
+
 def normalize(a: Column) -> Column:
     """The direction of a vector; a zero vector stays."""
     held = F.struct(a.cast("array<double>").alias("v"), norm(a).alias("n"))

@@ -1,9 +1,14 @@
 """Indexed, quantised and batched search against a scan."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from ragloom import catalog
+from ragloom.functions import vec as V
 from ragloom.plans import search as S
 from ragloom.plans import vectors as X
 
@@ -78,3 +83,24 @@ def test_indexed_search_path_equals_top_k(spark, tmp_path, rows):
     index = X.VectorIndex.build(points, f"file://{tmp_path}/i", parts=9)
     q = rows[11][1]
     assert [r.id for r in index.top_k(q, 20).collect()] == [r.id for r in S.top_k(points.where("id not in ('zero', 'nan')"), q, 20).collect()]
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    want = [(-1e-8, -0.0), (1e-8, 0.0), (-0.0, -0.0), (0.0, 0.0), (1.0000005, 1.000001), (-1.5e-6, -2e-6), (2.5e-6, 3e-6), (-0.1234564, -0.123456), (0.7, 0.7), (float("nan"), float("nan")), (None, None)]
+    got = [r.y for r in spark.createDataFrame([(i, x) for i, (x, _) in enumerate(want)], "i int, x double").select("i", V.rounded(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert list(map(repr, got)) == [repr(y) for _, y in want]
+
+
+@pytest.mark.parametrize("name", ["fuse_vectors"])
+def test_units_equal_their_sql_in_every_bit(spark, tmp_path, name):
+    """repr tells -0.0 from 0.0, which == does not."""
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((40, 16)).astype(np.float32)
+    vectors[::2, 3], vectors[1::2, 3] = -1e-7, 1e-9
+    table = pa.table({"vec_id": pa.array(range(40)), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float32())), "label": pa.array([1] * 40, pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    plain = lambda rows: sorted(repr((r[0], list(r[1]))) for r in rows)
+    want = plain(duck.sql(catalog.ORACLE_SQL[name]).fetchall())
+    assert plain(catalog.QUERIES[name](spark, str(tmp_path)).collect()) == want and "-0.0," in "".join(want)
