@@ -126,7 +126,7 @@ def vector_batch_topk(spark, sf_dir):
 @query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
 def normalize_vectors(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.transform(V.normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return e.select("vec_id", F.transform(V.normalize(F.col("embedding")), lambda x: V.rounded(x)).alias("unit"))
 
 
 @query("""

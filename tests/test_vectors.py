@@ -91,7 +91,7 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     assert list(map(repr, got)) == [repr(y) for _, y in want]
 
 
-@pytest.mark.parametrize("name", ["fuse_vectors"])
+@pytest.mark.parametrize("name", ["normalize_vectors", "fuse_vectors"])
 def test_units_equal_their_sql_in_every_bit(spark, tmp_path, name):
     """repr tells -0.0 from 0.0, which == does not."""
     rng = np.random.default_rng(4)
