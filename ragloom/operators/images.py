@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..functions import url as U
 GOOD = "diagram architecture overview flow guide example schema chart figure graph plot screenshot".split()
 BAD = "logo icon sprite avatar placeholder spinner favicon badge thumbnail thumb".split()
 HAMMING, LEAST_BYTES, MOST_BYTES = 5, 4096, 5_000_000
+#: Pages of up to so many images of a batch are worked on side by side.
+SHORT = 32
 
 
 def relevance(alt: Column, title: Column, headings: Column, address: Column, css: Column) -> Column:
@@ -83,17 +86,68 @@ def near_pairs(hashes: DataFrame, radius: int = HAMMING, bits: int = 64) -> Data
 def distinct(hashes: DataFrame, radius: int = HAMMING) -> DataFrame:
     """hashes: page, id, hash.  The images of each page kept when they are taken by id and those near a kept one go.
 
-    A page's images are few once ``candidates`` has chosen them; a null hash is near to nothing.
+    Rows come to a task by page, sorted by id, and pass it in batches, all short
+    pages of a batch at once; from batch to batch a task holds only the kept
+    hashes of the page that goes on.  A null hash is near to nothing.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        known = rows[rows["hash"].notna()]
-        kept = known.iloc[drop_alike([int(h) & (1 << 64) - 1 for h in known["hash"]], radius)]
-        return pd.concat([kept, rows[rows["hash"].isna()]])[["page", "id"]]
-
     kinds = dict(hashes.dtypes)
-    return hashes.select("page", "id", "hash").groupBy("page").applyInPandas(run, f"page {kinds['page']}, id {kinds['id']}")
+    ordered = hashes.select("page", "id", F.col("hash").cast("long")).repartition("page").sortWithinPartitions("page", F.asc_nulls_last("id"), "hash")
+    return ordered.mapInArrow(lambda batches: _distinct(batches, radius), f"page {kinds['page']}, id {kinds['id']}")
+
+
+def _distinct(batches, radius: int):
+    last, held = None, np.empty(0, np.uint64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        page, known = b.column("page"), np.asarray(b.column("hash").is_valid())
+        h = np.asarray(b.column("hash").fill_null(0)).view(np.uint64)
+        code = np.asarray(page.dictionary_encode("encode").indices)
+        begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        size = np.diff(np.r_[begin, len(h)])
+        if last is None or page[0].as_py() != last[0]:
+            held = held[:0]
+        last = (page[b.num_rows - 1].as_py(),)
+        long = size > SHORT
+        long[0] |= len(held) > 0
+        keep = np.ones(len(h), bool)
+        _drop_side_by_side(h, known, keep, begin[~long], size[~long], radius)
+        for k in np.flatnonzero(long):
+            rows = np.arange(begin[k], begin[k] + size[k])[known[begin[k] : begin[k] + size[k]]]
+            keep[rows] = _drop_in_turn(h[rows], held if k == 0 else held[:0], radius)
+        own = h[begin[-1] :][(keep & known)[begin[-1] :]]
+        held = np.concatenate([held, own]) if len(begin) == 1 else own
+        kept = b.take(pa.array(np.flatnonzero(keep)))
+        yield pa.RecordBatch.from_arrays([kept.column("page"), kept.column("id")], ["page", "id"])
+
+
+def _drop_side_by_side(h: np.ndarray, known: np.ndarray, keep: np.ndarray, begin: np.ndarray, size: np.ndarray, radius: int) -> None:
+    """Takes the n-th images of all pages at once, and compares them with each place before."""
+    for n in range(1, int(size.max(initial=0))):
+        begin, size = begin[size > n], size[size > n]
+        now = begin + n
+        for before in range(n):
+            then = begin + before
+            keep[now] &= ~(known[now] & known[then] & keep[then] & (np.bitwise_count(h[now] ^ h[then]) <= radius))
+
+
+def _drop_in_turn(h: np.ndarray, held: np.ndarray, radius: int) -> np.ndarray:
+    """Which of a page's next images stay, when those ``held`` were kept before; a few at a time, against a stretch of the kept ones each."""
+    stay = np.ones(len(h), bool)
+    kept = np.concatenate([held, h])  # room for all
+    n = len(held)
+    for first in range(0, len(h), SHORT):
+        some = h[first : first + SHORT]
+        far = stay[first : first + SHORT]
+        for k in range(0, n, 4096):
+            far &= ~(np.bitwise_count(some[:, None] ^ kept[None, k : min(n, k + 4096)]) <= radius).any(1)
+        near = np.bitwise_count(some[:, None] ^ some[None, :]) <= radius
+        for i in range(1, len(some)):
+            far[i] &= not (near[i, :i] & far[:i]).any()
+        own = some[far]
+        kept[n : n + len(own)] = own
+        n += len(own)
+    return stay
 
 
 def acceptable(assets: DataFrame, least: int = LEAST_BYTES, most: int = MOST_BYTES) -> DataFrame:

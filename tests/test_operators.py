@@ -116,6 +116,38 @@ def test_distinct_images_equal_a_loop(spark):
     assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) > 5
 
 
+def test_distinct_images_of_long_pages_and_null_hashes(spark):
+    """Pages over several batches, next to short ones; a null hash beside others leaves these in every bit."""
+    rng = random.Random(5)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    rows, want = [], []
+    for page, n in ((1, 700), (2, 3), (3, 40), (4, 1), (None, 90), (5, 8)):
+        base, kept = [rng.getrandbits(64) for _ in range(1 + n // 3)], []
+        for i in range(n):
+            h = rng.choice(base)
+            for _ in range(rng.randint(0, 7)):
+                h ^= 1 << rng.randrange(64)
+            if all((h ^ k).bit_count() > 5 for k in kept):
+                kept.append(h)
+                want.append((page, i))
+            rows.append((page, i, signed(h)))
+        if n > 1:
+            rows.append((page, n, None))
+            want.append((page, n))
+    # hashes that differ in eight low bits only, which a double does not hold
+    rows += [(9, 0, 1 << 62), (9, 1, (1 << 62) + 255), (9, 2, None)]
+    want += [(9, 0), (9, 1), (9, 2)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "page long, id long, hash long").repartition(3)
+    plain = lambda pairs: sorted(pairs, key=lambda p: (p[0] or 0, p[1]))
+    assert plain((r.page, r.id) for r in images.distinct(frame).collect()) == plain(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert plain((r.page, r.id) for r in images.distinct(frame).collect()) == plain(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def plain_chunks(text, most, least, overlap):
     """The chunker as a plain loop over bytes, written from its description."""
     data, begin, out = text.encode(), 0, []
