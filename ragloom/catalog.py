@@ -120,7 +120,7 @@ def vector_batch_topk(spark, sf_dir):
     """Every vector of a label as a query against all vectors, in blocks of matrix products."""
     e = _table(spark, sf_dir, "embeddings")
     asked = e.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return X.batch_top_k(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).withColumn("score", V.rounded(F.col("score")))
+    return X.batch_top_k(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).select("query_id", "id", V.rounded(F.col("cosine")).alias("score"))
 
 
 @query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 PARTS, MEMBERS, SAMPLE = 1024, 4096, 32
 #: Queries that are compared with all vectors in one pass.
 BLOCK = 1024
+#: Most cosines of a block that a task holds at a time (8 bytes each).
+TILE = 1 << 19
 #: Places to which scores count as equal; beyond them products of blocks differ from one another.
 PLACES = 12
 _SLACK = 1e-9
@@ -206,38 +208,53 @@ class VectorIndex:
 
 
 class _Best:
-    """The k best of each query so far: by score, then by id."""
+    """The k best of each query so far: by score, to ``PLACES``, then by id.  New ones are merged when they are as many as those kept."""
 
     def __init__(self, queries: int, k: int):
         self.k, self.kth = k, np.full(queries, -np.inf)
-        self.q, self.score = np.empty(0, np.int64), np.empty(0)
-        self.ids = None
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` (queries, members) of the members ``ids``."""
-        own = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else np.full(len(scores), -np.inf)
-        q, m = np.nonzero(scores >= np.maximum(self.kth, own)[:, None])
-        q, s, i = np.concatenate([self.q, q]), np.concatenate([self.score, scores[q, m]]), ids[m] if self.ids is None else np.concatenate([self.ids, ids[m]])
-        order = np.lexsort((i, -s, q))
-        q, s, i = q[order], s[order], i[order]
+        self.q, self.cosine, self.ids = np.empty(0, np.int64), np.empty(0), None
+        self.new, self.waiting = [], 0
+
+    def add(self, cosines: np.ndarray, ids: np.ndarray) -> None:
+        """``cosines`` (queries, members) of the members ``ids``."""
+        least = self.kth
+        if cosines.shape[1] > self.k and np.isinf(least).any():
+            least = np.maximum(least, np.partition(cosines, -self.k, axis=1)[:, -self.k])
+        q, m = np.nonzero(cosines >= (least - 2 * 10.0**-PLACES)[:, None])
+        self.new.append((q, cosines[q, m], ids[m]))
+        self.waiting += len(q)
+        if self.waiting > len(self.q):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.new:
+            return
+        held = [] if self.ids is None else [(self.q, self.cosine, self.ids)]
+        q, s, i = (np.concatenate(x) for x in zip(*held, *self.new, strict=True))
+        score = s.round(PLACES)
+        order = np.lexsort((i, -score, q))
+        q = q[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = place < self.k
-        self.q, self.score, self.ids = q[keep], s[keep], i[keep]
-        last = np.flatnonzero(place[keep] == self.k - 1)
-        self.kth[self.q[last]] = self.score[last]
+        keep = order[place < self.k]
+        self.q, self.cosine, self.ids = q[place < self.k], s[keep], i[keep]
+        last = order[place == self.k - 1]
+        self.kth[q[place == self.k - 1]] = score[last]
+        self.new, self.waiting = [], 0
 
 
 def batch_top_k(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK, vector: str = "vector") -> DataFrame:
-    """(query_id, id, score): for each of ``queries`` (query_id, vector) the k nearest ``points`` (id, vector), ties by id.
+    """(query_id, id, score, cosine): for each of ``queries`` (query_id, vector) the k nearest ``points`` (id, vector), ties by id.
 
     Queries go out in blocks of about ``block``, each of which is compared with
-    all vectors by matrix products; a task keeps k rows a query, and an
-    aggregation merges the tasks.
+    all vectors by matrix products of ``TILE`` cosines at the most; a task keeps
+    k rows a query, and an aggregation merges the tasks.  Rows are in order by
+    score, the cosine to ``PLACES``.
     """
     spark = queries.sparkSession
     query_type, id_type = queries.schema["query_id"].dataType.simpleString(), points.schema["id"].dataType.simpleString()
     blocks = max(1, math.ceil(queries.count() / block))
-    out = spark.createDataFrame([], f"query_id {query_type}, id {id_type}, score double")
+    schema = f"query_id {query_type}, id {id_type}, score double, cosine double"
+    out = spark.createDataFrame([], schema)
     for n in range(blocks):
         some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", F.col(vector).alias("vector")).toArrow().combine_chunks()  # about ``block`` rows
         names, column = some["query_id"].combine_chunks(), some["vector"].combine_chunks()
@@ -245,20 +262,24 @@ def batch_top_k(queries: DataFrame, points: DataFrame, k: int, block: int = BLOC
             rows, at = matrix(column, width)
             if len(rows):
                 held = spark.sparkContext.broadcast((names.take(pa.array(at)), directions(rows)))
-                found = points.select("id", F.col(vector).alias("vector")).mapInArrow(lambda b, held=held: _block_best(b, held, k), f"query_id {query_type}, id {id_type}, score double")
+                found = points.select("id", F.col(vector).alias("vector")).mapInArrow(lambda b, held=held: _block_best(b, held, k), schema)
                 out = out.unionByName(found)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k)  # k rows a task and query
-    return out.groupBy("query_id").agg(best.alias("b")).select("query_id", F.explode("b").alias("b")).select("query_id", F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "cosine"))), 1, k)  # k rows a task and query
+    return out.groupBy("query_id").agg(best.alias("b")).select("query_id", F.explode("b").alias("b")).select("query_id", F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"), F.col("b.cosine").alias("cosine"))
 
 
 def _block_best(batches, held, k: int):
     names, q = held.value
     best, kind = _Best(len(q), k), None
+    step = max(1, TILE // max(len(q), q.shape[1]))
     for b in batches:
-        rows, at = matrix(b.column("vector"), q.shape[1])
         kind = b.column("id").type
-        ids = np.asarray(b.column("id").take(pa.array(at)).to_pylist(), dtype=None if pa.types.is_integer(kind) else object)
-        for first in range(0, len(rows), 4096):
-            best.add((q @ directions(rows[first : first + 4096]).T).round(PLACES), ids[first : first + 4096])
+        for first in range(0, b.num_rows, step):
+            some = b.slice(first, step)
+            rows, at = matrix(some.column("vector"), q.shape[1])
+            if len(rows):
+                ids = np.asarray(some.column("id").take(pa.array(at)).to_pylist(), dtype=None if pa.types.is_integer(kind) else object)
+                best.add(q @ directions(rows).T, ids)
+    best.merge()
     if best.ids is not None:
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(best.q)), pa.array(best.ids.tolist(), kind), pa.array(best.score)], ["query_id", "id", "score"])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(best.q)), pa.array(best.ids.tolist(), kind), pa.array(best.cosine.round(PLACES)), pa.array(best.cosine)], ["query_id", "id", "score", "cosine"])

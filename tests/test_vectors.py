@@ -1,5 +1,8 @@
 """Indexed, quantised and batched search against a scan."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -104,3 +107,22 @@ def test_units_equal_their_sql_in_every_bit(spark, tmp_path, name):
     plain = lambda rows: sorted(repr((r[0], list(r[1]))) for r in rows)
     want = plain(duck.sql(catalog.ORACLE_SQL[name]).fetchall())
     assert plain(catalog.QUERIES[name](spark, str(tmp_path)).collect()) == want and "-0.0," in "".join(want)
+
+
+def test_a_block_takes_no_more_memory_than_its_tiles():
+    """1,024 queries against full Arrow batches, one and three of them; rows come by rising cosine, the worst order."""
+    rng = np.random.default_rng(6)
+    q, vectors = X.directions(rng.standard_normal((1024, 64))), rng.standard_normal((30000, 64)).astype(np.float32)
+    vectors = vectors[np.argsort(X.directions(vectors.astype(float)) @ q[0])]
+    batches = [pa.record_batch({"id": pa.array(range(n, n + 10000)), "vector": pa.array(list(vectors[n : n + 10000]), pa.list_(pa.float32()))}) for n in range(0, 30000, 10000)]
+    held = SimpleNamespace(value=(pa.array(range(1024)), q))
+    peaks = []
+    for some in (batches[:1], batches):
+        tracemalloc.start()
+        (found,) = X._block_best(iter(some), held, 10)
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(peaks) < 48 and found.num_rows == 10240
+    want = np.argsort(-(q[:20] @ X.directions(vectors.astype(float)).T), axis=1)[:, :10]
+    assert [sorted(found["id"].to_numpy()[found["query_id"].to_numpy() == n]) for n in range(20)] == [sorted(w) for w in want]
+    print(peaks)
